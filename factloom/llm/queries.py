@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import exact_dedup, mixing, sentencepiece_bpe
+from factloom.llm import chat_format, exact_dedup, jaccard_join, mixing, quality_rules, secret_scan, sentencepiece_bpe, suffix_dedup
 from factloom.llm.common import read_table
 
 
@@ -24,12 +24,39 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_digests(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(read_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(read_table(spark, sf_dir, "documents"))
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_sentencepiece, op7_mix_sources)
+    f.__name__: f
+    for f in (op1_exact_dedup, op2_sentencepiece, op3_suffix_dedup, op5_secret_scan, op6_jaccard_join, op7_mix_sources, op8_quality_rules, op10_chat_format)
 }
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": exact_dedup.ORACLE, "op7_mix_sources": mixing.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_exact_dedup": exact_dedup.ORACLE,
+    "op6_jaccard_join": jaccard_join.ORACLE,
+    "op7_mix_sources": mixing.ORACLE,
+    "op8_quality_rules": quality_rules.ORACLE,
+    "op10_chat_format": chat_format.ORACLE,
+}

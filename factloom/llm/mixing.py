@@ -39,7 +39,8 @@ def source_targets(sizes: DataFrame, share: float, cap: float) -> DataFrame:
     per = per.withColumn("all_size", F.sum("source_size").over(whole))
     per = per.withColumn("level", (F.col("all_size") * share - F.col("before")) / F.col("w_left"))
     open_ = F.col("level") * F.col("w") < F.col("most")
-    per = per.withColumn("final", F.min(F.when(open_, F.col("level"))).over(whole))
+    # The first source in this order that is not capped sets the level for itself and all after it.
+    per = per.withColumn("place", F.row_number().over(order)).withColumn("final", F.min(F.when(open_, F.struct("place", "level"))).over(whole)["level"])
     target = F.when(F.col("final").isNull(), F.col("most")).otherwise(F.least(F.col("most"), F.col("final") * F.col("w")))
     return per.select("source", "source_size", target.cast("double").alias("target"))
 
@@ -99,8 +100,8 @@ p AS (SELECT source, sum(size)::DOUBLE AS source_size, (sum(size) * 2.0)::DOUBLE
 w AS (SELECT *, (CASE turn % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END)::DOUBLE AS w FROM p),
 o AS (SELECT *, coalesce(sum(most) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "before",
   sum(w) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_left, sum(source_size) OVER () AS all_size FROM w),
-l AS (SELECT *, (all_size * 1.5::DOUBLE - "before") / w_left AS level FROM o),
-f AS (SELECT *, min(CASE WHEN level * w < most THEN level END) OVER () AS final FROM l),
+l AS (SELECT *, (all_size * 1.5::DOUBLE - "before") / w_left AS level, row_number() OVER (ORDER BY most / w, source NULLS LAST) AS place FROM o),
+f AS (SELECT *, (SELECT x.level FROM l AS x WHERE x.level * x.w < x.most ORDER BY x.place LIMIT 1) AS final FROM l),
 t AS (SELECT source, source_size, CASE WHEN final IS NULL THEN most ELSE least(most, final * w) END AS target,
   ('0x' || substr(md5('mix:' || coalesce(source, chr(0) || 'null')), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u FROM f),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, part, doc_id, size) AS pos FROM c),

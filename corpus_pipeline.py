@@ -1,24 +1,59 @@
-"""Corpus pipeline: quality classifier, exact dedup, n-gram Jaccard join, mixing, SentencePiece."""
+"""Corpus pipeline: quality classifier, exact dedup, n-gram Jaccard join, source mixing, SentencePiece.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last
+return the columns of documents: the classifier drops what it rejects, exact dedup keeps one document
+of each group of equal texts, the Jaccard join one of each group of near copies, and mixing repeats or
+omits documents so that each source meets its target. The last encodes and decodes what is left.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from factloom.llm import exact_dedup, jaccard_join, mixing, quality_classifier, queries, sentencepiece_bpe
 from factloom.llm.common import read_table, store
-from factloom.llm import exact_dedup, mixing, queries, sentencepiece_bpe
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_kept(docs.select(*COLUMNS))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs
+    return exact_dedup.exact_copies_removed(docs.select(*COLUMNS))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates_removed(docs.select(*COLUMNS))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.emit_mix(docs.select(*COLUMNS))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sentencepiece_bpe.encode_digests(docs, queries.tokenizer_path())
 
 
-STAGES = [("exact dedup", exact)]
+STAGES = [
+    ("quality classifier", quality),
+    ("exact dedup", exact),
+    ("n-gram Jaccard join", near),
+    ("mixing sources", mix),
+    ("SentencePiece", tokens),
+]
 
+#: The classifier's training and the segment coder are beyond SQL; tests compare with plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again."""
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = store(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = store(docs, f"pipeline-{k}")
     return docs

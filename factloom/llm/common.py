@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: The white space of the contracts: space and the control characters 9 to 13.
 WS = r"[\x20\x09-\x0D]+"
+#: Texts go through the vectorised functions in pieces of this many bytes (one text at least).
+CHUNK_BYTES = 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 

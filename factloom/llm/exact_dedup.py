@@ -81,6 +81,22 @@ def exact_dedup(docs: DataFrame, capacity: int = 128) -> DataFrame:
     )
 
 
+def exact_copies_removed(docs: DataFrame, capacity: int = 128) -> DataFrame:
+    """The documents that stay, with the columns they came with.
+
+    Rows that repeat an id and text are copies of each other too, and one of them stays.
+    """
+    dropped = exact_dedup(docs, capacity).where("not kept or group_size > 1").select("doc_id", "keep_id", "kept")
+    lost = store(dropped.where("not kept").select("doc_id").distinct(), "exact-lost")
+    again = store(dropped.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "exact-again")
+    stay = docs.join(lost, docs["doc_id"].eqNullSafe(lost["doc_id"]), "left_anti")
+    if again.isEmpty():
+        return stay
+    rest = stay.join(again, stay["doc_id"].eqNullSafe(again["doc_id"]), "left_anti")
+    once = stay.join(again, stay["doc_id"].eqNullSafe(again["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    return rest.unionByName(once)
+
+
 ORACLE = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)

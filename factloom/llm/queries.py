@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import chat_format, exact_dedup, jaccard_join, mixing, quality_rules, secret_scan, sentencepiece_bpe, suffix_dedup
+from factloom.llm import chat_format, exact_dedup, jaccard_join, language_id, mixing, quality_classifier, quality_rules, secret_scan, sentencepiece_bpe, suffix_dedup
 from factloom.llm.common import read_table
 
 
@@ -28,6 +28,14 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(read_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with all their evidence, and documents with text and source; models from labelled documents."""
+    docs = read_table(spark, sf_dir, "documents")
+    langs, table = language_id.fit_models(docs)
+    records = language_id.from_pages(read_table(spark, sf_dir, "pages")).unionByName(language_id.from_documents(docs))
+    return language_id.identify(records, langs, table)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(read_table(spark, sf_dir, "documents"))
 
@@ -44,13 +52,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_chats(read_table(spark, sf_dir, "conversations"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_sentencepiece, op3_suffix_dedup, op5_secret_scan, op6_jaccard_join, op7_mix_sources, op8_quality_rules, op10_chat_format)
+    for f in (op1_exact_dedup, op2_sentencepiece, op3_suffix_dedup, op4_language_id, op5_secret_scan, op6_jaccard_join, op7_mix_sources, op8_quality_rules, op9_quality_classifier, op10_chat_format)
 }
 
 ORACLES: dict[str, str] = {

@@ -32,11 +32,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import BYTE_CODE, column_bytes, mix, partitions, pieces, powers, prefix_sums, store
+from factloom.llm.common import BYTE_CODE, CHUNK_BYTES, mix, partitions, pieces, powers, prefix_sums, store
 
 LENGTH, GRAM = 200, 48
 SPAN = LENGTH - GRAM + 1
-CHUNK = 1 << 20
 #: A perfect difference cover: every residue modulo V is a difference of two members.
 V, COVER = 31, (1, 5, 11, 24, 25, 27)
 BLOCK = 16
@@ -123,7 +122,7 @@ def _stretches(batches: Iterator) -> Iterator:
         texts, rows = _texts(b), np.array(b.column("row").to_pylist(), np.int64)
         offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
         parts = []
-        for i, j in pieces(offsets, CHUNK):
+        for i, j in pieces(offsets, CHUNK_BYTES):
             data = np.frombuffer(b"".join(texts[i:j]), np.uint8)
             r, *rest = stretches(data, offsets[i : j + 1] - offsets[i])
             parts.append((rows[i + r], *rest))

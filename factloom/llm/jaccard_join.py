@@ -11,11 +11,16 @@ signatures is a lossless filter. Partitions where a set has nothing give no sign
 many of them that the bound falls to nothing also gives the hashes of its least shingles (as many
 as a linked set cannot all miss).
 
-Sizes. Documents with equal sets are one class before any pair is made. A signature shared by at
-most `small` classes gives all their pairs. A signature shared by more is set aside: a class whose
-set-aside signatures are fewer than its bound is sure to meet its partners elsewhere. The rest go
-through star edges to the least member and, where members then still lie in different components,
-all pairs across components. No signature, partner or candidate is dropped.
+Meeting. Documents with equal sets are one class before anything is compared. A class keeps the
+signatures it shares with others; if these are fewer than its bound it cannot have a partner. Of the
+rest, rarest first, it keeps so many that no partner can miss them all (x - bound + 1 of x), which
+leaves out signatures made of very common passages. A shared signature ties its classes to the least
+of them, so no pairs within a group are made; the ties give families, outside which nothing links.
+
+Links. Each class is compared with the member that most of its signatures are tied to; that gives
+components. Families that still hold several are compared block by block, all members against those
+outside the largest component, as products of 0/1 matrices, so pairs are counted but never written.
+No signature, partner or candidate is dropped.
 
 Nulls: a null text is empty: size 0, linked with nothing, its own component. A row with a null doc_id
 gets its size and a null component. Rows that repeat a doc_id are one vertex. Empty tables give no
@@ -30,9 +35,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import column_bytes, mix, partitions, pieces, shingle_sets, store
+from factloom.llm.common import CHUNK_BYTES, column_bytes, mix, partitions, pieces, shingle_sets, store
 
-CHUNK = 1 << 20
 _P1, _P2, _P3 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -84,7 +88,7 @@ def _sets(batches: Iterator) -> Iterator[tuple[object, np.ndarray]]:
     for b in batches:
         ids = b.column("doc_id").to_pylist()
         data, offsets = column_bytes(b.column("text"))
-        for i, j in pieces(offsets, CHUNK):
+        for i, j in pieces(offsets, CHUNK_BYTES):
             found = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             yield from zip(ids[i:j], found, strict=True)
 
@@ -102,137 +106,122 @@ def _keys(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "n", "k1", "k2"])
 
 
+#: So many signatures are packed at a time; bounds a task's memory, not its results.
+PACK = 400_000
+PACKED = ("bucket", "low", "high", "id", "size", "bound", "count")
+
+
 def _emit(buckets: int):
-    """Signatures of a batch, packed into one row a bucket."""
+    """Signatures, packed into one row a bucket for every `PACK` signatures of a task."""
 
-    def run(batches: Iterator) -> Iterator:
+    def packed(ids: list, sizes: list, bounds: list, counts: list, sigs: list):
         import pyarrow as pa
 
-        for b in batches:
-            ids, sizes, bounds, counts, sigs = [], [], [], [], []
-            low = bands(1 << 10)
-            for doc, s in _sets([b]):
-                if len(s) >= low[-2]:
-                    low = bands(len(s))
-                if len(s) < 3:
-                    continue
-                for _, sig, bound in signatures(s, low):
-                    ids.append(doc)
-                    sizes.append(len(s))
-                    bounds.append(bound)
-                    counts.append(len(sig))
-                    sigs.append(sig)
-            if not ids:
+        sig, row = np.concatenate(sigs), np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+        bucket = ((sig >> np.uint64(40)).astype(np.int32)) % buckets
+        order = np.argsort(bucket, kind="stable")
+        sig, row, bucket = sig[order], row[order], bucket[order]
+        ids, sizes, bounds = np.array(ids, np.int64), np.array(sizes, np.int32), np.array(bounds, np.int32)
+        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+        out: dict[str, list] = {k: [] for k in PACKED}
+        for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+            x, r = sig[cuts[k] : cuts[k + 1]], row[cuts[k] : cuts[k + 1]]
+            who, per = np.unique(r, return_counts=True)
+            # The bucket stands for the upper bits of its signatures; the lower 48 go along.
+            fields = (x.astype(np.uint32), (x >> np.uint64(32)).astype(np.uint16), ids[who], sizes[who], bounds[who], per.astype(np.int32))
+            for name, v in zip(PACKED, (k, *[f.tobytes() for f in fields]), strict=True):
+                out[name].append(v)
+        return pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *[pa.array(out[k], pa.binary()) for k in PACKED[1:]]], list(PACKED))
+
+    def run(batches: Iterator) -> Iterator:
+        held: tuple[list, ...] = ([], [], [], [], [])
+        n, low = 0, bands(1 << 10)
+        for doc, s in _sets(batches):
+            if len(s) >= low[-2]:
+                low = bands(len(s))
+            if len(s) < 3:
                 continue
-            sig, row = np.concatenate(sigs), np.repeat(np.arange(len(ids), dtype=np.int64), counts)
-            bucket = ((sig >> np.uint64(48)).astype(np.int64)) % buckets
-            order = np.argsort(bucket, kind="stable")
-            sig, row, bucket = sig[order], row[order], bucket[order]
-            ids, sizes, bounds = np.array(ids, np.int64), np.array(sizes, np.int32), np.array(bounds, np.int32)
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            out: dict[str, list] = {k: [] for k in ("bucket", "sig", "id", "size", "bound", "count")}
-            for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
-                x, r = sig[cuts[k] : cuts[k + 1]], row[cuts[k] : cuts[k + 1]]
-                who, per = np.unique(r, return_counts=True)
-                for name, v in (("bucket", k), ("sig", x.tobytes()), ("id", ids[who].tobytes()), ("size", sizes[who].tobytes()), ("bound", bounds[who].tobytes()), ("count", per.astype(np.int32).tobytes())):
-                    out[name].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *[pa.array(out[k], pa.binary()) for k in ("sig", "id", "size", "bound", "count")]], list(out))
+            for _, sig, bound in signatures(s, low):
+                for column, v in zip(held, (doc, len(s), bound, len(sig), sig), strict=True):
+                    column.append(v)
+                n += len(sig)
+            if n >= PACK:
+                yield packed(*held)
+                n, held = 0, ([], [], [], [], [])
+        if n:
+            yield packed(*held)
 
     return run
 
 
-_MET = "sig long, a long, b long, need int, n int, band int"
+_MET = "a long, rank long, center long, kind int"
 
 
-def _meet(small: int):
-    """Of a task's buckets: pairs of signatures with few classes, members of those with many.
+def _meet(batches: Iterator) -> Iterator:
+    """Signatures of a task's buckets that several classes share: one row for each of these classes.
 
-    Pair rows: sig null, classes a < b, need, n common signatures. Member rows: sig, class a,
-    b null, need = the class's bound, n its size, and the instance's band.
+    rank orders signatures by the number of their classes; center is the least of them; kind holds
+    the band and the class's bound.
     """
+    import pyarrow as pa
 
-    def runs(rows: list) -> Iterator:
-        import pyarrow as pa
-
-        get = lambda k, t: np.concatenate([np.frombuffer(r[k], t) for r in rows])
-        sig, count = get("sig", np.uint64), get("count", np.int32)
-        at = np.repeat(np.arange(len(count)), count)
-        ids, sizes, bounds = get("id", np.int64), get("size", np.int32), get("bound", np.int32)
-        order = np.lexsort((ids[at], sig))
-        sig, at = sig[order], at[order]
-        # A class may repeat a signature (repeated rows): once is enough.
-        new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (ids[at[1:]] != ids[at[:-1]])))
-        sig, at = sig[new], at[new]
-        start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-        length = np.diff(np.append(start, len(sig)))
-        low = bands(int(sizes.max()) + 1)
-        band_of = np.searchsorted(low, sizes, side="right") - 1
-        k_of = (low[1:] - 1) // 3
-        n1_of = k_of + 1 + (k_of + 3) // 4
-        pa_, pb_, nd_ = [], [], []
-        for m in range(2, small + 1):
-            first = start[length == m]
-            for i in range(m):
-                for j in range(i + 1, m):
-                    x, y = at[first + i], at[first + j]
-                    band = np.minimum(band_of[x], band_of[y])
-                    n, o = np.minimum(sizes[x], sizes[y]).astype(np.int64), np.maximum(sizes[x], sizes[y]).astype(np.int64)
-                    fit = (3 * o <= 4 * n) & ((sig[first] & np.uint64(3)).astype(np.int64) == (band & 3))
-                    x, y, n, o, band = x[fit], y[fit], n[fit], o[fit], band[fit]
-                    # bound = n1 - k - empties; with the pair's own k the promise is larger.
-                    need = np.maximum(bounds[x], bounds[y]) + k_of[band] - (n + o) // 7
-                    pa_.append(ids[x])
-                    pb_.append(ids[y])
-                    nd_.append(need)
-        if pa_ and sum(map(len, pa_)):
-            a, b, need = np.concatenate(pa_), np.concatenate(pb_), np.concatenate(nd_)
-            order = np.lexsort((need, b, a))
-            a, b, need = a[order], b[order], need[order]
-            cut = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (need[1:] != need[:-1]))))
-            n = np.diff(np.append(cut, len(a)))
-            nulls = pa.nulls(len(cut), pa.int64())
-            yield pa.RecordBatch.from_arrays([nulls, pa.array(a[cut]), pa.array(b[cut]), pa.array(need[cut].astype(np.int32)), pa.array(n.astype(np.int32)), pa.nulls(len(cut), pa.int32())], ["sig", "a", "b", "need", "n", "band"])
-        many = np.repeat(length > small, length)
-        if many.any():
-            x, s = at[many], sig[many]
-            own = band_of[x]
-            band = np.where((s & np.uint64(3)).astype(np.int64) == (own & 3), own, own - 1)
-            del n1_of
-            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(ids[x]), pa.nulls(len(x), pa.int64()), pa.array(bounds[x]), pa.array(sizes[x]), pa.array(band.astype(np.int32))], ["sig", "a", "b", "need", "n", "band"])
-
-    def run(batches: Iterator) -> Iterator:
-        rows = [r for b in batches for r in b.to_pylist()]
-        if rows:
-            yield from runs(rows)
-
-    return run
-
-
-def candidates(docs: DataFrame, small: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) that may link, and the set-aside memberships (sig, a, n) that still matter."""
-    spark = docs.sparkSession
-    buckets = partitions(spark)
-    packed = docs.mapInArrow(_emit(buckets), "bucket int, sig binary, id binary, size binary, bound binary, count binary")
-    met = packed.repartitionById(buckets, "bucket").mapInArrow(_meet(small), _MET)
-    met = store(met, "jaccard-met")
-    many = met.where("b is null")
-    # What a class has set aside in an instance; below its bound none of it is needed.
-    aside = store(many.groupBy("a", "band").agg(F.count("*").alias("aside")), "jaccard-aside")
-    members = many.join(aside, ["a", "band"]).where("aside >= need").select("sig", "a", "n")
-    pairs = met.where("b is not null").groupBy("a", "b", "need").agg(F.sum("n").alias("n"))
-    per = aside.groupBy("a").agg(F.max("aside").alias("aside"))
-    pairs = pairs.join(per.withColumnRenamed("aside", "x"), "a", "left").join(per.select(F.col("a").alias("b"), F.col("aside").alias("y")), "b", "left")
-    pairs = pairs.where("n + least(coalesce(x, 0), coalesce(y, 0)) >= need").select("a", "b").distinct()
-    return store(pairs, "jaccard-pairs"), store(members, "jaccard-members")
+    rows = [r for b in batches for r in zip(*[b.column(c) for c in PACKED[1:]], strict=True)]
+    if not rows:
+        return
+    get = lambda k, t: np.concatenate([np.frombuffer(r[k].as_buffer(), t) for r in rows])
+    sig = get(0, np.uint32) | (get(1, np.uint16).astype(np.uint64) << np.uint64(32))
+    ids, sizes, bounds, count = get(2, np.int64), get(3, np.int32), get(4, np.int32), get(5, np.int32)
+    del rows
+    at = np.repeat(np.arange(len(count), dtype=np.int32), count)
+    order = np.argsort(sig, kind="stable")
+    sig, at = sig[order], at[order]
+    same = sig[1:] == sig[:-1]
+    shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    sig, at = sig[shared], at[shared]
+    order = np.lexsort((ids[at], sig))
+    sig, at = sig[order], at[order]
+    # A class may repeat a signature (repeated rows): once is enough.
+    new = np.ones(len(sig), bool)
+    new[1:] = (sig[1:] != sig[:-1]) | (ids[at[1:]] != ids[at[:-1]])
+    sig, at = sig[new], at[new]
+    start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))[: len(sig)]
+    length = np.diff(np.append(start, len(sig)))
+    many = np.repeat(length > 1, length)
+    center = np.repeat(ids[at[start]] if len(start) else ids[:0], length)[many]
+    size = np.repeat(length, length)[many]
+    sig, at = sig[many], at[many]
+    low = bands(int(sizes.max()) + 1)
+    own = np.searchsorted(low, sizes, side="right") - 1
+    band = np.where((sig & np.uint64(3)).astype(np.int64) == (own[at] & 3), own[at], own[at] - 1)
+    rank = (np.minimum(size, 32767).astype(np.int64) << 48) | sig.astype(np.int64)
+    kind = (band.astype(np.int32) << 24) | np.clip(bounds[at], 1, (1 << 24) - 1)
+    for i in range(0, len(sig), 100_000):
+        cut = slice(i, i + 100_000)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at[cut]]), pa.array(rank[cut]), pa.array(center[cut]), pa.array(kind[cut].astype(np.int32))], ["a", "rank", "center", "kind"])
+
+
+def ties(docs: DataFrame) -> DataFrame:
+    """(a, centers, best): the classes that a class is tied to, and the one it is tied to most often."""
+    buckets = partitions(docs.sparkSession)
+    packed = docs.mapInArrow(_emit(buckets), "bucket int, " + ", ".join(f"{c} binary" for c in PACKED[1:]))
+    met = packed.repartitionById(buckets, "bucket").mapInArrow(_meet, _MET)
+    # At most one row for each signature of a class, so the lists are bounded by the class's own text.
+    each = met.groupBy("a", "kind").agg(F.array_sort(F.collect_list(F.struct("rank", "center"))).alias("all"))
+    need = F.col("kind").bitwiseAND(F.lit((1 << 24) - 1))
+    each = each.where(F.size("all") >= need).withColumn("kept", F.slice("all", F.lit(1), F.size("all") - need + 1))
+    centers = F.filter(F.transform("kept", lambda x: x["center"]), lambda c: c != F.col("a"))
+    each = each.select("a", centers.alias("c")).where(F.size("c") > 0)
+    votes = F.transform(F.array_distinct("c"), lambda d: F.struct(F.size(F.filter("c", lambda e: e == d)).alias("n"), (-d).alias("minus")))
+    return store(each.select("a", F.array_distinct("c").alias("centers"), (-F.array_max(votes)["minus"]).alias("best")), "jaccard-ties")
 
 
 def _pack(batches: Iterator) -> Iterator:
-    """Sets as sorted 64-bit hashes cut to 32 bits, beside their whole form only where asked."""
+    """Sets as sorted hashes cut to 32 bits."""
     import pyarrow as pa
 
     for b in batches:
         found = [np.sort((s >> np.uint64(32)).astype(np.uint32)).tobytes() for _, s in _sets([b])]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "words"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("best"), pa.array(found, pa.binary())], ["node", "best", "words"])
 
 
 def _pack_whole(batches: Iterator) -> Iterator:
@@ -249,23 +238,6 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
-def _verify(batches: Iterator) -> Iterator:
-    """verdict 1: linked, 0: not, 2: too close for hashes cut to 32 bits."""
-    import pyarrow as pa
-
-    for b in batches:
-        verdict = []
-        for x, y in zip(b.column("words_a"), b.column("words_b"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
-            n = len(x) + len(y)
-            common = _common(x, y)
-            # Hashes that agree by chance only add to `common`; allow for far more than can be expected.
-            chance = 3 + n * n // 2**28
-            sure = 175 * (common - chance) >= 75 * n
-            verdict.append(1 if sure else 0 if 175 * common < 75 * n else 2)
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(verdict, pa.int32())], ["a", "b", "verdict"])
-
-
 def _verify_whole(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
@@ -277,23 +249,139 @@ def _verify_whole(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(verdict, pa.int32())], ["a", "b", "verdict"])
 
 
-def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs that link. Sets travel as 32-bit hashes; pairs near the limit are judged on 64 bits."""
+#: Up to so many ids (16 bytes each) are sent to every task; more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join with a stored list of ids, whose size decides how."""
+    return docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc_id", how)
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, pack) -> DataFrame:
+    sets = by_ids(docs, store(ids.distinct(), "jaccard-ids"), "left_semi").mapInArrow(pack, "doc_id long, words binary")
+    return store(sets.dropDuplicates(["doc_id"]), "jaccard-sets")
+
+
+def _judged(pairs: DataFrame, sets: DataFrame, judge) -> DataFrame:
+    left = sets.select(F.col("doc_id").alias("a"), F.col("words").alias("words_a"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("words").alias("words_b"))
+    return store(pairs.join(right, "b").join(left, "a").mapInArrow(judge, "a long, b long, verdict int"), "jaccard-judged")
 
-    def judged(pairs: DataFrame, pack, judge) -> DataFrame:
-        ids = store(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "jaccard-ids")
-        sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(pack, "doc_id long, words binary").dropDuplicates(["doc_id"])
-        sets = store(sets, "jaccard-sets")
-        left = sets.select(F.col("doc_id").alias("a"), F.col("words").alias("words_a"))
-        right = sets.select(F.col("doc_id").alias("b"), F.col("words").alias("words_b"))
-        return store(pairs.join(right, "b").join(left, "a").mapInArrow(judge, "a long, b long, verdict int"), "jaccard-judged")
 
-    first = judged(pairs, _pack, _verify)
-    close = first.where("verdict = 2").select("a", "b")
-    links = first.where("verdict = 1").select("a", "b")
-    if not close.isEmpty():
-        links = links.unionByName(judged(close, _pack_whole, _verify_whole).where("verdict = 1").select("a", "b"))
-    return links
+def whole_links(docs: DataFrame, close: DataFrame) -> DataFrame:
+    """Of pairs too close for 32 bits, those that link by 64-bit hashes."""
+    close = store(close.distinct(), "jaccard-close")
+    if close.isEmpty():
+        return close
+    sets = sets_of(docs, close.select(F.explode(F.array("a", "b")).alias("doc_id")), _pack_whole)
+    return _judged(close, sets, _verify_whole).where("verdict = 1").select("a", "b")
+
+
+BLOCK = 1024
+_COLUMNS = 1 << 12
+
+
+def _chance(n: np.ndarray) -> np.ndarray:
+    """Common hashes of 32 bits that agree by chance: far more than can be expected of n hashes in all."""
+    return 3 + n * n // 2**28
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets on the left with all on the right."""
+    words = np.concatenate([*left, *right])
+    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    _, at, times = np.unique(words, return_inverse=True, return_counts=True)
+    keep = times[at] > 1  # a word of one set only is common to none
+    place = np.cumsum(times > 1) - 1
+    row, at = row[keep], place[at[keep]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, _COLUMNS):
+        i, j = np.searchsorted(at, [lo, lo + _COLUMNS])
+        m = np.zeros((len(left) + len(right), min(_COLUMNS, int(at[-1]) + 1 - lo)), np.float32)
+        m[row[i:j], at[i:j] - lo] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out.astype(np.int64)
+
+
+def _compare_blocks(pdf):
+    """Links between a block of members outside the largest component and a block of all members."""
+    import pandas as pd
+
+    l, r = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+    out: list[tuple] = []
+    if len(l) and len(r):
+        lw, rw = ([np.frombuffer(x, np.uint32) for x in p["words"]] for p in (l, r))
+        common = common_counts(lw, rw)
+        n = np.array([len(x) for x in lw])[:, None] + np.array([len(x) for x in rw])[None, :]
+        # Words that agree by chance within a set count once in the product; that much may be missing.
+        twice = [np.array([np.count_nonzero(x[1:] == x[:-1]) for x in w]) for w in (lw, rw)]
+        missing = twice[0][:, None] + twice[1][None, :]
+        other = l["label"].to_numpy()[:, None] != r["label"].to_numpy()[None, :]
+        may = other & (175 * (common + missing) >= 75 * n)
+        sure = may & (175 * (common - _chance(n)) >= 75 * n)
+        li, ri, rl = l["node"].to_numpy(), r["node"].to_numpy(), r["label"].to_numpy()
+        # One link between two components is enough; close pairs are only asked about where there is none.
+        for i, links in ((i, np.flatnonzero(may[i])) for i in range(len(l))):
+            if not len(links):
+                continue
+            firm = links[sure[i, links]]
+            joined = set()
+            for j in firm:
+                if rl[j] not in joined:
+                    joined.add(rl[j])
+                    out.append((li[i], ri[j], 1))
+            out += [(li[i], ri[j], 2) for j in links[~sure[i, links]] if rl[j] not in joined]
+    return pd.DataFrame(out, columns=["a", "b", "verdict"])
+
+
+_BLOCK_ROW = ("family", "node", "label", "words", "side", "i", "j")
+
+
+def _own(n) -> F.Column:
+    """Block of a node among n."""
+    return F.pmod(F.xxhash64("node"), n).cast("int")
+
+
+def _span(n) -> F.Column:
+    """All blocks of n."""
+    return F.explode(F.sequence(F.lit(0), n - 1))
+
+
+def _blocks(n) -> F.Column:
+    return F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+
+
+def _compare(left: DataFrame, right: DataFrame) -> DataFrame:
+    both = left.select(*_BLOCK_ROW).unionByName(right.select(*_BLOCK_ROW))
+    return store(both.groupBy("family", "i", "j").applyInPandas(_compare_blocks, "a long, b long, verdict int"), "jaccard-blocks")
+
+
+def compare_stars(sets: DataFrame) -> DataFrame:
+    """Verdicts of each class and the one it is tied to most often (sets: node, best, words)."""
+    tied = sets.where("best is not null").withColumn("family", F.col("best"))
+    n = store(tied.groupBy("family").agg(F.count("*").alias("n")), "jaccard-stars")
+    right = tied.join(n, "family").withColumn("label", F.col("node")).withColumn("side", F.lit(1)).withColumn("i", F.lit(0)).withColumn("j", _own(_blocks(F.col("n"))))
+    left = sets.join(n, sets["node"] == n["family"]).withColumn("label", F.col("node")).withColumn("side", F.lit(0)).withColumn("i", F.lit(0)).withColumn("j", _span(_blocks(F.col("n"))))
+    return _compare(left, right)
+
+
+def compare_families(sets: DataFrame, members: DataFrame, every: bool) -> DataFrame:
+    """Verdicts between components of one family: all members against those outside the largest component.
+
+    members: node, family, label. Unless `every`, the members of the largest component are stood for
+    by about one block of them; that joins most of the rest, and leaves little for the whole comparison.
+    """
+    size = members.groupBy("family", "label").agg(F.count("*").alias("n"))
+    largest = size.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most")).where("most < n")
+    m = members.join(store(largest, "jaccard-open"), "family").join(sets.select("node", "words"), "node")
+    nl, nr = _blocks(F.col("n") - F.col("most")), _blocks(F.col("n")) if every else F.lit(1)
+    left = m.where("label != largest").withColumn("side", F.lit(0)).withColumn("i", _own(nl)).withColumn("j", _span(nr))
+    right = m if every else m.where((F.col("label") == F.col("largest")) & (_own(_blocks(F.col("most"))) == 0))
+    right = right.withColumn("side", F.lit(1)).withColumn("j", _own(nr)).withColumn("i", _span(nl))
+    return _compare(left, right)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -315,40 +403,40 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def link_components(docs: DataFrame, small: int = 8) -> DataFrame:
+def link_components(docs: DataFrame) -> DataFrame:
     """(node, label) for the classes of `docs` (one row a doc_id) that link with others."""
-    pairs, members = candidates(docs, small)
-    star = members.groupBy("sig").agg(F.min("a").alias("c"))
-    star = members.join(star, "sig").where("a != c").join(members.select("sig", F.col("a").alias("c"), F.col("n").alias("m")), ["sig", "c"])
-    star = star.where("3 * greatest(n, m) <= 4 * least(n, m)").select(F.col("c").alias("a"), F.col("a").alias("b")).distinct()
-    tried = store(pairs.unionByName(star).distinct(), "jaccard-tried")
-    links = verify(docs, tried)
+    tied = ties(docs)
+    nodes = tied.select(F.col("a").alias("doc_id"), "best").unionByName(tied.select(F.explode("centers").alias("doc_id"), F.lit(None).cast("long").alias("best")))
+    nodes = store(nodes.groupBy("doc_id").agg(F.max("best").alias("best")), "jaccard-nodes")
+    few = nodes.count() <= MOST_BROADCAST
+    sets = docs.join(F.broadcast(nodes) if few else nodes, "doc_id").select("doc_id", "text", "best").mapInArrow(_pack, "node long, best long, words binary")
+    sets = store(sets, "jaccard-sets")
+
+    def linked(verdicts: DataFrame) -> DataFrame:
+        return verdicts.where("verdict = 1").select("a", "b").unionByName(whole_links(docs, verdicts.where("verdict = 2").select("a", "b")))
+
+    links = store(linked(compare_stars(sets)), "jaccard-links")
+    families = components(tied.select("a", F.explode("centers").alias("b"))).withColumnRenamed("label", "family")
+    families = store(families, "jaccard-families")
     labels = components(links)
-    # Set-aside signatures whose members lie in several components: all pairs across components.
-    known = members.join(labels.withColumnRenamed("node", "a"), "a", "left").select("sig", "a", "n", F.coalesce("label", "a").alias("label"))
-    known = store(known, "jaccard-known")
-    split = known.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("sig")
-    known = known.join(split, "sig")
-    other = known.select("sig", F.col("a").alias("b"), F.col("n").alias("m"), F.col("label").alias("label_b"))
-    cross = known.join(other, "sig").where("a < b and label != label_b and 3 * greatest(n, m) <= 4 * least(n, m)").select("a", "b").distinct()
-    cross = store(cross.join(tried, ["a", "b"], "left_anti"), "jaccard-cross")
-    if cross.isEmpty():
-        return labels
-    more = verify(docs, cross)
-    if more.isEmpty():
-        return labels
-    return components(links.unionByName(more))
-
-
-def jaccard_components(docs: DataFrame, small: int = 8) -> DataFrame:
+    for every in (False, True):
+        members = store(families.join(labels, "node", "left").select("node", "family", F.coalesce("label", "node").alias("label")), "jaccard-members")
+        more = store(linked(compare_families(sets, members, every)), "jaccard-more")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links)
+    return labels
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     docs = docs.select("doc_id", "text")
     keys = store(docs.mapInArrow(_keys, "doc_id long, n long, k1 long, k2 long"), "jaccard-keys")
     classes = keys.where("doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     rep = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("rep"))
     keys = store(keys.join(classes, ["n", "k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), rep.alias("rep")), "jaccard-classes")
-    copies = store(keys.where("doc_id != rep or n_shingles = 0 or doc_id is null").select("doc_id"), "jaccard-copies")
-    labels = link_components(docs.where("doc_id is not null").join(copies, "doc_id", "left_anti"), small)
+    copies = store(keys.where("doc_id != rep or n_shingles = 0").select("doc_id").distinct(), "jaccard-copies")
+    labels = link_components(by_ids(docs.where("doc_id is not null"), copies, "left_anti"))
     # Rows that repeat an id with several texts tie their classes together: the least label counts.
     out = keys.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep")).alias("component_id"))
@@ -357,7 +445,7 @@ def jaccard_components(docs: DataFrame, small: int = 8) -> DataFrame:
 def near_duplicates_removed(docs: DataFrame) -> DataFrame:
     """The documents without all but the first of each group; columns as they came."""
     found = jaccard_components(docs).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(store(found, "jaccard-dropped"), "doc_id", "left_anti").select(*docs.columns)
+    return by_ids(docs, store(found, "jaccard-dropped"), "left_anti").select(*docs.columns)
 
 
 ORACLE = r"""

@@ -130,32 +130,34 @@ FROM claims c LEFT JOIN f ON f.claim_id = c.id
 # --- candidates ---------------------------------------------------------------------------------
 
 def j07_exact_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = candidates.comparable_claims(table(spark, sf_dir, "claims")).where("orderkey % 8 = 0 or partkey % 10 = 0")
-    return candidates.exact_candidates(c.where("orderkey % 8 = 0 and line = 1"), c)
+    c = candidates.comparable_claims(table(spark, sf_dir, "claims"))
+    # Generic subjects name their document, as resolution has it.
+    c = c.withColumn("subject", F.when(F.col("suppkey") % 7 == 0, F.concat(F.lit("Issuer "), "document_id")).otherwise(F.col("subject")))
+    return candidates.exact_candidates(c, c)
 
 
 J07 = f"""
 {with_tables("claims")},
 m AS (SELECT *, CASE predicate WHEN 'revenue_from_operations' THEN 'revenue_from_operation' WHEN 'Total Income' THEN 'total_income' WHEN 'profits_after_tax' THEN 'profit_after_tax' WHEN 'profit before tax' THEN 'profit_before_tax'
   WHEN 'number of employees' THEN 'number_employee' WHEN 'net revenue per employee' THEN 'net_revenue_per_employee' WHEN 'delivery_boxes' THEN 'delivery_box' ELSE predicate END AS n,
-  CASE suppkey % 7 WHEN 0 THEN 'the' WHEN 2 THEN 'alias ' || suppkey ELSE 'supplier ' || suppkey END AS label FROM claims WHERE status IN ('accepted', 'needs_review') AND (orderkey % 8 = 0 OR partkey % 10 = 0)),
+  CASE suppkey % 7 WHEN 0 THEN 'issuer ' || document_id WHEN 2 THEN 'alias ' || suppkey ELSE 'supplier ' || suppkey END AS label FROM claims WHERE status IN ('accepted', 'needs_review')),
 w AS (SELECT *, list_filter(string_split(n, '_'), lambda t: t NOT IN ('adjusted', 'total', 'net', 'per', 'before', 'after')) AS c FROM m)
-SELECT DISTINCT a.collection_id, least(a.id, b.id) AS claim_a_id, greatest(a.id, b.id) AS claim_b_id FROM w a JOIN w b ON a.collection_id = b.collection_id AND a.document_id <> b.document_id AND a.orderkey % 8 = 0 AND a.line = 1
-  AND CASE WHEN a.entity_id IS NOT NULL AND b.entity_id IS NOT NULL THEN a.entity_id = b.entity_id ELSE a.label = b.label END
+SELECT a.collection_id, a.id AS claim_a_id, b.id AS claim_b_id FROM w a JOIN w b ON a.collection_id = b.collection_id AND a.label = b.label AND a.document_id <> b.document_id AND a.id < b.id
+WHERE (a.entity_id IS NULL OR b.entity_id IS NULL OR a.entity_id = b.entity_id)
   AND (a.n = b.n OR len(list_intersect(a.c, b.c)) > 0) AND (a.n, b.n) NOT IN (('revenue_from_operation', 'total_income'), ('total_income', 'revenue_from_operation'), ('profit_after_tax', 'profit_before_tax'), ('profit_before_tax', 'profit_after_tax'))
 """
 
 
 def j08_semantic_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "vectors")
-    s = candidates.semantic_candidates(v.where("vec_id % 10 = 0"), v, k=15)
+    s = candidates.semantic_candidates(v, v, k=15)
     return s.select("left_id", "right_id", F.round("distance", 5).alias("distance"))
 
 
 J08 = f"""
 WITH v AS ({duck("vectors")})
 SELECT a.id AS left_id, b.id AS right_id, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS distance FROM v a JOIN v b ON a.collection_id = b.collection_id AND a.model = b.model AND a.document_id <> b.document_id
-WHERE a.vec_id % 10 = 0 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.id) <= 15
+QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.id) <= 15
 """
 
 

@@ -179,16 +179,15 @@ SELECT * FROM c UNION ALL SELECT * FROM r
 # --- gold set -----------------------------------------------------------------------------------
 
 def gold_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(gold claims, produced claims, gold pairs) made of the claims of every tenth order."""
+    """(gold claims, produced claims, gold pairs): every claim has a gold claim, some with other figures or scopes."""
     c = table(spark, sf_dir, "claims").withColumn("document", F.concat("document_id", F.lit(".pdf"))).withColumn("pages", F.array((F.col("orderkey") % 5).cast("int"), (F.col("line") % 5).cast("int")))
     produced = c.select("id", "document", "pages", "subject", "predicate", "numeric_value", "scale", "period_label", "scope", "status", F.col("line").alias("position"), "orderkey", "line", "partkey")
-    g = produced.where("orderkey % 10 = 0 and line <= 3")
-    g = g.select(
+    g = produced.select(
         F.concat(F.lit("g"), "id").alias("gold_id"), "document", (F.col("orderkey") % 5).cast("int").alias("physical_page"), F.upper("subject").alias("subject"), "predicate",
         F.when(F.col("partkey") % 11 == 0, F.lit("7")).otherwise(F.col("numeric_value")).alias("numeric_value"), "scale", F.upper("period_label").alias("period_label"), F.when(F.col("partkey") % 2 == 0, F.col("scope")).alias("scope"),
-        F.when(F.col("line") == 1, "table").when(F.col("line") == 2, "narrative").otherwise("chart").alias("evidence_kind"), "orderkey", "line", "partkey",
+        F.when(F.col("line") == 1, "table").when(F.col("line") == 2, "narrative").when(F.col("line") == 3, "chart").otherwise("list").alias("evidence_kind"), "orderkey", "line", "partkey",
     )
-    a, b = g.where("line < 3"), g.select("orderkey", (F.col("line") - 1).alias("line"), F.col("gold_id").alias("claim_b"))
+    a, b = g, g.select("orderkey", (F.col("line") - 1).alias("line"), F.col("gold_id").alias("claim_b"))
     pairs = a.join(b, ["orderkey", "line"]).select(F.concat(F.lit("p"), F.col("gold_id")).alias("pair_id"), F.col("gold_id").alias("claim_a"), "claim_b", F.when(F.col("partkey") % 3 == 0, "contradicts").when(F.col("partkey") % 3 == 1, "corroborates").otherwise("insufficient_context").alias("expected_label"))
     return g, produced, pairs
 
@@ -199,7 +198,7 @@ NORMAL = """CASE {x} WHEN 'revenue_from_operations' THEN 'revenue_from_operation
 MATCH = f"""
 pr AS (SELECT *, document_id || '.pdf' AS document, [orderkey % 5, line % 5] AS pages, {NORMAL} AS n,
   CASE lower(trim(coalesce(scale, ''))) WHEN '' THEN 1 WHEN 'million' THEN 1000000 WHEN 'crore' THEN 10000000 WHEN 'lakh' THEN 100000 END AS f FROM claims),
-go AS (SELECT *, 'g' || id AS gold_id, orderkey % 5 AS page, CASE WHEN partkey % 11 = 0 THEN '7' ELSE numeric_value END AS gv, CASE WHEN partkey % 2 = 0 THEN scope END AS gs, CASE line WHEN 1 THEN 'table' WHEN 2 THEN 'narrative' ELSE 'chart' END AS evidence_kind FROM pr WHERE orderkey % 10 = 0 AND line <= 3),
+go AS (SELECT *, 'g' || id AS gold_id, orderkey % 5 AS page, CASE WHEN partkey % 11 = 0 THEN '7' ELSE numeric_value END AS gv, CASE WHEN partkey % 2 = 0 THEN scope END AS gs, CASE line WHEN 1 THEN 'table' WHEN 2 THEN 'narrative' WHEN 3 THEN 'chart' ELSE 'list' END AS evidence_kind FROM pr),
 ca AS (SELECT g.gold_id, p.id, p.status, p.line, CASE WHEN gv IS NULL THEN 'both_absent' ELSE 'equal' END AS verdict, p.period_label IS NOT DISTINCT FROM g.period_label OR regexp_replace(replace(upper(p.period_label), ' ', ''), '^FY([0-9]{{2}})$', 'FY20\\1') = regexp_replace(replace(upper(g.period_label), ' ', ''), '^FY([0-9]{{2}})$', 'FY20\\1') AS pa,
   CASE WHEN gs IS NULL THEN coalesce(p.scope, '') = '' ELSE lower(trim(coalesce(p.scope, ''))) = lower(trim(gs)) END AS sa
   FROM go g JOIN pr p ON p.document = g.document AND list_contains(p.pages, g.page) AND p.n = g.n

@@ -178,8 +178,8 @@ CONTEXT = """
 k AS (SELECT p.*, replace(lower(period_label), ' ', '') AS lab, CASE WHEN lower(scope) LIKE '%unconsolidated%' THEN 'standalone' ELSE lower(trim(scope)) END AS nscope, partkey % 3 = 0 AS qual,
   document_id || CASE WHEN line % 3 = 0 THEN 'x' ELSE '' END AS doc, CASE WHEN line % 2 = 0 THEN block_id || 'y' ELSE block_id END AS blk FROM p),
 d AS (SELECT a.id AS claim_a_id, b.id AS claim_b_id, a.orderkey, a.line AS la, b.line AS lb,
-  NOT (a.lab IS NOT DISTINCT FROM b.lab OR (a.lab IS NOT NULL AND b.lab IS NOT NULL AND a.lab NOT SIMILAR TO '[qh].*fy.*' AND b.lab NOT SIMILAR TO '[qh].*fy.*' AND a.kind = b.kind AND a.year = b.year)
-    OR (a.lab SIMILAR TO '[qh].*fy.*' AND b.lab SIMILAR TO '[qh].*fy.*' AND a.lab = b.lab)) AS d_period,
+  NOT coalesce(a.lab IS NOT DISTINCT FROM b.lab OR (a.lab IS NOT NULL AND b.lab IS NOT NULL AND a.lab NOT SIMILAR TO '[qh].*fy.*' AND b.lab NOT SIMILAR TO '[qh].*fy.*' AND a.kind = b.kind AND a.year = b.year)
+    OR (a.lab SIMILAR TO '[qh].*fy.*' AND b.lab SIMILAR TO '[qh].*fy.*' AND a.lab = b.lab), false) AS d_period,
   a.period_type <> b.period_type AS d_type, a.nscope <> b.nscope AS d_scope, a.assertion_status <> b.assertion_status AS d_status, lower(trim(a.unit)) <> lower(trim(b.unit)) AS d_unit, lower(trim(a.currency)) <> lower(trim(b.currency)) AS d_currency, a.qual <> b.qual AS d_qual
   FROM k a JOIN k b ON a.orderkey = b.orderkey AND a.line < b.line)
 """

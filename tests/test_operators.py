@@ -97,3 +97,25 @@ def test_claims_stream(spark, tmp_path):
 def test_markdown(spark):
     df = spark.createDataFrame([("a", 1), (None, 2)], "k string, n int")
     assert exports.markdown_table(df, "T").startswith("## T\n\n| k | n |\n|---|---|\n")
+
+
+def test_settings():
+    import pytest
+
+    from factloom.config import Settings, load_settings
+
+    assert load_settings({"SEMANTIC_TOP_K": "7", "OTHER": "x"}).semantic_top_k == 7
+    for bad in ({"SEMANTIC_TOP_K": "0"}, {"MOST_PAGES": "many"}, {"CHUNK_TARGET_TOKENS": "3000"}):
+        with pytest.raises(ValueError):
+            load_settings(bad)
+    assert Settings().embedding_width == 768
+
+
+def test_store(spark, tmp_path):
+    from factloom.sources import store
+
+    (tmp_path / "documents" / "ab").mkdir(parents=True)
+    (tmp_path / "documents" / "ab" / "x.pdf").write_bytes(b"one")
+    keys = spark.createDataFrame([("documents/ab/x.pdf",), ("../x",)], "key string")
+    assert [bytes(r["content"]) for r in store.read_objects(spark, str(tmp_path), keys).collect()] == [b"one"]
+    assert store.writable(spark, str(tmp_path)) and store.missing_tables(spark) == list(store.CORE_TABLES)

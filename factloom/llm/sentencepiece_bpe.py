@@ -27,7 +27,8 @@ MARK = "▁"
 #: Segment: spaces (or marks, which are the same), then other characters; or spaces that end the text.
 SEGMENT = re.compile(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+")
 #: A task keeps two generations of at most this many segments, to bound its memory; results do not depend on it.
-CACHE_SEGMENTS = 300_000
+CACHE_SEGMENTS = 100_000
+CACHE_PAIRS = 200_000
 
 
 class PrefixTableBPE:
@@ -90,7 +91,7 @@ class PrefixTableBPE:
         """Whether an encoding may hold these two pieces side by side."""
         found = self.pairs.get((left, right))
         if found is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
             found = self.pairs[left, right] = self.merged(left + right) == [left, right]
         return found
@@ -200,7 +201,8 @@ class _Segments(dict):
 
     def __missing__(self, segment: str) -> tuple[str, int, str]:
         if len(self) >= CACHE_SEGMENTS:
-            self.older = dict(self)
+            self.older = {}  # frees the older generation before the newer takes its place
+            self.older.update(self)
             self.clear()
         found = self.older.get(segment)
         if found is not None:
@@ -232,7 +234,7 @@ def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
 
         c = coder(model_path)
         for b in batches:
-            rows = [c.digests(t or "") for t in b.column("text").to_pylist()]
+            rows = [c.digests(t.as_py() or "") for t in b.column("text")]  # one text at a time
             n, ids, back = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

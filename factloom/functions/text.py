@@ -163,8 +163,9 @@ def describe_claim(claim: Column) -> Column:
 
 def extract_json(text: Column | str) -> Column:
     """The JSON text in a reply: the whole, a fenced block, or from the first bracket to the last; else null."""
-    t = F.trim(col(text))
-    fenced = F.trim(F.regexp_extract(t, r"```(?:json)?\s*([\s\S]*?)```", 1))
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    t = bare(col(text))
+    fenced = bare(F.regexp_extract(t, r"```(?:json)?\s*([\s\S]*?)```", 1))
     inner = F.regexp_extract(t, r"([\[{][\s\S]*[\]}])", 1)
     valid = lambda c: F.try_parse_json(c).isNotNull() & (F.length(c) > 0)
     return first_match([(valid(t), t), (valid(fenced), fenced), (valid(inner), inner)])

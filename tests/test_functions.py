@@ -20,7 +20,7 @@ def one(spark, column, **values):
     ("raw", "value", "kind", "scale", "currency", "unit"),
     [
         ("8,14,15", "81415", "point", None, None, None), ("(1,229)", "-1229", "point", None, None, None), ("₹8,142 Cr", "8142", "point", "cr", "INR", None), ("about 12.5%", "12.5", "approximate", None, None, "percent"),
-        ("10-20 crore", "15", "range", "crore", None, None), ("70 bps", "70", "point", None, None, "basis_point"), ("US$ 4.50 mn", "4.5", "point", "mn", "USD", None),
+        ("10 to 20 crore", "15", "range", "crore", None, None), ("10-20 crore", "-5", "range", "crore", None, None), ("70 bps", "70", "point", None, None, "basis_point"), ("US$ 4.50 mn", "4.5", "point", "mn", "USD", None),
     ],
 )
 def test_parse_numeric(spark, raw, value, kind, scale, currency, unit):

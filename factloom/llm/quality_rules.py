@@ -3,9 +3,10 @@
 Rules on each text: words, characters in words, symbols, repeated lines and words in repeated
 five-word windows. Across documents: lines are normalised (case, white space) and hashed, and the
 distinct documents of each host (the source) that hold a line are counted, copies of one text as
-one document. Lines above the limits are removed, and a document that has too little left is
-rejected. Counts are pre-aggregated before each shuffle, so a line that most documents share costs
-one row a task; documents meet the lines above the limits in a join that splits hot keys.
+one document. Lines in more documents of their host than the limit are removed, and a document that
+has too little left is rejected. The limit is one count for every host, small or large, so a line is
+judged by how often it is repeated and not by the size of its host. Counts are pre-aggregated before each shuffle, so a line that most documents share costs
+one row a task; documents meet the lines above the limit in a join that splits hot keys.
 
 Nulls: a null text has no words and fails; a null source is a host of its own; a null doc_id is
 kept as it is. Repeated rows are judged each for itself. An empty table gives no rows. Only doc_id,
@@ -65,24 +66,21 @@ def figures(docs: DataFrame) -> DataFrame:
     )
 
 
-def frequent_lines(table: DataFrame, least_documents: int, share: float) -> DataFrame:
-    """(host, h) of lines in more distinct documents of the host than both limits allow."""
+def frequent_lines(table: DataFrame, least_documents: int) -> DataFrame:
+    """(host, h) of lines in more than `least_documents` distinct documents of the host."""
     host = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("host")
     each = table.select(host, "text_hash", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h")).distinct()
-    held = each.groupBy("host", "h").agg(F.count("*").alias("documents"))
-    hosts = table.select(host, "text_hash").distinct().groupBy("host").agg(F.count("*").alias("of"))
-    return held.where(F.col("documents") > least_documents).join(hosts, "host").where(F.col("documents") > F.col("of") * share).select("host", "h")
+    return each.groupBy("host", "h").agg(F.count("*").alias("documents")).where(F.col("documents") > least_documents).select("host", "h")
 
 
-def quality_rules(docs: DataFrame, least_documents: int = 100, share: float = 0.02, least_left: float = 0.3) -> DataFrame:
+def quality_rules(docs: DataFrame, least_documents: int = 10, least_left: float = 0.3) -> DataFrame:
     """One row per document with the figures, base_failed, removed words and kept.
 
-    A line is removed if it is in more than `least_documents` distinct documents of its host and in
-    more than `share` of them; a document is depleted if less than `least_left` of its words, or
-    fewer than 10, remain.
+    A line is removed if it is in more than `least_documents` distinct documents of its host; a
+    document is depleted if less than `least_left` of its words, or fewer than 10, remain.
     """
     table = store(figures(docs), "rules-figures")
-    frequent = store(frequent_lines(table, least_documents, share), "rules-lines")
+    frequent = store(frequent_lines(table, least_documents), "rules-lines")
     host = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("host")
     lines = table.select("row", host, F.explode("lines").alias("x")).select("row", "host", F.col("x.h").alias("h"), F.col("x.w").alias("w"))
     hit = store(lines.join(frequent, ["host", "h"]), "rules-hits")
@@ -104,8 +102,7 @@ n AS (SELECT rid, sum(c) AS rep FROM (SELECT rid, least(5, coalesce(lead(i) OVER
 x AS (SELECT rid, source, md5(t) AS th, unnest(string_split(regexp_replace(lower(t), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10))) AS line FROM d),
 y AS (SELECT rid, source, th, trim(line, ' ') AS line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS lw FROM x),
 q AS (SELECT source, line, count(DISTINCT th) AS c FROM y WHERE lw > 0 GROUP BY ALL),
-o AS (SELECT source, count(DISTINCT md5(t)) AS c FROM d GROUP BY source),
-b AS (SELECT q.source, q.line FROM q JOIN o ON q.source IS NOT DISTINCT FROM o.source WHERE q.c > 100 AND q.c > o.c * 0.02::DOUBLE),
+b AS (SELECT source, line FROM q WHERE c > 10),
 m AS (SELECT y.rid, sum(y.lw) AS removed FROM y JOIN b ON y.source IS NOT DISTINCT FROM b.source AND y.line = b.line GROUP BY y.rid),
 z AS (SELECT w.doc_id, len(w.w)::BIGINT AS n_words, len(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), ''))::BIGINT AS word_chars,
   (len(t) - len(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,

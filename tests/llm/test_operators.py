@@ -206,6 +206,17 @@ def test_quality_rules_remove_frequent_lines(spark):
     assert not any(got[i]["kept"] for i in range(30, 40))
 
 
+def test_quality_rules_remove_lines_at_every_host_size(spark):
+    rng = random.Random(6)
+    body = lambda: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(30))
+    line = "this line stands in some documents of the host and says nothing at all today"
+    rows = [(k, f"{line}\n{body()}" if k < 11 else body(), "en", "small", 1) for k in range(12)]
+    rows += [(100 + k, f"{line}\n{body()}" if k < 11 else body(), "en", "large", 1) for k in range(900)]
+    rows += [(2000 + k, f"{line}\n{body()}" if k < 10 else body(), "en", "below", 1) for k in range(12)]
+    got = {r["doc_id"]: r["n_removed_words"] for r in quality_rules.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {i for i, n in got.items() if n} == {*range(11), *range(100, 111)} and {n for n in got.values() if n} == {15}
+
+
 def test_quality_classifier_on_labels(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

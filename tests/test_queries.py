@@ -45,3 +45,10 @@ def same(spark, duck, frame, sql):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query(spark, duck, name):
     same(spark, duck, queries.QUERIES[name], queries.ORACLES[name])
+
+
+def test_ingest_tells_files_with_one_beginning_apart(spark, tmp_path):
+    texts = [(1, "the same beginning, one end"), (2, "the same beginning, another end"), (3, "the same beginning, one end"), (4, "the same beginning, stored"), (5, "the same beginning, stored")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {int(r["path"]): r["outcome"] for r in queries.QUERIES["s02_ingest"](spark, str(tmp_path)).collect()}
+    assert got == {1: "accepted", 2: "accepted", 3: "duplicate", 4: "duplicate", 5: "duplicate"}

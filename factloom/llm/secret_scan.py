@@ -2,8 +2,9 @@
 
 Fixed patterns find assignments, access keys and long hexadecimal runs. Beside them, tokens of 20
 or more key characters are scored by two first-order Markov models over characters, one of random
-strings and one of ordinary identifiers, trained from labelled samples; a token is a finding if its
-log-likelihood ratio exceeds `least` and it overlaps no span of the patterns. Spans are in code
+strings and one of ordinary identifiers, words and rules of one repeated character, trained from
+labelled samples; a token is a finding if its log-likelihood ratio exceeds `least` and it overlaps no
+span of the patterns, whether it has digits or not. Spans are in code
 points, end exclusive: the matches of a text and the pieces between them are measured and summed.
 
 Nulls: a null text is empty and has no spans; a null doc_id is kept as it is. Repeated rows are
@@ -39,6 +40,17 @@ WORDS = (
     "section server service session setting size source start state status string summary system table target template test text "
     "thread time title token type update upload user value version view width window world"
 ).split()
+# And words of the other languages of the documents.
+SPOKEN = (
+    "arbeit aufgabe bedingung beispiel bereich bundes donau dampf eigenschaft entwicklung freund gesellschaft gesundheit geschwindigkeit grund haupt heit "
+    "kraftfahrzeug leben lich mensch nachricht recht rinder schaft schiff schule sicherheit sprache stadt steuer ueber ung unternehmen versicherung verwaltung wirtschaft zeit "
+    "ancien avant bonheur chambre chose contre developpement eau encore enfant environnement famille gouvernement guerre histoire homme jour maison ment monde "
+    "nouveau parole pendant peuple pouvoir quelque question raison semaine toujours travail vers ville "
+    "ahora amigo ayuda camino ciudad cuando desarrollo donde empresa entonces escuela espacio gobierno hermano hombre informacion juego lugar mente mujer mundo noche "
+    "nuestro palabra persona pueblo quien sociedad tiempo trabajo verdad vida "
+    "anti able although because before between consider counter different enough every establish follow government inter ness nothing ology people perhaps "
+    "psycho should something their there these thing think though through together under which without would pre tion trans"
+).split()
 
 
 def bound(value: Column, body) -> Column:
@@ -52,13 +64,15 @@ def labelled_samples(spark: SparkSession, rows: int = 4000) -> DataFrame:
     digest = F.sha2(F.concat(F.lit("sample:"), n.cast("string")), 256)
     b64 = F.substring(F.base64(F.unhex(digest)), 1, 40)
     keys = F.when(n % 4 == 0, b64).when(n % 4 == 1, F.regexp_replace(b64, "[+/=]", "")).when(n % 4 == 2, F.upper(F.regexp_replace(b64, "[+/=]", ""))).otherwise(F.translate(b64, "+/=", "-_"))
-    pool = F.split(F.lit(" ".join(WORDS)), " ")
-    word = lambda k: F.get(pool, F.pmod(F.xxhash64(n, F.lit(k)), F.lit(len(WORDS))).cast("int"))
-    parts = [word(k) for k in range(4)]
+    pick = lambda pool, k: F.get(F.split(F.lit(" ".join(pool)), " "), F.pmod(F.xxhash64(n, F.lit(k)), F.lit(len(pool))).cast("int"))
+    parts = [pick(WORDS, k) for k in range(4)]
+    spoken = [pick(SPOKEN, k) for k in range(4)]
+    rule = F.repeat(pick(ALPHABET, 5), F.lit(20) + F.pmod(n, F.lit(20)).cast("int"))
     camel = F.concat(parts[0], *[F.initcap(p) for p in parts[1:]])
     number = F.pmod(F.xxhash64(n, F.lit(9)), F.lit(3000)).cast("string")
     names = (
-        F.when(n % 8 == 0, F.concat_ws("_", *parts)).when(n % 8 == 1, camel).when(n % 8 == 2, F.concat_ws("-", *parts)).when(n % 8 == 3, F.upper(F.concat_ws("_", *parts)))
+        F.when(n % 5 == 1, F.concat(*spoken)).when(n % 5 == 2, F.initcap(F.concat_ws("-", *spoken))).when(n % 25 == 3, rule).when(n % 25 == 8, F.upper(F.concat(*spoken)))
+        .when(n % 8 == 0, F.concat_ws("_", *parts)).when(n % 8 == 1, camel).when(n % 8 == 2, F.concat_ws("-", *parts)).when(n % 8 == 3, F.upper(F.concat_ws("_", *parts)))
         .when(n % 8 == 4, F.concat_ws("/", *parts)).when(n % 8 == 5, F.concat(F.concat_ws("_", *parts), F.lit("_"), number)).when(n % 8 == 6, F.concat(*parts))
         .otherwise(F.concat_ws("-", number, F.lpad(F.pmod(n, F.lit(12)).cast("string"), 2, "0"), parts[0], parts[1]))
     )
@@ -134,7 +148,7 @@ def scan_secrets(docs: DataFrame, samples: DataFrame | None = None, least: float
     base = F.concat("assign", "access", "hex")
     free = F.filter("tokens", lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     piece = lambda t: F.substring(text, t["start"] + 1, t["end"] - t["start"])
-    keyed = lambda t: piece(t).rlike("[0-9]") & (token_score(piece(t), ratios) > least)
+    keyed = lambda t: token_score(piece(t), ratios) > least
     d = d.select("doc_id", "assign", "access", "hex", base.alias("base"), F.filter(free, keyed).alias("random"))
     count = lambda k: F.size(k).cast("long")
     return d.select(

@@ -122,6 +122,16 @@ def test_secret_scan(spark, awkward):
     assert found["the_quick_brown_fox_jumps_over_12"]["n_random"] == 0
 
 
+def test_secret_scan_finds_keys_without_digits(spark):
+    rng = random.Random(8)
+    mixed = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(24)) for _ in range(100)]
+    plain_ = ["-" * 80, "=" * 40, "_" * 30, "a" * 1000, "e" * 60, "ab" * 300, "Donaudampfschifffahrtsgesellschaft", "Rechtsschutzversicherungsgesellschaften", "anticonstitutionnellement", "counterrevolutionaries",
+             "electroencefalografista", "https//example/path/to/some/page", "getUserAccountSettingsFromRequest", "MAX_NUMBER_OF_OPEN_FILES", "state-of-the-art-language-model", "internationalization"]
+    got = {r["doc_id"]: r["n_random"] for r in secret_scan.scan_secrets(frame(spark, [f"key {t} end" for t in mixed + plain_])).collect()}
+    assert sum(got[i] for i in range(100)) >= 98
+    assert [t for i, t in enumerate(plain_, 100) if got[i]] == []
+
+
 def test_secret_model_tells_held_out_samples_apart(spark):
     s = secret_scan.labelled_samples(spark, 4000).where("length(text) >= 20").withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(4)))
     ratios = secret_scan.train(s.where("fold > 0").select("text", "random"))

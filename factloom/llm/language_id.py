@@ -7,8 +7,10 @@ host, as a hierarchical prior: language counts of the host are smoothed by those
 by the counts of all records. Counts are sums of the texts' posteriors, by grouped aggregation over
 all records; a record's own share is taken out of its host's and suffix's counts before they are used.
 
-The trigram models are fitted on a bounded sample: about `sample_rows` documents with a language
-label, chosen by hash of the id. All counts cover all records.
+The languages are all those that label any document with a text of three bytes or more. Labelled
+documents are counted by language over all rows, and each language's trigram model is fitted on about
+`rows_per_language` of them, chosen by hash: all of a rarer one, and one at least whatever the size of
+the input. All counts cover all records.
 
 Nulls: a null or empty text gives no text evidence, a null declaration or host none of its kind; with
 no evidence at all the general prior decides. Repeated rows are judged each for itself and count each
@@ -65,11 +67,13 @@ def _count(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([s.astype(np.int64).tobytes() for s in sums.values()], pa.binary())], ["lang", "counts"])
 
 
-def fit_models(docs: DataFrame, sample_rows: int = 4000) -> tuple[list[str], np.ndarray]:
+def fit_models(docs: DataFrame, rows_per_language: int = 1000) -> tuple[list[str], np.ndarray]:
     """Languages, and log-probabilities [language, trigram] with additive smoothing."""
-    labelled = docs.where("lang is not null and doc_id is not null and text is not null")
-    share = min(1.0, sample_rows / max(1, labelled.count()))
-    picked = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    labelled = docs.where("lang is not null and octet_length(text) >= 3").select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("at"))
+    share = F.least(F.lit(1.0), F.lit(float(rows_per_language)) / F.count("*"))
+    # The least place of a language is always within its limit, so that no language goes without a model.
+    limits = labelled.groupBy("lang").agg(F.greatest((share * (1 << 30)).cast("long"), F.min("at")).alias("limit"))
+    picked = labelled.join(F.broadcast(limits), "lang").where("at <= limit")
     parts = picked.select("lang", "text").coalesce(8).mapInArrow(_count, "lang string, counts binary").collect()
     sums: dict[str, np.ndarray] = {}
     for r in parts:

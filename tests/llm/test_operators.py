@@ -112,6 +112,14 @@ def test_language_id(spark, real):
     assert rows[3]["declared"] == "de" and rows[1]["text_lang"] is None and len(rows) == 3
 
 
+def test_language_models_cover_rare_languages(spark):
+    rare = ["da", "fi", "hu", "nl", "pl", "sv"]
+    rows = [(i, f"the words of document {i} and the rest", "en", "s", 1) for i in range(20_000)] + [(i, f"harvinainen teksti {x}", x, "s", 1) for i, x in enumerate(rare, 50_000)]
+    rows += [(None, "sans identifiant", "fr", "s", 1)]
+    langs, table = language_id.fit_models(spark.createDataFrame(rows, SCHEMA))
+    assert langs == sorted(["en", "fr", *rare]) and table.shape[0] == len(langs)
+
+
 def test_secret_scan(spark, awkward):
     texts = [*awkward, 'password = "abc" token:abcdefgh12', "secret=token:longvalue123", "PassWD:=x.y_z-12345678", "AKIAABCDEFGHIJKL12 AKIA1", "0123456789abcdef0123456789abcdef0 ABC", 'api_key: deadbeefdeadbeefdeadbeefdeadbeef', "x" + "9f" * 20 + "g", "key Zx8Qw3rTy6UiOp1AsDf5Gh7J end", "the_quick_brown_fox_jumps_over_12", "é password=éabcdefgh password=abcdefgh"]
     got = {r["doc_id"]: r for r in secret_scan.scan_secrets(frame(spark, texts)).collect()}

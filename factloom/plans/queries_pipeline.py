@@ -130,9 +130,8 @@ FROM claims c LEFT JOIN f ON f.claim_id = c.id
 # --- candidates ---------------------------------------------------------------------------------
 
 def j07_exact_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All comparable claims as they are, generic subjects too: without entity ids these pair by name."""
     c = candidates.comparable_claims(table(spark, sf_dir, "claims"))
-    # Generic subjects name their document, as resolution has it.
-    c = c.withColumn("subject", F.when(F.col("suppkey") % 7 == 0, F.concat(F.lit("Issuer "), "document_id")).otherwise(F.col("subject")))
     return candidates.exact_candidates(c, c)
 
 
@@ -140,7 +139,7 @@ J07 = f"""
 {with_tables("claims")},
 m AS (SELECT *, CASE predicate WHEN 'revenue_from_operations' THEN 'revenue_from_operation' WHEN 'Total Income' THEN 'total_income' WHEN 'profits_after_tax' THEN 'profit_after_tax' WHEN 'profit before tax' THEN 'profit_before_tax'
   WHEN 'number of employees' THEN 'number_employee' WHEN 'net revenue per employee' THEN 'net_revenue_per_employee' WHEN 'delivery_boxes' THEN 'delivery_box' ELSE predicate END AS n,
-  CASE suppkey % 7 WHEN 0 THEN 'issuer ' || document_id WHEN 2 THEN 'alias ' || suppkey ELSE 'supplier ' || suppkey END AS label FROM claims WHERE status IN ('accepted', 'needs_review')),
+  CASE suppkey % 7 WHEN 0 THEN 'the' WHEN 2 THEN 'alias ' || suppkey ELSE 'supplier ' || suppkey END AS label FROM claims WHERE status IN ('accepted', 'needs_review')),
 w AS (SELECT *, list_filter(string_split(n, '_'), lambda t: t NOT IN ('adjusted', 'total', 'net', 'per', 'before', 'after')) AS c FROM m)
 SELECT a.collection_id, a.id AS claim_a_id, b.id AS claim_b_id FROM w a JOIN w b ON a.collection_id = b.collection_id AND a.label = b.label AND a.document_id <> b.document_id AND a.id < b.id
 WHERE (a.entity_id IS NULL OR b.entity_id IS NULL OR a.entity_id = b.entity_id)

@@ -10,7 +10,7 @@ import duckdb
 import pytest
 
 from factloom.plans import queries
-from factloom.plans.fixture import BASE
+from factloom.plans.fixture import BASE, table
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -52,3 +52,11 @@ def test_ingest_tells_files_with_one_beginning_apart(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {int(r["path"]): r["outcome"] for r in queries.QUERIES["s02_ingest"](spark, str(tmp_path)).collect()}
     assert got == {1: "accepted", 2: "accepted", 3: "duplicate", 4: "duplicate", 5: "duplicate"}
+
+
+def test_exact_candidates_pair_generic_subjects(spark):
+    claims = table(spark, SF, "claims")
+    generic = claims.where("suppkey % 7 = 0 and status in ('accepted', 'needs_review') and predicate = 'ebitda'").select("id", "collection_id", "document_id").collect()
+    want = {(min(a["id"], b["id"]), max(a["id"], b["id"])) for a in generic for b in generic if a["collection_id"] == b["collection_id"] and a["document_id"] != b["document_id"]}
+    got = {(r["claim_a_id"], r["claim_b_id"]) for r in queries.QUERIES["j07_exact_candidates"](spark, SF).collect()}
+    assert want and want <= got

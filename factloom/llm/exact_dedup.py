@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import WS, partitions, store, text_of
 
+ONE = "__one"  # the key of repeated rows, for a moment beside the columns they came with
+
 
 def normalised(docs: DataFrame):
     return F.regexp_replace(text_of(docs), WS, " ")
@@ -82,18 +84,23 @@ def exact_dedup(docs: DataFrame, capacity: int = 128) -> DataFrame:
 
 
 def exact_copies_removed(docs: DataFrame, capacity: int = 128) -> DataFrame:
-    """The documents that stay, with the columns they came with.
+    """The documents that stay, with the columns they came with: one row of each normalised text.
 
-    Rows that repeat an id and text are copies of each other too, and one of them stays.
+    Rows are told apart by id and text, so rows that repeat an id, or have none, are judged each by its
+    own text. Rows that repeat an id and text are copies of each other too, and one of them stays.
     """
-    dropped = exact_dedup(docs, capacity).where("not kept or group_size > 1").select("doc_id", "keep_id", "kept")
-    lost = store(dropped.where("not kept").select("doc_id").distinct(), "exact-lost")
-    again = store(dropped.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "exact-again")
-    stay = docs.join(lost, docs["doc_id"].eqNullSafe(lost["doc_id"]), "left_anti")
+    judged = exact_dedup(docs, capacity).where("group_size > 1")
+    judged = store(judged.groupBy("doc_id", "text_sha256").agg(F.first("kept").alias("kept"), F.count("*").alias("times")), "exact-judged")
+    sha = F.sha2(normalised(docs), 256)
+    same = lambda t: docs["doc_id"].eqNullSafe(t["doc_id"]) & (sha == t["text_sha256"])
+    lost, again = judged.where("not kept"), judged.where("kept and times > 1")
+    stay = docs.join(lost, same(lost), "left_anti")
     if again.isEmpty():
         return stay
-    rest = stay.join(again, stay["doc_id"].eqNullSafe(again["doc_id"]), "left_anti")
-    once = stay.join(again, stay["doc_id"].eqNullSafe(again["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    rest = stay.join(again, same(again), "left_anti")
+    # Of repeated rows one stays; they differ at most in white space and in other columns.
+    key = F.struct(F.col("doc_id"), F.sha2(normalised(stay), 256))
+    once = stay.join(again, same(again), "left_semi").withColumn(ONE, key).dropDuplicates([ONE]).drop(ONE)
     return rest.unionByName(once)
 
 

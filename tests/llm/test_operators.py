@@ -68,6 +68,13 @@ def test_exact_copies_removed_keeps_one_of_repeated_rows(spark):
     assert sorted(r["text"] or "" for r in exact_dedup.exact_copies_removed(d).collect()) == ["", "a", "b"]
 
 
+def test_exact_copies_removed_judges_rows_without_own_ids_by_text(spark):
+    rows = [(None, "x"), (None, "y"), (5, "x"), (None, "z"), (None, "z"), (7, "p"), (8, "p"), (8, "q"), (9, "r"), (9, "s t"), (9, "s  t")]
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    got = sorted(((r["doc_id"], " ".join(r["text"].split())) for r in exact_dedup.exact_copies_removed(d).collect()), key=repr)
+    assert got == sorted([(5, "x"), (None, "y"), (None, "z"), (7, "p"), (8, "q"), (9, "r"), (9, "s t")], key=repr)
+
+
 def test_sentencepiece_equals_the_library(spark, awkward):
     import sentencepiece
 

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import CHUNK_BYTES, column_bytes, mix, partitions, pieces, shingle_sets, store
 
+SET = ("n", "k1", "k2")
 _P1, _P2, _P3 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -93,17 +94,22 @@ def _sets(batches: Iterator) -> Iterator[tuple[object, np.ndarray]]:
             yield from zip(ids[i:j], found, strict=True)
 
 
-def _keys(batches: Iterator) -> Iterator:
-    import pyarrow as pa
+def _keyed(*names: str):
+    """The named columns, with size and two hashes of the set."""
 
-    for b in batches:
-        rows = []
-        for _, s in _sets([b]):
-            a = int(np.add.reduce(mix(s ^ _P2))) if len(s) else 0
-            c = int(np.bitwise_xor.reduce(mix(s + _P3))) if len(s) else 0
-            rows.append((len(s), a - 2**63, c - 2**63))
-        cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "n", "k1", "k2"])
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            rows = []
+            for _, s in _sets([b]):
+                a = int(np.add.reduce(mix(s ^ _P2))) if len(s) else 0
+                c = int(np.bitwise_xor.reduce(mix(s + _P3))) if len(s) else 0
+                rows.append((len(s), a - 2**63, c - 2**63))
+            cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *cols], [*names, *SET])
+
+    return run
 
 
 #: So many signatures are packed at a time; bounds a task's memory, not its results.
@@ -428,24 +434,69 @@ def link_components(docs: DataFrame) -> DataFrame:
     return labels
 
 
+def _set_keys(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(doc_id, n, k1, k2) of every row, and whether some id is repeated with different sets."""
+    keys = store(docs.mapInArrow(_keyed("doc_id"), "doc_id long, n long, k1 long, k2 long"), "jaccard-keys")
+    form = F.struct(*SET)
+    return keys, not keys.where("doc_id is not null").groupBy("doc_id").agg((F.min(form) != F.max(form)).alias("mixed")).where("mixed").isEmpty()
+
+
+def _with_texts(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_keyed("doc_id", "text"), "doc_id long, text string, n long, k1 long, k2 long")
+
+
+def _class_labels(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of `keys` with the label of their class's component (null for empty sets), where an id may stand for several classes."""
+    classes = keys.where("doc_id is not null and n > 0").groupBy(*SET).agg(F.min("doc_id").alias("doc_id"))
+    classes = store(store(classes, "jaccard-classes").withColumn("node", F.monotonically_increasing_id()), "jaccard-numbered")
+    texts = store(_with_texts(docs).join(classes, ["doc_id", *SET]).select(F.col("node").alias("doc_id"), "text"), "jaccard-texts")
+    rows = keys.join(classes.drop("doc_id"), [*SET], "left").join(link_components(texts), "node", "left")
+    return store(rows.select("doc_id", *SET, F.coalesce("label", "node").alias("label")), "jaccard-rows")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     docs = docs.select("doc_id", "text")
-    keys = store(docs.mapInArrow(_keys, "doc_id long, n long, k1 long, k2 long"), "jaccard-keys")
-    classes = keys.where("doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
+    keys, mixed = _set_keys(docs)
+    if mixed:
+        # Rows that repeat an id with several texts tie their classes together.
+        rows = _class_labels(docs, keys)
+        known = rows.where("doc_id is not null and label is not null")
+        least = known.groupBy("label").agg(F.min("doc_id").alias("a"))
+        labels = components(store(known.join(least, "label").where("doc_id != a").select("a", F.col("doc_id").alias("b")).distinct(), "jaccard-ids"))
+        out = rows.drop("label").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
+    return _components_by_id(docs, keys)
+
+
+def _components_by_id(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """jaccard_components where no id is repeated with different sets."""
+    classes = keys.where("doc_id is not null").groupBy(*SET).agg(F.min("doc_id").alias("rep"))
     rep = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("rep"))
-    keys = store(keys.join(classes, ["n", "k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), rep.alias("rep")), "jaccard-classes")
+    keys = store(keys.join(classes, [*SET], "left").select("doc_id", F.col("n").alias("n_shingles"), rep.alias("rep")), "jaccard-classes")
     copies = store(keys.where("doc_id != rep or n_shingles = 0").select("doc_id").distinct(), "jaccard-copies")
     labels = link_components(by_ids(docs.where("doc_id is not null"), copies, "left_anti"))
-    # Rows that repeat an id with several texts tie their classes together: the least label counts.
     out = keys.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep")).alias("component_id"))
 
 
 def near_duplicates_removed(docs: DataFrame) -> DataFrame:
-    """The documents without all but the first of each group; columns as they came."""
-    found = jaccard_components(docs).where("doc_id != component_id").select("doc_id").distinct()
-    return by_ids(docs, store(found, "jaccard-dropped"), "left_anti").select(*docs.columns)
+    """The documents without all but the first of each group; columns as they came.
+
+    Rows that repeat an id with different texts are judged each by its own text.
+    """
+    slim = docs.select("doc_id", "text")
+    keys, mixed = _set_keys(slim)
+    if not mixed:
+        found = _components_by_id(slim, keys).where("doc_id != component_id").select("doc_id").distinct()
+        return by_ids(docs, store(found, "jaccard-dropped"), "left_anti").select(*docs.columns)
+    rows = _class_labels(slim, keys).where("doc_id is not null and label is not null")
+    row = F.struct("doc_id", *SET)
+    lost = rows.join(rows.groupBy("label").agg(F.min(row).alias("first")), "label").where(row != F.col("first")).select("doc_id", *SET).distinct()
+    sha = lambda text: F.sha2(F.coalesce(text, F.lit("")), 256)
+    lost = _with_texts(slim).join(store(lost, "jaccard-lost"), ["doc_id", *SET]).select("doc_id", sha(F.col("text")).alias("sha")).distinct()
+    lost = store(lost, "jaccard-dropped")
+    return docs.join(lost, (docs["doc_id"] == lost["doc_id"]) & (sha(docs["text"]) == lost["sha"]), "left_anti").select(*docs.columns)
 
 
 ORACLE = r"""

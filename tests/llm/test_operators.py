@@ -75,6 +75,14 @@ def test_exact_copies_removed_judges_rows_without_own_ids_by_text(spark):
     assert got == sorted([(5, "x"), (None, "y"), (None, "z"), (7, "p"), (8, "q"), (9, "r"), (9, "s t")], key=repr)
 
 
+def test_near_duplicates_removed_judges_repeated_ids_by_text(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(3, a), (5, a), (5, b), (8, b + " more"), (None, a), (6, None), (6, "one two three"), (4, "alone here")]
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    got = sorted(((r["doc_id"], r["text"]) for r in jaccard_join.near_duplicates_removed(d).collect()), key=repr)
+    assert got == sorted([(3, a), (5, b), (None, a), (6, None), (6, "one two three"), (4, "alone here")], key=repr)
+
+
 def test_sentencepiece_equals_the_library(spark, awkward):
     import sentencepiece
 
@@ -168,6 +176,13 @@ def test_jaccard_join_with_repeated_and_null_ids(spark):
     assert got == sorted([(1, 6, 1), (1, 6, 1), (2, 6, 1), (None, 6, None), (3, 0, 3)], key=repr)
 
 
+def test_jaccard_join_with_ids_repeated_with_different_texts(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (8, b + " more"), (9, c), (10, None), (10, c + " more"), (11, "alone")]
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(3, 56, 3), (5, 56, 3), (8, 57, 3), (9, 56, 9), (10, 0, 9), (10, 57, 9), (11, 1, 11)}
+
+
 def test_families_are_compared_in_blocks(spark, monkeypatch):
     rng = random.Random(9)
     base = [f"w{rng.randint(0, 10**9)}" for _ in range(80)]

@@ -1,86 +1,116 @@
 """Exact deduplication by an extendible-hash index on shared files.
 
-Keys are 64-bit hashes of the normalised text. A directory of key prefixes is doubled until no
-bucket holds more than `capacity` keys; buckets form contiguous key ranges, and owner tasks write
-the ranges they own into the shared folder. Rows whose key occurs once need no comparison. The
-chains of a bucket (rows with one key) are compared byte by byte: rows are grouped by key and by
-the whole normalised text, pre-aggregated before the shuffle, so a hot text costs one row a task.
+Keys are 64-bit hashes of the normalised text. A bucket is a key prefix of `depth` bits. The
+directory opens with about one bucket for `capacity` keys and is doubled while any bucket is overfull:
+the keys of overfull buckets, and only those, are dealt to the two buckets of the next depth; the
+others stay as they are. Each level is written to the shared folder by owner tasks, which
+hold contiguous key ranges; a bucket and all that it splits into stay with one owner, so a split moves
+keys inside a task. Keys differ, so splitting ends by 64 bits at the latest.
+
+The index decides every row. A key met once is settled by its own entry. Keys met more often are
+chains: the texts behind them are aggregated where they are read (one row a text and salt), sent to
+the owner of their bucket, and compared byte by byte there, so texts that collide part company. Rows take
+their group from the owners' answers; a key that the index lacks has none.
 
 Nulls: a null text counts as empty; a null doc_id loses to any other id of its group. Ties and
 repeated rows: the smallest doc_id stays; of rows that repeat that very doc_id all are marked as
-kept. Empty tables give no rows. Only doc_id and text are read; other columns do not matter.
+kept. Very long texts are taken whole. Empty tables give no rows. Only doc_id and text are read;
+other columns do not matter.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import WS, partitions, store, text_of
 
 ONE = "__one"  # the key of repeated rows, for a moment beside the columns they came with
+#: A hot text reaches its owner in so many rows at most, whatever the number of tasks that met it.
+SALTS = 256
+MOST_BITS = 64
 
 
 def normalised(docs: DataFrame):
     return F.regexp_replace(text_of(docs), WS, " ")
 
 
-def _prefix(depth) -> F.Column:
-    """Top `depth` bits of the key h, as a number."""
-    return F.when(depth == 0, F.lit(0)).otherwise(F.shiftrightunsigned("h", F.lit(64) - depth))
+def prefix(key: Column, depth: int) -> Column:
+    """Top `depth` bits of a key, as a number."""
+    return F.shiftrightunsigned(key, MOST_BITS - depth) if depth else F.lit(0).cast("long")
 
 
-def _shift(column, n: int):
-    return F.shiftrightunsigned(column, n) if n < 64 else F.lit(0).cast("long")
+def first_depth(keys: int, capacity: int) -> int:
+    """Depth of the directory that a table of so many keys opens with: its buckets are full on average, at most."""
+    return max(0, math.ceil(math.log2(max(1, keys) / capacity)))
 
 
-def build_directory(keys: DataFrame, rows: int, capacity: int) -> tuple[DataFrame, int]:
-    """Directory (slot, bucket, depth) over the 2**depth slots; and its global depth.
-
-    A bucket's local depth is the least one at which its prefix holds at most `capacity` keys; at
-    the global depth a bucket that is still overfull keeps an overflow chain.
-    """
-    depth = max(1, math.ceil(math.log2(max(1, rows) / capacity)) + 3) if rows > capacity else 1
-    slots = keys.groupBy(_shift(F.col("h"), 64 - depth).alias("slot")).agg(F.count("*").alias("n"))
-    levels = slots.select("slot", "n", F.explode(F.array(*[F.lit(d) for d in range(depth + 1)])).alias("d"))
-    levels = levels.withColumn("prefix", F.expr(f"shiftrightunsigned(slot, {depth} - d)"))
-    full = levels.groupBy("d", "prefix").agg(F.sum("n").alias("held"))
-    fits = levels.join(full, ["d", "prefix"]).where((F.col("held") <= capacity) | (F.col("d") == depth))
-    directory = fits.groupBy("slot").agg(F.min_by(F.struct("d", "prefix"), "d").alias("b"))
-    return directory.select("slot", F.col("b.d").alias("depth"), F.expr(f"shiftleft(b.prefix, {depth} - b.d)").alias("bucket")), depth
+def owner_of(key: Column, depth: int, owners: int) -> Column:
+    """The task that holds a key: contiguous ranges of the buckets of the opening directory."""
+    return F.floor(prefix(key, depth) * owners / F.lit(2**depth)).cast("int")
 
 
 def build_index(entries: DataFrame, capacity: int) -> DataFrame:
-    """Index files (bucket, depth, h, n): each owner task writes a contiguous range of buckets."""
-    spark = entries.sparkSession
-    keys = store(entries.groupBy("h").agg(F.count("*").alias("n")), "exact-keys")
-    directory, depth = build_directory(keys, keys.count(), capacity)
-    owners = partitions(spark)
-    slot = _shift(F.col("h"), 64 - depth)
-    placed = keys.withColumn("slot", slot).join(directory, "slot")
-    owner = F.floor(F.col("bucket") * owners / F.lit(2**depth)).cast("int")
-    placed = placed.withColumn("owner", owner).repartitionById(owners, "owner").sortWithinPartitions("bucket", "h")
-    return store(placed.select("bucket", "depth", "h", "n"), "exact-index")
+    """Index files (owner, bucket, depth, h, n, first, text_sha256), a bucket of at most `capacity` keys.
+
+    entries: doc_id, h, text_sha256. first is the least doc_id of a key; text_sha256 one of its texts'.
+    """
+    owners = partitions(entries.sparkSession)
+    keys = entries.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.min("text_sha256").alias("text_sha256"))
+    open_ = store(keys, "exact-keys")
+    depth = opening = first_depth(open_.count(), capacity)
+    index = None
+    while True:
+        placed = open_.withColumn("owner", owner_of(F.col("h"), opening, owners)).withColumn("bucket", prefix(F.col("h"), depth))
+        # Owners take their ranges and count their buckets without another shuffle.
+        held = F.count("*").over(Window.partitionBy("owner", "bucket"))
+        level = placed.repartitionById(owners, "owner").withColumn("held", held).withColumn("depth", F.lit(depth))
+        level = store(level.select("owner", "bucket", "depth", "held", "h", "n", "first", "text_sha256"), "exact-level")
+        full = level.where(F.lit(True) if depth == MOST_BITS else F.col("held") <= capacity).drop("held")
+        index = full if index is None else index.unionByName(full)
+        if depth == MOST_BITS:
+            return index
+        open_ = level.where(F.col("held") > capacity).select("h", "n", "first", "text_sha256")
+        if open_.isEmpty():
+            return index
+        depth += 1
+
+
+def directory(index: DataFrame) -> DataFrame:
+    """Directory entries (bucket, depth, first_slot, slots) at the global depth: a bucket of less depth fills several slots."""
+    deepest = index.agg(F.max("depth")).first()[0] or 0
+    width = F.expr(f"shiftleft(1L, {deepest} - depth)")
+    return index.select("bucket", "depth").distinct().select("bucket", "depth", (F.col("bucket") * width).alias("first_slot"), width.alias("slots"))
+
+
+def compare_chains(docs: DataFrame, index: DataFrame) -> DataFrame:
+    """Groups (h, text_sha256, keep_id, group_size) of the keys met twice or more, by the owners of their buckets."""
+    owners = partitions(docs.sparkSession)
+    chains = store(index.where("n > 1").select("h", "owner", "bucket"), "exact-chains")
+    rivals = docs.select("doc_id", normalised(docs).alias("norm")).withColumn("h", F.xxhash64("norm")).join(chains, "h")
+    rivals = rivals.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    met = rivals.groupBy("salt", "owner", "bucket", "h", "norm").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    owned = met.repartitionById(owners, "owner")
+    # Equal hashes are one chain; grouping by the whole text as well tells its members apart by their bytes.
+    groups = owned.groupBy("owner", "bucket", "h", "norm").agg(F.min("first").alias("keep_id"), F.sum("n").alias("group_size"))
+    return groups.select("h", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
 
 
 def exact_dedup(docs: DataFrame, capacity: int = 128) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     norm = normalised(docs)
     entries = store(docs.select("doc_id", F.xxhash64(norm).alias("h"), F.sha2(norm, 256).alias("text_sha256")), "exact-entries")
-    index = build_index(entries, capacity)
-    chains = store(index.where("n > 1").select("h", "bucket"), "exact-chains")
-    # A key that occurs once is alone in its chain; only the others' bytes are compared.
-    rivals = docs.select("doc_id", norm.alias("norm")).withColumn("h", F.xxhash64("norm")).join(chains, "h")
-    classes = rivals.groupBy("bucket", "h", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    classes = classes.select("h", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
-    out = entries.join(store(classes, "exact-classes"), ["h", "text_sha256"], "left")
-    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return out.select(
-        "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        keep.eqNullSafe(F.col("doc_id")).alias("kept"), "text_sha256",
-    )
+    return answer(entries, docs, build_index(entries, capacity))
+
+
+def answer(entries: DataFrame, docs: DataFrame, index: DataFrame) -> DataFrame:
+    """The entries with the groups that an index gives them."""
+    single = index.where("n = 1").select("h", "text_sha256", F.col("first").alias("keep_id"), F.col("n").alias("group_size"))
+    groups = store(single.unionByName(compare_chains(docs, index)), "exact-groups")
+    out = entries.join(groups, ["h", "text_sha256"])
+    return out.select("doc_id", "keep_id", "group_size", F.col("keep_id").eqNullSafe(F.col("doc_id")).alias("kept"), "text_sha256")
 
 
 def exact_copies_removed(docs: DataFrame, capacity: int = 128) -> DataFrame:

@@ -63,6 +63,52 @@ def test_exact_dedup(spark, awkward):
             assert tuple(got[i])[:5] == (i, ids[0], len(ids), i == ids[0], plain.sha(text))
 
 
+def _entries(docs):
+    norm = exact_dedup.normalised(docs)
+    return docs.select("doc_id", F.xxhash64(norm).alias("h"), F.sha2(norm, 256).alias("text_sha256"))
+
+
+def test_directory_doubles_until_no_bucket_is_overfull(spark):
+    texts = [f"text {k} of {k % 7}" for k in range(3000)] + ["copy"] * 500
+    entries = _entries(frame(spark, texts))
+    index = exact_dedup.build_index(entries, 8)
+    rows = index.collect()
+    depths = {r["depth"] for r in rows}
+    assert len(depths) > 1 and min(depths) == exact_dedup.first_depth(3001, 8)
+    held: dict = {}
+    owners: dict = {}
+    for r in rows:
+        assert (r["h"] % 2**64) >> (64 - r["depth"]) == r["bucket"]
+        held.setdefault((r["depth"], r["bucket"]), []).append(r["h"])
+        owners.setdefault((r["depth"], r["bucket"]), set()).add(r["owner"])
+    assert max(map(len, held.values())) <= 8 and all(len(o) == 1 for o in owners.values())
+    assert sorted(r["h"] for r in rows) == sorted({r["h"] for r in entries.collect()})
+    # No slot of the directory is filled by two buckets, and buckets deeper than the opening have overfull parents.
+    slots = sorted((r["first_slot"], r["slots"]) for r in exact_dedup.directory(index).collect())
+    assert all(a + n <= b for (a, n), (b, _) in zip(slots, slots[1:], strict=False))
+    for depth, bucket in held:
+        if depth > min(depths):
+            assert len([1 for r in rows if (r["h"] % 2**64) >> (64 - depth + 1) == bucket >> 1]) > 8
+
+
+def test_the_index_decides_the_groups(spark):
+    d = frame(spark, ["a", "a", "b", "c", "c", "c"])
+    entries = _entries(d)
+    index = exact_dedup.build_index(entries, 2)
+    whole = exact_dedup.answer(entries, d, index).count()
+    gone = index.where("n < 3")  # without the entry of the key met three times
+    assert (whole, exact_dedup.answer(entries, d, gone).count(), exact_dedup.answer(entries, d, index.limit(0)).count()) == (6, 3, 0)
+
+
+def test_colliding_keys_are_told_apart_by_their_bytes(spark):
+    d = frame(spark, ["a", "b", "a"])
+    h = F.xxhash64(F.lit("a"))
+    index = exact_dedup.build_index(_entries(d).withColumn("h", h), 2)
+    assert [r["n"] for r in index.collect()] == [3]
+    # Both texts under one key: the chain's rows that do hash to it are one group, of the bytes "a".
+    assert [tuple(r)[2:] for r in exact_dedup.compare_chains(d, index).collect()] == [(0, 2)]
+
+
 def test_exact_copies_removed_keeps_one_of_repeated_rows(spark):
     d = spark.createDataFrame([(1, "a", "en", "s", 1), (1, "a", "en", "s", 1), (2, "a", "en", "s", 1), (3, "b", "en", "s", 1), (None, None, None, None, None)], SCHEMA)
     assert sorted(r["text"] or "" for r in exact_dedup.exact_copies_removed(d).collect()) == ["", "a", "b"]

@@ -4,21 +4,28 @@ Fixed patterns find assignments, access keys and long hexadecimal runs. Beside t
 or more key characters are scored by two first-order Markov models over characters, one of random
 strings and one of ordinary identifiers, words and rules of one repeated character, trained from
 labelled samples; a token is a finding if its log-likelihood ratio exceeds `least` and it overlaps no
-span of the patterns, whether it has digits or not. Spans are in code
-points, end exclusive: the matches of a text and the pieces between them are measured and summed.
+span of the patterns, whether it has digits or not.
+
+Spans are in code points, end exclusive. Each text is read once and gives its matches with the lengths of
+the pieces between them; matches then are rows. Running sums of those lengths give the places, and in
+order of place a token is set against the furthest end of the patterns' spans before it and the nearest
+start after it, so the work grows with the text and the matches (and their sorting), also in one text.
+Only matches and row numbers are shuffled, never texts.
 
 Nulls: a null text is empty and has no spans; a null doc_id is kept as it is. Repeated rows are
-scanned each for itself. An empty table gives no rows. Only doc_id and text are read.
+scanned each for itself. Ties: a token with a ratio of just `least` is no finding. Very long texts are
+taken whole, and so are very long tokens. An empty table gives no rows. Only doc_id and text are read;
+clashing further columns do no harm.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import text_of
+from factloom.llm.common import store, text_of
 
 # The patterns of the base kinds.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -28,7 +35,7 @@ RANDOM = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 KINDS = ("assign", "access", "hex", "random")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIDE = len(ALPHABET) + 1
-SPAN = "array<struct<start:int,kind:int,end:int>>"
+MATCHES = "array<struct<kind:int,i:int,gap:int,size:int,counts:boolean,token:string>>"
 
 # Ordinary words for the samples of identifiers.
 WORDS = (
@@ -101,26 +108,18 @@ def train(samples: DataFrame) -> list[float]:
     return out
 
 
-def _spans(text: Column, pattern: str, kind: int, least: int, group: int | None = None) -> Column:
-    """Spans of the leftmost matches that do not overlap, those of which (or of a group) `least` characters or more."""
+def _matches(text: Column, pattern: str, kind: int, least: int, group: int | None = None, token: bool = False) -> Column:
+    """The leftmost matches that do not overlap: number, characters since the match before, own characters, and whether it (or its group) has `least`."""
     p = F.lit(pattern)
 
     def measured(m: Column) -> Column:
-        part = F.transform(F.regexp_extract_all(text, p, F.lit(group)), F.length) if group else F.transform(m, F.length)
-        both = F.struct(F.transform(m, F.length).alias("m"), part.alias("part"), F.transform(F.split(text, pattern, -1), F.length).alias("gap"))
-
-        def walk(b: Column) -> Column:
-            start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-
-            def step(a: Column, i: Column) -> Column:
-                s = a["at"] + F.get(b["gap"], i)
-                e = s + F.get(b["m"], i)
-                one = F.array(F.struct(s.alias("start"), F.lit(kind).alias("kind"), e.alias("end")))
-                return F.struct(e.alias("at"), F.when(F.get(b["part"], i) >= least, F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
-
-            return F.aggregate(F.sequence(F.lit(0), F.size(b["m"]) - 1), start, step, lambda a: a["out"])
-
-        return F.when(F.size(m) == 0, F.array().cast(SPAN)).otherwise(bound(both, walk))
+        part = F.regexp_extract_all(text, p, F.lit(group)) if group else m
+        both = F.struct(m.alias("m"), part.alias("part"), F.split(text, pattern, -1).alias("gap"))
+        one = lambda b: lambda x, i: F.struct(
+            F.lit(kind).alias("kind"), i.alias("i"), F.length(F.get(b["gap"], i)).alias("gap"), F.length(x).alias("size"), (F.length(F.get(b["part"], i)) >= least).alias("counts"),
+            (x if token else F.lit(None).cast("string")).alias("token"),
+        )
+        return F.when(F.size(m) == 0, F.array().cast(MATCHES)).otherwise(bound(both, lambda b: F.transform(b["m"], one(b))))
 
     return bound(F.regexp_extract_all(text, p, F.lit(0)), measured)
 
@@ -136,22 +135,40 @@ def token_score(token: Column, ratios: list[float]) -> Column:
 
 def _text_form(spans: Column) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
-    return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
+
+
+def find_matches(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, matches) of every document."""
+    text = text_of(docs)
+    found = F.concat(_matches(text, ASSIGN, 0, 8, 2), _matches(text, ACCESS, 1, 16), _matches(text, HEX, 2, 32), _matches(text, RANDOM, 3, 20, token=True))
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", found.alias("matches"))
+
+
+def place(table: DataFrame) -> DataFrame:
+    """(row, kind, start, end, token, free): the spans that count; free: no span of the patterns overlaps this one."""
+    m = table.where(F.size("matches") > 0).select("row", F.explode("matches").alias("x")).select("row", "x.*")
+    so_far = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    m = m.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(so_far).cast("int")).withColumn("start", F.col("end") - F.col("size")).where("counts")
+    fixed = F.col("kind") < len(KINDS) - 1
+    before = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("row").orderBy(F.col("start").desc(), F.col("kind").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    m = m.withColumn("reach", F.max(F.when(fixed, F.col("end"))).over(before)).withColumn("next", F.min(F.when(fixed, F.col("start"))).over(after))
+    free = F.coalesce(F.col("reach") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("next") >= F.col("end"), F.lit(True))
+    return m.select("row", "kind", "start", "end", "token", free.alias("free"))
 
 
 def scan_secrets(docs: DataFrame, samples: DataFrame | None = None, least: float = 10.0) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random."""
     ratios = train(labelled_samples(docs.sparkSession) if samples is None else samples)
-    d = docs.select("doc_id", text_of(docs).alias("text"))
-    text = F.col("text")
-    d = d.select("doc_id", "text", _spans(text, ASSIGN, 0, 8, 2).alias("assign"), _spans(text, ACCESS, 1, 16).alias("access"), _spans(text, HEX, 2, 32).alias("hex"), _spans(text, RANDOM, 3, 20).alias("tokens"))
-    base = F.concat("assign", "access", "hex")
-    free = F.filter("tokens", lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    piece = lambda t: F.substring(text, t["start"] + 1, t["end"] - t["start"])
-    keyed = lambda t: token_score(piece(t), ratios) > least
-    d = d.select("doc_id", "assign", "access", "hex", base.alias("base"), F.filter(free, keyed).alias("random"))
-    count = lambda k: F.size(k).cast("long")
-    return d.select(
-        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(_text_form(F.col("base")), 256).alias("base_sha256"),
-        _text_form(F.concat("base", "random")).alias("spans"), count("random").alias("n_random"),
+    table = store(find_matches(docs), "secret-matches")
+    random = len(KINDS) - 1
+    finding = F.when(F.col("kind") < random, F.lit(True)).when(F.col("free"), token_score(F.col("token"), ratios) > least).otherwise(F.lit(False))
+    spans = place(table).where(finding)
+    per = spans.groupBy("row").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{name}") for k, name in enumerate(KINDS)], F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("all"))
+    out = table.select("row", "doc_id").join(per, "row", "left")
+    count = lambda k: F.coalesce(f"n_{k}", F.lit(0).cast("long")).alias(f"n_{k}")
+    text = lambda c: F.coalesce(_text_form(c), F.lit(""))
+    return out.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(text(F.filter("all", lambda x: x["kind"] < random)), 256).alias("base_sha256"), text(F.col("all")).alias("spans"), count("random"),
     )

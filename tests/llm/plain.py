@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from itertools import combinations
@@ -65,6 +66,32 @@ def base_spans(text: str) -> tuple[int, int, int, str]:
     return (*map(len, kinds), sha(form))
 
 
+def markov_ratios(samples: list[tuple[str, bool]], alphabet: str) -> dict[tuple[str, str], float]:
+    """Log-likelihood ratio of each character after another ('' at the start), half a count added to each."""
+    count: dict[bool, Counter] = {True: Counter(), False: Counter()}
+    for text, kind in samples:
+        count[kind].update((text[i - 1] if i else "", c) for i, c in enumerate(text) if c in alphabet)
+    known = ["", *alphabet]
+    out = {}
+    for p in known:
+        total = {k: sum(count[k][p, c] + 0.5 for c in alphabet) for k in count}
+        for c in alphabet:
+            out[p, c] = math.log((count[True][p, c] + 0.5) / total[True]) - math.log((count[False][p, c] + 0.5) / total[False])
+    return out
+
+
+def all_spans(text: str, ratios: dict[tuple[str, str], float], least: float = 10.0) -> tuple[str, int]:
+    base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    found = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+        if len(m[0]) >= 20 and not any(s < m.end() and m.start() < e for s, _, e in base):
+            if sum(ratios[p, c] for p, c in zip(["", *m[0]], m[0], strict=False)) > least:
+                found.append((m.start(), 3, m.end()))
+    return ",".join(f"{('assign', 'access', 'hex', 'random')[k]}:{s}:{e}" for s, k, e in sorted(base + found)), len(found)
+
+
 def source_targets(sizes: dict[str | None, int], share: float = 1.5, cap: float = 2.0) -> dict[str | None, float]:
     """Resharing the excess by weight, round by round."""
     order = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]

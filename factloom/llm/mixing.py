@@ -2,13 +2,19 @@
 
 Every document of a source has the same expected number of copies f = target / source size. The
 running sum of f over the source's documents, plus one random offset, is cut at the integers: a
-document is emitted once for each integer boundary that its step crosses. Documents are lined up by
-size, so the words taken follow the target closely. The order number comes from block counts
-(source, size class, id class) and a rank inside a block; no source is gathered in one task.
+document is emitted once for each integer boundary that its step crosses. The offset follows from
+`seed` and the source, so reruns agree.
+
+Order: within a source by size class (so the words taken follow the target closely), then by a hash of
+id and text. A source and class with many rows is cut into ranges of that hash, as many as its count
+asks for (about `PART_ROWS` rows each); the order number is the sum of the ranges before and a rank
+inside the range, so no source, size or run of ids is gathered in one task. Sources and their ranges
+themselves are summed in windows: a few numbers a source must fit a task, a range a (source, class).
 
 Nulls: a null text has size 0; a null source is a source of its own, ordered last. A null doc_id
-counts as one id of its own. Repeated rows are separate documents. An empty table gives no rows.
-Sources of size 0 have target 0.
+counts as one id of its own. Repeated rows are separate documents: of copies of one id and text the
+shares are dealt as evenly as can be. Ids may be of any type. Very long texts are taken whole. An empty
+table gives no rows; clashing further columns do no harm. Sources of size 0 have target 0.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import WORD, store, text_of
 
 WEIGHTS = (3, 1, 2)
-ID_CLASSES = 64
+PART_ROWS = 65_536
 
 
 def source_targets(sizes: DataFrame, share: float, cap: float) -> DataFrame:
@@ -45,9 +51,18 @@ def source_targets(sizes: DataFrame, share: float, cap: float) -> DataFrame:
     return per.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def _offset(source):
-    digest = F.md5(F.concat(F.lit("mix:"), F.coalesce(source, F.lit("\u0000null"))))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+def _digits(text) -> F.Column:
+    """32 bits of a text's md5."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
+def _offset(source, seed: str):
+    return _digits(F.concat(F.lit(f"{seed}:"), F.coalesce(source, F.lit("\u0000null")))).cast("double") / F.lit(4294967296.0)
+
+
+def _row_digest(docs: DataFrame) -> F.Column:
+    """Digest of a row's id and text."""
+    return F.md5(F.concat(F.coalesce(docs["doc_id"].cast("string"), F.lit("null")), F.lit(":"), text_of(docs)))
 
 
 def _size_class(size):
@@ -56,46 +71,55 @@ def _size_class(size):
     return F.when(size < 1024, size).otherwise(F.floor(size / step) * step)
 
 
-def mix_sources(docs: DataFrame, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+def mix_sources(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies."""
-    sizes = docs.select("doc_id", "source", F.regexp_count(text_of(docs), F.lit(WORD)).cast("long").alias("size"))
-    sizes = sizes.withColumn("class", _size_class(F.col("size"))).withColumn("part", F.coalesce(F.pmod("doc_id", F.lit(ID_CLASSES)), F.lit(-1)))
+    return _planned(docs, share, cap, seed).drop("digest")
+
+
+def _planned(docs: DataFrame, share: float, cap: float, seed: str) -> DataFrame:
+    digest = _row_digest(docs)
+    sizes = docs.select("doc_id", "source", F.regexp_count(text_of(docs), F.lit(WORD)).cast("long").alias("size"), digest.alias("digest"), F.conv(F.substring(digest, 1, 8), 16, 10).cast("long").alias("at"))
+    sizes = sizes.withColumn("class", _size_class(F.col("size")))
     sizes = store(sizes.withColumn("src", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))), "mix-sizes")
     targets = source_targets(sizes.select("source", "size"), share, cap).withColumn("src", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
-    blocks = sizes.groupBy("src", "class", "part").agg(F.count("*").alias("n"))
     earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    classes = blocks.groupBy("src", "class").agg(F.sum("n").alias("n"))
-    classes = classes.select("src", "class", earlier(Window.partitionBy("src").orderBy("class")).alias("class_start"))
-    blocks = blocks.withColumn("part_start", earlier(Window.partitionBy("src", "class").orderBy("part"))).join(classes, ["src", "class"])
-    blocks = blocks.withColumn("start", F.col("class_start") + F.col("part_start")).drop("class_start", "part_start")
+    classes = sizes.groupBy("src", "class").agg(F.count("*").alias("n"))
+    classes = classes.select("src", "class", F.ceil(F.col("n") / PART_ROWS).alias("parts"), earlier(Window.partitionBy("src").orderBy("class")).alias("class_start"))
+    classes = store(classes, "mix-classes")
+    parted = sizes.join(classes, ["src", "class"]).withColumn("part", F.floor(F.col("at") * F.col("parts") / F.lit(2**32)))
+    blocks = parted.groupBy("src", "class", "part").agg(F.count("*").alias("n"), F.first("class_start").alias("class_start"))
+    blocks = blocks.withColumn("start", F.col("class_start") + earlier(Window.partitionBy("src", "class").orderBy("part"))).drop("class_start")
     blocks = blocks.join(store(targets.drop("source"), "mix-targets"), "src").drop("n")
     blocks = blocks.withColumn("f", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-    rank = F.row_number().over(Window.partitionBy("src", "class", "part").orderBy("doc_id", "size"))
-    out = sizes.withColumn("rank", rank).join(blocks, ["src", "class", "part"]).withColumn("u", _offset(F.col("source")))
+    # Rows with one digest are copies of one id and text: any order among them gives the same rows.
+    rank = F.row_number().over(Window.partitionBy("src", "class", "part").orderBy("digest"))
+    out = parted.drop("parts", "class_start").withColumn("rank", rank).join(blocks, ["src", "class", "part"]).withColumn("u", _offset(F.col("source"), seed))
     at = F.col("start") + F.col("rank")
     copies = F.floor(F.col("u") + F.col("f") * at) - F.floor(F.col("u") + F.col("f") * (at - 1))
     out = out.withColumn("copies", copies.cast("long"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "digest")
 
 
-def emit_mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+def emit_mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
     """The mixed documents themselves: every row as often as its copies say, with the input's columns."""
-    key = ["__id", "__null", "__size"]
-    plan = mix_sources(docs, share, cap).groupBy("doc_id", "size").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    plan = plan.select(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__null"), F.col("size").alias("__size"), "__copies", "__rows")
-    size = F.regexp_count(text_of(docs), F.lit(WORD)).cast("long")
-    d = docs.select(*[docs[c] for c in docs.columns], F.coalesce(docs["doc_id"], F.lit(0)).alias("__id"), docs["doc_id"].isNull().alias("__null"), size.alias("__size"))
-    # Rows that repeat an id and size share its copies as evenly as can be.
-    turn = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
-    j = d.join(plan.where("__copies > 0"), key).withColumn("__turn", turn)
-    times = F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__turn") <= F.col("__copies") % F.col("__rows")).cast("int")
-    return j.withColumn("__one", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)
+    plan = _planned(docs, share, cap, seed).groupBy("digest").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
+    plan = store(plan.where("__copies > 0").withColumnRenamed("digest", "__digest"), "mix-plan")
+    j = docs.withColumn("__digest", _row_digest(docs)).join(plan, "__digest")
+    # Rows that repeat id and text share their copies; which of them comes first does not show, as only their other columns could differ.
+    others = F.xxhash64(F.to_json(F.struct(*[j[c] for c in docs.columns if c != "text"])))
+    repeated = plan.where("__rows > 1")
+    once = j.where("__rows = 1").withColumn("__times", F.col("__copies"))
+    if not repeated.isEmpty():
+        turn = F.row_number().over(Window.partitionBy("__digest").orderBy(others))
+        more = j.where("__rows > 1").withColumn("__turn", turn)
+        more = more.withColumn("__times", F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__turn") <= F.col("__copies") % F.col("__rows")).cast("int")).drop("__turn")
+        once = once.unionByName(more)
+    return once.withColumn("__one", F.explode(F.array_repeat(F.lit(1), F.col("__times").cast("int")))).select(*docs.columns)
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
-c AS (SELECT *, CASE WHEN size < 1024 THEN size ELSE (size // (10 ** greatest(len(size::VARCHAR) - 3, 0))::BIGINT) * (10 ** greatest(len(size::VARCHAR) - 3, 0))::BIGINT END AS class,
-  coalesce(((doc_id % 64) + 64) % 64, -1) AS part FROM d),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(text, '')) AS digest FROM documents),
+c AS (SELECT *, CASE WHEN size < 1024 THEN size ELSE (size // (10 ** greatest(len(size::VARCHAR) - 3, 0))::BIGINT) * (10 ** greatest(len(size::VARCHAR) - 3, 0))::BIGINT END AS class FROM d),
 p AS (SELECT source, sum(size)::DOUBLE AS source_size, (sum(size) * 2.0)::DOUBLE AS most, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS turn FROM d GROUP BY source),
 w AS (SELECT *, (CASE turn % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END)::DOUBLE AS w FROM p),
 o AS (SELECT *, coalesce(sum(most) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "before",
@@ -104,7 +128,7 @@ l AS (SELECT *, (all_size * 1.5::DOUBLE - "before") / w_left AS level, row_numbe
 f AS (SELECT *, (SELECT x.level FROM l AS x WHERE x.level * x.w < x.most ORDER BY x.place LIMIT 1) AS final FROM l),
 t AS (SELECT source, source_size, CASE WHEN final IS NULL THEN most ELSE least(most, final * w) END AS target,
   ('0x' || substr(md5('mix:' || coalesce(source, chr(0) || 'null')), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u FROM f),
-r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, part, doc_id, size) AS pos FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, digest) AS pos FROM c),
 j AS (SELECT r.doc_id, r.size, t.source_size, t.target, t.u, r.pos, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0::DOUBLE END AS f
   FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size::BIGINT AS source_size, target, ((floor(u + f * pos) - floor(u + f * (pos - 1)))::BIGINT * size) AS taken,

@@ -10,7 +10,10 @@ A conversation with very many turns is ranked and summed in blocks of 256 turn n
 needs all its rows before they are rendered into their one string.
 
 Nulls: a null role or text counts as empty; a null turn comes first; rows with a null conv_id are one
-conversation. Of equal conversations the least conv_id is kept. Empty tables give no rows.
+conversation of their own, apart from one whose id is the text "null". Of equal conversations the least
+conv_id is kept. Repeated rows are turns of their own: each takes a place. Very long texts are taken
+whole. Only conv_id, turn, role and text are read; further columns, whatever their names, do no harm.
+Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -24,9 +27,14 @@ BLOCK = 256
 HASHES = ("h1", "h2", "h3")
 
 
+def conversation(conv_id):
+    """A name for each conversation that no null shares with a real id."""
+    return F.coalesce(F.concat(F.lit("="), conv_id.cast("string")), F.lit(""))
+
+
 def prefixes(turns: DataFrame) -> DataFrame:
     """Rows (conv, conv_id, place, role, text, s1..s3): each turn with the hashes of the turns up to it."""
-    conv = F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("conv")
+    conv = conversation(F.col("conv_id")).alias("conv")
     t = turns.select(conv, "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     t = t.withColumn("block", F.floor(F.col("turn") / BLOCK))
     line = Window.partitionBy("conv").orderBy(F.col("block").asc_nulls_first())
@@ -61,7 +69,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     ends = t.groupBy("conv").agg(F.max("place").alias("place"), F.max_by(F.struct("conv_id", "s1", "s2", "s3"), "place").alias("x"))
     ends = store(ends.select("conv", "place", "x.*"), "chat-ends")
     classes = store(ends.groupBy(*key).agg(F.min("conv_id").alias("leader")), "chat-classes")
-    leaders = classes.select(F.coalesce(F.col("leader").cast("string"), F.lit("null")).alias("conv"), F.col("place").alias("n"), "leader")
+    leaders = classes.select(conversation(F.col("leader")).alias("conv"), F.col("place").alias("n"), "leader")
     # Proper prefixes of the classes' leaders, once each: a class found among them is a snapshot of a longer one.
     inner = t.select("conv", *key).join(leaders, "conv").where("place < n")
     inner = store(inner.select("leader", *key), "chat-inner")

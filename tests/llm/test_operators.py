@@ -201,6 +201,28 @@ def test_secret_scan_finds_keys_without_digits(spark):
     assert [t for i, t in enumerate(plain_, 100) if got[i]] == []
 
 
+def test_secret_scan_equals_a_plain_scan(spark):
+    """Training, scores, overlaps and spans against plain Python, on texts that mix all kinds."""
+    samples = secret_scan.labelled_samples(spark, 800)
+    ratios = plain.markov_ratios([(r["text"], r["random"]) for r in samples.collect()], secret_scan.ALPHABET)
+    rng = random.Random(12)
+    letters = secret_scan.ALPHABET
+    key = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    makers = [lambda: key(rng.randint(15, 45)), lambda: f"token={key(24)}", lambda: "AKIA" + key(18).upper(), lambda: "9f" * rng.randint(10, 20), lambda: "some_ordinary_identifier_name", lambda: "é", lambda: "word", lambda: "api_key : " + "deadbeef" * 5]
+    texts = ["".join(rng.choice(makers)() + rng.choice([" ", "", "\n", ";"]) for _ in range(rng.randint(0, 12))) for _ in range(150)]
+    got = {r["doc_id"]: (r["spans"], r["n_random"]) for r in secret_scan.scan_secrets(frame(spark, texts), samples).collect()}
+    want = {i: plain.all_spans(t, ratios) for i, t in enumerate(texts)}
+    assert got == want and sum(n for _, n in want.values()) > 50
+
+
+def test_secret_scan_of_one_text_with_many_tokens(spark):
+    rng = random.Random(3)
+    key = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(26))
+    row = secret_scan.scan_secrets(frame(spark, [" ".join(key() for _ in range(16_000))])).first()
+    spans = row["spans"].split(",")
+    assert row["n_random"] >= 15_900 and spans[-1] == f"random:{27 * 16_000 - 27}:{27 * 16_000 - 1}"
+
+
 def test_secret_model_tells_held_out_samples_apart(spark):
     s = secret_scan.labelled_samples(spark, 4000).where("length(text) >= 20").withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(4)))
     ratios = secret_scan.train(s.where("fold > 0").select("text", "random"))
@@ -273,6 +295,19 @@ def test_mixing_with_null_source_and_repeated_rows(spark):
     assert mixing.emit_mix(d).count() == sum(r["copies"] for r in rows)
 
 
+def test_mixing_cuts_hot_blocks_and_agrees_on_reruns(spark, monkeypatch):
+    """One size, ids that are all multiples of 64, ids repeated with other texts, and one id and text many times."""
+    rows = [(64 * k, f"a b c{k}", "en", "hot", k) for k in range(600)] + [(7, f"x y z{k}", "en", "hot", k) for k in range(40)] + [(8, "same text here", "en", "hot", 3)] * 25 + [(None, "p q r", "en", None, 3)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    whole = sorted(map(tuple, mixing.emit_mix(d).collect()), key=repr)
+    monkeypatch.setattr(mixing, "PART_ROWS", 16)
+    assert sorted(map(tuple, mixing.emit_mix(d.repartition(7)).collect()), key=repr) == whole
+    taken = sum(r["taken"] for r in mixing.mix_sources(d).where("size > 0 and source_size > 3").collect())
+    assert abs(taken - sum(len(r[1].split()) for r in whole if r[3])) == 0
+    other = sorted(map(tuple, mixing.emit_mix(d, seed="another").collect()), key=repr)
+    assert abs(len(other) - len(whole)) <= 2
+
+
 def test_quality_rules(spark, awkward):
     got = {r["doc_id"]: r for r in quality_rules.quality_rules(frame(spark, awkward)).collect()}
     for i, t in enumerate(awkward):
@@ -303,6 +338,15 @@ def test_quality_rules_remove_lines_at_every_host_size(spark):
     assert {i for i, n in got.items() if n} == {*range(11), *range(100, 111)} and {n for n in got.values() if n} == {15}
 
 
+def test_quality_rules_count_documents_not_texts(spark, monkeypatch):
+    copy = "one line of a page that was copied many times over and over again by all"
+    rows = [(k, copy, "en", "h", 1) for k in range(11)] + [(100, copy, "en", "other", 1)] * 11 + [(None, copy, "en", "none", 1)] * 11
+    for few in (quality_rules.MOST_BROADCAST, 0):
+        monkeypatch.setattr(quality_rules, "MOST_BROADCAST", few)
+        got = sorted((r["doc_id"] is None, r["doc_id"], r["n_removed_words"], r["kept"]) for r in quality_rules.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect() if r["doc_id"] is not None)
+        assert got == [(False, k, 16, False) for k in range(11)] + [(False, 100, 0, True)] * 11
+
+
 def test_quality_classifier_on_labels(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -319,6 +363,20 @@ def test_chat_format(spark):
     assert got == {1: (1, False, 3), 2: (2, False, 3), 3: (3, True, 3), 4: (2, True, 4), 5: (3, False, 3), 6: (1, True, 6), 7: (1, True, 7)}
 
 
+def test_chat_format_tells_null_from_the_text_null(spark):
+    rows = [(None, 0, "user", "a"), ("null", 0, "user", "b"), ("null", 1, "user", "c"), ("x", 0, "user", "b"), ("x", 0, "user", "b")]
+    d = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string").withColumn("place", F.lit("clash")).withColumn("leader", F.lit("clash"))
+    got = {r["conv_id"]: (r["n_turns"], r["kept"], r["keep_id"]) for r in chat_format.format_chats(d).collect()}
+    assert got == {None: (1, True, None), "null": (2, True, "null"), "x": (2, True, "x")}
+
+
+def test_chat_format_takes_long_texts_whole(spark):
+    long_ = "word " * 60_000
+    rows = [(1, 0, "user", long_), (2, 0, "user", long_), (2, 1, "user", "b"), (3, 0, "user", long_ + "x")]
+    got = {r["conv_id"]: (r["kept"], r["keep_id"], len(r["rendered"] or "")) for r in chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {1: (False, 2, 0), 2: (True, 2, len(long_) + 41), 3: (True, 3, len(long_) + 19)}
+
+
 def test_chat_format_over_blocks(spark):
     long_ = [(1, k, "user", f"t{k}") for k in range(700)]
     rows = long_ + [(2, k, r, t) for _, k, r, t in long_[:600]]

@@ -16,9 +16,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share; a local default only where none is configured."""
+    """Folder that driver and executors share; a local default only where all run in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or "/tmp/checkpoints").rstrip("/")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder for intermediate tables")
+        found = "/tmp/checkpoints"
+    return found.rstrip("/")
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -26,7 +30,23 @@ def store(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing will read again (what was made of them has been stored itself)."""
+    for t in tables:
+        spark, path = t.sparkSession, getattr(t, "stored_at", None)
+        if path:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def id_type(docs: DataFrame) -> str:
+    """Type of doc_id, for schemas that carry it along."""
+    return docs.schema["doc_id"].dataType.simpleString()
 
 
 def partitions(spark: SparkSession) -> int:

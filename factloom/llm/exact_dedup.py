@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import WS, partitions, store, text_of
+from factloom.llm.common import WS, partitions, release, store, text_of
 
 ONE = "__one"  # the key of repeated rows, for a moment beside the columns they came with
 #: A hot text reaches its owner in so many rows at most, whatever the number of tasks that met it.
@@ -72,6 +72,7 @@ def build_index(entries: DataFrame, capacity: int) -> DataFrame:
         index = full if index is None else index.unionByName(full)
         if depth == MOST_BITS:
             return index
+        release(open_)
         open_ = level.where(F.col("held") > capacity).select("h", "n", "first", "text_sha256")
         if open_.isEmpty():
             return index

@@ -10,11 +10,13 @@ all records; a record's own share is taken out of its host's and suffix's counts
 The languages are all those that label any document with a text of three bytes or more. Labelled
 documents are counted by language over all rows, and each language's trigram model is fitted on about
 `rows_per_language` of them, chosen by hash: all of a rarer one, and one at least whatever the size of
-the input. All counts cover all records.
+the input. In fitting, a trigram counts `most_repeats` times a document at most, so that one repetitive
+document does not make a model; judging takes every trigram of the whole text. All counts cover all records.
 
 Nulls: a null or empty text gives no text evidence, a null declaration or host none of its kind; with
-no evidence at all the general prior decides. Repeated rows are judged each for itself and count each
-for itself. An empty table gives no rows. Clashing further columns are not read.
+no evidence at all the general prior decides. Ties go to the language whose name comes first. Repeated
+rows are judged each for itself and count each for itself. Very long texts are taken whole. Ids may be of
+any type (of one type in all records). An empty table gives no rows. Clashing further columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import CHUNK_BYTES, column_bytes, pieces, store, text_of
+from factloom.llm.common import CHUNK_BYTES, column_bytes, id_type, pieces, store, text_of
 
 BITS = 16
 TEMPER = 40.0
@@ -52,29 +54,33 @@ def _rows(offsets: np.ndarray, n: int) -> np.ndarray:
     return np.where(at + 3 <= offsets[1:][row], row, -1)
 
 
-def _count(batches: Iterator) -> Iterator:
-    import pyarrow as pa
+def _count(most_repeats: int):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    sums: dict[str, np.ndarray] = {}
-    for b in batches:
-        data, offsets = column_bytes(b.column("text"))
-        for k, lang in enumerate(b.column("lang").to_pylist()):
-            part = data[offsets[k] : offsets[k + 1]]
-            if len(part) >= 3:
-                one = np.bincount(trigrams(part), minlength=1 << BITS)
-                sums[lang] = sums.get(lang, 0) + np.minimum(one, 20)  # a repeated passage is no evidence of itself
-    if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([s.astype(np.int64).tobytes() for s in sums.values()], pa.binary())], ["lang", "counts"])
-
-
-def fit_models(docs: DataFrame, rows_per_language: int = 1000) -> tuple[list[str], np.ndarray]:
+        sums: dict[str, np.ndarray] = {}
+        for b in batches:
+            data, offsets = column_bytes(b.column("text"))
+            for k, lang in enumerate(b.column("lang").to_pylist()):
+                part = data[offsets[k] : offsets[k + 1]]
+                if len(part) >= 3:
+                    one = np.bincount(trigrams(part), minlength=1 << BITS)
+                    sums[lang] = sums.get(lang, 0) + np.minimum(one, most_repeats)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([s.astype(np.int64).tobytes() for s in sums.values()], pa.binary())], ["lang", "counts"])
+
+    return run
+
+
+def fit_models(docs: DataFrame, rows_per_language: int = 1000, most_repeats: int = 20) -> tuple[list[str], np.ndarray]:
     """Languages, and log-probabilities [language, trigram] with additive smoothing."""
     labelled = docs.where("lang is not null and octet_length(text) >= 3").select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("at"))
     share = F.least(F.lit(1.0), F.lit(float(rows_per_language)) / F.count("*"))
     # The least place of a language is always within its limit, so that no language goes without a model.
     limits = labelled.groupBy("lang").agg(F.greatest((share * (1 << 30)).cast("long"), F.min("at")).alias("limit"))
-    picked = labelled.join(F.broadcast(limits), "lang").where("at <= limit")
-    parts = picked.select("lang", "text").coalesce(8).mapInArrow(_count, "lang string, counts binary").collect()
+    # All tasks filter and write the sample; it is bounded, so few tasks can count it.
+    sample = store(labelled.join(F.broadcast(limits), "lang").where("at <= limit").select("lang", "text"), "language-sample")
+    parts = sample.coalesce(8).mapInArrow(_count(most_repeats), "lang string, counts binary").collect()
     sums: dict[str, np.ndarray] = {}
     for r in parts:
         sums[r["lang"]] = sums.get(r["lang"], 0) + np.frombuffer(r["counts"], np.int64)
@@ -131,7 +137,7 @@ def identify(records: DataFrame, langs: list[str], table: np.ndarray) -> DataFra
     if n == 0:
         none = F.lit(None).cast("string")
         return records.select("kind", "doc_id", none.alias("lang"), F.lit(None).cast("double").alias("posterior"), none.alias("text_lang"), "declared", "host")
-    rows = records.mapInArrow(_likelihoods(table), "kind string, doc_id long, declared string, host string, suffix string, ll array<double>")
+    rows = records.mapInArrow(_likelihoods(table), f"kind string, doc_id {id_type(records)}, declared string, host string, suffix string, ll array<double>")
 
     def normal(x):
         """Probabilities from logarithms."""

@@ -11,8 +11,9 @@ Bounds: `sample_rows` documents are fitted on (about as many: those whose hashed
 threshold), chosen by hash of the id. All counts cover all documents.
 
 Nulls: a null text is empty; empty texts (no words) are rejected with score 0. A null doc_id is kept
-as it is and never in the sample. Repeated rows are judged each for itself. An empty table gives no
-rows. Only doc_id and text are read.
+as it is and never in the sample. Ties: a score of just `least` is kept. Repeated rows are judged each
+for itself and count each for itself. Very long texts are taken whole, one at a time. Ids may be of any
+type. An empty table gives no rows. Only doc_id and text are read; clashing further columns do no harm.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import BYTE_CODE, CHUNK_BYTES, column_bytes, mix, pieces, powers, prefix_sums, store, word_bounds, word_hashes
+from factloom.llm.common import BYTE_CODE, CHUNK_BYTES, column_bytes, id_type, mix, pieces, powers, prefix_sums, store, word_bounds, word_hashes
 
 LABELLERS = ("symbols", "symbol_words", "odd_signs", "letterless", "capital_words", "capitals", "exclamation", "again", "runs", "pairs", "variety")
 N_FEATURES = 1 << 16
@@ -224,7 +225,7 @@ def _scorer(weights: np.ndarray):
 
 def fit(docs: DataFrame, sample_rows: int) -> tuple[dict[int, float], np.ndarray]:
     """(posterior of good for each vote pattern, weights of the scorer)."""
-    votes = store(docs.select("doc_id", "text").mapInArrow(_vote, "doc_id long, pattern int"), "quality-votes")
+    votes = store(docs.select("doc_id", "text").mapInArrow(_vote, f"doc_id {id_type(docs)}, pattern int"), "quality-votes")
     counts = votes.groupBy("pattern").count().orderBy("pattern").collect()  # 2**11 rows at most
     patterns, n = np.array([r["pattern"] for r in counts], np.int64), np.array([r["count"] for r in counts], np.float64)
     post, _, _ = label_model(patterns, n)
@@ -239,7 +240,7 @@ def fit(docs: DataFrame, sample_rows: int) -> tuple[dict[int, float], np.ndarray
 def quality_scores(docs: DataFrame, sample_rows: int = 4000, least: float = 0.5) -> DataFrame:
     """One row per document: doc_id, weak_label (posterior of its votes), score, kept."""
     posterior, weights = fit(docs, sample_rows)
-    scored = docs.select("doc_id", "text").mapInArrow(_scorer(weights), "doc_id long, pattern int, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(_scorer(weights), f"doc_id {id_type(docs)}, pattern int, score double")
     table = docs.sparkSession.createDataFrame([(k, round(v, 9)) for k, v in posterior.items()], "pattern int, weak_label double")
     out = scored.join(F.broadcast(table), "pattern", "left")  # 2**11 rows at most
     return out.select("doc_id", "weak_label", "score", (F.col("score") >= least).alias("kept"))

@@ -12,7 +12,7 @@ segments, and a table is built once for each distinct segment that a task meets.
 
 Nulls: a null text counts as empty: no pieces, only the end id. Characters outside the vocabulary
 become byte pieces. Repeated rows are encoded each for itself, an empty table gives no rows; columns
-other than doc_id and text are not read. Texts of any length are encoded whole.
+other than doc_id and text are not read. Texts of any length are encoded whole; ids may be of any type.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
+from factloom.llm.common import id_type
+
 MARK = "▁"
 #: Segment: spaces (or marks, which are the same), then other characters; or spaces that end the text.
 SEGMENT = re.compile(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+")
@@ -238,7 +240,7 @@ def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
             n, ids, back = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type(docs)}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
@@ -251,7 +253,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([c.encode(t or "") for t in b.column("text").to_pylist()], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type(docs)}, ids array<int>")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -264,4 +266,4 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([c.decode(i or []) for i in b.column("ids").to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {id_type(encoded)}, text string")

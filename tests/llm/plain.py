@@ -119,3 +119,79 @@ def rules(text: str | None) -> tuple[int, int, int, int, int]:
     times = Counter(grams)
     covered = {i + k for i, g in enumerate(grams) if times[g] > 1 for k in range(5)}
     return len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
+
+
+def language_posteriors(records: list[tuple], ll: list[list[float]]) -> list[list[float]]:
+    """Posteriors of (declared, host, suffix) records with log-likelihoods ll, by plain sums over dictionaries."""
+    n = len(ll[0])
+
+    def normal(x: list[float]) -> list[float]:
+        top = max(x)
+        e = [math.exp(v - top) for v in x]
+        return [v / sum(e) for v in e]
+
+    own = [[round(p * 1_000_000) / 1_000_000 for p in normal(x)] for x in ll]
+    out = []
+    for k, (declared, host, suffix) in enumerate(records):
+        def counts(same) -> list[float]:
+            """Posteriors of all other records of the kind, summed."""
+            return [sum(o[i] for j, (o, r) in enumerate(zip(own, records, strict=True)) if j != k and same(r)) for i in range(n)]
+
+        def smoothed(c: list[float], parent: list[float], weight: float) -> list[float]:
+            return [(x + weight * p) / (sum(c) + weight) for x, p in zip(c, parent, strict=True)]
+
+        general = [sum(o[i] for o in own) for i in range(n)]
+        p_all = smoothed(general, [1 / n] * n, 1.0)
+        p_suffix = smoothed(counts(lambda r: suffix is not None and r[2] == suffix), p_all, 20.0)
+        p_host = smoothed(counts(lambda r: host is not None and r[1] == host and r[2] == suffix), p_suffix, 5.0)
+        said = smoothed(counts(lambda r: declared is not None and r[0] == declared), p_all, 1.0)
+        out.append(normal([a + math.log(h) + math.log(d / p) for a, h, d, p in zip(ll[k], p_host, said, p_all, strict=True)]))
+    return out
+
+
+def weak_labels(votes: list[tuple[bool, ...]], rounds: int = 200) -> dict[tuple[bool, ...], float]:
+    """EM over single documents: posterior of good for each pattern of votes."""
+    n = len(votes[0])
+    share, objects = 0.9, {False: [0.3] * n, True: [0.01] * n}
+    post = {v: 1.0 for v in votes}
+    for _ in range(rounds):
+        new = {}
+        for v in post:
+            like = {}
+            for good, prior in ((False, 1 - share), (True, share)):
+                like[good] = prior
+                for said, rate in zip(v, objects[good], strict=True):
+                    like[good] *= rate if said else 1 - rate
+            new[v] = like[True] / (like[True] + like[False])
+        done = max(abs(new[v] - post[v]) for v in post) < 1e-9
+        post = new
+        share = min(max(sum(post[v] for v in votes) / len(votes), 1e-4), 1 - 1e-4)
+        for good, start in ((False, 0.3), (True, 0.01)):
+            weight = [post[v] if good else 1 - post[v] for v in votes]
+            objects[good] = [(sum(w for w, v in zip(weight, votes, strict=True) if v[k]) + start) / (sum(weight) + 1) for k in range(n)]
+        if done:
+            break
+    return post
+
+
+def scorer_weights(rows: list[dict], posterior: dict[int, float], rounds: int, rate: float = 2.0) -> tuple[dict[int, float], float]:
+    """Weights by feature and the bias, one row and feature at a time."""
+    w: dict[int, float] = {}
+    seen: dict[int, float] = {}
+    bias, bias_seen = 0.0, 1e-8
+    for _ in range(rounds):
+        gradient: dict[int, float] = {}
+        whole = 0.0
+        for r in rows:
+            z = bias + sum(w.get(f, 0.0) * math.sqrt(s) for f, s in zip(r["feature"], r["share"], strict=True))
+            error = (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - posterior[r["pattern"]]) / len(rows)
+            whole += error
+            for f, s in zip(r["feature"], r["share"], strict=True):
+                gradient[f] = gradient.get(f, 0.0) + error * math.sqrt(s)
+        for f, g in gradient.items():
+            g += 1e-6 * w.get(f, 0.0)
+            seen[f] = seen.get(f, 1e-8) + g * g
+            w[f] = w.get(f, 0.0) - rate * 0.05 * g / math.sqrt(seen[f])
+        bias_seen += whole * whole
+        bias -= rate * 0.05 * whole / math.sqrt(bias_seen)
+    return w, bias

@@ -142,6 +142,16 @@ def test_sentencepiece_equals_the_library(spark, awkward):
     assert all(back[i] == (t or "").replace("▁", " ") for i, t in enumerate(awkward))
 
 
+def test_sentencepiece_decodes_ids_of_real_texts(real_texts):
+    import sentencepiece
+
+    lib, ours = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path()), sentencepiece_bpe.PrefixTableBPE(tokenizer_path())
+    for _, t in real_texts:
+        ids = lib.encode(t or "") + [lib.eos_id()]
+        back = ours.decode(ids)
+        assert ours.encode(t or "") == ids and back == lib.decode(ids) and ours.digests(t or "")[2] == plain.sha(back)
+
+
 def test_sentencepiece_decodes_any_ids():
     import sentencepiece
 
@@ -173,6 +183,34 @@ def test_language_id(spark, real):
     assert rows[3]["declared"] == "de" and rows[1]["text_lang"] is None and len(rows) == 3
 
 
+def test_language_id_on_held_out_documents(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(3)))
+    langs, table = language_id.fit_models(d.where("fold > 0"))
+    held = d.where("fold = 0")
+    got = language_id.identify(language_id.from_documents(held), langs, table).join(held.select("doc_id", F.col("lang").alias("true")), "doc_id")
+    n, right = got.count(), got.where(F.col("lang") == F.col("true")).count()
+    assert n > 200 and right >= 0.93 * n
+
+
+def test_language_posteriors_equal_plain_sums(spark, real, awkward):
+    langs, table = language_id.fit_models(real)
+    texts = [r["text"] for r in real.orderBy("doc_id").limit(25).collect()] + [None, "", "ab", awkward[14]]
+    rng = random.Random(4)
+    facts = [(rng.choice([None, "de", "en", "xx"]), rng.choice([None, "a.example.de", "b.example.fr"]), None) for _ in texts]
+    facts = [(d, h, h and h[-2:]) for d, h, _ in facts]
+    facts[3] = facts[4]
+    rows = [("pages", f"id{k}", t or "", *f) for k, (t, f) in enumerate(zip(texts, facts, strict=True))]
+    records = spark.createDataFrame(rows, "kind string, doc_id string, text string, declared string, host string, suffix string").withColumn("own", F.lit("clash")).repartition(3)
+    got = {r["doc_id"]: r for r in language_id.identify(records, langs, table).collect()}
+    ll = []
+    for _, _, t, *_ in rows:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        gram = language_id.trigrams(raw) if len(raw) > 2 else np.zeros(0, np.int64)
+        ll.append([round(float(sum(float(x) for x in table[k][gram])) * language_id.TEMPER / max(len(gram), language_id.TEMPER), 6) for k in range(len(langs))])
+    for k, p in enumerate(plain.language_posteriors(facts, ll)):
+        assert got[f"id{k}"]["lang"] == langs[p.index(max(p))] and got[f"id{k}"]["posterior"] == pytest.approx(max(p), abs=2e-4)
+
+
 def test_language_models_cover_rare_languages(spark):
     rare = ["da", "fi", "hu", "nl", "pl", "sv"]
     rows = [(i, f"the words of document {i} and the rest", "en", "s", 1) for i in range(20_000)] + [(i, f"harvinainen teksti {x}", x, "s", 1) for i, x in enumerate(rare, 50_000)]
@@ -356,6 +394,39 @@ def test_quality_classifier_on_labels(spark):
     assert quality_classifier.quality_kept(d).count() == quality_classifier.quality_scores(d).where("kept").count()
 
 
+def test_label_model_equals_plain_em():
+    rng = random.Random(7)
+    n = len(quality_classifier.LABELLERS)
+    votes = [tuple(rng.random() < (0.5 if bad else 0.03) for _ in range(n)) for bad in (rng.random() < 0.25 for _ in range(400))]
+    code = lambda v: sum(1 << k for k, x in enumerate(v) if x)
+    times: dict[int, int] = {}
+    for v in votes:
+        times[code(v)] = times.get(code(v), 0) + 1
+    patterns = np.array(sorted(times))
+    post, _, _ = quality_classifier.label_model(patterns, np.array([times[p] for p in patterns], float))
+    want = {code(v): p for v, p in plain.weak_labels(votes).items()}
+    assert dict(zip(patterns.tolist(), post.tolist(), strict=True)) == pytest.approx(want, abs=1e-6)
+
+
+def test_scorer_equals_plain_steps():
+    rng = random.Random(2)
+    rows = [{"pattern": k % 3, "feature": sorted(rng.sample(range(30), 6)), "share": [rng.random() for _ in range(6)]} for k in range(20)]
+    posterior = {0: 0.9, 1: 0.2, 2: 0.6}
+    got = quality_classifier.fit_scorer(rows, posterior, rounds=25)
+    w, bias = plain.scorer_weights(rows, posterior, 25)
+    assert [got[f] for f in sorted(w)] == pytest.approx([w[f] for f in sorted(w)], abs=1e-6) and got[-1] == pytest.approx(bias, abs=1e-9)
+
+
+def test_quality_classifier_with_awkward_rows(spark, awkward):
+    d = frame(spark, [*awkward, *awkward[-3:]]).withColumn("pattern", F.lit("clash")).withColumn("weak_label", F.lit("clash")).withColumn("doc_id", F.col("doc_id").cast("string"))
+    got = {r["doc_id"]: r for r in quality_classifier.quality_scores(d).collect()}
+    assert len(got) == len(awkward) + 3 and not any(got[str(i)]["kept"] for i in range(4))
+    for k in range(3):
+        a, b = got[str(len(awkward) - 3 + k)], got[str(len(awkward) + k)]
+        assert (a["score"], a["kept"]) == (b["score"], b["kept"])
+    assert set(quality_classifier.quality_kept(d).columns) == set(d.columns)
+
+
 def test_chat_format(spark):
     talk = lambda c, *turns: [(c, k, "user" if k % 2 == 0 else "assistant", t) for k, t in enumerate(turns)]
     rows = talk(1, "a") + talk(2, "a", "b") + talk(3, "a", "b", "c") + talk(4, "a", "x") + talk(5, "a", "b", "c") + talk(6, "z") + [(7, 0, None, None)]

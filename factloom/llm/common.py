@@ -44,6 +44,15 @@ def release(*tables: DataFrame) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Up to so many rows of a few numbers each are sent to every task.
+MOST_BROADCAST = 1_000_000
+
+
+def sized(table: DataFrame) -> DataFrame:
+    """A stored table of a few numbers a row, to be broadcast if it is counted to be small; else a shuffle joins it."""
+    return F.broadcast(table) if table.count() <= MOST_BROADCAST else table
+
+
 def id_type(docs: DataFrame) -> str:
     """Type of doc_id, for schemas that carry it along."""
     return docs.schema["doc_id"].dataType.simpleString()

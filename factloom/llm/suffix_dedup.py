@@ -3,24 +3,31 @@
 The windows of 200 bytes are the suffixes to sort, each to that depth. They are dealt to buckets by
 content: a window belongs to its anchor, the 48-byte string in it with the least hash, so equal
 windows share the anchor's bytes and their offset from it. Neighbouring windows with one anchor form a
-stretch. A stretch whose anchor occurs once in the corpus has no repeated window, and one that
-occurs again as a whole has only repeated windows; the rest are sorted, one bucket at a time:
+stretch. A stretch whose anchor occurs once in the corpus has no repeated window, and one whose anchor
+only comes with that very stretch has only repeated windows; the rest are sorted, a bucket at a time:
 
-* stretches of a bucket are laid out so that anchors fall on multiples of V; positions whose
-  residue is in a difference cover of V are the sample;
+* the stretches of a bucket stand one after the other, as they come; positions whose residue modulo V
+  is in a difference cover are the sample (6 in 31 of all);
 * the sample is ranked beforehand by doubling (V, 2V, 4V, 8V bytes);
-* the windows are sorted by their first 32 bytes, and longer ties by the rank of the sample
-  position that the cover puts at the same distance from both, so memory is bounded by the bucket;
+* the windows are sorted by their first 32 bytes. Windows that tie there have any residues: two of them,
+  i and j, are settled by the ranks of i + d and j + d, where d < V is the distance at which both
+  meet the cover. All ties of the bucket are settled together, by the exchanges of a sorting network;
 * neighbours in the sorted order are compared over all 200 bytes.
 
+Memory: buckets reach a task in order of their key and are sorted as they come, about `BUCKET_BYTES`
+of them at once; a task never holds its partition. One bucket is bounded by `crowd` stretches, of which
+each is shorter than 400 bytes: an anchor with more different stretches is cut further by the bytes that
+all windows at one of its offsets share, and only what still agrees there stays together.
+
 Skew: a task's batch settles stretches that it holds twice or more by itself and passes on one of
-them, so a passage in a third of all documents costs a row a batch. An anchor with more than `crowd`
-different stretches is cut further by the bytes that all windows at one of its offsets share.
+them, so a passage in a third of all documents costs a row a batch. Anchors are counted with map-side sums,
+and stretches are grouped by anchor and content, so an anchor that many different stretches hold is spread
+over tasks.
 
 Nulls: a null text is empty; a null doc_id is kept as it is. Repeated rows are copies of each other
-and go whole (if 200 bytes or longer). An empty table gives no rows. Only doc_id and text are read;
-texts of any length are taken whole. Two stretches count as the same if anchor and stretch agree in
-two independent 64-bit hashes.
+and go whole (if 200 bytes or longer). Ties do not arise. An empty table gives no rows. Only doc_id and text
+are read, clashing further columns do no harm; ids may be of any type; texts of any length are taken
+whole. Two stretches count as the same if anchor and stretch agree in two independent 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,10 +36,10 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import BYTE_CODE, CHUNK_BYTES, mix, partitions, pieces, powers, prefix_sums, store
+from factloom.llm.common import BYTE_CODE, CHUNK_BYTES, id_type, mix, partitions, pieces, powers, prefix_sums, release, sized, store
 
 LENGTH, GRAM = 200, 48
 SPAN = LENGTH - GRAM + 1
@@ -43,8 +50,11 @@ BUCKET_BYTES = 2 << 20
 
 _covered = np.zeros(V, bool)
 _covered[list(COVER)] = True
-#: Distance from a residue to the next sample position.
-STEP = np.array([next(d for d in range(V) if _covered[(r + d) % V]) for r in range(V)])
+#: Place of a residue in the cover, -1 if it is not in it.
+SLOT = np.full(V, -1)
+SLOT[list(COVER)] = np.arange(len(COVER))
+#: Distance at which two residues meet the cover at once; below V, so within the bytes compared before.
+MEET = np.array([[next(d for d in range(V) if _covered[(a + d) % V] and _covered[(b + d) % V]) for b in range(V)] for a in range(V)])
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -112,7 +122,6 @@ def _texts(b) -> list[bytes]:
 #: Of a stretch: key (its anchor), stretch, row, first, windows, offset (of the anchor), known (has a twin in
 #: the batch). Of a settled span: key, row, first, windows; stretch is null.
 _STRETCH = "key long, stretch long, row long, first int, windows int, offset int, known boolean"
-_REQUEST = "key long, row long, first int, windows int, offset int, known boolean, crowd boolean, span boolean"
 
 
 def _stretches(batches: Iterator) -> Iterator:
@@ -150,52 +159,7 @@ def _stretches(batches: Iterator) -> Iterator:
             yield pa.RecordBatch.from_arrays([pa.array(spread), pa.nulls(n, pa.int64()), pa.array(who), pa.array(s.astype(np.int32)), pa.array((e - s - LENGTH + 1).astype(np.int32)), pa.array(np.zeros(n, np.int32)), pa.array(np.ones(n, bool))], ["key", "stretch", "row", "first", "windows", "offset", "known"])
 
 
-def _settle(crowd: int):
-    """Settles the anchors of a task: spans of whole repeats, and stretches that must be sorted."""
-
-    def out(key, row, first, windows, offset, known, crowded, span):
-        import pyarrow as pa
-
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(row), pa.array(first), pa.array(windows), pa.array(offset), pa.array(known), pa.array(crowded), pa.array(span)], ["key", "row", "first", "windows", "offset", "known", "crowd", "span"])
-
-    def run(batches: Iterator) -> Iterator:
-        held = []
-        for b in batches:
-            done = np.array(b.column("stretch").is_null())
-            col = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "row", "first", "windows", "offset", "known")}
-            if done.any():
-                x = {c: v[done] for c, v in col.items()}
-                n = int(done.sum())
-                yield out(x["key"], x["row"], x["first"], x["windows"], x["offset"], x["known"], np.zeros(n, bool), np.ones(n, bool))
-            if not done.all():
-                import pyarrow.compute as pc
-
-                s = pc.fill_null(b.column("stretch"), 0).to_numpy(zero_copy_only=False)
-                held.append([v[~done] for v in (*col.values(), s)])
-        if not held:
-            return
-        key, row, first, windows, offset, known, stretch = (np.concatenate(x) for x in zip(*held, strict=True))
-        del held
-        order = np.lexsort((stretch, key))
-        key, row, first, windows, offset, known, stretch = (x[order] for x in (key, row, first, windows, offset, known, stretch))
-        new_key = np.concatenate(([True], key[1:] != key[:-1]))
-        new = new_key | np.concatenate(([True], stretch[1:] != stretch[:-1]))
-        begin = np.flatnonzero(new)
-        times = np.diff(np.append(begin, len(key)))
-        many = np.repeat(times > 1, times)
-        settled = np.flatnonzero(many & ~known)  # known ones have been settled where they were met
-        n = len(settled)
-        yield out(key[settled], row[settled], first[settled], windows[settled], offset[settled], known[settled], np.zeros(n, bool), np.ones(n, bool))
-        group = np.cumsum(new_key[begin]) - 1
-        different = np.bincount(group)[group]
-        rest = different > 1
-        at = begin[rest]
-        yield out(key[at], row[at], first[at], windows[at], offset[at], known[at] | (times[rest] > 1), different[rest] > crowd, np.zeros(len(at), bool))
-
-    return run
-
-
-_PIECE = "key long, row long, first int, windows int, offset int, known boolean, bytes binary"
+_PIECE = "key long, row long, first int, windows int, known boolean, bytes binary"
 
 
 def _cut(batches: Iterator) -> Iterator:
@@ -210,15 +174,15 @@ def _cut(batches: Iterator) -> Iterator:
             for x in asked:
                 row, p, n, a = x["row"], x["first"], x["windows"], x["first"] + x["offset"]
                 if not x["crowd"]:
-                    out.append((x["key"], row, p, n, a - p, x["known"], text[p : p + n - 1 + LENGTH]))
+                    out.append((x["key"], row, p, n, x["known"], text[p : p + n - 1 + LENGTH]))
                     continue
                 for block in range((a - p - n + 1) // BLOCK, (a - p) // BLOCK + 1):
                     s, e = max(p, a - BLOCK * block - BLOCK + 1), min(p + n - 1, a - BLOCK * block)
                     core = text[a - BLOCK * block : a - BLOCK * block - BLOCK + 1 + LENGTH]
                     key = xxhash.xxh64_intdigest(core, (x["key"] + block) & (2**64 - 1)) - 2**63
-                    out.append((key, row, s, e - s + 1, a - s, x["known"], text[s : e + LENGTH]))
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-        names = ("key", "row", "first", "windows", "offset", "known", "bytes")
+                    out.append((key, row, s, e - s + 1, x["known"], text[s : e + LENGTH]))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+        names = ("key", "row", "first", "windows", "known", "bytes")
         for i in range(0, len(out), 20_000):
             cols = zip(*out[i : i + 20_000], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
@@ -244,72 +208,108 @@ def rank_sample(words: np.ndarray, blocks: int) -> np.ndarray:
     return rank
 
 
-def repeated_windows(texts: list[bytes], windows: np.ndarray, offset: np.ndarray) -> np.ndarray:
+def network(size: int):
+    """(p, k, pairs): Batcher's odd-even merge exchanges of places below `size`; groups of at most p places are in order by then."""
+    p = 1
+    while p < size:
+        k = p
+        while k:
+            low = np.arange(size - k)
+            at = low[(low >= k % p) & ((low - k % p) % (2 * k) < k) & (low // (2 * p) == (low + k) // (2 * p))]
+            yield p, k, at
+            k //= 2
+        p *= 2
+
+
+def settle_ties(starts: np.ndarray, order: np.ndarray, begin: np.ndarray, size: np.ndarray, rank: np.ndarray) -> None:
+    """Sort each run order[begin : begin + size] of windows that agree in their first 32 bytes, in place, by the cover."""
+    by_size = np.argsort(-size, kind="stable")
+    begin, size = begin[by_size], size[by_size]
+    m = len(COVER)
+    for p, k, low in network(int(size[0]) if len(size) else 0):
+        # Runs come largest first: those not in order yet that hold place low + k are the first `live` of them.
+        live = np.searchsorted(-size, -np.maximum(low + k, p), side="left")
+        low, live = low[live > 0], live[live > 0]
+        run = np.arange(int(live.sum())) - np.repeat(np.cumsum(live) - live, live)
+        x = begin[run] + np.repeat(low, live)
+        y = x + k
+        i, j = starts[order[x]], starts[order[y]]
+        d = MEET[i % V, j % V]
+        swap = rank[(i + d) // V * m + SLOT[(i + d) % V]] > rank[(j + d) // V * m + SLOT[(j + d) % V]]
+        x, y = x[swap], y[swap]
+        order[x], order[y] = order[y], order[x]
+
+
+def repeated_windows(texts: list[bytes], windows: np.ndarray) -> np.ndarray:
     """For each window of each text, in order: whether another window of the bucket has the same bytes."""
     size = np.array([len(t) for t in texts], np.int64)
-    room = (size + 2 * V) // V * V
-    begin = np.concatenate(([0], np.cumsum(room)[:-1])) + (-offset) % V  # anchors fall on multiples of V
-    total = int(room.sum())
-    blocks = total // V
-    data = np.zeros(total + LENGTH + 2 * V + 8, np.uint8)
-    flat = np.frombuffer(b"".join(texts), np.uint8)
-    data[np.repeat(begin - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(len(flat))] = flat
+    begin = np.concatenate(([0], np.cumsum(size)[:-1]))
+    total = int(size.sum())
+    blocks = total // V + 2
+    data = np.zeros(blocks * V + LENGTH + 2 * V + 8, np.uint8)
+    data[:total] = np.frombuffer(b"".join(texts), np.uint8)
     words = np.zeros(len(data) - 7, np.uint64)
     for k in range(8):
         words = (words << np.uint64(8)) | data[k : k + len(words)]
-    rank = rank_sample(words, blocks)
     starts = np.repeat(begin - np.concatenate(([0], np.cumsum(windows)[:-1])), windows) + np.arange(int(windows.sum()))
     out = np.zeros(len(starts), bool)
-    residue = starts % V
-    slot = np.full(V, -1)
-    slot[list(COVER)] = np.arange(len(COVER))
-    by_residue = np.argsort(residue, kind="stable")
-    bounds = np.searchsorted(residue[by_residue], np.arange(V + 1))
-    for r in range(V):
-        mine = by_residue[bounds[r] : bounds[r + 1]]
-        if len(mine) < 2:
-            continue
-        s = starts[mine]
-        sample = s + STEP[r]
-        tie = rank[np.minimum(sample // V * len(COVER) + slot[(r + STEP[r]) % V], len(rank) - 1)]
-        order = np.lexsort((tie, words[s + 24], words[s + 16], words[s + 8], words[s]))
-        s, mine = s[order], mine[order]
-        live = np.arange(len(s) - 1)
-        for d in range(0, LENGTH, 8):
-            live = live[words[s[live] + d] == words[s[live + 1] + d]]
-        out[mine[live]] = True
-        out[mine[live + 1]] = True
+    order = np.lexsort((words[starts + 24], words[starts + 16], words[starts + 8], words[starts]))
+
+    def alike(x: np.ndarray, depth: int) -> np.ndarray:
+        """The places of x whose window agrees with the next in so many bytes."""
+        for d in range(0, depth, 8):
+            x = x[words[starts[order[x]] + d] == words[starts[order[x + 1]] + d]]
+        return x
+
+    tied = np.zeros(len(order) + 1, bool)
+    tied[alike(np.arange(len(order) - 1), 32) + 1] = True  # agrees with the window before
+    first = np.flatnonzero(tied[1:] & ~tied[:-1])
+    if not len(first):
+        return out
+    last = np.flatnonzero(~tied[1:] & tied[:-1])
+    settle_ties(starts, order, first, last - first + 1, rank_sample(words, blocks))
+    same = alike(np.flatnonzero(tied[1:]), LENGTH)
+    out[order[same]] = True
+    out[order[same + 1]] = True
     return out
 
 
-def _sort(batches: Iterator) -> Iterator:
+def _repeats(part: list[tuple]):
     """Spans (row, first, end) of repeated windows among the stretches that are not known ones."""
     import pyarrow as pa
 
-    rows = [r for b in batches for r in zip(*[b.column(c).to_pylist() for c in ("key", "row", "first", "windows", "offset", "known", "bytes")], strict=True)]
-    rows.sort(key=lambda r: r[0])
-    i = 0
-    while i < len(rows):
-        j, held, last = i, 0, i
-        while j < len(rows) and (held < BUCKET_BYTES or rows[j][0] == rows[j - 1][0]):
-            held += len(rows[j][6])
-            j += 1
-        del last
-        part, i = rows[i:j], j
-        windows = np.array([r[3] for r in part], np.int64)
-        again = repeated_windows([r[6] for r in part], windows, np.array([r[4] for r in part], np.int64))
-        again &= ~np.repeat(np.array([r[5] for r in part]), windows)
-        at = np.flatnonzero(again)
-        if not len(at):
-            continue
-        which = np.repeat(np.arange(len(part)), windows)[at]
-        place = at - np.concatenate(([0], np.cumsum(windows)[:-1]))[which]
-        new = np.concatenate(([True], (which[1:] != which[:-1]) | (place[1:] != place[:-1] + 1)))
-        first = np.flatnonzero(new)
-        n = np.diff(np.append(first, len(at)))
-        who, start = which[first], place[first] + np.array([r[2] for r in part], np.int64)[which[first]]
-        row = np.array([r[1] for r in part], np.int64)[who]
-        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(start.astype(np.int32)), pa.array((start + n - 1 + LENGTH).astype(np.int32))], ["row", "first", "end"])
+    windows = np.array([r[3] for r in part], np.int64)
+    again = repeated_windows([r[5] for r in part], windows)
+    again &= ~np.repeat(np.array([r[4] for r in part]), windows)
+    at = np.flatnonzero(again)
+    if not len(at):
+        return None
+    which = np.repeat(np.arange(len(part)), windows)[at]
+    place = at - np.concatenate(([0], np.cumsum(windows)[:-1]))[which]
+    new = np.concatenate(([True], (which[1:] != which[:-1]) | (place[1:] != place[:-1] + 1)))
+    first = np.flatnonzero(new)
+    n = np.diff(np.append(first, len(at)))
+    start = place[first] + np.array([r[2] for r in part], np.int64)[which[first]]
+    row = np.array([r[1] for r in part], np.int64)[which[first]]
+    return pa.RecordBatch.from_arrays([pa.array(row), pa.array(start.astype(np.int32)), pa.array((start + n - 1 + LENGTH).astype(np.int32))], ["row", "first", "end"])
+
+
+def _sort(batches: Iterator) -> Iterator:
+    """Sorts the buckets of a task, which come in order of their key, about `BUCKET_BYTES` of whole buckets at a time."""
+    part: list[tuple] = []
+    held = 0
+    for b in batches:
+        for r in zip(*[b.column(c).to_pylist() for c in ("key", "row", "first", "windows", "known", "bytes")], strict=True):
+            if held >= BUCKET_BYTES and r[0] != part[-1][0]:
+                found = _repeats(part)
+                if found is not None:
+                    yield found
+                part, held = [], 0
+            part.append(r)
+            held += len(r[5])
+    found = _repeats(part) if part else None
+    if found is not None:
+        yield found
 
 
 def _remove(batches: Iterator) -> Iterator:
@@ -331,20 +331,37 @@ def _remove(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
 
-def suffix_dedup(docs: DataFrame, crowd: int = 4096) -> DataFrame:
+def sort_requests(found: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """(spans settled by counting, stretches that must be sorted) of all stretches."""
+    each = found.where("stretch is not null")
+    keys = each.groupBy("key").agg(F.count("*").alias("n"), F.min("stretch").alias("least"), F.max("stretch").alias("most")).where("n > 1")
+    keys = store(keys.select("key", (F.col("least") != F.col("most")).alias("differ")), "suffix-anchors")
+    met = store(each.join(sized(keys), "key"), "suffix-met")
+    twins = Window.partitionBy("key", "stretch")
+    mixed = met.where("differ").withColumn("times", F.count("*").over(twins)).withColumn("turn", F.row_number().over(twins.orderBy("row", "first")))
+    mixed = store(mixed, "suffix-mixed")
+    span = lambda df: df.select("row", "first", (F.col("first") + F.col("windows") - 1 + LENGTH).alias("end"))
+    spans = span(found.where("stretch is null")).unionByName(span(met.where("not differ and not known"))).unionByName(span(mixed.where("times > 1 and not known")))
+    one = mixed.where("turn = 1").withColumn("known", F.col("known") | (F.col("times") > 1))
+    crowds = store(one.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key", F.lit(True).alias("crowd")), "suffix-crowds")
+    asked = one.join(sized(crowds), "key", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
+    return spans, asked.select("key", "row", "first", "windows", "offset", "known", "crowd")
+
+
+def suffix_dedup(docs: DataFrame, crowd: int = 1024) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text.
 
     kept_text is the remaining bytes as text; where a cut splits a character, its rest becomes U+FFFD.
     """
-    n = partitions(docs.sparkSession)
-    table = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(_compress, "row long, doc_id long, z binary")
+    n, kind = partitions(docs.sparkSession), id_type(docs)
+    table = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(_compress, f"row long, doc_id {kind}, z binary")
     table = store(table, "suffix-texts")
-    found = table.select("row", "z").mapInArrow(_stretches, _STRETCH)
-    settled = store(found.repartition(n, "key").mapInArrow(_settle(crowd), _REQUEST), "suffix-settled")
-    asked = settled.where("not span").groupBy("row").agg(F.collect_list(F.struct("key", "row", "first", "windows", "offset", "known", "crowd")).alias("asked"))
+    found = store(table.select("row", "z").mapInArrow(_stretches, _STRETCH), "suffix-stretches")
+    whole, requests = sort_requests(found, crowd)
+    asked = requests.groupBy("row").agg(F.collect_list(F.struct("key", "row", "first", "windows", "offset", "known", "crowd")).alias("asked"))
     cut = table.select("row", "z").join(asked, "row").select("z", "asked").mapInArrow(_cut, _PIECE)
-    sorted_ = cut.repartition(n, "key").mapInArrow(_sort, "row long, first int, end int")
-    whole = settled.where("span").select("row", "first", (F.col("first") + F.col("windows") - 1 + LENGTH).alias("end"))
-    spans = whole.unionByName(store(sorted_, "suffix-sorted")).groupBy("row").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+    sorted_ = store(cut.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_sort, "row long, first int, end int"), "suffix-sorted")
+    spans = store(whole.unionByName(sorted_).groupBy("row").agg(F.collect_list(F.struct("first", "end")).alias("spans")), "suffix-spans")
+    release(found, sorted_)
     out = table.join(spans, "row", "left").select("doc_id", "z", "spans")
-    return out.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    return out.mapInArrow(_remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")

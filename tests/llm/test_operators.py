@@ -164,13 +164,59 @@ def test_sentencepiece_decodes_any_ids():
 
 @pytest.mark.parametrize("crowd", [4096, 2])
 def test_suffix_dedup(spark, awkward, crowd):
-    texts = [t for t in awkward if len(t or "") < 20_000]
+    rng = random.Random(3)
+    long_ = max((t for t in awkward if t), key=len)
+    texts = [*awkward, long_[:15_000] + " other " + long_[15_400:], long_[5:40_000], "é" + "".join(chr(rng.randint(97, 122)) for _ in range(40_000))]
     got = {r["doc_id"]: tuple(r)[1:5] for r in suffix_dedup.suffix_dedup(frame(spark, texts), crowd).collect()}
     assert [got[i] for i in range(len(texts))] == plain.repeated_bytes(texts)
 
 
+def test_suffix_dedup_settles_and_splits_an_anchor_of_many_stretches(spark):
+    """One line of 60 bytes in all documents: its anchor has as many different stretches as there are documents."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    line = " ".join(word() for _ in range(9))
+    shared = " ".join(word() for _ in range(40))
+    texts = [" ".join([*(word() for _ in range(40)), line, *(word() for _ in range(40))]) for _ in range(150)]
+    texts += [f"{word()} {shared[k:]} {line} {shared[: 200 + k]}" for k in range(40)]
+    want = plain.repeated_bytes(texts)
+    for crowd in (1024, 20):
+        got = {r["doc_id"]: tuple(r)[1:5] for r in suffix_dedup.suffix_dedup(frame(spark, texts), crowd).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
 def test_difference_cover():
-    assert {(a - b) % suffix_dedup.V for a in suffix_dedup.COVER for b in suffix_dedup.COVER} == set(range(suffix_dedup.V))
+    v, cover = suffix_dedup.V, suffix_dedup.COVER
+    assert {(a - b) % v for a in cover for b in cover} == set(range(v))
+    assert all((a + suffix_dedup.MEET[a, b]) % v in cover and (b + suffix_dedup.MEET[a, b]) % v in cover for a in range(v) for b in range(v)) and suffix_dedup.MEET.max() < 32
+
+
+def test_network_sorts_groups_of_any_size():
+    rng = np.random.default_rng(5)
+    for n in [*range(1, 20), 33, 100]:
+        x = rng.integers(0, 9, n)
+        want = sorted(x)
+        for _, k, low in suffix_dedup.network(n):
+            a, b = np.minimum(x[low], x[low + k]), np.maximum(x[low], x[low + k])
+            x[low], x[low + k] = a, b
+        assert x.tolist() == want
+
+
+def test_ties_of_windows_with_different_residues_are_settled_by_the_cover(monkeypatch):
+    """Windows that agree in more than 32 bytes and then differ, at all residues; without the cover's ranks they end in a wrong order."""
+    rng = random.Random(11)
+    common = bytes(rng.randrange(97, 100) for _ in range(150))
+    texts, windows = [], []
+    for _ in range(60):
+        text = bytes(rng.randrange(97, 123) for _ in range(rng.randrange(1, 40))) + common + bytes(rng.randrange(97, 99) for _ in range(9)) + b"x" * 41
+        texts.append(text + text[:3])
+        windows.append(len(texts[-1]) - 199)
+    flat = [t[i : i + 200] for t, n in zip(texts, windows, strict=True) for i in range(n)]
+    got = suffix_dedup.repeated_windows(texts, np.array(windows))
+    want = [flat.count(x) > 1 for x in flat]
+    assert got.tolist() == want and got.any()
+    monkeypatch.setattr(suffix_dedup, "settle_ties", lambda *_: None)
+    assert suffix_dedup.repeated_windows(texts, np.array(windows)).tolist() != want
 
 
 def test_language_id(spark, real):

@@ -45,7 +45,7 @@ def release(*tables: DataFrame) -> None:
 
 
 #: Up to so many rows of a few numbers each are sent to every task.
-MOST_BROADCAST = 1_000_000
+MOST_BROADCAST = 250_000
 
 
 def sized(table: DataFrame) -> DataFrame:

@@ -4,27 +4,32 @@ Two documents link when 100 * |A & B| >= 75 * |A | B| over their sets of five-wo
 
 Signatures. Set sizes fall into bands [L, L'), L' = 4L // 3 + 1, so linked sets lie in one band or in
 neighbouring ones. In the instance of band i (smaller set in i, larger one in i or i + 1) linked sets
-differ in at most k = (L' - 1) // 3 shingles. The shingle domain is cut into n1 > k partitions by hash
-range; a set's signature for a partition is a hash of what the set has there. Linked sets agree in
-n1 - k partitions at least: one signature in common is enough to meet, and the number of common
-signatures is a lossless filter. Partitions where a set has nothing give no signature; a set with so
-many of them that the bound falls to nothing also gives the hashes of its least shingles (as many
-as a linked set cannot all miss).
+differ in at most k = (L' - 1) // 3 shingles. The shingle domain is cut by hash range into n1 partitions,
+more than k / 2, so in some of them linked sets differ in one shingle at most. Each partition is cut into
+n2 = 3 parts, and its subsets of n2 - 1 parts are enumerated: a signature is a hash of what a set has in
+such a subset. One difference leaves one subset of its partition alone, no difference leaves all three;
+so linked sets have one signature in common at least, and with the partitions beyond k / 2 that there
+are, as many as `promised` says. That number is a lossless filter. Subsets where a set has nothing give no
+signature; a (small) set with so many of them that its promise falls to nothing also gives the hashes of
+its least shingles (as many as a linked set cannot all miss).
 
 Meeting. Documents with equal sets are one class before anything is compared. A class keeps the
-signatures it shares with others; if these are fewer than its bound it cannot have a partner. Of the
-rest, rarest first, it keeps so many that no partner can miss them all (x - bound + 1 of x), which
-leaves out signatures made of very common passages. A shared signature ties its classes to the least
-of them, so no pairs within a group are made; the ties give families, outside which nothing links.
-
-Links. Each class is compared with the member that most of its signatures are tied to; that gives
-components. Families that still hold several are compared block by block, all members against those
-outside the largest component, as products of 0/1 matrices, so pairs are counted but never written.
+signatures it shares with others; if these are fewer than its promise it cannot have a partner. Of the
+rest, rarest first, it keeps so many that no partner can miss them all (x - promise + 1 of x), which
+leaves out signatures made of very common passages. The least signature that two linked classes share
+is kept by both.
+
+Links. A shared signature ties its classes to the least of them, so no pairs within a group are made. Each
+class is compared with the class that most of its signatures are tied to; that gives components. After
+that a signature is open if classes of several components keep it. Only classes that keep an open
+signature are compared further: those that open signatures connect, block by block, all against those
+outside their largest component, as products of 0/1 matrices, so pairs are counted but never written.
 No signature, partner or candidate is dropped.
 
 Nulls: a null text is empty: size 0, linked with nothing, its own component. A row with a null doc_id
-gets its size and a null component. Rows that repeat a doc_id are one vertex. Empty tables give no
-rows. Only doc_id and text are read.
+gets its size and a null component. Rows that repeat a doc_id are one vertex. Ids are whole numbers.
+Very long texts are taken whole. Ties do not arise. Empty tables give no rows. Only doc_id and text are
+read; clashing further columns do no harm.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import CHUNK_BYTES, column_bytes, mix, partitions, pieces, shingle_sets, store
+from factloom.llm.common import CHUNK_BYTES, MOST_BROADCAST, column_bytes, mix, partitions, pieces, release, shingle_sets, sized, store
 
 SET = ("n", "k1", "k2")
 _P1, _P2, _P3 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -50,10 +55,19 @@ def bands(most: int) -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
+#: Parts of a partition; signatures take all of them but one.
+N2 = 3
+
+
 def instance(low: np.ndarray, band: int) -> tuple[int, int]:
     """(k, n1) of a band's instance: the most shingles linked sets differ in, and the partitions."""
     k = int(low[band + 1] - 1) // 3
-    return k, k + 1 + (k + 3) // 4
+    return k, k // 2 + 1 + k // 8
+
+
+def promised(k: int, n1: int) -> int:
+    """Of n1 * N2 subsets, those that k differences surely leave alone: the first one in a partition spoils two, the second the third."""
+    return N2 * n1 - (2 * min(k, n1) + max(0, k - n1))
 
 
 def prefix_length(n: int) -> int:
@@ -62,9 +76,9 @@ def prefix_length(n: int) -> int:
 
 
 def signatures(s: np.ndarray, low: np.ndarray) -> list[tuple[int, np.ndarray, int]]:
-    """(band, signatures, bound) of a sorted set for each instance it takes part in.
+    """(band, signatures, promise) of a sorted set for each instance it takes part in.
 
-    bound: signatures that any partner surely has in common with this set (at most 0: no promise).
+    promise: signatures that any partner surely has in common with this set (at most 0: no promise).
     The two lowest bits of a signature tell the band's number modulo 4.
     """
     n, out = len(s), []
@@ -73,14 +87,22 @@ def signatures(s: np.ndarray, low: np.ndarray) -> list[tuple[int, np.ndarray, in
         k, n1 = instance(low, band)
         if k == 0:
             continue
-        part = ((s >> np.uint64(32)) * np.uint64(n1)) >> np.uint64(32)
+        part = (((s >> np.uint64(32)) * np.uint64(n1 * N2)) >> np.uint64(32)).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        held = np.zeros(n1 * N2, np.uint64)
+        held[part[first]] = np.add.reduceat(mix(s ^ _P1), first)
+        some = np.zeros(n1 * N2, np.int64)
+        some[part[first]] = 1
+        held, some = held.reshape(n1, N2), some.reshape(n1, N2)
+        # The subset that leaves out part j of partition q: the partition's sum without that part's.
+        subset = held.sum(axis=1, dtype=np.uint64)[:, None] - held
+        live = (some.sum(axis=1)[:, None] - some > 0).ravel()
         tag = np.uint64(band * int(_P3) % 2**64)
-        sig = mix(np.add.reduceat(mix(s ^ _P1), first) + part[first] * _P2 + tag)
-        bound = n1 - k - (n1 - len(first))
-        if bound <= 0:
+        sig = mix(subset.ravel() + np.arange(n1 * N2, dtype=np.uint64) * _P2 + tag)[live]
+        promise = promised(k, n1) - (n1 * N2 - len(sig))
+        if promise <= 0:
             sig = np.concatenate((sig, mix((s[: prefix_length(n)] ^ _P2) + tag)))
-        out.append((band, (sig & ~np.uint64(3)) | np.uint64(band & 3), bound))
+        out.append((band, (sig & ~np.uint64(3)) | np.uint64(band & 3), promise))
     return out
 
 
@@ -133,8 +155,8 @@ def _emit(buckets: int):
         for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
             x, r = sig[cuts[k] : cuts[k + 1]], row[cuts[k] : cuts[k + 1]]
             who, per = np.unique(r, return_counts=True)
-            # The bucket stands for the upper bits of its signatures; the lower 48 go along.
-            fields = (x.astype(np.uint32), (x >> np.uint64(32)).astype(np.uint16), ids[who], sizes[who], bounds[who], per.astype(np.int32))
+            # The bucket stands for the upper bits of its signatures; the lower 40 go along.
+            fields = (x.astype(np.uint32), (x >> np.uint64(32)).astype(np.uint8), ids[who], sizes[who], bounds[who], per.astype(np.int32))
             for name, v in zip(PACKED, (k, *[f.tobytes() for f in fields]), strict=True):
                 out[name].append(v)
         return pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *[pa.array(out[k], pa.binary()) for k in PACKED[1:]]], list(PACKED))
@@ -175,7 +197,7 @@ def _meet(batches: Iterator) -> Iterator:
     if not rows:
         return
     get = lambda k, t: np.concatenate([np.frombuffer(r[k].as_buffer(), t) for r in rows])
-    sig = get(0, np.uint32) | (get(1, np.uint16).astype(np.uint64) << np.uint64(32))
+    sig = get(0, np.uint32) | (get(1, np.uint8).astype(np.uint64) << np.uint64(32))
     ids, sizes, bounds, count = get(2, np.int64), get(3, np.int32), get(4, np.int32), get(5, np.int32)
     del rows
     at = np.repeat(np.arange(len(count), dtype=np.int32), count)
@@ -206,17 +228,21 @@ def _meet(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(ids[at[cut]]), pa.array(rank[cut]), pa.array(center[cut]), pa.array(kind[cut].astype(np.int32))], ["a", "rank", "center", "kind"])
 
 
-def ties(docs: DataFrame) -> DataFrame:
-    """(a, centers, best): the classes that a class is tied to, and the one it is tied to most often."""
+def kept_signatures(docs: DataFrame) -> DataFrame:
+    """(a, kept): the signatures (rank, center) that a class keeps, by instance; a list is bounded by the class's own text."""
     buckets = partitions(docs.sparkSession)
     packed = docs.mapInArrow(_emit(buckets), "bucket int, " + ", ".join(f"{c} binary" for c in PACKED[1:]))
     met = packed.repartitionById(buckets, "bucket").mapInArrow(_meet, _MET)
-    # At most one row for each signature of a class, so the lists are bounded by the class's own text.
     each = met.groupBy("a", "kind").agg(F.array_sort(F.collect_list(F.struct("rank", "center"))).alias("all"))
     need = F.col("kind").bitwiseAND(F.lit((1 << 24) - 1))
-    each = each.where(F.size("all") >= need).withColumn("kept", F.slice("all", F.lit(1), F.size("all") - need + 1))
+    each = each.where(F.size("all") >= need).select("a", F.slice("all", F.lit(1), F.size("all") - need + 1).alias("kept"))
+    return store(each, "jaccard-kept")
+
+
+def ties(kept: DataFrame) -> DataFrame:
+    """(a, centers, best): the classes that a class is tied to, and the one it is tied to most often."""
     centers = F.filter(F.transform("kept", lambda x: x["center"]), lambda c: c != F.col("a"))
-    each = each.select("a", centers.alias("c")).where(F.size("c") > 0)
+    each = kept.select("a", centers.alias("c")).where(F.size("c") > 0)
     votes = F.transform(F.array_distinct("c"), lambda d: F.struct(F.size(F.filter("c", lambda e: e == d)).alias("n"), (-d).alias("minus")))
     return store(each.select("a", F.array_distinct("c").alias("centers"), (-F.array_max(votes)["minus"]).alias("best")), "jaccard-ties")
 
@@ -255,13 +281,9 @@ def _verify_whole(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(verdict, pa.int32())], ["a", "b", "verdict"])
 
 
-#: Up to so many ids (16 bytes each) are sent to every task; more are joined by a shuffle.
-MOST_BROADCAST = 1_000_000
-
-
 def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Semi or anti join with a stored list of ids, whose size decides how."""
-    return docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc_id", how)
+    return docs.join(sized(ids), "doc_id", how)
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, pack) -> DataFrame:
@@ -382,7 +404,7 @@ def compare_families(sets: DataFrame, members: DataFrame, every: bool) -> DataFr
     """
     size = members.groupBy("family", "label").agg(F.count("*").alias("n"))
     largest = size.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most")).where("most < n")
-    m = members.join(store(largest, "jaccard-open"), "family").join(sets.select("node", "words"), "node")
+    m = members.join(sized(store(largest, "jaccard-families")), "family").join(sets.select("node", "words"), "node")
     nl, nr = _blocks(F.col("n") - F.col("most")), _blocks(F.col("n")) if every else F.lit(1)
     left = m.where("label != largest").withColumn("side", F.lit(0)).withColumn("i", _own(nl)).withColumn("j", _span(nr))
     right = m if every else m.where((F.col("label") == F.col("largest")) & (_own(_blocks(F.col("most"))) == 0))
@@ -398,39 +420,56 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = links.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("to")))
     both = store(both.distinct(), "jaccard-edges")
-    labels = store(both.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("label")), "jaccard-labels")
+    labels = held = store(both.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("label")), "jaccard-labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("to"), "label"), "to").groupBy("node").agg(F.min("label").alias("near"))
         new = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
         new = store(new.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "jaccard-labels")
-        labels = new.select("node", "label")
+        release(held)
+        labels, held = new.select("node", "label"), new
         if new.where("old != label").isEmpty():
+            release(both)
             return labels
 
 
+def open_members(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, label, family) of the classes that keep a signature which other components keep too.
+
+    groups: node, rank. A family is what open signatures connect: classes that link, but are not in one component
+    yet, keep one signature in common, so they are in one family.
+    """
+    g = groups.join(labels, "node", "left").select("node", "rank", F.coalesce("label", "node").alias("label"))
+    open_ = g.groupBy("rank").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min("node").alias("head")).where("least < most")
+    live = store(g.join(sized(store(open_.select("rank", "head"), "jaccard-open")), "rank").select("node", "label", "head").distinct(), "jaccard-live")
+    family = components(live.where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")))
+    out = live.select("node", "label").distinct().join(family.withColumnRenamed("label", "family"), "node")
+    return store(out, "jaccard-members")
+
+
 def link_components(docs: DataFrame) -> DataFrame:
     """(node, label) for the classes of `docs` (one row a doc_id) that link with others."""
-    tied = ties(docs)
+    kept = kept_signatures(docs)
+    tied = ties(kept)
     nodes = tied.select(F.col("a").alias("doc_id"), "best").unionByName(tied.select(F.explode("centers").alias("doc_id"), F.lit(None).cast("long").alias("best")))
     nodes = store(nodes.groupBy("doc_id").agg(F.max("best").alias("best")), "jaccard-nodes")
-    few = nodes.count() <= MOST_BROADCAST
-    sets = docs.join(F.broadcast(nodes) if few else nodes, "doc_id").select("doc_id", "text", "best").mapInArrow(_pack, "node long, best long, words binary")
+    sets = docs.join(sized(nodes), "doc_id").select("doc_id", "text", "best").mapInArrow(_pack, "node long, best long, words binary")
     sets = store(sets, "jaccard-sets")
 
     def linked(verdicts: DataFrame) -> DataFrame:
         return verdicts.where("verdict = 1").select("a", "b").unionByName(whole_links(docs, verdicts.where("verdict = 2").select("a", "b")))
 
     links = store(linked(compare_stars(sets)), "jaccard-links")
-    families = components(tied.select("a", F.explode("centers").alias("b"))).withColumnRenamed("label", "family")
-    families = store(families, "jaccard-families")
+    groups = kept.select(F.col("a").alias("node"), F.explode("kept.rank").alias("rank"))
     labels = components(links)
     for every in (False, True):
-        members = store(families.join(labels, "node", "left").select("node", "family", F.coalesce("label", "node").alias("label")), "jaccard-members")
+        members = open_members(groups, labels)
         more = store(linked(compare_families(sets, members, every)), "jaccard-more")
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links)
+        release(members)
+    release(kept, tied, nodes, sets)
     return labels
 
 

@@ -349,6 +349,36 @@ def test_families_are_compared_in_blocks(spark, monkeypatch):
     assert got == plain.near_components(list(enumerate(texts)))
 
 
+def test_linked_sets_share_the_promised_signatures():
+    rng = np.random.default_rng(4)
+    low = jaccard_join.bands(1 << 12)
+    for n in [3, 4, 5, 7, 9, 12, 20, 41, 90, 200, 700, 2000]:
+        for _ in range(40):
+            a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            gone = rng.integers(0, len(a) // 4 + 1)
+            new = rng.integers(0, len(a) // 4 + 1)
+            b = np.unique(np.concatenate((rng.permutation(a)[gone:], rng.integers(0, 2**64, new, dtype=np.uint64))))
+            common = len(np.intersect1d(a, b))
+            if 100 * common < 75 * (len(a) + len(b) - common) or gone + new == 0 or len(b) < 3:
+                continue
+            left, right = ({band: (set(sig.tolist()), bound) for band, sig, bound in jaccard_join.signatures(x, low)} for x in (a, b))
+            assert any(len(left[i][0] & right[i][0]) >= max(1, left[i][1], right[i][1]) for i in left.keys() & right.keys())
+
+
+def test_signatures_enumerate_the_subsets_of_partitions():
+    low = jaccard_join.bands(1 << 12)
+    s = np.sort(np.random.default_rng(1).integers(0, 2**64, 600, dtype=np.uint64))
+    for band, sig, promise in jaccard_join.signatures(s, low):
+        k, n1 = jaccard_join.instance(low, band)
+        assert jaccard_join.N2 * n1 >= len(sig) > 0.9 * jaccard_join.N2 * n1 and promise > 0
+        part = (s >> np.uint64(32)) * np.uint64(3 * n1) >> np.uint64(32)
+        own, spoilt = set(sig.tolist()), {}
+        for x in (0, 300):  # without a shingle, the two subsets with its part change, and the partition's third does not
+            (_, other, _), = [y for y in jaccard_join.signatures(np.delete(s, x), low) if y[0] == band] or [(0, sig, 0)]
+            spoilt[int(part[x])] = len(own - set(other.tolist()))
+        assert set(spoilt.values()) <= {0, 1, 2} and 2 in spoilt.values()
+
+
 def test_common_counts():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, 30).astype(np.uint32)) for _ in range(12)]

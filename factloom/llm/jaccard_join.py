@@ -440,10 +440,11 @@ def open_members(groups: DataFrame, labels: DataFrame) -> DataFrame:
     yet, keep one signature in common, so they are in one family.
     """
     g = groups.join(labels, "node", "left").select("node", "rank", F.coalesce("label", "node").alias("label"))
-    open_ = g.groupBy("rank").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min("node").alias("head")).where("least < most")
-    live = store(g.join(sized(store(open_.select("rank", "head"), "jaccard-open")), "rank").select("node", "label", "head").distinct(), "jaccard-live")
-    family = components(live.where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")))
-    out = live.select("node", "label").distinct().join(family.withColumnRenamed("label", "family"), "node")
+    open_ = g.groupBy("rank").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("rank", "least")
+    live = store(g.join(sized(store(open_, "jaccard-open")), "rank").select("node", "label", "least").distinct(), "jaccard-live")
+    # Components are connected, not classes: one row for each component and least neighbour.
+    family = components(live.where("label != least").select(F.col("label").alias("a"), F.col("least").alias("b")).distinct())
+    out = live.select("node", "label").distinct().join(family.select(F.col("node").alias("label"), F.col("label").alias("family")), "label")
     return store(out, "jaccard-members")
 
 

@@ -10,6 +10,11 @@ VERSIONS = {
     "checks": "checks@1", "compare": "compare@2", "normalize": "normalize@2", "chunk": "chunk@1", "batch": "batch@1", "parse": "parse@1", "verify": "verify@1", "layout": "layout@1",
 }
 
+#: The versions that stored results were made with; a run under others is not comparable with them.
+FROZEN = {
+    "checks": "checks@1", "compare": "compare@2", "normalize": "normalize@2", "chunk": "chunk@1", "batch": "batch@1", "parse": "parse@1", "verify": "verify@1", "layout": "layout@1",
+}
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -26,10 +31,13 @@ class Settings:
     embedding_width: int = 768
     most_upload_mb: int = 50
     most_pages: int = 300
+    provider_timeout_ms: int = 120_000
+    provider_retries: int = 5
 
     RANGES = {
         "semantic_top_k": (1, 1000), "model_concurrency": (1, 64), "batch_input_tokens": (100, 1_000_000), "batch_chunks": (1, 100), "extract_token_budget": (0, 10**12), "compare_token_budget": (0, 10**12),
         "chunk_target_tokens": (1, 100_000), "chunk_most_tokens": (1, 100_000), "embedding_width": (1, 65_536), "most_upload_mb": (1, 2000), "most_pages": (1, 100_000),
+        "provider_timeout_ms": (1000, 600_000), "provider_retries": (0, 20),
     }
 
     def __post_init__(self) -> None:

@@ -70,9 +70,13 @@ def decimal_places(token: Column | str) -> Column:
     return F.length(F.regexp_extract(F.replace(col(token), F.lit(","), F.lit("")), r"\.([0-9]+)$", 1))
 
 
+#: A figure with more decimal places than this is not read: its rounding would not fit `DEC`.
+MOST_PLACES = 9
+
+
 def half_width(places: Column) -> Column:
-    """Half a unit of the last decimal place, for up to 9 places."""
-    return F.element_at(F.array(*[F.lit(f"{5 / 10 ** (k + 1):.{k + 1}f}").cast(DEC) for k in range(10)]), F.least(places, F.lit(9)) + 1)
+    """Half a unit of the last decimal place; null beyond `MOST_PLACES`."""
+    return F.get(F.array(*[F.lit(f"{5 / 10 ** (k + 1):.{k + 1}f}").cast(DEC) for k in range(MOST_PLACES + 1)]), places)
 
 
 def parse_numeric(raw: Column | str) -> Column:
@@ -117,13 +121,14 @@ def plain(value: Column) -> Column:
 
 
 def normalize_value(numeric: Column | str, scale: Column | str, unit: Column | str, currency: Column | str) -> Column:
-    """Struct (value, unit, half_width, steps) in base units; null if the figure cannot be read.
+    """Struct (value, unit, half_width, steps) in base units; null if the figure cannot be read or has too many places.
 
     A proportion unit wins over scale and currency; basis points become percent. A scale word that is
     not known stays in the unit, unconverted.
     """
     numeric, scale, unit, currency = map(col, (numeric, scale, unit, currency))
-    value, places = numeric.try_cast(DEC), decimal_places(numeric)
+    places = decimal_places(numeric)
+    value = F.when(places <= MOST_PLACES, numeric.try_cast(DEC))
     proportion = F.try_element_at(_map(PROPORTIONS), F.lower(F.trim(unit)))
     factor, word = multiplier(scale), F.lower(F.trim(scale))
     step = "array<struct<step:string,from:string,to:string,factor:string>>"
@@ -145,7 +150,7 @@ def normalize_value(numeric: Column | str, scale: Column | str, unit: Column | s
 
 
 def compare_values(a: Column, b: Column) -> Column:
-    """Struct (agreement, difference, relative) of two normalised values.
+    """Struct (agreement, difference, relative, reason) of two normalised values.
 
     Other units: incomparable. Else the closed rounding intervals overlap (agree) or not (disagree).
     """
@@ -153,19 +158,35 @@ def compare_values(a: Column, b: Column) -> Column:
     most = F.greatest(F.abs(a["value"]), F.abs(b["value"]))
     same = a["unit"] == b["unit"]
     meets = (a["value"] - a["half_width"] <= b["value"] + b["half_width"]) & (b["value"] - b["half_width"] <= a["value"] + a["half_width"])
+    codes = sorted(set(CURRENCIES.values()))
+    reason = first_match([
+        (~same & a["unit"].isin(*codes) & b["unit"].isin(*codes), F.concat(F.lit("no exchange rate is given for "), a["unit"], F.lit(" and "), b["unit"])),
+        (~same, F.concat(a["unit"], F.lit(" cannot be set against "), b["unit"])), (meets, F.lit("within rounding")),
+    ], F.concat(plain(apart), F.lit(" "), a["unit"], F.lit(" apart, beyond rounding")))
     out = F.struct(
         F.when(~same, "incomparable").when(meets, "agree").otherwise("disagree").alias("agreement"),
-        F.when(same, apart).alias("difference"), F.when(same & (most != 0), (apart / most).cast("decimal(38,12)")).alias("relative"),
+        F.when(same, apart).alias("difference"), F.when(same & (most != 0), (apart / most).cast("decimal(38,12)")).alias("relative"), reason.alias("reason"),
     )
     return F.when(a.isNotNull() & b.isNotNull(), out)
 
 
 def scale_ratio(a: Column, b: Column) -> Column:
-    """|a / b| if it is a power of ten other than 1, whatever the units; null if either is 0."""
-    x, y = F.abs(a["value"]), F.abs(b["value"])
-    rules = [((x != 0) & (y != 0) & (x == y * F.lit(10**k).cast("decimal(20,0)")), F.lit(str(10**k)).cast("decimal(38,12)")) for k in range(1, 13)]
-    rules += [((x != 0) & (y != 0) & (y == x * F.lit(10**k).cast("decimal(20,0)")), F.lit(f"{10.0**-k:.12f}").cast("decimal(38,12)")) for k in range(1, 13)]
-    return first_match(rules)
+    """|a / b| if it is a power of ten other than 1, whatever the units and the power; null if either is 0.
+
+    Such figures have the same digits; the power is the distance between their leading digits' places.
+    """
+
+    def written(x: Column) -> Column:
+        text = F.abs(x["value"]).cast("string")
+        whole, part = F.regexp_extract(text, r"^0*([0-9]*)", 1), F.regexp_extract(text, r"\.([0-9]*)$", 1)
+        place = F.when(F.length(whole) > 0, F.length(whole)).otherwise(-F.length(F.regexp_extract(part, "^(0*)", 1)))
+        return F.struct(F.regexp_replace(F.concat(whole, part), "^0+|0+$", "").alias("digits"), place.alias("place"))
+
+    def ratio(x: Column) -> Column:
+        p = x["a"]["place"] - x["b"]["place"]
+        return F.when((x["a"]["digits"] != "") & (x["a"]["digits"] == x["b"]["digits"]) & (p != 0), F.pow(F.lit(10.0), p.cast("double")))
+
+    return bound(F.struct(written(a).alias("a"), written(b).alias("b")), ratio)
 
 
 def significant_digits(numeric: Column | str) -> Column:

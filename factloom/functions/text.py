@@ -189,12 +189,14 @@ def rewrite_handles(text: Column | str, prefix: str) -> Column:
 
 
 def format_value(raw: Column, numeric: Column, currency: Column, scale: Column, unit: Column) -> Column:
-    """The figure as stated, else built from its parts."""
-    return F.coalesce(raw, F.when(numeric.isNotNull(), F.concat_ws(" ", currency, numeric, scale, unit)))
+    """The figure as stated, else built from its parts, else a dash."""
+    parts = F.concat_ws(" ", *[blank_as_null(c) for c in (currency, numeric, scale, unit)])
+    return F.coalesce(blank_as_null(raw), F.when(numeric.isNotNull(), parts), F.lit("—"))
 
 
 def format_bytes(size: Column) -> Column:
-    return F.when(size < 1024, F.format_string("%d B", size)).when(size < 1024 * 1024, F.format_string("%.0f KB", size / 1024)).otherwise(F.format_string("%.1f MB", size / (1024 * 1024)))
+    mb = size / (1024 * 1024)
+    return F.when(size < 1024, F.format_string("%d B", size)).when(mb >= 1, F.format_string("%.1f MB", mb)).otherwise(F.format_string("%.0f KB", size / 1024))
 
 
 def page_label(physical_page: Column, printed: Column) -> Column:
@@ -202,6 +204,14 @@ def page_label(physical_page: Column, printed: Column) -> Column:
     return F.when(printed.isNull(), F.format_string("page %d", physical_page + 1)).otherwise(F.format_string("page %d (printed %s)", physical_page + 1, printed))
 
 
+#: Characters that are passed on: of a text to embed, a statement, a quote, its surroundings, and a page's native text.
+LIMITS = {"embed": 1200, "statement": 600, "quote": 400, "context": 900, "native": 8000}
+
+
+def cut_for(kind: str, text: Column | str) -> Column:
+    return F.substring(col(text), 1, LIMITS[kind])
+
+
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "https://example.org/factloom/fact-group")
 
 

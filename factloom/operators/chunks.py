@@ -31,93 +31,142 @@ def carried_heading(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("heading", F.last(heading, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
 
 
-def _units(text: str) -> int:
-    return -(-(len(text.encode("utf-16-le")) // 2) // 4)
+def _width(text: str) -> int:
+    """Length in UTF-16 units."""
+    return len(text.encode("utf-16-le")) // 2
+
+
+def _tokens(width: int) -> int:
+    return -(-width // 4)
 
 
 def _pieces(content: str, most: int) -> Iterator[str]:
     """The content in pieces of whole lines, each of `most` tokens at most (a longer line stays whole)."""
     held: list[str] = []
+    width = 0
     for line in content.split("\n"):
-        if held and _units("\n".join([*held, line])) > most:
+        w = _width(line)
+        if held and _tokens(width + 1 + w) > most:
             yield "\n".join(held)
-            held = []
+            held, width = [], 0
+        width += w + (1 if held else 0)
         held.append(line)
     if held:
         yield "\n".join(held)
 
 
+class _Packer:
+    """Folds the blocks of a page, in order, into chunks; keeps running lengths instead of joined texts."""
+
+    def __init__(self, target: int, most: int) -> None:
+        self.target, self.most, self.out, self.page = target, most, [], None
+
+    def begin(self, page: tuple, heading: str | None) -> None:
+        self.close()
+        self.page, self.part, self.heading, self.label = page, 0, heading, None
+        self.body: list[str] = []
+        self.width, self.refs = 0, {}
+
+    def close(self) -> None:
+        if self.page is None or not self.body:
+            return
+        place = f"page {self.page[1]}" if self.label is None else f"page {self.page[1]} (printed {self.label})"
+        head = [f"[{place}]"] + ([] if self.heading is None else [f"[section: {self.heading}]"])
+        text = "\n".join([*head, "", "\n\n".join(self.body)])
+        self.out.append((*self.page, self.part, self.heading, text, list(self.refs), [{"ref": r, "block_id": b} for b, r in self.refs.items()], _tokens(_width(text))))
+        self.part += 1
+        self.body, self.width, self.refs = [], 0, {}
+
+    def add(self, block_id: str, block_type: str, content: str | None, label: str | None) -> None:
+        content = (content or "").strip()
+        if not content:
+            return
+        if block_type == "heading":
+            self.close()
+            self.heading, self.label = content, label
+            return
+        for piece in _pieces(content, self.most):
+            if self.body and _tokens(self.width + 2 + _width(piece)) > self.target:
+                self.close()
+            self.label = label
+            ref = self.refs.setdefault(block_id, f"B{len(self.refs) + 1}")
+            entry = f"[{ref}]\n{piece}"
+            self.width += _width(entry) + (2 if self.body else 0)
+            self.body.append(entry)
+
+
 def chunk_blocks(blocks: DataFrame, target: int = TARGET_TOKENS, most: int = MOST_TOKENS) -> DataFrame:
     """Chunks of each document: chunk_index, text with handles [B1].., heading, block ids, tokens.
 
-    A chunk never spans pages, so with the heading carried in beforehand each page is packed for
-    itself, and documents of any length spread over the cluster.
+    A chunk never spans pages, so with the heading carried in beforehand pages are dealt over the cluster and
+    arrive at a task sorted; each is folded as it streams by, and a task holds one open chunk.
     """
-
-    def pack(pdf):
-        import pandas as pd
-
-        out: list[tuple] = []
-        body: list[str] = []
-        refs: dict[str, str] = {}
-        heading, label = None, None
-        rows = pdf.sort_values("block_index", kind="stable")
-        page = int(rows["physical_page"].iloc[0])
-
-        def close() -> None:
-            if body:
-                place = f"page {page}" if label is None else f"page {page} (printed {label})"
-                head = [f"[{place}]"] + ([] if heading is None else [f"[section: {heading}]"])
-                text = "\n".join([*head, "", "\n\n".join(body)])
-                out.append((rows["document_id"].iloc[0], page, len(out), heading, text, list(refs), [{"ref": r, "block_id": b} for b, r in refs.items()], _units(text)))
-            body.clear()
-            refs.clear()
-
-        for k, r in enumerate(rows.itertuples(index=False)):
-            if k == 0:
-                heading = r.heading if isinstance(r.heading, str) else None
-            content = (r.content or "").strip()
-            if not content:
-                continue
-            if r.block_type == "heading":
-                close()
-                heading = content
-                label = r.printed_page_label if isinstance(r.printed_page_label, str) else None
-                continue
-            for piece in _pieces(content, most):
-                if body and _units("\n\n".join([*body, piece])) > target:
-                    close()
-                label = r.printed_page_label if isinstance(r.printed_page_label, str) else None
-                ref = refs.setdefault(r.block_id, f"B{len(refs) + 1}")
-                body.append(f"[{ref}]\n{piece}")
-        close()
-        return pd.DataFrame(out, columns=["document_id", "physical_page", "part", "heading", "text", "source_block_ids", "block_refs", "estimated_tokens"])
-
     cols = ["document_id", "physical_page", "block_index", "block_id", "block_type", "content", "printed_page_label", "heading"]
-    parts = carried_heading(blocks).select(*cols).groupBy("document_id", "physical_page").applyInPandas(pack, _CHUNK)
+
+    def pack(frames):
+        import pyarrow as pa
+
+        packer = _Packer(target, most)
+        for batch in frames:
+            for doc, page, block_id, kind, content, label, heading in zip(*[batch.column(c).to_pylist() for c in ("document_id", "physical_page", "block_id", "block_type", "content", "printed_page_label", "heading")], strict=True):
+                if packer.page != (doc, page):
+                    packer.begin((doc, page), heading)
+                packer.add(block_id, kind, content, label)
+            done, packer.out = packer.out, []
+            yield _record(done)
+        packer.close()
+        yield _record(packer.out)
+
+    def _record(rows):
+        import pyarrow as pa
+
+        refs = pa.list_(pa.struct([("ref", pa.string()), ("block_id", pa.string())]))
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), refs, pa.int32())
+        names = ("document_id", "physical_page", "part", "heading", "text", "source_block_ids", "block_refs", "estimated_tokens")
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    page = ["document_id", "physical_page"]
+    sorted_ = carried_heading(blocks).select(*cols).repartition(*page).sortWithinPartitions(*page, "block_index")
+    parts = sorted_.mapInArrow(pack, _CHUNK)
     index = F.row_number().over(Window.partitionBy("document_id").orderBy("physical_page", "part")) - 1
     return parts.withColumn("chunk_index", index).drop("part")
 
 
 def plan_batches(chunks: DataFrame, most_tokens: int = BATCH_TOKENS, most_chunks: int = BATCH_CHUNKS) -> DataFrame:
-    """Chunks with batch_index and place in the batch; a batch closes before it would overflow."""
-    item = F.struct("chunk_index", "estimated_tokens")
-
-    def fold(items: Column) -> Column:
-        start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("tokens"), F.lit(0).alias("batch"), F.array().cast("array<struct<batch:int,place:int>>").alias("out"))
+    """Chunks with batch_index and place in the batch; a batch closes before it would overflow.
 
-        def step(s: Column, c: Column) -> Column:
-            new = (s["n"] >= most_chunks) | ((s["n"] > 0) & (s["tokens"] + c["estimated_tokens"] > most_tokens))
-            n, batch = F.when(new, 0).otherwise(s["n"]), s["batch"] + new.cast("int")
-            tokens = F.when(new, F.lit(0).cast("long")).otherwise(s["tokens"])
-            one = F.struct(batch.alias("batch"), n.alias("place"))
-            return F.struct((n + 1).alias("n"), (tokens + c["estimated_tokens"]).alias("tokens"), batch.alias("batch"), F.concat(s["out"], F.array(one)).alias("out"))
-
-        return F.aggregate(items, start, step, lambda s: s["out"])
+    A document's chunks reach one task in order and are folded as they stream by.
+    """
 
-    g = chunks.groupBy("document_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    z = g.select("document_id", F.explode(F.arrays_zip("items", fold(F.col("items")).alias("at"))).alias("z"))
-    return z.select("document_id", F.col("z.items.chunk_index").alias("chunk_index"), F.col("z.items.estimated_tokens").alias("estimated_tokens"), F.col("z.at.batch").alias("batch_index"), F.col("z.at.place").alias("place"))
+    def fold(frames):
+        import pyarrow as pa
+
+        document, n, tokens, batch = None, 0, 0, 0
+        for f in frames:
+            where, places = [], []
+            for doc, size in zip(f.column("document_id").to_pylist(), f.column("estimated_tokens").to_pylist(), strict=True):
+                if doc != document:
+                    document, n, tokens, batch = doc, 0, 0, 0
+                elif n >= most_chunks or (n and tokens + size > most_tokens):
+                    n, tokens, batch = 0, 0, batch + 1
+                where.append(batch)
+                places.append(n)
+                n, tokens = n + 1, tokens + size
+            yield pa.RecordBatch.from_arrays([*f.columns, pa.array(where, pa.int32()), pa.array(places, pa.int32())], [*f.schema.names, "batch_index", "place"])
+
+    c = chunks.select("document_id", "chunk_index", "estimated_tokens")
+    schema = ", ".join(f"{n} {t}" for n, t in c.dtypes) + ", batch_index int, place int"
+    return c.repartition("document_id").sortWithinPartitions("document_id", "chunk_index").mapInArrow(fold, schema)
+
+
+def batch_passages(chunks: DataFrame, batches: DataFrame) -> DataFrame:
+    """Passages of each batch in order: label P1.., and the chunk's text, with its handles marked by the label where a batch has several."""
+    j = chunks.select("document_id", "chunk_index", "text").join(batches.drop("estimated_tokens"), ["document_id", "chunk_index"])
+    size = F.count("*").over(Window.partitionBy("document_id", "batch_index"))
+    label = F.concat(F.lit("P"), (F.col("place") + 1).cast("string"))
+    marked = F.regexp_replace("text", F.lit(r"(?m)^\[(B[0-9]+)\]$"), F.concat(F.lit("["), label, F.lit("$1]")))
+    return j.withColumn("size", size).select("document_id", "batch_index", "chunk_index", "place", label.alias("label"), F.when(F.col("size") > 1, marked).otherwise(F.col("text")).alias("text"))
 
 
 def batch_handles(chunks: DataFrame, batches: DataFrame) -> DataFrame:
@@ -149,3 +198,31 @@ def tally_chunks(claims: DataFrame, handles: DataFrame) -> DataFrame:
     owner = hit.groupBy("document_id", "batch_index", "claim_id", "status").agg(F.min_by("chunk_index", "position").alias("chunk_index"))
     by = lambda s: F.count_if(F.col("status") == s)
     return owner.groupBy("document_id", "chunk_index").agg(F.count("*").alias("extracted"), by("accepted").alias("accepted"), by("needs_review").alias("needs_review"), by("rejected").alias("rejected"))
+
+
+_IDENTITY = ["document_id", "fingerprint", "prompt_version", "model_name"]
+COUNTS = ("claims_extracted", "claims_accepted", "claims_needing_review", "claims_rejected", "prompt_tokens", "completion_tokens")
+
+
+def resumed_counts(chunks: DataFrame, done: DataFrame) -> DataFrame:
+    """Per document: chunks, those that a stored extraction covers, and the sums of what is stored for these."""
+    stored = done.select(*_IDENTITY, *COUNTS).dropDuplicates(_IDENTITY)
+    j = chunks.join(stored.withColumn("hit", F.lit(1)), _IDENTITY, "left")
+    return j.groupBy("document_id").agg(F.count("*").alias("chunks"), F.count("hit").alias("resumed"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS])
+
+
+def unattributed_claims(claims: DataFrame, handles: DataFrame) -> DataFrame:
+    """(document_id, batch_index, unattributed): claims none of whose cited handles resolves."""
+    cited = claims.select("document_id", "batch_index", "claim_id", F.explode_outer("evidence_block_ids").alias("handle"))
+    hit = cited.join(handles.select("document_id", "batch_index", "handle", "block_id"), ["document_id", "batch_index", "handle"], "left")
+    per = hit.groupBy("document_id", "batch_index", "claim_id").agg(F.count("block_id").alias("n"))
+    return per.groupBy("document_id", "batch_index").agg(F.count_if(F.col("n") == 0).alias("unattributed"))
+
+
+def chunks_to_record(batches: DataFrame, claims: DataFrame, handles: DataFrame) -> DataFrame:
+    """Chunks that count as done: nothing was rejected in them, and no claim of their batch lacks a chunk. With their counts."""
+    counts = tally_chunks(claims, handles)
+    j = batches.join(counts, ["document_id", "chunk_index"], "left").join(unattributed_claims(claims, handles), ["document_id", "batch_index"], "left")
+    j = j.where((F.coalesce("rejected", F.lit(0)) == 0) & (F.coalesce("unattributed", F.lit(0)) == 0))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return j.select("document_id", "chunk_index", "batch_index", zero("extracted"), zero("accepted"), zero("needs_review"))

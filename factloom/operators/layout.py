@@ -104,14 +104,19 @@ def structure_score() -> Column:
     return yes(F.col("numeric_ratio") >= NUMERIC_RATIO) + yes(F.col("aligned_columns") >= ALIGNED) + yes(F.col("mean_run") <= MEAN_RUN)
 
 
-def classify_regions(region_runs: DataFrame, block_runs: DataFrame) -> DataFrame:
-    """kind of each region: sparse, structured or narrative. block_runs: runs with region and block."""
+def classify_regions(region_runs: DataFrame, block_runs: DataFrame, all_regions: DataFrame | None = None) -> DataFrame:
+    """kind of each region: empty, sparse, structured or narrative. block_runs: runs with region and block.
+
+    all_regions (document_id, physical_page, region), if given, names regions that may hold no runs: these are empty.
+    """
     f = run_features(region_runs, *PAGE, "region").withColumn("score", structure_score())
     tabular = run_features(block_runs, *PAGE, "region", "block").where(F.col("runs") >= LEAST_RUNS).withColumn("s", structure_score())
     tabular = tabular.groupBy(*PAGE, "region").agg(F.bool_or(F.col("s") >= 2).alias("tabular"))
     f = f.join(tabular, [*PAGE, "region"], "left")
+    if all_regions is not None:
+        f = all_regions.select(*PAGE, "region").distinct().join(f, [*PAGE, "region"], "left").na.fill(0, ["chars", "runs", "aligned_columns"]).na.fill(0.0, ["numeric_ratio", "mean_run"])
     kind = first_match([
-        ((F.col("chars") < SPARSE_CHARS) & (F.col("runs") < SPARSE_RUNS), "sparse"), ((F.col("score") >= 2) | F.coalesce("tabular", F.lit(False)), "structured"),
+        (F.col("runs") == 0, "empty"), ((F.col("chars") < SPARSE_CHARS) & (F.col("runs") < SPARSE_RUNS), "sparse"), ((F.col("score") >= 2) | F.coalesce("tabular", F.lit(False)), "structured"),
     ], "narrative")
     return f.withColumn("kind", kind).drop("score", "tabular")
 
@@ -178,3 +183,24 @@ def layout_text(blocks_: DataFrame) -> DataFrame:
     """Text of a page: its blocks by region, joined by blank lines."""
     g = blocks_.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("region", "block", "text"))).alias("b"))
     return g.select(*PAGE, F.array_join(F.transform("b", lambda x: x["text"]), "\n\n").alias("text"))
+
+
+def is_legitimately_empty(kind: Column) -> Column:
+    """Pages of which no blocks are expected."""
+    return kind.isin("empty", "sparse")
+
+
+def block_rows(typed: DataFrame, labels: DataFrame, stored: DataFrame, produced_by: str = "parse@1") -> DataFrame:
+    """Rows to store for the blocks of pages: index over regions and blocks, content, box, label.
+
+    typed: blocks with block_type and the page's kind. Empty and sparse pages give none, nor do pages that this
+    producer has stored already (stored: document_id, physical_page, produced_by).
+    """
+    done = stored.where(F.col("produced_by") == produced_by).select(*PAGE).distinct()
+    b = typed.where(~is_legitimately_empty(F.col("kind"))).join(done, PAGE, "left_anti").join(labels.select(*PAGE, "printed_page_label"), PAGE, "left")
+    index = F.row_number().over(Window.partitionBy(*PAGE).orderBy("region", "block")) - 1
+    items = F.transform("items", lambda i: F.struct(i["text"].alias("text"), i["x"].alias("x"), i["y"].alias("y"), i["width"].alias("width"), i["height"].alias("height"), i["reading_index"].alias("reading_index")))
+    return b.select(
+        *PAGE, "printed_page_label", "block_type", F.lit("native_text").alias("extraction_method"), index.alias("block_index"), F.col("text").alias("content"), items.alias("positioned_items"),
+        F.col("x0").alias("bbox_x"), F.col("y_bottom").alias("bbox_y"), (F.col("x1") - F.col("x0")).alias("bbox_width"), (F.col("y_top") - F.col("y_bottom")).alias("bbox_height"), F.lit(produced_by).alias("produced_by"),
+    )

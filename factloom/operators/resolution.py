@@ -10,6 +10,7 @@ from factloom.functions.numbers import normalize_value, significant_digits
 from factloom.functions.periods import fiscal_convention, resolve_period
 from factloom.functions.predicates import normalize_predicate
 from factloom.functions.text import fact_group_id, uuid5
+from factloom.operators.sinks import insert_if_absent
 
 
 def claim_labels(claims: DataFrame) -> DataFrame:
@@ -60,6 +61,61 @@ def normalize_claims(claims: DataFrame, conventions: DataFrame, entities: DataFr
     )
 
 
+def asked_candidates(candidates: DataFrame, budget: int = 1) -> DataFrame:
+    """Candidates (collection_id, label, entity_id, normalized_label) that a model is asked about: the first `budget` of a label by name."""
+    n = F.row_number().over(Window.partitionBy("collection_id", "label").orderBy("normalized_label", "entity_id"))
+    return candidates.withColumn("turn", n).where(F.col("turn") <= budget)
+
+
+def adjudicated_entities(resolved: DataFrame, candidates: DataFrame, verdicts: DataFrame | None, budget: int = 1, shown: int = 3) -> DataFrame:
+    """resolve_entities with the model's rung: method model where a verdict says same, with reason and rejected names.
+
+    verdicts: collection_id, label, entity_id, same, reason of the seam; without it names stay separate. A
+    label's candidates are asked in turn until one is confirmed; those before it are the rejected ones.
+    """
+    key = ["collection_id", "label"]
+    open_ = resolved.where("method = 'created'")
+    if verdicts is None:
+        c = asked_candidates(candidates, shown).withColumn("same", F.lit(False)).withColumn("why", F.lit("no judge was there"))
+    else:
+        v = verdicts.select(*key, "entity_id", "same", F.col("reason").alias("why"))
+        c = asked_candidates(candidates, budget).join(v, [*key, "entity_id"], "left").withColumn("same", F.coalesce("same", F.lit(False)))
+    c = c.withColumnRenamed("entity_id", "candidate_id").join(open_.select(*key), key, "left_semi")
+    hit = c.where("same").groupBy(*key).agg(F.min("turn").alias("hit"), F.min_by("candidate_id", "turn").alias("found_id"), F.min_by("why", "turn").alias("found_why"))
+    c = c.join(hit.select(*key, "hit"), key, "left").where(F.col("hit").isNull() | (F.col("turn") < F.col("hit")))
+    line = F.struct("turn", F.concat("normalized_label", F.lit(": "), F.coalesce("why", F.lit("unanswered"))).alias("said"))
+    rejected = c.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["said"]).alias("rejected"))
+    j = resolved.join(hit.drop("hit"), key, "left").join(rejected, key, "left").withColumn("rejected", F.coalesce("rejected", F.array().cast("array<string>")))
+    method = F.when(F.col("found_id").isNotNull(), "model").otherwise(F.col("method"))
+    reason = F.when(method == "model", F.col("found_why")).when(method == "exact", "the name is known").when(method == "alias", "an alias is known").when(F.size("rejected") > 0, "names alike, none confirmed").otherwise("a new name")
+    return j.select(*key, F.coalesce("found_id", "entity_id").alias("entity_id"), method.alias("method"), reason.alias("reason"), "rejected")
+
+
+def new_aliases(resolved: DataFrame, labelled: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Alias rows to append for labels that a model has merged; one a label, none that is stored.
+
+    labelled: claims with label and subject; the subject of the least claim id is the alias as written.
+    """
+    key = ["collection_id", "label"]
+    written = labelled.groupBy(*key).agg(F.min_by("subject", "id").alias("alias"), F.min_by("block_id", "id").alias("source_block_id"))
+    rows = resolved.where("method = 'model'").join(written, key).select("entity_id", "alias", F.col("label").alias("normalized_alias"), F.lit("model_suggested").alias("established_by"), "source_block_id")
+    return insert_if_absent(aliases, rows, ["entity_id", "normalized_alias"], ["alias"])
+
+
+def new_entities(resolved: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Entity rows to append for labels that nothing matched."""
+    key = ["collection_id", "label"]
+    written = labelled.groupBy(*key).agg(F.min_by("subject", "id").alias("subject"))
+    return resolved.where("method = 'created'").join(written, key).select(F.col("entity_id").alias("id"), "collection_id", F.trim("subject").alias("canonical_label"), F.col("label").alias("normalized_label"), F.lit("unknown").alias("entity_type"))
+
+
+def canonical_predicates(claims: DataFrame, registry: DataFrame) -> DataFrame:
+    """Claims (id, collection_id, predicate) with the registry's name for their predicate, found by name or alias; null if there is none."""
+    names = registry.select("collection_id", "canonical_name", F.explode(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
+    known = names.groupBy("collection_id", normalize_predicate("name").alias("p")).agg(F.min("canonical_name").alias("canonical_name"))
+    return claims.select("id", "collection_id", "predicate", normalize_predicate("predicate").alias("p")).join(known, ["collection_id", "p"], "left").drop("p")
+
+
 def register_predicates(claims: DataFrame, registry: DataFrame) -> DataFrame:
     """New registry rows (collection_id, canonical_name, unit, first_claim_id): one a normal form not known by name or alias.
 
@@ -73,10 +129,9 @@ def register_predicates(claims: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def render_vocabulary(registry: DataFrame, most: int = 60) -> DataFrame:
-    """The first predicates of each collection by name, as one text."""
+    """The first predicates of each collection by name, one a line with description and unit where there are any, as one text."""
     n = F.row_number().over(Window.partitionBy("collection_id").orderBy("canonical_name"))
     rows = registry.withColumn("__n", n).where(F.col("__n") <= most)
-    line = F.concat(F.lit("- "), F.col("canonical_name"), F.coalesce(F.concat(F.lit(" ("), F.col("unit"), F.lit(")")), F.lit("")))
+    some = lambda c: F.when(F.length(c) > 0, F.col(c)) if c in registry.columns else F.lit(None).cast("string")
+    line = F.concat_ws(" ", F.concat(F.lit("- "), F.col("canonical_name")), F.concat(F.lit("— "), some("description")), F.concat(F.lit("(usually "), some("unit"), F.lit(")")))
     return rows.groupBy("collection_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__n", line.alias("line")))), lambda x: x["line"]), "\n").alias("vocabulary"))
-
-

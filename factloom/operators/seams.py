@@ -7,7 +7,7 @@ give the same answer every time.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -34,9 +34,18 @@ class Embedder(Protocol):
 
 
 class PageReader(Protocol):
-    """Pages of a PDF: (physical_page, width_pt, height_pt, [(text, x, y, width, height), ..])."""
+    """Pages of a PDF: (physical_page, width_pt, height_pt, runs), runs an iterable of (text, x, y, width, height).
 
-    def read(self, content: bytes) -> Iterator[tuple[int, float, float, list[tuple[str, float, float, float, float]]]]: ...
+    A page that cannot be read raises when its runs are gone through, so the pages after it are still read.
+    """
+
+    def read(self, content: bytes) -> Iterator[tuple[int, float, float, Iterable[tuple[str, float, float, float, float]]]]: ...
+
+
+class Adjudicator(Protocol):
+    """Whether a subject is an entity that is named alike: from a frame with label and candidate to one with same and reason."""
+
+    def judge(self, names: pd.DataFrame) -> pd.DataFrame: ...
 
 
 class AbstainingClassifier:
@@ -96,9 +105,54 @@ def classify_pairs(pairs: DataFrame, classifier: Classifier) -> DataFrame:
     return pairs.select("claim_a_id", "claim_b_id", "prompt").mapInPandas(run, schema)
 
 
+def embed_or_reason(claims: DataFrame, embedder: Embedder | None) -> tuple[DataFrame | None, str | None]:
+    """(vectors, None), or (None, why there are none): a failing embedder leaves the exact channel, it does not fail the job.
+
+    A claim is tried first, so that an embedder that is not there is noticed before the work is dealt out.
+    """
+    if embedder is None:
+        return None, "no embedder is configured"
+    probe = claims.limit(1).toPandas()
+    try:
+        if len(probe):
+            embedder.embed(probe["description"])
+    except Exception as e:  # whatever the provider raises
+        return None, f"{type(e).__name__}: {e}"
+    return embed_claims(claims, embedder), None
+
+
+def adjudicate(asked: DataFrame, judge: Adjudicator) -> DataFrame:
+    """Verdicts (collection_id, label, entity_id, same, reason) on asked candidates; a call that fails counts as not the same."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            try:
+                out = judge.judge(b[["label", "normalized_label"]].rename(columns={"normalized_label": "candidate"})).reset_index(drop=True)
+            except Exception as e:  # the pairs stay apart, and say why
+                out = pd.DataFrame({"same": [False] * len(b), "reason": [f"no answer: {e}"] * len(b)})
+            yield pd.concat([b[["collection_id", "label", "entity_id"]].reset_index(drop=True), out[["same", "reason"]]], axis=1)
+
+    schema = "collection_id string, label string, entity_id string, same boolean, reason string"
+    return asked.select("collection_id", "label", "entity_id", "normalized_label").mapInPandas(run, schema)
+
+
 def read_runs(files: DataFrame, reader: PageReader) -> DataFrame:
-    """files (document_id, content) to positioned runs; a page that fails is a row with an error and no text."""
+    """files (document_id, content) to positioned runs; a page that fails is a row with its number and an error, and the next page goes on.
+
+    A document that cannot be opened at all is one row with an error and no page.
+    """
     schema = "document_id string, physical_page int, width_pt double, height_pt double, text string, x double, y double, width double, height double, center_x double, reading_index int, error string"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def failed(document: str, page: int | None, error: Exception) -> tuple:
+        return (document, page, *[None] * 9, f"page_parse_failed: {error}")
+
+    def page_rows(document: str, page: int, width: float, height: float, runs) -> list[tuple]:
+        try:
+            kept = [(t.strip(), *box) for t, *box in runs if t.strip()]
+        except Exception as e:
+            return [failed(document, page, e)]
+        return [(document, page, width, height, t, x, y, w, h, x + w / 2, i, None) for i, (t, x, y, w, h) in enumerate(kept)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -106,11 +160,10 @@ def read_runs(files: DataFrame, reader: PageReader) -> DataFrame:
             for document, content in zip(b["document_id"], b["content"], strict=True):
                 try:
                     for page, width, height, runs in reader.read(bytes(content)):
-                        kept = [(t.strip(), *box) for t, *box in runs if t.strip()]
-                        rows += [(document, page, width, height, t, x, y, w, h, x + w / 2, i, None) for i, (t, x, y, w, h) in enumerate(kept)]
-                except Exception as e:  # the rest of the documents goes on
-                    rows.append((document, None, None, None, None, None, None, None, None, None, None, f"page_parse_failed: {e}"))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+                        rows += page_rows(document, page, width, height, runs)
+                except Exception as e:
+                    rows.append(failed(document, None, e))
+            yield pd.DataFrame(rows, columns=names).astype({"physical_page": "Int32", "reading_index": "Int32"})
 
     return files.select("document_id", "content").mapInPandas(run, schema)
 
@@ -118,20 +171,20 @@ def read_runs(files: DataFrame, reader: PageReader) -> DataFrame:
 def spend(pairs: DataFrame, classifier: Classifier, budget: int, batch: int = 200) -> DataFrame:
     """Verdicts in order of promise until the token budget is spent; the last call may overshoot.
 
-    The one loop on the driver: how much a call costs is only known afterwards, so pairs go out in
-    batches of a fixed size, and only token sums come back.
+    The one loop on the driver: how much a call costs is only known afterwards, so pairs go out in turns of
+    about `batch` pairs, and only token sums come back. Turns are made without ordering all pairs: promise is
+    a small whole number, pairs are counted by it, and those of one promise are dealt to its turns by hash.
     """
     spark = pairs.sparkSession
-    from pyspark.sql import Window
-
-    ranked = pairs.withColumn("turn", F.floor((F.row_number().over(Window.orderBy(F.col("promise").desc(), "claim_a_id", "claim_b_id")) - 1) / batch))
-    ranked = ranked.persist()
-    turns = ranked.agg(F.max("turn")).first()[0]
+    counts = {r["promise"]: r["n"] for r in pairs.groupBy("promise").agg(F.count("*").alias("n")).collect()}  # one row for each of about 40 values
     spent, out = 0, spark.createDataFrame([], "claim_a_id string, claim_b_id string, label string, rationale string, prompt_tokens int, completion_tokens int, method string, model_name string")
-    for turn in range(0 if turns is None else int(turns) + 1):
-        if spent >= budget:
-            break
-        part = classify_pairs(ranked.where(F.col("turn") == turn), classifier).persist()
-        spent += part.agg(F.coalesce(F.sum(F.col("prompt_tokens") + F.col("completion_tokens")), F.lit(0))).first()[0]
-        out = out.unionByName(part)
+    for promise in sorted(counts, reverse=True):
+        turns = -(-counts[promise] // batch)
+        for turn in range(turns):
+            if spent >= budget:
+                return out
+            mine = pairs.where((F.col("promise") == promise) & (F.pmod(F.xxhash64("claim_a_id", "claim_b_id"), F.lit(turns)) == turn))
+            part = classify_pairs(mine, classifier).persist()
+            spent += part.agg(F.coalesce(F.sum(F.col("prompt_tokens") + F.col("completion_tokens")), F.lit(0))).first()[0]
+            out = out.unionByName(part)
     return out

@@ -15,6 +15,62 @@ OPEN = ("open", "retrying")
 RETRIES, RETRY_DELAY, RETRY_CAP = 5, 5, 300
 
 
+# When an extraction gives up, how often and long it pauses, and the longest wait between two calls.
+GIVE_UP, GIVE_UP_ANY, DOCUMENT_TOKENS = 4, 12, 1_500_000
+COOLDOWNS, COOLDOWN_SECONDS = 2, 45
+LONGEST_WAIT_MS = 30_000
+
+
+def next_stage(stage: Column) -> Column:
+    """The stage after a working one; null for those that end a run."""
+    steps = dict(zip(STAGES[:5], STAGES[1:6], strict=True))
+    return first_match([(stage == a, b) for a, b in steps.items()])
+
+
+def stage_events(events: DataFrame) -> DataFrame:
+    """Stage changes (run_id, at, stage) with the stage before and whether the change is allowed.
+
+    A run starts queued, moves on by one stage at a time, and may end from any working stage; an ended run
+    starts over from any working stage, as stages can be run again.
+    """
+    before = F.lag("stage").over(Window.partitionBy("run_id").orderBy("at", "stage"))
+    e = events.withColumn("before", before)
+    ok = first_match([
+        (F.col("before").isNull(), F.col("stage") == "queued"), (is_terminal(F.col("before")), ~is_terminal(F.col("stage"))), (is_terminal(F.col("stage")), F.col("before") != "queued"),
+    ], next_stage(F.col("before")) == F.col("stage"))
+    return e.withColumn("allowed", F.coalesce(ok, F.lit(False)))
+
+
+def give_up(attempts: DataFrame, budget: int = DOCUMENT_TOKENS, most: int = GIVE_UP, most_any: int = GIVE_UP_ANY) -> DataFrame:
+    """Attempts (document_id, seq, outcome, tokens) with `stopped`: why the attempt is not made any more, else null.
+
+    outcome: ok, malformed, or another failure. Tokens spent before are looked at first, then failures in a row
+    since the last success: those that are not malformed, and all. The run stops at the first such place.
+    """
+    line = Window.partitionBy("document_id").orderBy("seq")
+    past = line.rowsBetween(Window.unboundedPreceding, -1)
+    a = attempts.withColumn("__spent", F.coalesce(F.sum("tokens").over(past), F.lit(0))).withColumn("__run", F.coalesce(F.sum((F.col("outcome") == "ok").cast("int")).over(past), F.lit(0)))
+    # Failures of the run of failures that goes on when this attempt's turn comes.
+    since = Window.partitionBy("document_id", "__run").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    failed = F.col("outcome") != "ok"
+    a = a.withColumn("__any", F.coalesce(F.sum(failed.cast("int")).over(since), F.lit(0))).withColumn("__hard", F.coalesce(F.sum((failed & (F.col("outcome") != "malformed")).cast("int")).over(since), F.lit(0)))
+    why = first_match([(F.col("__spent") >= budget, "token_budget_exhausted"), ((F.col("__hard") >= most) | (F.col("__any") >= most_any), "extraction_abandoned")])
+    first = F.first(F.col("__why"), ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    return a.withColumn("__why", why).withColumn("stopped", first).drop("__spent", "__run", "__any", "__hard", "__why")
+
+
+def cooldowns(throttled: DataFrame, most: int = COOLDOWNS, seconds: int = COOLDOWN_SECONDS) -> DataFrame:
+    """Throttled calls (document_id, seq) with pause_seconds: the first ones of a document wait, later ones (null) fail."""
+    n = F.row_number().over(Window.partitionBy("document_id").orderBy("seq"))
+    return throttled.withColumn("pause_seconds", F.when(n <= most, F.lit(seconds)))
+
+
+def call_wait_ms(attempt: Column, retry_after_seconds: Column, jitter: Column) -> Column:
+    """Milliseconds before a provider is called again (attempt from 0, jitter from 0 to 1): what it asks for, else half to all of a doubling ceiling."""
+    ceiling = F.least(F.lit(float(LONGEST_WAIT_MS)), F.lit(1000.0) * F.pow(F.lit(2.0), attempt.cast("double")))
+    return F.coalesce(retry_after_seconds.cast("double") * 1000, F.round(ceiling * (0.5 + jitter * 0.5))).cast("long")
+
+
 def is_terminal(stage: Column) -> Column:
     return stage.isin(*TERMINAL)
 

@@ -120,9 +120,9 @@ F5_07 = f"""
 f AS (SELECT claim_id, bool_or(verification IN ('verified_native_text', 'visual_only')) AS l, bool_or(verification = 'block_not_found') AS i, bool_or(verification IN ('verified_native_text', 'visual_only') AND entailment = 'unsupported') AS u,
   bool_or(verification = 'verified_native_text' AND entailment = 'supported') AS n, bool_or(verification = 'visual_only') AS v FROM evidence GROUP BY claim_id)
 SELECT c.id AS claim_id, CASE WHEN l IS NULL OR NOT l OR u THEN 'rejected' WHEN n THEN 'accepted' ELSE 'needs_review' END AS status,
-  CASE WHEN l IS NULL THEN 'the claim cited no evidence' WHEN NOT l AND i THEN 'every cited block is outside the material this claim was extracted from' WHEN NOT l THEN 'the quoted passage was not found in any cited block'
-    WHEN u THEN 'the cited passage does not state ' || coalesce(raw_value, numeric_value, 'the reported value') WHEN n THEN 'quoted passage located in the document text'
-    WHEN v THEN 'supported only by a model transcription of the page image, which is not independent of the extraction' ELSE 'the quoted passage was located but does not clearly support the claim' END AS status_reason
+  CASE WHEN l IS NULL THEN 'no evidence was cited' WHEN NOT l AND i THEN 'none of the cited blocks was given to the reader' WHEN NOT l THEN 'no cited block holds the quote'
+    WHEN u THEN 'the quote leaves out ' || coalesce(raw_value, numeric_value, 'the figure claimed') WHEN n THEN 'native text holds the quote'
+    WHEN v THEN 'only a transcribed page holds the quote' ELSE 'the quote was found, its bearing on the claim is open' END AS status_reason
 FROM claims c LEFT JOIN f ON f.claim_id = c.id
 """
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions import numbers
 from factloom.plans import evaluation, reads
 from factloom.plans.fixture import table, with_tables
+from factloom.plans.queries_values import NORMAL as NORMAL_FIGURES
 from factloom.sources import exports, gold
 
 
@@ -35,13 +37,18 @@ SELECT id, document_id, filename, collection_id, predicate, status, entity_id, e
 
 
 def o01_fact_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of facts with all their fields."""
     f = _facts(spark, sf_dir, collection_id="col1", status="accepted")
-    return reads.fact_page(f, 50, 20).select("id", "filename", "status", "evidence_count")
+    n = numbers.normalize_value("numeric_value", "scale", "unit", "currency")
+    f = f.withColumn("n", n).withColumn("normalized_value", F.col("n.value").cast("double")).withColumn("normalized_unit", F.col("n.unit")).withColumn("status_reason", F.concat(F.lit("as "), "status")).withColumn("created_at", F.col("orderkey"))
+    return reads.fact_page(f, 50, 20).withColumn("pages", F.array_join(F.transform("pages", lambda p: p.cast("string")), ","))
 
 
 O01 = f"""
-{with_tables("claims", "documents", "entities", "evidence", "blocks")}, {FACTS}
-SELECT id, filename, status, evidence_count FROM facts WHERE collection_id = 'col1' AND status = 'accepted' ORDER BY filename, first_page NULLS LAST, id LIMIT 50 OFFSET 20
+{with_tables("claims", "documents", "entities", "evidence", "blocks")}, {FACTS}, {NORMAL_FIGURES}
+SELECT f.id, f.document_id, f.filename, n.subject, f.predicate, n.original_statement, n.raw_value, n.numeric_value, n.value AS normalized_value, n.nunit AS normalized_unit, n.currency, n.scale, n.unit, n.period_label, n.period_type, n.scope, n.assertion_status, f.status, 'as ' || f.status AS status_reason,
+  f.entity_id, f.entity_label, array_to_string(f.pages, ',') AS pages, f.evidence_count, n.orderkey AS created_at
+FROM facts f JOIN normal n ON n.id = f.id WHERE f.collection_id = 'col1' AND f.status = 'accepted' ORDER BY f.filename, f.first_page NULLS LAST, f.id LIMIT 50 OFFSET 20
 """
 
 
@@ -83,12 +90,12 @@ SELECT r.id, claim_a_id, claim_b_id, a.predicate AS predicate_a, b.predicate AS
 
 def p05_relationships_of_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "relationships")
-    return reads.relationship_list(r, table(spark, sf_dir, "claims"), claim_id="c1-2").select("id", "label")
+    return reads.relationship_list(r, table(spark, sf_dir, "claims"), claim_id="c3-6").select("id", "label")
 
 
 P05 = f"""
 {with_tables("relationships", "claims")}
-SELECT r.id, label FROM relationships r JOIN claims a ON a.id = r.claim_a_id JOIN claims b ON b.id = r.claim_b_id WHERE 'c1-2' IN (claim_a_id, claim_b_id)
+SELECT r.id, label FROM relationships r JOIN claims a ON a.id = r.claim_a_id JOIN claims b ON b.id = r.claim_b_id WHERE 'c3-6' IN (claim_a_id, claim_b_id)
 """
 
 

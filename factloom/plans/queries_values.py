@@ -225,8 +225,8 @@ rel AS (SELECT a.id AS claim_a_id, b.id AS claim_b_id, a.n AS an, b.n AS bn, a.w
 
 F3_05 = f"""
 {with_tables("claims")}, {RELATION}
-SELECT claim_a_id, claim_b_id, relation, relation = 'same' AS comparable, CASE relation WHEN 'same' THEN 'the same predicate' WHEN 'explicitly_distinct' THEN an || ' and ' || bn || ' are different measures and must not be equated'
-  WHEN 'modifier_variant' THEN 'one is the other qualified by adjusted' WHEN 'related_form' THEN 'both concern ' || array_to_string(shared, ', ') || ' but are not the same measure' ELSE 'the predicates have nothing in common' END AS reason FROM rel
+SELECT claim_a_id, claim_b_id, relation, relation = 'same' AS comparable, CASE relation WHEN 'same' THEN 'one and the same measure' WHEN 'explicitly_distinct' THEN an || ' and ' || bn || ' are never the same'
+  WHEN 'modifier_variant' THEN 'apart from these words alike: adjusted' WHEN 'related_form' THEN 'words in common: ' || array_to_string(shared, ', ') ELSE 'no word in common' END AS reason FROM rel
 """
 
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.operators.checks import LABELS
+from factloom.operators.checks import LABELS, run_checks
 from factloom.operators.state import is_stalled, is_terminal, latest_runs
 
 FACT_COLUMNS = (
     "id", "document_id", "filename", "subject", "predicate", "original_statement", "raw_value", "numeric_value", "normalized_value", "normalized_unit", "currency", "scale",
     "unit", "period_label", "period_type", "scope", "assertion_status", "status", "status_reason", "entity_id", "entity_label", "pages", "evidence_count", "created_at",
 )
+# The dimensions of a context.
+DIMENSIONS = ("period", "period_type", "scope", "assertion_status", "unit", "currency", "qualifier")
 LABEL_RANK = ("contradicts", "likely_contradiction", "reconciled_by_context", "corroborates", "insufficient_context", "unrelated")
 
 
@@ -43,8 +45,7 @@ def fact_page(facts_: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     """A page of facts by filename, first evidence page (none last) and id."""
     if not 1 <= limit <= 200 or offset < 0:
         raise ValueError("limit is 1 to 200, offset 0 or more")
-    have = [c for c in FACT_COLUMNS if c in facts_.columns]
-    return facts_.orderBy("filename", F.col("first_page").asc_nulls_last(), "id").offset(offset).limit(limit).select(*have)
+    return facts_.orderBy("filename", F.col("first_page").asc_nulls_last(), "id").offset(offset).limit(limit).select(*FACT_COLUMNS)
 
 
 def fact_details(facts_: DataFrame, evidence: DataFrame, blocks: DataFrame, relationships: DataFrame) -> DataFrame:
@@ -81,7 +82,7 @@ def units_in_use(claims: DataFrame) -> DataFrame:
 
 
 def relationship_list(relationships: DataFrame, claims: DataFrame, label: str | None = None, claim_id: str | None = None) -> DataFrame:
-    """Relationships with both claims, newest first; those with a missing claim are left out."""
+    """Relationships with both claims; those with a missing claim are left out."""
     r = relationships
     if label is not None:
         r = r.where(F.col("label") == label)
@@ -91,6 +92,25 @@ def relationship_list(relationships: DataFrame, claims: DataFrame, label: str |
     return r.join(side("a"), "claim_a_id").join(side("b"), "claim_b_id")
 
 
+def relationship_page(listed: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page of a relationship list, newest first, then by id."""
+    if not 1 <= limit <= 200 or offset < 0:
+        raise ValueError("limit is 1 to 200, offset 0 or more")
+    return listed.orderBy(F.col("created_at").desc(), "id").offset(offset).limit(limit)
+
+
+def relationship_details(relationships: DataFrame, claims: DataFrame) -> DataFrame:
+    """Relationships with both claims whole (structs a and b) and the checks of the pair, made anew."""
+    whole = claims.select("id", F.struct(*claims.columns).alias("c"))
+    side = lambda s: whole.select(F.col("id").alias(f"claim_{s}_id"), F.col("c").alias(s))
+    return run_checks(relationships.join(side("a"), "claim_a_id").join(side("b"), "claim_b_id"))
+
+
+def collection_list(collections: DataFrame) -> DataFrame:
+    """Collections, newest first."""
+    return collections.orderBy(F.col("created_at").desc(), "id")
+
+
 def label_counts(relationships: DataFrame) -> DataFrame:
     """Relationships of each collection by label, zero where there are none."""
     names = relationships.select("collection_id").distinct().withColumn("label", F.explode(F.array(*[F.lit(x) for x in LABELS])))
@@ -99,11 +119,11 @@ def label_counts(relationships: DataFrame) -> DataFrame:
 
 
 def document_list(documents: DataFrame, runs: DataFrame, issues: DataFrame, now: Column) -> DataFrame:
-    """Documents with their newest run, whether it has stalled, and its open issues."""
+    """Documents in order of their creation, with their newest run, whether it has stalled, and the number of its issues."""
     last = latest_runs(runs).withColumn("stalled", is_stalled(now)).withColumn("terminal", is_terminal(F.col("stage")))
     n = issues.groupBy("run_id").agg(F.count("*").alias("issue_count"))
     r = last.join(n, "run_id", "left").select("document_id", "run_id", "stage", "stalled", "terminal", F.coalesce("issue_count", F.lit(0)).alias("issue_count"))
-    return documents.join(r.withColumnRenamed("document_id", "id"), "id", "left")
+    return documents.join(r.withColumnRenamed("document_id", "id"), "id", "left").orderBy("created_at", "id")
 
 
 def run_detail(runs: DataFrame, documents: DataFrame, issues: DataFrame, now: Column) -> DataFrame:
@@ -114,9 +134,19 @@ def run_detail(runs: DataFrame, documents: DataFrame, issues: DataFrame, now: Co
 
 
 def issues_by_kind(issues: DataFrame) -> DataFrame:
+    """Issues by kind, and how many of them are not resolved."""
     return issues.groupBy("failure_kind").agg(F.count("*").alias("n"), F.count_if(F.col("resolution") != "resolved").alias("unresolved"))
 
 
+def runs_by_stage(runs: DataFrame) -> DataFrame:
+    return runs.groupBy("stage").agg(F.count("*").alias("n"))
+
+
+def progress(done: Column, total: Column) -> Column:
+    """Share of a run's work that is done, 0 to 1; null without a total."""
+    return F.when(total > 0, F.least(F.lit(1.0), done / total))
+
+
 def visual_pages(blocks: DataFrame, page_kinds: DataFrame, producer: str, most: int = 40) -> DataFrame:
     """Structured pages of each document that this producer has not transcribed yet, the first `most`."""
     done = blocks.where(F.col("produced_by") == producer).select("document_id", "physical_page").distinct()
@@ -131,7 +161,39 @@ def collections_by_key(collections: DataFrame, key: str) -> DataFrame:
     return collections.where(F.when(uuid_like, F.col("id") == key).otherwise(F.col("name") == key))
 
 
+QUALIFIER = "array<struct<name:string,value:string>>"
+
+
+def _members(raw: Column) -> Column:
+    """Members of a JSON array, each as JSON text; none if the text is no array."""
+    return F.coalesce(F.from_json(raw, "array<string>", {"mode": "PERMISSIVE"}), F.array().cast("array<string>"))
+
+
+def _text(member: Column, name: str) -> Column:
+    """A field of a JSON object that is a text; null for other kinds of values."""
+    field = F.try_variant_get(F.try_parse_json(member), f"$.{name}", "variant")
+    return F.when(F.schema_of_variant(field) == "STRING", F.try_variant_get(field, "$", "string"))
+
+
 def lenient_qualifiers(raw: Column) -> Column:
     """Qualifiers of a JSON array; members without two texts are left out."""
-    x = F.from_json(raw, "array<struct<name:string,value:string>>", {"mode": "PERMISSIVE"})
-    return F.coalesce(F.filter(x, lambda q: q["name"].isNotNull() & q["value"].isNotNull()), F.array().cast("array<struct<name:string,value:string>>"))
+    each = F.transform(_members(raw), lambda m: F.struct(_text(m, "name").alias("name"), _text(m, "value").alias("value")))
+    return F.filter(each, lambda q: q["name"].isNotNull() & q["value"].isNotNull())
+
+
+def lenient_differences(raw: Column) -> Column:
+    """Context differences of a JSON array; members of no known dimension are left out, sides that are no texts are null."""
+    each = F.transform(_members(raw), lambda m: F.struct(_text(m, "dimension").alias("dimension"), _text(m, "a").alias("a"), _text(m, "b").alias("b"), (F.coalesce(F.get_json_object(m, "$.couldExplainGap"), F.lit("")) == "true").alias("could_explain_gap")))
+    return F.filter(each, lambda d: d["dimension"].isin(*DIMENSIONS))
+
+
+def lenient_strings(raw: Column) -> Column:
+    """Texts of a JSON array; members of other kinds are left out."""
+    array = F.try_parse_json(raw)
+    members = F.coalesce(F.try_variant_get(array, "$", "array<variant>"), F.array().cast("array<variant>"))
+    return F.transform(F.filter(members, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.try_variant_get(v, "$", "string"))
+
+
+def lenient_aliases(raw: Column) -> Column:
+    """Aliases of a registry row: the texts of a JSON array, blank ones left out."""
+    return F.filter(lenient_strings(raw), lambda x: F.length(F.trim(x)) > 0)

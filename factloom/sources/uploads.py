@@ -69,6 +69,12 @@ def validate_uploads(files: DataFrame, most_mb: int = MOST_MB, most_pages: int =
     return files.withColumn("reason", reason).withColumn("content_hash", F.when(reason.isNull(), content_hash(F.col("content"))))
 
 
+def collection_name_error(name: Column) -> Column:
+    """Why a collection may not be called so: names have 1 to 200 characters, blanks around them aside; null if it may."""
+    n = F.length(F.trim(name))
+    return F.when(name.isNull() | (n == 0), "empty_name").when(n > 200, "name_too_long")
+
+
 def ingest(validated: DataFrame, stored: DataFrame, collection_id: str) -> tuple[DataFrame, DataFrame]:
     """(new documents to append, outcome of every file: accepted, duplicate or rejected) for one collection."""
     sound = validated.where("reason is null").withColumn("collection_id", F.lit(collection_id))

@@ -1,7 +1,7 @@
 """Durable processing as Structured Streaming: uploads, issue events and incremental comparison.
 
-Each stream has a checkpoint, and each batch writes through sinks that may be repeated, so a restarted
-stream neither loses nor doubles rows.
+Each stream has a checkpoint, and each batch writes through sinks that may be repeated: outcomes by their
+batch's own folder, documents, claims and pairs by key. A replayed batch neither loses nor doubles rows.
 """
 
 from __future__ import annotations
@@ -14,15 +14,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from factloom.operators.candidates import comparable_claims, exact_candidates
 from factloom.operators.sinks import insert_if_absent
-from factloom.sources.uploads import ingest, validate_uploads
+from factloom.sources.uploads import document_key, ingest, validate_uploads
 
 
-def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    """A Parquet table, or None where nothing has been written yet."""
+def read_or_none(spark: SparkSession, path: str, exists_only: bool = False) -> DataFrame | bool | None:
+    """A Parquet table (or, if asked, just True), or None where nothing has been written yet."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return spark.read.parquet(path) if fs.exists(p) else None
+    return (True if exists_only else spark.read.parquet(path)) if fs.exists(p) else None
 
 
 def append_new(spark: SparkSession, path: str, new: DataFrame, key: list[str], order: list) -> None:
@@ -32,19 +32,32 @@ def append_new(spark: SparkSession, path: str, new: DataFrame, key: list[str], o
     rows.write.mode("append").parquet(path)
 
 
+def settle_uploads(spark: SparkSession, files: DataFrame, batch_id: int, documents: str, outcomes: str, collection_id: str) -> None:
+    """Outcome of each file of a batch, then its new documents; safe to repeat.
+
+    Outcomes go to the batch's own folder and are settled once: documents are only appended after that, so a
+    batch without outcomes has left no documents to be mistaken for older ones. A replay takes the outcomes as they
+    are and appends what is missing.
+    """
+    checked = validate_uploads(files).drop("content")
+    folder = f"{outcomes}/batch_id={batch_id}"
+    if read_or_none(spark, f"{folder}/_SUCCESS", exists_only=True) is None:
+        stored = read_or_none(spark, documents)
+        empty = checked.withColumn("collection_id", F.lit(collection_id)).select("collection_id", "content_hash").limit(0)
+        _, outcome = ingest(checked, empty if stored is None else stored.select("collection_id", "content_hash"), collection_id)
+        outcome.write.mode("overwrite").parquet(folder)
+    accepted = spark.read.parquet(folder).where("outcome = 'accepted'").select("path")
+    new = checked.join(accepted, "path", "left_semi").withColumn("collection_id", F.lit(collection_id)).withColumn("storage_key", document_key(F.col("content_hash")))
+    append_new(spark, documents, new, ["collection_id", "content_hash"], ["path"])
+
+
 def watch_uploads(spark: SparkSession, folder: str, documents: str, outcomes: str, checkpoint: str, collection_id: str, prepare: Callable[[DataFrame], DataFrame], once: bool = True) -> StreamingQuery:
     """Files that appear in a folder become documents; `prepare` adds page_count and open_error."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(folder)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        checked = validate_uploads(prepare(batch.select("path", "content", F.col("length").alias("size")))).drop("content")
-        stored = read_or_none(spark, documents)
-        empty = checked.withColumn("collection_id", F.lit(collection_id)).select("collection_id", "content_hash").limit(0)
-        new, outcome = ingest(checked, empty if stored is None else stored.select("collection_id", "content_hash"), collection_id)
-        # The outcome is settled before the documents are appended, as it looks at what was stored.
-        outcome.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(outcomes)
-        new.write.mode("append").parquet(documents)
+        settle_uploads(spark, prepare(batch.select("path", "content", F.col("length").alias("size"))), batch_id, documents, outcomes, collection_id)
 
     w = files.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from factloom.operators import candidates, chunks, evidence, layout, resolution, sinks, state
 from factloom.plans import reads
+from factloom.functions.predicates import MODIFIERS
 from factloom.plans.fixture import duck, table, with_tables
+from factloom.plans.queries_values import LABEL, RULED
 from factloom.sources import uploads
 
 
@@ -21,13 +23,13 @@ def s01_validate_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = d.select(F.col("doc_id").cast("string").alias("path"), F.encode(head, "UTF-8").alias("content"), "doc_id")
     f = f.withColumn("size", F.length("content").cast("long")).withColumn("page_count", (F.col("doc_id") % 400).cast("int"))
     f = f.withColumn("open_error", F.when(F.col("doc_id") % 13 == 0, "PasswordException: No password given").when(F.col("doc_id") % 17 == 0, "InvalidPDFException: bad xref"))
-    v = uploads.validate_uploads(f, most_mb=1)
+    v = uploads.validate_uploads(f)
     return v.select("path", "reason", "content_hash", uploads.document_key(F.col("content_hash")).alias("key"), uploads.page_key(F.col("content_hash"), F.col("page_count")).alias("first_page_key"))
 
 
 S01 = """
 WITH h AS (SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN text WHEN doc_id % 4 = 0 THEN 'junk%PDF-1.7' || chr(10) || text WHEN doc_id % 11 = 5 THEN '' ELSE '%PDF-1.4' || chr(10) || text END AS c FROM documents),
-r AS (SELECT *, CASE WHEN strlen(c) = 0 THEN 'empty_file' WHEN strlen(c) > 1048576 THEN 'too_large' WHEN NOT contains(c[:1024], '%PDF-') THEN 'not_a_pdf' WHEN doc_id % 13 = 0 THEN 'encrypted' WHEN doc_id % 17 = 0 THEN 'malformed'
+r AS (SELECT *, CASE WHEN strlen(c) = 0 THEN 'empty_file' WHEN strlen(c) > 52428800 THEN 'too_large' WHEN NOT contains(c[:1024], '%PDF-') THEN 'not_a_pdf' WHEN doc_id % 13 = 0 THEN 'encrypted' WHEN doc_id % 17 = 0 THEN 'malformed'
   WHEN doc_id % 400 = 0 THEN 'no_pages' WHEN doc_id % 400 > 300 THEN 'too_many_pages' END AS reason FROM h),
 k AS (SELECT *, CASE WHEN reason IS NULL THEN sha256(c) END AS x FROM r)
 SELECT doc_id::VARCHAR AS path, reason, x AS content_hash, 'documents/' || x[:2] || '/' || x || '.pdf' AS key, 'pages/' || x[:2] || '/' || x || '/' || lpad((doc_id % 400)::VARCHAR, 4, '0') || '.png' AS first_page_key FROM k
@@ -87,7 +89,7 @@ def _cited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 
 def f5_06_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.verify_claims(*_cited(spark, sf_dir)).drop("note")
+    return evidence.verify_claims(*_cited(spark, sf_dir))
 
 
 F5_06 = f"""
@@ -105,8 +107,9 @@ r AS (SELECT *, CASE WHEN verification LIKE '%not_found' THEN 'unchecked' WHEN r
 x AS (SELECT r.id, r.position, arg_min(b.block_id, (b.block_index, b.block_id)) AS found FROM r JOIN blocks b ON b.document_id = r.document_id AND b.physical_page = r.physical_page AND b.extraction_method = 'native_text'
   WHERE r.verification = 'visual_only' AND r.entailment = 'supported' AND contains(rtrim(regexp_replace(b.content, '[^0-9.]', '', 'g'), '.'), rtrim(regexp_replace(coalesce(numeric_value, raw_value), '[^0-9.]', '', 'g'), '.'))
   AND rtrim(regexp_replace(coalesce(numeric_value, raw_value), '[^0-9.]', '', 'g'), '.') <> '' GROUP BY ALL)
-SELECT id AS claim_id, position, CASE WHEN is_here THEN found_id END AS source_block_id, cited_ref, verification, entailment, CASE WHEN verification = 'block_not_found' OR carries THEN 'value' ELSE 'context' END AS support_role FROM r
-UNION ALL SELECT id, position, found, 'cross-check', 'verified_native_text', 'supported', 'value' FROM x
+SELECT id AS claim_id, position, CASE WHEN is_here THEN found_id END AS source_block_id, cited_ref, verification, entailment, CASE WHEN verification = 'block_not_found' OR carries THEN 'value' ELSE 'context' END AS support_role,
+  CASE verification WHEN 'block_not_found' THEN CASE WHEN found_id IS NULL THEN 'no such block was given to the reader of this claim' ELSE 'the block is one of another document' END WHEN 'quote_not_found' THEN 'this block does not hold the quote' WHEN 'visual_only' THEN 'found on a transcribed page only, which is no second witness' END AS note FROM r
+UNION ALL SELECT id, position, found, 'cross-check', 'verified_native_text', 'supported', 'value', 'native text of the page states the figure as well' FROM x
 """
 
 
@@ -137,10 +140,8 @@ def j07_exact_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 J07 = f"""
 {with_tables("claims")},
-m AS (SELECT *, CASE predicate WHEN 'revenue_from_operations' THEN 'revenue_from_operation' WHEN 'Total Income' THEN 'total_income' WHEN 'profits_after_tax' THEN 'profit_after_tax' WHEN 'profit before tax' THEN 'profit_before_tax'
-  WHEN 'number of employees' THEN 'number_employee' WHEN 'net revenue per employee' THEN 'net_revenue_per_employee' WHEN 'delivery_boxes' THEN 'delivery_box' ELSE predicate END AS n,
-  CASE suppkey % 7 WHEN 0 THEN 'the' WHEN 2 THEN 'alias ' || suppkey ELSE 'supplier ' || suppkey END AS label FROM claims WHERE status IN ('accepted', 'needs_review')),
-w AS (SELECT *, list_filter(string_split(n, '_'), lambda t: t NOT IN ('adjusted', 'total', 'net', 'per', 'before', 'after')) AS c FROM m)
+m AS (SELECT *, {RULED.format(x="predicate")} AS n, {LABEL.format(x="subject")} AS label FROM claims WHERE status IN ('accepted', 'needs_review')),
+w AS (SELECT *, list_filter(string_split(n, '_'), lambda t: t NOT IN {MODIFIERS}) AS c FROM m)
 SELECT a.collection_id, a.id AS claim_a_id, b.id AS claim_b_id FROM w a JOIN w b ON a.collection_id = b.collection_id AND a.label = b.label AND a.document_id <> b.document_id AND a.id < b.id
 WHERE (a.entity_id IS NULL OR b.entity_id IS NULL OR a.entity_id = b.entity_id)
   AND (a.n = b.n OR len(list_intersect(a.c, b.c)) > 0) AND (a.n, b.n) NOT IN (('revenue_from_operation', 'total_income'), ('total_income', 'revenue_from_operation'), ('profit_after_tax', 'profit_before_tax'), ('profit_before_tax', 'profit_after_tax'))
@@ -161,17 +162,20 @@ QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY 1 - list_cosine_similarity
 
 
 def u01_union_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both channels over all claims with vectors; subjects and predicates follow from the vectors' numbers."""
     v = table(spark, sf_dir, "vectors")
-    n = v.select("collection_id", (F.col("vec_id") - 3).alias("vec_id"), F.col("id").alias("right_id"))
-    pairs = v.join(n, ["collection_id", "vec_id"])
-    e = pairs.where("vec_id % 2 = 0").select("collection_id", F.least("id", "right_id").alias("claim_a_id"), F.greatest("id", "right_id").alias("claim_b_id"))
-    s = pairs.where("vec_id % 3 = 0").select("collection_id", F.col("right_id").alias("left_id"), F.col("id").alias("right_id"), (F.col("vec_id") / 1000).alias("distance"))
-    return candidates.union_candidates(e, s).withColumn("sources", F.array_join("sources", "+"))
+    c = v.select("id", "collection_id", "document_id", F.lit(None).cast("string").alias("entity_id"), F.concat(F.lit("Firm "), (F.col("vec_id") % 23).cast("string"), F.lit(" Ltd.")).alias("subject"), F.when(F.col("vec_id") % 2 == 0, "Net Revenues").otherwise("revenue").alias("predicate"))
+    u = candidates.union_candidates(candidates.exact_candidates(c, c), candidates.semantic_candidates(v, v))
+    return u.withColumn("sources", F.array_join("sources", "+")).withColumn("distance", F.round("distance", 5))
 
 
 U01 = f"""
-WITH v AS ({duck("vectors")}), p AS (SELECT a.collection_id, a.vec_id, least(a.id, b.id) AS claim_a_id, greatest(a.id, b.id) AS claim_b_id FROM v a JOIN v b ON a.collection_id = b.collection_id AND b.vec_id = a.vec_id + 3)
-SELECT collection_id, claim_a_id, claim_b_id, CASE WHEN vec_id % 6 = 0 THEN 'exact+semantic' WHEN vec_id % 2 = 0 THEN 'exact' ELSE 'semantic' END AS sources, CASE WHEN vec_id % 2 = 1 THEN vec_id / 1000.0::DOUBLE END AS distance FROM p WHERE vec_id % 2 = 0 OR vec_id % 3 = 0
+WITH v AS ({duck("vectors")}),
+e AS (SELECT DISTINCT a.collection_id, least(a.id, b.id) AS x, greatest(a.id, b.id) AS y FROM v a JOIN v b ON a.collection_id = b.collection_id AND a.vec_id % 23 = b.vec_id % 23 AND a.document_id <> b.document_id),
+k AS (SELECT a.collection_id, a.id AS l, b.id AS r, 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM v a JOIN v b ON a.collection_id = b.collection_id AND a.document_id <> b.document_id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY d, b.id) <= 15),
+s AS (SELECT collection_id, least(l, r) AS x, greatest(l, r) AS y, min(d) AS d FROM k GROUP BY ALL)
+SELECT coalesce(e.collection_id, s.collection_id) AS collection_id, coalesce(e.x, s.x) AS claim_a_id, coalesce(e.y, s.y) AS claim_b_id, CASE WHEN e.x IS NULL THEN 'semantic' WHEN s.x IS NULL THEN 'exact' ELSE 'exact+semantic' END AS sources, CASE WHEN e.x IS NULL THEN round(s.d, 5) END AS distance
+FROM e FULL JOIN s ON e.collection_id = s.collection_id AND e.x = s.x AND e.y = s.y
 """
 
 
@@ -201,7 +205,7 @@ def f4_04_resolve_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 F4_04 = f"""
 {with_tables("claims", "entities", "aliases")},
-l AS (SELECT DISTINCT collection_id, CASE suppkey % 7 WHEN 0 THEN 'the#' || document_id WHEN 2 THEN 'alias ' || suppkey ELSE 'supplier ' || suppkey END AS label FROM claims),
+l AS (SELECT DISTINCT collection_id, {LABEL.format(x="subject")} || CASE WHEN suppkey % 7 = 0 THEN '#' || document_id ELSE '' END AS label FROM claims),
 x AS (SELECT collection_id, 'supplier ' || id[2:] AS label, id FROM entities), y AS (SELECT e.collection_id, a.normalized_alias AS label, e.id FROM aliases a JOIN entities e ON e.id = a.entity_id)
 SELECT l.collection_id, l.label, CASE WHEN x.id IS NOT NULL THEN 'exact' WHEN y.id IS NOT NULL THEN 'alias' ELSE 'created' END AS method, coalesce(x.id, y.id) AS known_id
 FROM l LEFT JOIN x ON x.collection_id = l.collection_id AND x.label = l.label LEFT JOIN y ON y.collection_id = l.collection_id AND y.label = l.label
@@ -227,8 +231,8 @@ def f3_07_register_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 F3_07 = f"""
 {with_tables("claims")},
-m AS (SELECT *, CASE predicate WHEN 'revenue_from_operations' THEN 'revenue_from_operation' WHEN 'profits_after_tax' THEN 'profit_after_tax' WHEN 'profit before tax' THEN 'profit_before_tax' WHEN 'number of employees' THEN 'number_employee' WHEN 'net revenue per employee' THEN 'net_revenue_per_employee' ELSE predicate END AS n FROM claims)
-SELECT collection_id, n AS canonical_name, min(id) AS first_claim_id FROM m WHERE n NOT IN ('Total Income', 'ebitda', 'delivery_boxes') GROUP BY ALL
+m AS (SELECT *, {RULED.format(x="predicate")} AS n FROM claims)
+SELECT collection_id, n AS canonical_name, min(id) AS first_claim_id FROM m WHERE n NOT IN ('total_income', 'ebitda', 'delivery_box') GROUP BY ALL
 """
 
 
@@ -458,12 +462,12 @@ FROM runs QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY created_a
 def p13_visual_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "blocks")
     kinds = b.groupBy("document_id", "physical_page").agg(F.bool_or(F.col("block_type") == "table").alias("visual_route"))
-    return reads.visual_pages(b, kinds, "transcribe@1", most=2)
+    return reads.visual_pages(b, kinds, "transcribe@1")
 
 
 P13 = f"""
 {with_tables("blocks")}, k AS (SELECT document_id, physical_page FROM blocks GROUP BY ALL HAVING bool_or(block_type = 'table') AND NOT bool_or(produced_by = 'transcribe@1'))
-SELECT document_id, physical_page FROM k QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY physical_page) <= 2
+SELECT document_id, physical_page FROM k QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY physical_page) <= 40
 """
 
 _ALL = {

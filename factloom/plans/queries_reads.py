@@ -9,6 +9,7 @@ from factloom.functions import numbers
 from factloom.plans import evaluation, reads
 from factloom.plans.fixture import table, with_tables
 from factloom.plans.queries_values import NORMAL as NORMAL_FIGURES
+from factloom.plans.queries_values import RULED
 from factloom.sources import exports, gold
 
 
@@ -199,11 +200,8 @@ def gold_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     return g, produced, pairs
 
 
-NORMAL = """CASE {x} WHEN 'revenue_from_operations' THEN 'revenue_from_operation' WHEN 'Total Income' THEN 'total_income' WHEN 'profits_after_tax' THEN 'profit_after_tax' WHEN 'profit before tax' THEN 'profit_before_tax'
-  WHEN 'number of employees' THEN 'number_employee' WHEN 'net revenue per employee' THEN 'net_revenue_per_employee' WHEN 'delivery_boxes' THEN 'delivery_box' ELSE {x} END""".format(x="predicate")
-
 MATCH = f"""
-pr AS (SELECT *, document_id || '.pdf' AS document, [orderkey % 5, line % 5] AS pages, {NORMAL} AS n,
+pr AS (SELECT *, document_id || '.pdf' AS document, [orderkey % 5, line % 5] AS pages, {RULED.format(x='predicate')} AS n,
   CASE lower(trim(coalesce(scale, ''))) WHEN '' THEN 1 WHEN 'million' THEN 1000000 WHEN 'crore' THEN 10000000 WHEN 'lakh' THEN 100000 END AS f FROM claims),
 go AS (SELECT *, 'g' || id AS gold_id, orderkey % 5 AS page, CASE WHEN partkey % 11 = 0 THEN '7' ELSE numeric_value END AS gv, CASE WHEN partkey % 2 = 0 THEN scope END AS gs, CASE line WHEN 1 THEN 'table' WHEN 2 THEN 'narrative' WHEN 3 THEN 'chart' ELSE 'list' END AS evidence_kind FROM pr),
 ca AS (SELECT g.gold_id, p.id, p.status, p.line, CASE WHEN gv IS NULL THEN 'both_absent' ELSE 'equal' END AS verdict, p.period_label IS NOT DISTINCT FROM g.period_label OR regexp_replace(replace(upper(p.period_label), ' ', ''), '^FY([0-9]{{2}})$', 'FY20\\1') = regexp_replace(replace(upper(g.period_label), ' ', ''), '^FY([0-9]{{2}})$', 'FY20\\1') AS pa,

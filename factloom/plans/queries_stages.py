@@ -10,18 +10,9 @@ from factloom.operators import candidates, checks, chunks, evidence, layout, res
 from factloom.plans import evaluation, reads
 from factloom.plans.fixture import table, with_tables
 from factloom.plans.queries_pipeline import BLOCKS, ISSUES
-from factloom.plans.queries_values import CONTEXT, NORMAL, PERIOD, RELATION, claim_pairs
+from factloom.plans.queries_values import CONTEXT, LABEL, NORMAL, PERIOD, RELATION, RULED, SEP, claim_pairs, duck_uuid5
 from factloom.sources import exports, uploads
 
-SEP = "chr(31)"
-
-
-def duck_uuid5(name: str) -> str:
-    """DuckDB's expression for the version 5 UUID of a name in this package's namespace."""
-    h = f"sha1(unhex('{text.NAMESPACE.hex}') || encode({name}))"
-    return f"{h}[1:8] || '-' || {h}[9:12] || '-5' || {h}[14:16] || '-' || printf('%02x', (('0x' || {h}[17:18])::INT & 63) | 128) || {h}[19:20] || '-' || {h}[21:32]"
-
-
 def words(kind: str, values: dict | tuple) -> str:
     """A word table for SQL."""
     rows = values.items() if isinstance(values, dict) else [(v, "") for v in values]
@@ -101,12 +92,8 @@ def n11_normalize_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("id", "entity_id", "method", F.col("normalized_value").cast("double").alias("normalized_value"), "normalized_unit", F.col("value_precision").cast("long").alias("value_precision"), day("period_start"), day("period_end"), "fact_group_id")
 
 
-#: A predicate's normal form, by its rules: words, fillers, singular.
-RULED = """array_to_string(list_transform(list_filter(string_split(trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '' AND w NOT IN ('the', 'a', 'an', 'of', 'for', 'in', 'on', 'to')),
-  lambda w: CASE WHEN len(w) <= 3 THEN w WHEN w LIKE '%ies' THEN w[:-4] || 'y' WHEN w LIKE '%ses' OR w LIKE '%xes' THEN w[:-3] WHEN w LIKE '%s' AND w NOT LIKE '%ss' AND w NOT LIKE '%us' THEN w[:-2] ELSE w END), '_')"""
-
 RESOLVED = f"""
-l AS (SELECT *, CASE suppkey % 7 WHEN 0 THEN 'the#' || document_id WHEN 2 THEN 'alias ' || suppkey ELSE 'supplier ' || suppkey END AS label FROM claims),
+l AS (SELECT *, {LABEL.format(x='subject')} || CASE WHEN suppkey % 7 = 0 THEN '#' || document_id ELSE '' END AS label FROM claims),
 x AS (SELECT collection_id, 'supplier ' || id[2:] AS label, id FROM entities), y AS (SELECT e.collection_id, a.normalized_alias AS label, e.id FROM aliases a JOIN entities e ON e.id = a.entity_id),
 re AS (SELECT l.*, coalesce(x.id, y.id, {duck_uuid5(f"'entity' || {SEP} || l.collection_id || {SEP} || l.label")}) AS entity, CASE WHEN x.id IS NOT NULL THEN 'exact' WHEN y.id IS NOT NULL THEN 'alias' ELSE 'created' END AS method
   FROM l LEFT JOIN x ON x.collection_id = l.collection_id AND x.label = l.label LEFT JOIN y ON y.collection_id = l.collection_id AND y.label = l.label)
@@ -140,7 +127,7 @@ def f4_04_adjudicated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 JUDGED = f"""
-l0 AS (SELECT *, CASE suppkey % 7 WHEN 0 THEN 'the#' || document_id WHEN 2 THEN 'alias ' || suppkey ELSE 'supplier ' || suppkey END AS label FROM claims),
+l0 AS (SELECT *, {LABEL.format(x='subject')} || CASE WHEN suppkey % 7 = 0 THEN '#' || document_id ELSE '' END AS label FROM claims),
 ll AS (SELECT DISTINCT collection_id, label FROM l0), y AS (SELECT e.collection_id, a.normalized_alias AS label, e.id FROM aliases a JOIN entities e ON e.id = a.entity_id),
 ca AS (SELECT q.collection_id, q.label, e.id, 'supplier no' || e.id[2:] AS name, row_number() OVER (PARTITION BY q.collection_id, q.label ORDER BY 'supplier no' || e.id[2:], e.id) AS turn
   FROM (SELECT DISTINCT collection_id, label FROM l0 WHERE label LIKE 'supplier %' AND suppkey % 40 = 1) q JOIN entities e ON e.collection_id = q.collection_id QUALIFY turn <= 2),

@@ -11,6 +11,23 @@ from factloom.plans.fixture import LINES, duck, table, with_tables
 
 QUALIFIERS = "array<struct<name:string,value:string>>"
 
+SEP = "chr(31)"
+
+
+def duck_uuid5(name: str) -> str:
+    """DuckDB's expression for the version 5 UUID of a name in this package's namespace."""
+    h = f"sha1(unhex('{text.NAMESPACE.hex}') || encode({name}))"
+    return f"{h}[1:8] || '-' || {h}[9:12] || '-5' || {h}[14:16] || '-' || printf('%02x', (('0x' || {h}[17:18])::INT & 63) | 128) || {h}[19:20] || '-' || {h}[21:32]"
+
+
+#: A predicate's normal form, by its rules: words, fillers, singular.
+RULED = """array_to_string(list_transform(list_filter(string_split(trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '' AND w NOT IN ('the', 'a', 'an', 'of', 'for', 'in', 'on', 'to')),
+  lambda w: CASE WHEN len(w) <= 3 THEN w WHEN w LIKE '%ies' THEN w[:-4] || 'y' WHEN w LIKE '%ses' OR w LIKE '%xes' THEN w[:-3] WHEN w LIKE '%s' AND w NOT LIKE '%ss' AND w NOT LIKE '%us' THEN w[:-2] ELSE w END), '_')"""
+
+#: A name's normal form, by its rules: no punctuation, no legal forms at the end.
+CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '[.,]', ' ', 'g'), '[^a-z0-9&\s-]', '', 'g'), '\s+', ' ', 'g'))"
+LABEL = f"regexp_replace({CLEAN}, '( ({'|'.join(entities.LEGAL)}))+$', '')"
+
 RAW_VALUES = """
 SELECT concat('n', l_orderkey, '-', l_linenumber) AS id, CASE l_partkey % 12
   WHEN 0 THEN concat('about ', CAST(CAST(l_quantity AS INT) AS STRING), '.50 Crore') WHEN 1 THEN concat(CAST(CAST(l_quantity AS INT) AS STRING), '-', CAST(CAST(l_quantity AS INT) + 5 AS STRING), ' %')
@@ -195,17 +212,13 @@ def f3_01_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "claims").select("id", predicates.normalize_predicate("predicate").alias("normal"), predicates.predicate_head("predicate").alias("head"))
 
 
-NORMAL_PREDICATE = """CASE {x} WHEN 'revenue_from_operations' THEN 'revenue_from_operation' WHEN 'Total Income' THEN 'total_income' WHEN 'adjusted_ebitda' THEN 'adjusted_ebitda' WHEN 'ebitda' THEN 'ebitda' WHEN 'profits_after_tax' THEN 'profit_after_tax'
-  WHEN 'profit before tax' THEN 'profit_before_tax' WHEN 'number of employees' THEN 'number_employee' WHEN 'net revenue per employee' THEN 'net_revenue_per_employee' ELSE 'delivery_box' END"""
-
-
 def _normal(x: str) -> str:
-    return NORMAL_PREDICATE.format(x=x)
+    return RULED.format(x=x)
 
 
 F3_01 = f"""
 {with_tables("claims")}
-SELECT id, {_normal("predicate")} AS normal, CASE WHEN predicate = 'Total Income' THEN 'income' ELSE list_extract(string_split({_normal("predicate")}, '_'), -1) END AS head FROM claims
+SELECT id, {_normal("predicate")} AS normal, coalesce(list_extract(list_filter(string_split({_normal("predicate")}, '_'), lambda w: w NOT IN {predicates.MODIFIERS}), -1), {_normal("predicate")}) AS head FROM claims
 """
 
 
@@ -239,8 +252,8 @@ def f4_01_entity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 F4_01 = f"""
-{with_tables("claims")}, x AS (SELECT *, CASE suppkey % 7 WHEN 0 THEN 'the' WHEN 2 THEN 'alias ' || suppkey ELSE 'supplier ' || suppkey END AS label FROM claims)
-SELECT id, label, CASE suppkey % 7 WHEN 0 THEN 'company' WHEN 1 THEN 'pvt ltd' WHEN 2 THEN '' ELSE 'limited' END AS suffixes, suppkey % 7 = 0 AS generic, CASE WHEN suppkey % 7 = 0 THEN label || '#' || document_id ELSE label END AS scoped FROM x
+{with_tables("claims")}, x AS (SELECT *, {LABEL.format(x="subject")} AS label, {CLEAN.format(x="subject")} AS clean, regexp_replace(trim(regexp_replace(lower(subject), '\\s+', ' ', 'g')), '[.,]$', '') IN {entities.GENERIC} AS generic FROM claims)
+SELECT id, label, ltrim(clean[len(label) + 1:]) AS suffixes, generic, CASE WHEN generic THEN label || '#' || document_id ELSE label END AS scoped FROM x
 """
 
 
@@ -266,13 +279,12 @@ SELECT id, sha256(concat_ws(' ', trim(regexp_replace(lower(subject), '\\s+', ' '
 
 def f6_03_fact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "claims").withColumn("g", text.fact_group_id(F.col("collection_id"), F.col("entity_id"), predicates.normalize_predicate("predicate"), F.coalesce("period_label", F.lit(""))))
-    return c.where("g is not null").groupBy("collection_id", "entity_id", predicates.normalize_predicate("predicate").alias("predicate"), F.coalesce("period_label", F.lit("")).alias("period_label")).agg(
-        F.count("*").alias("claims"), F.count_distinct("g").alias("ids"), F.max(F.length("g")).cast("long").alias("width"), F.max(F.substring("g", 15, 1)).alias("version"))
+    return c.where("g is not null").groupBy("g").agg(F.count("*").alias("claims"), F.min("id").alias("first_id"))
 
 
 F6_03 = f"""
 {with_tables("claims")}
-SELECT collection_id, entity_id, {_normal("predicate")} AS predicate, coalesce(period_label, '') AS period_label, count(*) AS claims, 1 AS ids, 36 AS width, '5' AS version FROM claims WHERE entity_id IS NOT NULL GROUP BY ALL
+SELECT {duck_uuid5(f"collection_id || {SEP} || entity_id || {SEP} || {_normal('predicate')} || {SEP} || coalesce(period_label, '')")} AS g, count(*) AS claims, min(id) AS first_id FROM claims WHERE entity_id IS NOT NULL GROUP BY ALL
 """
 
 

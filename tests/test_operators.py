@@ -119,3 +119,168 @@ def test_store(spark, tmp_path):
     keys = spark.createDataFrame([("documents/ab/x.pdf",), ("../x",)], "key string")
     assert [bytes(r["content"]) for r in store.read_objects(spark, str(tmp_path), keys).collect()] == [b"one"]
     assert store.writable(spark, str(tmp_path)) and store.missing_tables(spark) == list(store.CORE_TABLES)
+
+
+def packed(blocks, target, most):
+    """Chunks of one document by the rules, joining texts anew at each step; blocks: (page, id, kind, content, label)."""
+    tokens = lambda t: -(-(len(t.encode("utf-16-le")) // 2) // 4)
+    out, heading, body, refs, at = [], None, [], {}, (None, None)
+
+    def close():
+        nonlocal body, refs
+        if body:
+            head = f"[page {at[0]}]" if at[1] is None else f"[page {at[0]} (printed {at[1]})]"
+            text = "\n".join([head, *([] if heading is None else [f"[section: {heading}]"]), "", "\n\n".join(body)])
+            out.append((at[0], text, list(refs), tokens(text)))
+        body, refs = [], {}
+
+    for page, block, kind, content, label in blocks:
+        content = (content or "").strip()
+        if not content:
+            continue
+        if page != at[0]:
+            close()
+        if kind == "heading":
+            close()
+            at, heading = (page, label), content
+            continue
+        pieces, held = [], []
+        for line in content.split("\n"):
+            if held and tokens("\n".join([*held, line])) > most:
+                pieces.append("\n".join(held))
+                held = []
+            held.append(line)
+        for piece in [*pieces, "\n".join(held)]:
+            if body and tokens("\n\n".join([*body, piece])) > target:
+                close()
+            at = (page, label)
+            ref = refs.setdefault(block, f"B{len(refs) + 1}")
+            body.append(f"[{ref}]\n{piece}")
+    close()
+    return out
+
+
+def test_chunks_split_oversize_blocks_on_lines(spark):
+    import random
+
+    rng = random.Random(6)
+    line = lambda: "".join(rng.choice("ab é😀") for _ in range(rng.randint(0, 60)))
+    rows = []
+    for i in range(160):
+        kind = "heading" if rng.random() < 0.15 else "paragraph"
+        content = rng.choice([None, "  ", "\n".join(line() for _ in range(rng.randint(1, 14))), line() * 4])
+        rows.append((i // 20, f"b{i}", kind, content, rng.choice([None, "iv"])))
+    b = spark.createDataFrame([("d", p, i, *r) for i, (p, *r) in enumerate(rows)], "document_id string, physical_page int, block_index int, block_id string, block_type string, content string, printed_page_label string").repartition(5)
+    for target, most in ((40, 30), (60, 15), (1200, 2000)):
+        got = [(r["physical_page"], r["text"], r["source_block_ids"], r["estimated_tokens"]) for r in chunks.chunk_blocks(b, target, most).orderBy("chunk_index").collect()]
+        assert got == packed(rows, target, most)
+
+
+class _Pages:
+    """A reader of made-up documents: a page called bad fails, a document called broken cannot be opened."""
+
+    def read(self, content):
+        if content == b"broken":
+            raise ValueError("no pdf")
+        for page, name in enumerate(content.decode().split(",")):
+            yield page, 600.0, 800.0, self.runs(name)
+
+    def runs(self, name):
+        yield " first ", 1.0, 2.0, 3.0, 4.0
+        if name == "bad":
+            raise ValueError("bad page")
+        yield "  ", 0.0, 0.0, 0.0, 0.0
+        yield name, 10.0, 2.0, 4.0, 4.0
+
+
+def test_a_failing_page_leaves_the_others(spark):
+    files = spark.createDataFrame([("d1", b"one,bad,three"), ("d2", b"broken"), ("d3", b"last")], "document_id string, content binary")
+    rows = seams.read_runs(files, _Pages()).collect()
+    assert sorted((r["document_id"], r["physical_page"], r["reading_index"], r["text"], r["center_x"]) for r in rows if r["error"] is None) == [
+        ("d1", 0, 0, "first", 2.5), ("d1", 0, 1, "one", 12.0), ("d1", 2, 0, "first", 2.5), ("d1", 2, 1, "three", 12.0), ("d3", 0, 0, "first", 2.5), ("d3", 0, 1, "last", 12.0)]
+    assert sorted((r["document_id"], r["physical_page"], r["error"]) for r in rows if r["error"]) == [("d1", 1, "page_parse_failed: bad page"), ("d2", None, "page_parse_failed: no pdf")]
+
+
+def test_a_replayed_batch_of_uploads_changes_nothing(spark, tmp_path):
+    files = spark.createDataFrame([("a", b"%PDF-1.4 one", 12, 3, None), ("b", b"%PDF-1.4 one", 12, 3, None), ("c", b"%PDF-1.4 two", 12, 3, None)], "path string, content binary, size long, page_count int, open_error string")
+    documents, outcomes = str(tmp_path / "documents"), str(tmp_path / "outcomes")
+    for _ in range(3):
+        jobs.settle_uploads(spark, files, 0, documents, outcomes, "col1")
+    jobs.settle_uploads(spark, files.where("path = 'c'").withColumn("path", F.lit("d")), 1, documents, outcomes, "col1")
+    got = {(r["path"], r["batch_id"]): r["outcome"] for r in spark.read.parquet(outcomes).collect()}
+    assert got == {("a", 0): "accepted", ("b", 0): "duplicate", ("c", 0): "accepted", ("d", 1): "duplicate"}
+    assert spark.read.parquet(documents).count() == 2
+
+
+class _Judge:
+    def judge(self, names):
+        if (names["candidate"] == "fail").any():
+            raise RuntimeError("away")
+        return names.assign(same=names["label"].str[0] == names["candidate"].str[0], reason="by letter")[["same", "reason"]]
+
+
+class _Away:
+    model_name, width = "away", 3
+
+    def embed(self, texts):
+        raise ConnectionError("no network")
+
+
+def test_adjudicator_and_embedder_may_fail(spark):
+    asked = spark.createDataFrame([("k", "abc", "e1", "a firm"), ("k", "abc", "e2", "b firm")], "collection_id string, label string, entity_id string, normalized_label string")
+    assert {(r["entity_id"], r["same"]) for r in seams.adjudicate(asked, _Judge()).collect()} == {("e1", True), ("e2", False)}
+    failed = seams.adjudicate(asked.withColumn("normalized_label", F.lit("fail")), _Judge()).collect()
+    assert not any(r["same"] for r in failed) and failed[0]["reason"] == "no answer: away"
+    c = spark.createDataFrame([("a", "x")], "claim_id string, description string")
+    assert seams.embed_or_reason(c, _Away()) == (None, "ConnectionError: no network") and seams.embed_or_reason(c, None)[0] is None
+    assert seams.embed_or_reason(c, seams.HashEmbedder(4))[0].count() == 1
+
+
+class _Costly:
+    model_name = "costly"
+
+    def classify(self, prompts):
+        import pandas as pd
+
+        n = len(prompts)
+        return pd.DataFrame({"label": ["unrelated"] * n, "rationale": [""] * n, "prompt_tokens": [1] * n, "completion_tokens": [1] * n})
+
+
+def test_spending_stops_at_the_budget_and_goes_by_promise(spark):
+    p = spark.createDataFrame([(f"a{i}", f"b{i}", "?", i % 3) for i in range(90)], "claim_a_id string, claim_b_id string, prompt string, promise int")
+    got = {r["claim_a_id"] for r in seams.spend(p, _Costly(), budget=61, batch=10).collect()}
+    assert {f"a{i}" for i in range(90) if i % 3 == 2} <= got and not any(int(a[1:]) % 3 == 0 for a in got) and 31 <= len(got) < 60
+    assert seams.spend(p, _Costly(), budget=10**6, batch=10).count() == 90
+
+
+def test_without_a_judge_names_stay_apart(spark):
+    from factloom.operators import resolution
+
+    resolved = spark.createDataFrame([("k", "acme north", "n1", "created"), ("k", "other", "n2", "created"), ("k", "acme", "e1", "exact")], "collection_id string, label string, entity_id string, method string")
+    c = spark.createDataFrame([("k", "acme north", "e1", "acme"), ("k", "acme north", "e2", "north")], "collection_id string, label string, entity_id string, normalized_label string")
+    got = {r["label"]: (r["entity_id"], r["method"], r["reason"], r["rejected"]) for r in resolution.adjudicated_entities(resolved, c, None).collect()}
+    assert got == {"acme north": ("n1", "created", "names alike, none confirmed", ["acme: no judge was there", "north: no judge was there"]), "other": ("n2", "created", "a new name", []), "acme": ("e1", "exact", "the name is known", [])}
+
+
+def test_an_empty_region_is_empty(spark):
+    runs = spark.createDataFrame([("d", 0, 0, 0, "x", 1.0)], "document_id string, physical_page int, region int, block int, text string, x double")
+    every = spark.createDataFrame([("d", 0, 0), ("d", 0, 1)], "document_id string, physical_page int, region int")
+    assert {r["region"]: r["kind"] for r in layout.classify_regions(runs, runs, every).collect()} == {0: "sparse", 1: "empty"}
+
+
+def test_versions_are_those_that_were_frozen():
+    from factloom import config
+    from factloom.plans import evaluation
+
+    assert evaluation.freeze_differences(config.VERSIONS, config.FROZEN) == []
+    assert evaluation.freeze_differences({"a": "1", "b": "1"}, {"a": "2", "c": "1"}) == [("a", "1", "2"), ("b", "1", None), ("c", None, "1")]
+
+
+def test_report_is_whole_or_refused(spark, monkeypatch):
+    import pytest
+
+    df = spark.range(5)
+    assert exports.markdown_report("R", {"one": df, "two": df}).count("\n| ") == 12
+    monkeypatch.setattr(exports, "MOST_ROWS", 4)
+    with pytest.raises(ValueError):
+        exports.markdown_table(df, "T")

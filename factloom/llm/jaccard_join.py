@@ -415,22 +415,32 @@ def compare_families(sets: DataFrame, members: DataFrame, every: bool) -> DataFr
 def components(links: DataFrame) -> DataFrame:
     """(node, label) with the least node reachable, for all nodes of the links.
 
-    Each round takes the least label around a node and then the label of that label; the number of
-    rounds grows with the logarithm of the longest path.
+    Each round every node goes to the least of itself and its neighbours, and on along two such steps; then the links are
+    contracted: they join what their ends went to, once each, and those inside one label are gone. So a round
+    reads only what is not joined yet, and at the end the steps are followed from the nodes.
     """
-    both = links.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("to")))
-    both = store(both.distinct(), "jaccard-edges")
-    labels = held = store(both.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("label")), "jaccard-labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("to"), "label"), "to").groupBy("node").agg(F.min("label").alias("near"))
-        new = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = store(new.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "jaccard-labels")
-        release(held)
-        labels, held = new.select("node", "label"), new
-        if new.where("old != label").isEmpty():
-            release(both)
-            return labels
+    pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    edges = store(links.where("a != b").select(*pair("a", "b")).distinct(), "jaccard-edges")
+    steps: list[DataFrame] = []
+    while not steps or not edges.isEmpty():
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("to")), F.struct(F.col("b").alias("node"), F.col("a").alias("to")))).alias("e")).select("e.*")
+        hook = store(ends.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("label")), "jaccard-hooks")
+        step = hook
+        for _ in range(2):
+            far = hook.select(F.col("node").alias("label"), F.col("label").alias("far"))
+            step = step.join(far, "label").select("node", F.col("far").alias("label"))
+        step = store(step, "jaccard-steps")
+        steps.append(step)
+        to = lambda end: step.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
+        left = store(edges.join(to("a"), "a").join(to("b"), "b").where("label_a != label_b").select(*pair("label_a", "label_b")).distinct(), "jaccard-edges")
+        release(edges, hook)
+        edges = left
+    labels = steps[0]
+    for step in steps[1:]:
+        labels = labels.join(step.select(F.col("node").alias("label"), F.col("label").alias("further")), "label", "left").select("node", F.coalesce("further", "label").alias("label"))
+    labels = store(labels, "jaccard-labels")
+    release(edges, *steps)
+    return labels
 
 
 def open_members(groups: DataFrame, labels: DataFrame) -> DataFrame:

@@ -379,6 +379,27 @@ def test_signatures_enumerate_the_subsets_of_partitions():
         assert set(spoilt.values()) <= {0, 1, 2} and 2 in spoilt.values()
 
 
+def test_components_of_chains_stars_and_random_links(spark):
+    rng = random.Random(21)
+    chain = [(k, k + 1) for k in range(1000, 1060)]
+    zigzag = [(2000 + k, 2000 + (k * 37 + 11) % 83) for k in range(83)]
+    star = [(5000, 3000 + k) for k in range(40)]
+    some = [(rng.randint(6000, 6120), rng.randint(6000, 6120)) for _ in range(60)]
+    links = chain + zigzag + star + some + [(7000, 7000)]
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = {r["node"]: r["label"] for r in jaccard_join.components(spark.createDataFrame(links, "a long, b long").repartition(3)).collect()}
+    assert got == {x: find(x) for a, b in links if a != b for x in (a, b)} and jaccard_join.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_common_counts():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, 30).astype(np.uint32)) for _ in range(12)]

@@ -79,7 +79,6 @@ def signatures(s: np.ndarray, low: np.ndarray) -> list[tuple[int, np.ndarray, in
     """(band, signatures, promise) of a sorted set for each instance it takes part in.
 
     promise: signatures that any partner surely has in common with this set (at most 0: no promise).
-    The two lowest bits of a signature tell the band's number modulo 4.
     """
     n, out = len(s), []
     own = int(np.searchsorted(low, n, side="right")) - 1
@@ -102,7 +101,7 @@ def signatures(s: np.ndarray, low: np.ndarray) -> list[tuple[int, np.ndarray, in
         promise = promised(k, n1) - (n1 * N2 - len(sig))
         if promise <= 0:
             sig = np.concatenate((sig, mix((s[: prefix_length(n)] ^ _P2) + tag)))
-        out.append((band, (sig & ~np.uint64(3)) | np.uint64(band & 3), promise))
+        out.append((band, sig, promise))
     return out
 
 
@@ -136,48 +135,60 @@ def _keyed(*names: str):
 
 #: So many signatures are packed at a time; bounds a task's memory, not its results.
 PACK = 400_000
-PACKED = ("bucket", "low", "high", "id", "size", "bound", "count")
+PACKED = ("bucket", "low", "high", "id", "kind", "count")
+
+
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of all numbers by place, lowest first: the upper ones are mostly alike and vanish in the shuffle's compression."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.dtype.itemsize).T).tobytes()
+
+
+def from_planes(raw, kind: type) -> np.ndarray:
+    parts = np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(parts.T).view(kind).ravel()
 
 
 def _emit(buckets: int):
     """Signatures, packed into one row a bucket for every `PACK` signatures of a task."""
 
-    def packed(ids: list, sizes: list, bounds: list, counts: list, sigs: list):
+    def packed(entries: list):
         import pyarrow as pa
 
-        sig, row = np.concatenate(sigs), np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+        # In order of the ids, so that a bucket's ids are written as small differences.
+        entries.sort(key=lambda e: e[0])
+        ids, kinds = np.array([e[0] for e in entries], np.int64), np.array([e[1] for e in entries], np.int32)
+        sig, row = np.concatenate([e[2] for e in entries]), np.repeat(np.arange(len(entries), dtype=np.int32), [len(e[2]) for e in entries])
         bucket = ((sig >> np.uint64(40)).astype(np.int32)) % buckets
         order = np.argsort(bucket, kind="stable")
         sig, row, bucket = sig[order], row[order], bucket[order]
-        ids, sizes, bounds = np.array(ids, np.int64), np.array(sizes, np.int32), np.array(bounds, np.int32)
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
         out: dict[str, list] = {k: [] for k in PACKED}
         for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
             x, r = sig[cuts[k] : cuts[k + 1]], row[cuts[k] : cuts[k + 1]]
             who, per = np.unique(r, return_counts=True)
             # The bucket stands for the upper bits of its signatures; the lower 40 go along.
-            fields = (x.astype(np.uint32), (x >> np.uint64(32)).astype(np.uint8), ids[who], sizes[who], bounds[who], per.astype(np.int32))
-            for name, v in zip(PACKED, (k, *[f.tobytes() for f in fields]), strict=True):
+            lower = (x.astype(np.uint32).tobytes(), (x >> np.uint64(32)).astype(np.uint8).tobytes())
+            owner = (planes(np.diff(ids[who], prepend=np.int64(0))), planes(kinds[who]), planes(per.astype(np.int32)))
+            for name, v in zip(PACKED, (k, *lower, *owner), strict=True):
                 out[name].append(v)
         return pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *[pa.array(out[k], pa.binary()) for k in PACKED[1:]]], list(PACKED))
 
     def run(batches: Iterator) -> Iterator:
-        held: tuple[list, ...] = ([], [], [], [], [])
+        held: list[tuple] = []
         n, low = 0, bands(1 << 10)
         for doc, s in _sets(batches):
             if len(s) >= low[-2]:
                 low = bands(len(s))
             if len(s) < 3:
                 continue
-            for _, sig, bound in signatures(s, low):
-                for column, v in zip(held, (doc, len(s), bound, len(sig), sig), strict=True):
-                    column.append(v)
+            for band, sig, promise in signatures(s, low):
+                held.append((doc, band << 24 | min(max(promise, 1), (1 << 24) - 1), sig))
                 n += len(sig)
             if n >= PACK:
-                yield packed(*held)
-                n, held = 0, ([], [], [], [], [])
+                yield packed(held)
+                n, held = 0, []
         if n:
-            yield packed(*held)
+            yield packed(held)
 
     return run
 
@@ -189,7 +200,7 @@ def _meet(batches: Iterator) -> Iterator:
     """Signatures of a task's buckets that several classes share: one row for each of these classes.
 
     rank orders signatures by the number of their classes; center is the least of them; kind holds
-    the band and the class's bound.
+    the band and what the class is promised (1 at least).
     """
     import pyarrow as pa
 
@@ -198,7 +209,8 @@ def _meet(batches: Iterator) -> Iterator:
         return
     get = lambda k, t: np.concatenate([np.frombuffer(r[k].as_buffer(), t) for r in rows])
     sig = get(0, np.uint32) | (get(1, np.uint8).astype(np.uint64) << np.uint64(32))
-    ids, sizes, bounds, count = get(2, np.int64), get(3, np.int32), get(4, np.int32), get(5, np.int32)
+    ids = np.concatenate([np.cumsum(from_planes(r[2].as_buffer(), np.int64)) for r in rows])
+    kind, count = (np.concatenate([from_planes(r[k].as_buffer(), np.int32) for r in rows]) for k in (3, 4))
     del rows
     at = np.repeat(np.arange(len(count), dtype=np.int32), count)
     order = np.argsort(sig, kind="stable")
@@ -218,14 +230,10 @@ def _meet(batches: Iterator) -> Iterator:
     center = np.repeat(ids[at[start]] if len(start) else ids[:0], length)[many]
     size = np.repeat(length, length)[many]
     sig, at = sig[many], at[many]
-    low = bands(int(sizes.max()) + 1)
-    own = np.searchsorted(low, sizes, side="right") - 1
-    band = np.where((sig & np.uint64(3)).astype(np.int64) == (own[at] & 3), own[at], own[at] - 1)
     rank = (np.minimum(size, 32767).astype(np.int64) << 48) | sig.astype(np.int64)
-    kind = (band.astype(np.int32) << 24) | np.clip(bounds[at], 1, (1 << 24) - 1)
     for i in range(0, len(sig), 100_000):
         cut = slice(i, i + 100_000)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[at[cut]]), pa.array(rank[cut]), pa.array(center[cut]), pa.array(kind[cut].astype(np.int32))], ["a", "rank", "center", "kind"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at[cut]]), pa.array(rank[cut]), pa.array(center[cut]), pa.array(kind[at[cut]])], ["a", "rank", "center", "kind"])
 
 
 def kept_signatures(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import chat_format, exact_dedup, jaccard_join, language_id, mixing, quality_classifier, quality_rules, secret_scan, sentencepiece_bpe, suffix_dedup
+from factloom.llm import ball_clusters, chat_format, exact_dedup, jaccard_join, language_id, mixing, quality_classifier, quality_rules, secret_scan, sentencepiece_bpe, suffix_dedup, vector_codes, warc_zip
 from factloom.llm.common import read_table
 
 
@@ -60,9 +60,21 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_chats(read_table(spark, sf_dir, "conversations"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(read_table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op12_ball_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_clusters.ball_clusters(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.archive_roundtrip(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_sentencepiece, op3_suffix_dedup, op4_language_id, op5_secret_scan, op6_jaccard_join, op7_mix_sources, op8_quality_rules, op9_quality_classifier, op10_chat_format)
+    for f in (op1_exact_dedup, op2_sentencepiece, op3_suffix_dedup, op4_language_id, op5_secret_scan, op6_jaccard_join, op7_mix_sources, op8_quality_rules, op9_quality_classifier, op10_chat_format, op11_vector_codes, op12_ball_clusters, op13_warc_zip)
 }
 
 ORACLES: dict[str, str] = {
@@ -71,4 +83,7 @@ ORACLES: dict[str, str] = {
     "op7_mix_sources": mixing.ORACLE,
     "op8_quality_rules": quality_rules.ORACLE,
     "op10_chat_format": chat_format.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
+    "op12_ball_clusters": ball_clusters.ORACLE,
+    "op13_warc_zip": warc_zip.ORACLE,
 }

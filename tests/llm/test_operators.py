@@ -542,7 +542,8 @@ def test_chat_format_takes_long_texts_whole(spark):
     long_ = "word " * 60_000
     rows = [(1, 0, "user", long_), (2, 0, "user", long_), (2, 1, "user", "b"), (3, 0, "user", long_ + "x")]
     got = {r["conv_id"]: (r["kept"], r["keep_id"], len(r["rendered"] or "")) for r in chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert got == {1: (False, 2, 0), 2: (True, 2, len(long_) + 41), 3: (True, 3, len(long_) + 19)}
+    spelled = lambda *turns: len("".join(f"<|{role}|>\n{text}<|end|>\n" for role, text in turns))
+    assert got == {1: (False, 2, 0), 2: (True, 2, spelled(("user", long_), ("user", "b"))), 3: (True, 3, spelled(("user", long_ + "x")))}
 
 
 def test_chat_format_over_blocks(spark):

@@ -6,12 +6,13 @@ batch's own folder, documents, claims and pairs by key. A replayed batch neither
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from factloom.operators import durable
 from factloom.operators.candidates import comparable_claims, exact_candidates
 from factloom.operators.sinks import insert_if_absent
 from factloom.sources.uploads import document_key, ingest, validate_uploads
@@ -83,3 +84,62 @@ def watch_claims(spark: SparkSession, claims_folder: str, schema: str, stored: s
 
     w = arriving.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()
+
+
+#: Keyed state with timers needs a state store with column families.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+JOB_EVENTS = "document_id string, event_id bigint, at_us bigint, kind string"
+
+
+class JobProcessor(StatefulProcessor):
+    """One document's job as keyed state.
+
+    Events wait, by time and id, until the watermark has passed them, and are then applied in order; so the
+    order of arrival does not matter, and one that arrives twice is kept once. What comes after its time has
+    been settled is late, or a replay, and is dropped. Timers stand at waiting events and at the job's own next change.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", durable.FIELDS)
+        self.waiting = handle.getMapState("waiting", "at_us bigint, event_id bigint", "kind string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802
+        settled = timerValues.getCurrentWatermarkInMs() * 1000
+        for r in rows:
+            if r["at_us"] is not None and r["kind"] is not None and r["at_us"] >= settled:
+                self.waiting.updateValue((r["at_us"], r["event_id"]), (r["kind"],))
+                self.handle.registerTimer(r["at_us"] // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802
+        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        job = durable.Job(*self.job.get()) if self.job.exists() else durable.Job()
+        due = sorted((tuple(k), v[0]) for k, v in self.waiting.iterator() if k[0] < until)
+        changes: list[tuple] = []
+        for (at, event_id), kind in due:
+            changes += job.event(at, kind)
+            self.waiting.removeKey((at, event_id))
+        changes += job.elapse(until)
+        self.job.update(job.values())
+        wake = job.wake()
+        if wake is not None:
+            self.handle.registerTimer(max(wake, until) // 1000 + 1)
+        for c in changes:
+            yield Row(**dict(zip(("document_id", "job", "at_us", "state", "attempt", "stage", "reason"), (key[0], *c), strict=True)))
+
+    def close(self) -> None:
+        pass
+
+
+def job_changes(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Streaming state changes of document jobs from events (document_id, event_id, at_us, kind), settled once the watermark passes them."""
+    e = events.where("document_id is not null").withColumn("at", F.timestamp_micros("at_us")).withWatermark("at", late)
+    return e.groupBy("document_id").transformWithState(JobProcessor(), durable.CHANGES, "Append", "eventTime")
+
+
+def watch_jobs(spark: SparkSession, events_folder: str, changes: str, checkpoint: str, late: str = "10 minutes", once: bool = True, files_a_batch: int = 1000) -> StreamingQuery:
+    """Job events that appear in a folder become state changes in another, each once; needs STATE_STORE to be set."""
+    arriving = spark.readStream.schema(JOB_EVENTS).option("maxFilesPerTrigger", files_a_batch).parquet(events_folder)
+    w = job_changes(arriving, late).writeStream.format("parquet").option("path", changes).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if once else w).start()

@@ -12,27 +12,12 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from factloom.operators import durable
+from factloom.operators import durable, neighbours
 from factloom.operators.candidates import comparable_claims, exact_candidates
-from factloom.operators.sinks import insert_if_absent
+from factloom.operators.sinks import append_new, bucket_of, read_or_none, touched, upsert
 from factloom.sources.uploads import document_key, ingest, validate_uploads
 
 
-def read_or_none(spark: SparkSession, path: str, exists_only: bool = False) -> DataFrame | bool | None:
-    """A Parquet table (or, if asked, just True), or None where nothing has been written yet."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return (True if exists_only else spark.read.parquet(path)) if fs.exists(p) else None
-
-
-def append_new(spark: SparkSession, path: str, new: DataFrame, key: list[str], order: list) -> None:
-    """Appends the rows whose key is not stored yet."""
-    stored = read_or_none(spark, path)
-    rows = insert_if_absent(new.limit(0) if stored is None else stored, new, key, order)
-    rows.write.mode("append").parquet(path)
-
-
 def settle_uploads(spark: SparkSession, files: DataFrame, batch_id: int, documents: str, outcomes: str, collection_id: str) -> None:
     """Outcome of each file of a batch, then its new documents; safe to repeat.
 
@@ -43,13 +28,13 @@ def settle_uploads(spark: SparkSession, files: DataFrame, batch_id: int, documen
     checked = validate_uploads(files).drop("content")
     folder = f"{outcomes}/batch_id={batch_id}"
     if read_or_none(spark, f"{folder}/_SUCCESS", exists_only=True) is None:
-        stored = read_or_none(spark, documents)
+        stored = touched(spark, documents, checked.where("content_hash is not null").select(bucket_of("content_hash").alias("bucket")))
         empty = checked.withColumn("collection_id", F.lit(collection_id)).select("collection_id", "content_hash").limit(0)
         _, outcome = ingest(checked, empty if stored is None else stored.select("collection_id", "content_hash"), collection_id)
         outcome.write.mode("overwrite").parquet(folder)
     accepted = spark.read.parquet(folder).where("outcome = 'accepted'").select("path")
     new = checked.join(accepted, "path", "left_semi").withColumn("collection_id", F.lit(collection_id)).withColumn("storage_key", document_key(F.col("content_hash")))
-    append_new(spark, documents, new, ["collection_id", "content_hash"], ["path"])
+    append_new(spark, documents, new, ["collection_id", "content_hash"], ["path"], ["content_hash"])
 
 
 def watch_uploads(spark: SparkSession, folder: str, documents: str, outcomes: str, checkpoint: str, collection_id: str, prepare: Callable[[DataFrame], DataFrame], once: bool = True) -> StreamingQuery:
@@ -71,21 +56,61 @@ def issue_counts(events: DataFrame, late: str = "1 hour", window: str = "1 day")
 
 
 def watch_claims(spark: SparkSession, claims_folder: str, schema: str, stored: str, candidates: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """New claims meet all stored claims and each other; pairs are appended once, whatever the order of arrival."""
+    """New claims meet all stored claims and each other; pairs are appended once, whatever the order of arrival.
+
+    Claims are kept in buckets of their collection, pairs in buckets of their first claim; a batch reads only those it touches.
+    """
     arriving = spark.readStream.schema(schema).parquet(claims_folder)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        append_new(spark, stored, batch, ["id"], ["id"])
-        everything = read_or_none(spark, stored)
-        pairs = exact_candidates(comparable_claims(batch), comparable_claims(everything))
-        append_new(spark, candidates, pairs, ["claim_a_id", "claim_b_id"], ["collection_id"])
+        append_new(spark, stored, batch, ["collection_id", "id"], ["document_id"], ["collection_id"])
+        around = touched(spark, stored, batch.select(bucket_of("collection_id").alias("bucket")))
+        pairs = exact_candidates(comparable_claims(batch), comparable_claims(around))
+        append_new(spark, candidates, pairs, ["claim_a_id", "claim_b_id"], ["collection_id"], ["claim_a_id"])
         batch.unpersist()
 
     w = arriving.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()
 
 
+VECTORS = "id string, collection_id string, document_id string, model string, embedding array<float>"
+
+
+def add_vectors(spark: SparkSession, batch: DataFrame, vectors: str, nearest: str, found: str, k: int = 15, block_rows: int = 4096) -> None:
+    """A batch of claims' vectors enters the neighbour lists; safe to repeat, and the lists do not depend on the order of batches.
+
+    Stored: the vectors, in buckets of their collection; each claim's list of its k nearest claims of other documents, in
+    buckets of the claim; and the pairs that a claim brought up when it arrived, from its own side. A stored claim's list
+    is changed only by new claims nearer than its k-th, which is the reach that its search starts with.
+    """
+    batch = batch.dropDuplicates(["collection_id", "id"]).persist()
+    append_new(spark, vectors, batch, ["collection_id", "id"], ["document_id"], ["collection_id"])
+    around = touched(spark, vectors, batch.select(bucket_of("collection_id").alias("bucket"))).drop("bucket")
+    around = around.join(batch.select("collection_id").distinct(), "collection_id", "left_semi")
+    own, _ = neighbours.search(batch, around, k, block_rows)
+    own = own.persist()
+    older = around.join(batch.select("collection_id", "id"), ["collection_id", "id"], "left_anti")
+    lists = read_or_none(spark, nearest)
+    if lists is not None:
+        reach = lists.where(F.col("rank") == k).select(F.col("left_id").alias("id"), F.col("distance").alias("reach"))
+        older = older.join(reach, "id", "left")
+    theirs, _ = neighbours.search(older, batch, k, block_rows)
+    both = own.unionByName(theirs).select("collection_id", "left_id", "right_id", "distance", "rank")
+    upsert(spark, nearest, both, ["left_id"], lambda old, new: neighbours.merge(old, new, k))
+    pairs = own.select("collection_id", F.least("left_id", "right_id").alias("claim_a_id"), F.greatest("left_id", "right_id").alias("claim_b_id"), "distance")
+    append_new(spark, found, pairs, ["claim_a_id", "claim_b_id"], ["distance"], ["claim_a_id"])
+    own.unpersist()
+    batch.unpersist()
+
+
+def watch_vectors(spark: SparkSession, vectors_folder: str, vectors: str, nearest: str, found: str, checkpoint: str, k: int = 15, once: bool = True) -> StreamingQuery:
+    """Vectors that appear in a folder enter the stored neighbour lists, batch by batch."""
+    arriving = spark.readStream.schema(VECTORS).parquet(vectors_folder)
+    w = arriving.writeStream.foreachBatch(lambda batch, _: add_vectors(spark, batch, vectors, nearest, found, k)).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if once else w).start()
+
+
 #: Keyed state with timers needs a state store with column families.
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 JOB_EVENTS = "document_id string, event_id bigint, at_us bigint, kind string"

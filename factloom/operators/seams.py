@@ -166,25 +166,3 @@ def read_runs(files: DataFrame, reader: PageReader) -> DataFrame:
             yield pd.DataFrame(rows, columns=names).astype({"physical_page": "Int32", "reading_index": "Int32"})
 
     return files.select("document_id", "content").mapInPandas(run, schema)
-
-
-def spend(pairs: DataFrame, classifier: Classifier, budget: int, batch: int = 200) -> DataFrame:
-    """Verdicts in order of promise until the token budget is spent; the last call may overshoot.
-
-    The one loop on the driver: how much a call costs is only known afterwards, so pairs go out in turns of
-    about `batch` pairs, and only token sums come back. Turns are made without ordering all pairs: promise is
-    a small whole number, pairs are counted by it, and those of one promise are dealt to its turns by hash.
-    """
-    spark = pairs.sparkSession
-    counts = {r["promise"]: r["n"] for r in pairs.groupBy("promise").agg(F.count("*").alias("n")).collect()}  # one row for each of about 40 values
-    spent, out = 0, spark.createDataFrame([], "claim_a_id string, claim_b_id string, label string, rationale string, prompt_tokens int, completion_tokens int, method string, model_name string")
-    for promise in sorted(counts, reverse=True):
-        turns = -(-counts[promise] // batch)
-        for turn in range(turns):
-            if spent >= budget:
-                return out
-            mine = pairs.where((F.col("promise") == promise) & (F.pmod(F.xxhash64("claim_a_id", "claim_b_id"), F.lit(turns)) == turn))
-            part = classify_pairs(mine, classifier).persist()
-            spent += part.agg(F.coalesce(F.sum(F.col("prompt_tokens") + F.col("completion_tokens")), F.lit(0))).first()[0]
-            out = out.unionByName(part)
-    return out

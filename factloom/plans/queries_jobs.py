@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import durable
+import pandas as pd
+
+from factloom.operators import durable, spending
 from factloom.operators.state import RETRIES, RETRY_CAP, RETRY_DELAY, STALL_SECONDS
+from factloom.plans.fixture import table, with_tables
 
 #: The test events stand hours apart; here they follow each other within minutes.
 FASTER, START_US = 128, 1_704_067_200_000_000
@@ -64,6 +67,30 @@ FROM r JOIN e ON e.document_id = r.document_id AND e.n = r.n + 1)))))
 SELECT document_id, m.job AS job, m.at_us AS at_us, m.state AS state, m.attempt AS attempt, m.stage AS stage, m.reason AS reason FROM (SELECT document_id, unnest(made) AS m FROM r)
 """
 
-_ALL = {t01_durable_jobs: T01}
+class ByLength:
+    """A stand-in for a model: what a call costs follows from its prompt."""
+
+    model_name = "by-length"
+
+    def classify(self, prompts: pd.Series) -> pd.DataFrame:
+        n = prompts.str.len()
+        return pd.DataFrame({"label": "insufficient_context", "rationale": "", "prompt_tokens": n, "completion_tokens": n % 7})
+
+
+def o07_spending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored pairs that a budget of 20 tokens a pair reaches; estimates are double the cost."""
+    r = table(spark, sf_dir, "relationships")
+    p = r.select("claim_a_id", "claim_b_id", F.concat_ws(" ", "label", "claim_a_id", "claim_b_id").alias("prompt"), (F.length("label") - F.when(F.col("method") == "model", 5).otherwise(0)).alias("promise"))
+    p = p.withColumn("estimate", 2 * (F.length("prompt") + F.length("prompt") % 7))
+    return spending.spend(p, ByLength(), 20 * p.count()).select("claim_a_id", "claim_b_id", "prompt_tokens", "completion_tokens")
+
+
+O07 = f"""
+{with_tables("relationships")}, p AS (SELECT claim_a_id, claim_b_id, len(label || ' ' || claim_a_id || ' ' || claim_b_id) AS n, len(label) - CASE WHEN method = 'model' THEN 5 ELSE 0 END AS promise FROM relationships)
+SELECT claim_a_id, claim_b_id, n::INT AS prompt_tokens, (n % 7)::INT AS completion_tokens FROM p
+QUALIFY coalesce(sum(n + n % 7) OVER (ORDER BY promise DESC, claim_a_id, claim_b_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 20 * (SELECT count(*) FROM p)
+"""
+
+_ALL = {t01_durable_jobs: T01, o07_spending: O07}
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {f.__name__: sql for f, sql in _ALL.items() if sql}

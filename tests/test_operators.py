@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.operators import candidates, chunks, layout, seams, sinks, state
+from factloom.operators import candidates, chunks, layout, seams, sinks, spending, state
 from factloom.sources import exports, gold, uploads
 from factloom.streaming import jobs
 
@@ -58,7 +58,7 @@ def test_seams(spark):
     rows = {r["claim_id"]: r["embedding"] for r in seams.embed_claims(c, seams.HashEmbedder(16)).collect()}
     assert rows["a"] == rows["b"] and len(rows["c"]) == 16
     p = spark.createDataFrame([("a", "b", "?", 3)], "claim_a_id string, claim_b_id string, prompt string, promise int")
-    assert seams.spend(p, seams.AbstainingClassifier(), 100).first()["label"] == "insufficient_context"
+    assert spending.spend(p, seams.AbstainingClassifier(), 100).first()["label"] == "insufficient_context"
 
 
 def test_gold_source(spark, tmp_path):
@@ -267,9 +267,60 @@ class _Costly:
 
 def test_spending_stops_at_the_budget_and_goes_by_promise(spark):
     p = spark.createDataFrame([(f"a{i}", f"b{i}", "?", i % 3) for i in range(90)], "claim_a_id string, claim_b_id string, prompt string, promise int")
-    got = {r["claim_a_id"] for r in seams.spend(p, _Costly(), budget=61, batch=10).collect()}
-    assert {f"a{i}" for i in range(90) if i % 3 == 2} <= got and not any(int(a[1:]) % 3 == 0 for a in got) and 31 <= len(got) < 60
-    assert seams.spend(p, _Costly(), budget=10**6, batch=10).count() == 90
+    got = {r["claim_a_id"] for r in spending.spend(p, _Costly(), budget=61).collect()}
+    # 30 pairs promise most; the one more starts at 60 tokens and overshoots.
+    assert {f"a{i}" for i in range(90) if i % 3 == 2} <= got and not any(int(a[1:]) % 3 == 0 for a in got) and len(got) == 31
+    assert spending.spend(p, _Costly(), budget=10**6).count() == 90 and spending.spend(p, _Costly(), budget=0).count() == 0 == spending.spend(p.limit(0), _Costly(), 9).count()
+
+
+class _Lengths:
+    model_name = "lengths"
+
+    def classify(self, prompts):
+        import pandas as pd
+
+        return pd.DataFrame({"label": "unrelated", "rationale": "", "prompt_tokens": prompts.str.len(), "completion_tokens": prompts.str.len() % 7})
+
+
+def test_spending_calls_what_one_call_after_the_other_would(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(f"a{i:03}", f"b{i % 9}", "x" * rng.randint(1, 90), rng.randrange(4)) for i in range(300)]
+    p = spark.createDataFrame(rows, "claim_a_id string, claim_b_id string, prompt string, promise int").withColumn("estimate", F.length("prompt") * 3 + 1)
+    for budget in (1, 777, 4000):
+        want, spent = set(), 0
+        for a, _, prompt, _ in sorted(rows, key=lambda r: (-r[3], r[0], r[1])):
+            if spent >= budget:
+                break
+            want.add(a)
+            spent += len(prompt) + len(prompt) % 7
+        got = {r["claim_a_id"] for r in spending.spend(p, _Lengths(), budget, ranges=5).collect()}
+        assert want <= got and len(got - want) <= 2
+
+
+def test_exact_candidates_meet_along_groups(spark):
+    import random
+
+    from factloom.functions.predicates import predicate_relation
+
+    rng = random.Random(9)
+    subjects, said = ("Acme Ltd", "acme", "The Company.", "Beta Inc", None), ("Revenue", "net revenue", "Total Income", "revenue from operations", "profit after tax", "profit before tax", "employees", "")
+    rows = [(f"c{i:04}", f"k{i % 2}", f"d{rng.randrange(30)}", rng.choice(("e1", "e2", None)), rng.choice(subjects), rng.choice(said)) for i in range(160)]
+    rows += [(f"h{i:04}", "k0", f"d{i % 40}", None, "We", "ebitda") for i in range(1300)]  # one group that must be cut
+    c = spark.createDataFrame(rows, "id string, collection_id string, document_id string, entity_id string, subject string, predicate string")
+    name = {s: {"Acme Ltd": "acme", "acme": "acme", "The Company.": "the", "Beta Inc": "beta"}.get(s) for s in subjects}
+    related = {(r["a"], r["b"]) for r in spark.createDataFrame([(a, b) for a in said for b in said], "a string, b string").where(~predicate_relation("a", "b")["relation"].isin("unrelated", "explicitly_distinct")).collect()}
+    one = lambda x, y: x[3] == y[3] if x[3] and y[3] else name[x[4]] is not None and name[x[4]] == name[y[4]]
+    some = rows[:160]
+    want = {(x[0], y[0]) for x in some for y in some if x[0] < y[0] and x[1] == y[1] and x[2] != y[2] and one(x, y) and (x[5], y[5]) in related}
+    hot = sum(1 for i in range(1300) for j in range(i) if i % 40 != j % 40)
+    got = [(r["claim_a_id"], r["claim_b_id"]) for r in candidates.exact_candidates(c, c).collect()]
+    assert len(got) == len(set(got)) == len(want) + hot and {p for p in got if p[0][0] == "c"} == want
+    new = c.where("id between 'c0100' and 'c0159'")
+    found = [(r["claim_a_id"], r["claim_b_id"]) for r in candidates.exact_candidates(new, c.where("id < 'd'")).collect()]
+    assert len(found) == len(set(found)) and set(found) == {p for p in want if max(p) >= "c0100"}
+    assert {(r["who"], r["p"], r["n"]) for r in candidates.claim_groups(c).where("p = 'ebitda'").collect()} == {("n:we", "ebitda", 1300)}
 
 
 def test_without_a_judge_names_stay_apart(spark):

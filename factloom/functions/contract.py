@@ -1,10 +1,18 @@
-"""The strict form of an extracted claim: limits of every field, as violations a row."""
+"""The strict form of a model's replies: presence, JSON type and limits of every member, as violations a row.
+
+Replies are parsed to VARIANT, so that a number where a text is asked for, a null, and a member that is not
+there are told apart. Members that are not asked for are left out. A reply that breaks a rule anywhere gives
+no claims; the first violations, claim by claim, are the feedback for one repair call (`seams.extract`).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.base import first_match
+from factloom.functions.text import extract_json, utf16_length
+
 CLAIM = (
     "struct<subject:string,predicate:string,original_statement:string,raw_value:string,numeric_value:string,currency:string,scale:string,unit:string,period_label:string,period_type:string,"
     "scope:string,assertion_status:string,qualifiers:array<struct<name:string,value:string>>,evidence_block_ids:array<string>,quote:string>"
@@ -16,33 +24,102 @@ PREDICATE, DECIMAL = r"^[a-z0-9]+(?:_[a-z0-9]+)*$", r"^-?[0-9]+(?:\.[0-9]+)?$"
 PERIOD_TYPES = ("fiscal_year", "calendar_year", "quarter", "half_year", "month", "as_of_date", "range", "unknown")
 STATUSES = ("reported", "restated", "estimate", "forecast", "pro_forma", "target", "unknown")
 MOST_QUALIFIERS, QUALIFIER_NAME, QUALIFIER_VALUE, MOST_HANDLES, HANDLE, MOST_CLAIMS, SHOWN = 12, 80, 400, 8, 20, 60, 6
+LABELS = ("corroborates", "contradicts", "likely_contradiction", "reconciled_by_context", "insufficient_context", "unrelated")
+MOST_RATIONALE = 1200
+# For each list of a verdict: the longest text and the most members.
+VERDICT_LISTS = {"evidence_ids": (20, 10), "differing_context": (120, 10), "uncertainty_reasons": (300, 8)}
 
 
-def claim_violations(c: Column) -> Column:
-    """What is wrong with a claim, in the order of its fields."""
-    said = []
-    for name in ("subject", "predicate", "original_statement"):
-        said.append((c[name].isNull() | ~F.length(c[name]).between(1, REQUIRED[name]), f"{name}: 1 to {REQUIRED[name]} characters"))
-    said.append((~c["predicate"].rlike(PREDICATE), "predicate: words in lower case joined by underscores"))
-    said.append((F.length(c["raw_value"]) > OPTIONAL["raw_value"], f"raw_value: {OPTIONAL['raw_value']} characters at most"))
-    said.append((~c["numeric_value"].rlike(DECIMAL), "numeric_value: a plain decimal"))
-    said += [(F.length(c[name]) > OPTIONAL[name], f"{name}: {OPTIONAL[name]} characters at most") for name in ("currency", "scale", "unit", "period_label")]
-    said.append((~c["period_type"].isin(*PERIOD_TYPES), "period_type: not one of the known ones"))
-    said.append((F.length(c["scope"]) > OPTIONAL["scope"], f"scope: {OPTIONAL['scope']} characters at most"))
-    said.append((~c["assertion_status"].isin(*STATUSES), "assertion_status: not one of the known ones"))
-    q, e = c["qualifiers"], c["evidence_block_ids"]
-    fits = lambda x, most: F.coalesce(F.length(x).between(1, most), F.lit(False))
-    said.append((q.isNull() | (F.size(q) > MOST_QUALIFIERS) | F.exists(q, lambda x: ~fits(x["name"], QUALIFIER_NAME) | ~fits(x["value"], QUALIFIER_VALUE)), f"qualifiers: {MOST_QUALIFIERS} at most, each with name and value"))
-    said.append((e.isNull() | ~F.size(e).between(1, MOST_HANDLES) | F.exists(e, lambda x: ~fits(x, HANDLE)), f"evidence_block_ids: 1 to {MOST_HANDLES} handles"))
-    said.append((c["quote"].isNull() | ~F.length(c["quote"]).between(1, REQUIRED["quote"]), f"quote: 1 to {REQUIRED['quote']} characters"))
+def kind(v: Column) -> Column:
+    """JSON type of a VARIANT: STRING, BIGINT, DECIMAL, BOOLEAN, VOID (null), ARRAY or OBJECT; null if it is not there."""
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+
+
+def member(v: Column, name: str) -> Column:
+    return F.try_variant_get(v, f"$.{name}", "variant")
+
+
+def is_text(v: Column) -> Column:
+    return F.coalesce(kind(v) == "STRING", F.lit(False))
+
+
+def _text(v: Column) -> Column:
+    return F.when(is_text(v), F.try_variant_get(v, "$", "string"))
+
+
+def _fits(v: Column, least: int, most: int) -> Column:
+    return is_text(v) & F.coalesce(utf16_length(_text(v)).between(least, most), F.lit(False))
+
+
+def _list(v: Column) -> Column:
+    return F.when(F.coalesce(kind(v) == "ARRAY", F.lit(False)), F.try_variant_get(v, "$", "array<variant>"))
+
+
+def _problems(said: list[tuple[Column, str]]) -> Column:
     return F.filter(F.array(*[F.when(bad, F.lit(text)) for bad, text in said]), lambda x: x.isNotNull())
 
 
+def claim_violations(c: Column) -> Column:
+    """What is wrong with a claim (a VARIANT), in the order of its fields."""
+    said: list[tuple[Column, str]] = []
+
+    def required(name: str, form: str | None = None, rule: str | None = None) -> None:
+        v = member(c, name)
+        said.append((~is_text(v), f"{name}: a text is needed"))
+        said.append((is_text(v) & ~_fits(v, 1, REQUIRED[name]), f"{name}: 1 to {REQUIRED[name]} characters"))
+        if form:
+            said.append((is_text(v) & ~_text(v).rlike(form), f"{name}: {rule}"))
+
+    def optional(name: str, bad: Column, rule: str) -> None:
+        v = member(c, name)
+        said.append((~is_text(v) & ~F.coalesce(kind(v) == "VOID", F.lit(False)), f"{name}: a text or null is needed"))
+        said.append((is_text(v) & bad, f"{name}: {rule}"))
+
+    limit = lambda name: optional(name, ~_fits(member(c, name), 0, OPTIONAL[name]), f"{OPTIONAL[name]} characters at most")
+    required("subject")
+    required("predicate", PREDICATE, "words in lower case joined by underscores")
+    required("original_statement")
+    limit("raw_value")
+    optional("numeric_value", ~_text(member(c, "numeric_value")).rlike(DECIMAL), "a plain decimal")
+    for name in ("currency", "scale", "unit", "period_label"):
+        limit(name)
+    optional("period_type", ~_text(member(c, "period_type")).isin(*PERIOD_TYPES), "not one of the known ones")
+    limit("scope")
+    optional("assertion_status", ~_text(member(c, "assertion_status")).isin(*STATUSES), "not one of the known ones")
+    q, e = _list(member(c, "qualifiers")), _list(member(c, "evidence_block_ids"))
+    said.append((q.isNull() | (F.size(q) > MOST_QUALIFIERS) | F.exists(q, lambda x: ~_fits(member(x, "name"), 1, QUALIFIER_NAME) | ~_fits(member(x, "value"), 1, QUALIFIER_VALUE)), f"qualifiers: {MOST_QUALIFIERS} at most, each with name and value"))
+    said.append((e.isNull() | ~F.size(e).between(1, MOST_HANDLES) | F.exists(e, lambda x: ~_fits(x, 1, HANDLE)), f"evidence_block_ids: 1 to {MOST_HANDLES} handles"))
+    required("quote")
+    return F.when(F.coalesce(kind(c) == "OBJECT", F.lit(False)), _problems(said)).otherwise(F.array(F.lit("a claim is needed")))
+
+
 def read_replies(replies: DataFrame) -> DataFrame:
-    """Replies (reply_id, reply as JSON text) with claims, ok, and feedback: the first six violations, claim by claim."""
-    r = replies.withColumn("claims", F.from_json("reply", f"struct<claims:array<{CLAIM}>>")["claims"])
-    each = F.flatten(F.transform("claims", lambda c, i: F.transform(claim_violations(c), lambda v: F.concat(F.lit("claims."), i.cast("string"), F.lit("."), v))))
-    many = F.when(F.col("claims").isNull(), F.array(F.lit("claims: missing"))).when(F.size("claims") > MOST_CLAIMS, F.array(F.lit(f"claims: {MOST_CLAIMS} at most"))).otherwise(F.array().cast("array<string>"))
-    r = r.withColumn("__wrong", F.concat(many, F.coalesce(each, F.array().cast("array<string>"))))
+    """Replies (reply_id, reply as text around JSON) with claims, ok, and feedback: the first six violations, claim by claim."""
+    r = replies.select("reply_id", extract_json("reply").alias("__json")).withColumn("__v", F.try_parse_json("__json"))
+    r = r.withColumn("__claims", _list(member(F.col("__v"), "claims")))
+    each = F.flatten(F.transform("__claims", lambda c, i: F.transform(claim_violations(c), lambda v: F.concat(F.lit("claims."), i.cast("string"), F.when(v == "a claim is needed", ": ").otherwise("."), v))))
+    whole = first_match([(member(F.col("__v"), "claims").isNull(), F.array(F.lit("claims: missing"))), (F.col("__claims").isNull(), F.array(F.lit("claims: a list is needed"))), (F.size("__claims") > MOST_CLAIMS, F.array(F.lit(f"claims: {MOST_CLAIMS} at most")))], F.array().cast("array<string>"))
+    r = r.withColumn("__wrong", F.concat(whole, F.coalesce(each, F.array().cast("array<string>"))))
     ok = F.size("__wrong") == 0
-    return r.select("reply_id", ok.alias("ok"), F.when(ok, F.col("claims")).alias("claims"), F.when(~ok, F.array_join(F.slice("__wrong", 1, SHOWN), "; ")).alias("feedback"))
+    claims = F.from_json("__json", f"struct<claims:array<{CLAIM}>>")["claims"]
+    return r.select("reply_id", ok.alias("ok"), F.when(ok, claims).alias("claims"), F.when(~ok, F.array_join(F.slice("__wrong", 1, SHOWN), "; ")).alias("feedback"))
+
+
+def read_verdicts(replies: DataFrame) -> DataFrame:
+    """A classifier's replies (reply_id, reply, handles: array of (handle, evidence_id)), judged and with their handles resolved.
+
+    label, rationale, supporting_evidence_ids (of known handles, each once, in order), differing_context, uncertainty_reasons;
+    or null fields and the first violation as `problem`.
+    """
+    r = replies.withColumn("__v", F.try_parse_json(extract_json("reply")))
+    v = F.col("__v")
+    said = [(~F.coalesce(_text(member(v, "label")).isin(*LABELS), F.lit(False)), "label: not one of the known ones"), (~_fits(member(v, "rationale"), 1, MOST_RATIONALE), f"rationale: 1 to {MOST_RATIONALE} characters")]
+    for name, (most, n) in VERDICT_LISTS.items():
+        x = _list(member(v, name))
+        said.append((x.isNull() | (F.size(x) > n) | F.exists(x, lambda t: ~_fits(t, 0, most)), f"{name}: a list of {n} texts at most"))  # noqa: B023
+    r = r.withColumn("problem", F.get(_problems(said), F.lit(0)))
+    texts = lambda name: F.transform(_list(member(v, name)), _text)
+    known = F.map_from_entries("handles")
+    found = F.array_distinct(F.filter(F.transform(texts("evidence_ids"), lambda h: F.try_element_at(known, h)), lambda x: x.isNotNull()))
+    fine = lambda c, name: F.when(F.col("problem").isNull(), c).alias(name)
+    return r.select("reply_id", fine(_text(member(v, "label")), "label"), fine(_text(member(v, "rationale")), "rationale"), fine(found, "supporting_evidence_ids"), fine(texts("differing_context"), "differing_context"), fine(texts("uncertainty_reasons"), "uncertainty_reasons"), "problem")

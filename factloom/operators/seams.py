@@ -15,6 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.contract import read_replies
+from factloom.sources.scratch import stored
+
 
 class Classifier(Protocol):
     """Judges pairs: from a frame with `prompt` to one with label, rationale, prompt_tokens, completion_tokens."""
@@ -33,6 +36,14 @@ class Embedder(Protocol):
     def embed(self, texts: pd.Series) -> list[np.ndarray]: ...
 
 
+class Completer(Protocol):
+    """Answers prompts: a frame with text, prompt_tokens, completion_tokens."""
+
+    model_name: str
+
+    def complete(self, prompts: pd.Series) -> pd.DataFrame: ...
+
+
 class PageReader(Protocol):
     """Pages of a PDF: (physical_page, width_pt, height_pt, runs), runs an iterable of (text, x, y, width, height).
 
@@ -166,3 +177,42 @@ def read_runs(files: DataFrame, reader: PageReader) -> DataFrame:
             yield pd.DataFrame(rows, columns=names).astype({"physical_page": "Int32", "reading_index": "Int32"})
 
     return files.select("document_id", "content").mapInPandas(run, schema)
+
+
+def _complete(prompts: DataFrame, model: Completer) -> DataFrame:
+    """prompts (batch_id, prompt) to stored answers (batch_id, reply, prompt_tokens, completion_tokens): a call is not made again when a task is."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = model.complete(b["prompt"]).reset_index(drop=True)
+            yield pd.DataFrame({"batch_id": b["batch_id"].reset_index(drop=True), "reply": out["text"], "prompt_tokens": out["prompt_tokens"], "completion_tokens": out["completion_tokens"]})
+
+    kind = prompts.schema["batch_id"].dataType.simpleString()
+    return stored(prompts.select("batch_id", "prompt").mapInPandas(run, f"batch_id {kind}, reply string, prompt_tokens bigint, completion_tokens bigint"), "answers")
+
+
+REPAIR = "\n\nThe answer below does not keep to the form that was asked for. Give the whole answer again, mended.\n\nproblems: "
+
+
+def extract(batches: DataFrame, model: Completer, repair: bool = True) -> DataFrame:
+    """Claims of batches (batch_id, prompt, refs: array of (handle, block_id)); a reply that breaks the contract is repaired once.
+
+    batch_id, claims (with `evidence`: cited handle and block, null for a handle that was not given out), repaired, the tokens of all
+    calls, and where there are no claims failure_kind and feedback.
+    """
+    first = _complete(batches, model)
+    read = stored(read_replies(first.select(F.col("batch_id").alias("reply_id"), "reply")).join(first.withColumnRenamed("batch_id", "reply_id"), "reply_id"), "replies")
+    good = read.where("ok").select(F.col("reply_id").alias("batch_id"), "claims", F.lit(False).alias("repaired"), "prompt_tokens", "completion_tokens", F.lit(None).cast("string").alias("failure_kind"), "feedback")
+    bad = read.where("not ok").withColumnRenamed("reply_id", "batch_id")
+    if repair:
+        asked = bad.join(batches.select("batch_id", "prompt"), "batch_id").withColumn("prompt", F.concat("prompt", F.lit(REPAIR), "feedback", F.lit("\n\nanswer: "), F.coalesce("reply", F.lit(""))))
+        second = _complete(asked, model)
+        again = read_replies(second.select(F.col("batch_id").alias("reply_id"), "reply")).withColumnRenamed("reply_id", "batch_id")
+        both = bad.select("batch_id", F.col("prompt_tokens").alias("__p"), F.col("completion_tokens").alias("__c")).join(second.drop("reply"), "batch_id").join(again, "batch_id")
+        rest = both.select("batch_id", "claims", F.lit(True).alias("repaired"), (F.col("prompt_tokens") + F.col("__p")).alias("prompt_tokens"), (F.col("completion_tokens") + F.col("__c")).alias("completion_tokens"), F.when(~F.col("ok"), "schema_violation_after_repair").alias("failure_kind"), "feedback")
+    else:
+        rest = bad.select("batch_id", "claims", F.lit(False).alias("repaired"), "prompt_tokens", "completion_tokens", F.lit("schema_violation").alias("failure_kind"), "feedback")
+    out = good.unionByName(rest).join(batches.select("batch_id", "refs"), "batch_id")
+    known = F.map_from_entries("refs")
+    cited = lambda c: F.transform(c["evidence_block_ids"], lambda h: F.struct(h.alias("cited_ref"), F.try_element_at(known, h).alias("source_block_id")))
+    return out.withColumn("claims", F.transform("claims", lambda c: c.withField("evidence", cited(c)))).drop("refs")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import contract, entities, numbers, predicates, text
-from factloom.operators import candidates, checks, chunks, evidence, layout, resolution, state, transcription
+from factloom.operators import candidates, checks, chunks, evidence, layout, resolution, seams, state, transcription
 from factloom.plans import evaluation, reads
 from factloom.plans.fixture import table, with_tables
 from factloom.plans.queries_pipeline import BLOCKS, ISSUES
@@ -687,31 +687,91 @@ F6_10 = f"""
   'page ' || (line + 1) || CASE WHEN line % 3 = 0 THEN ' (printed iv)' ELSE '' END AS page, '[P2B3]' || chr(10) || 'no [B4]' || chr(10) || '[B5]' || id AS handles, left(repeat(original_statement, 9), 400) AS quote FROM claims
 """
 
+#: Replies of every kind: right ones, wrong words, wrong JSON types, missing keys, members that are no claims, and no JSON at all.
 REPLIES = """
-SELECT l_orderkey * 8 + l_linenumber AS reply_id, CASE WHEN l_partkey % 19 = 0 THEN '{"claim":[]}' ELSE concat('{"claims":[{"subject":"', CASE WHEN l_partkey % 5 = 0 THEN '' ELSE repeat('s', l_suppkey % 400) END, '","predicate":"', CASE WHEN l_partkey % 4 = 0 THEN 'Net Sales' ELSE 'net_sales' END,
-  '","original_statement":"x","raw_value":null,"numeric_value":', CASE WHEN l_partkey % 3 = 0 THEN '"1,5"' WHEN l_partkey % 3 = 1 THEN 'null' ELSE '"-12.50"' END, ',"currency":"INR","scale":null,"unit":null,"period_label":null,"period_type":"', CASE WHEN l_linenumber = 3 THEN 'decade' ELSE 'quarter' END,
-  '","scope":null,"assertion_status":"', CASE WHEN l_linenumber = 2 THEN 'maybe' ELSE 'reported' END, '","qualifiers":[{"name":"a","value":"', CASE WHEN l_linenumber = 4 THEN '' ELSE 'b' END, '"}],"evidence_block_ids":[', CASE WHEN l_suppkey % 9 = 0 THEN '' ELSE '"B1"' END, '],"quote":"q"}]}') END AS reply FROM """
+SELECT l_orderkey * 8 + l_linenumber AS reply_id, CASE WHEN l_partkey % 19 = 0 THEN '{"claim":[]}' WHEN l_partkey % 19 = 1 THEN '{"claims":{"subject":"s"}}' WHEN l_partkey % 19 = 2 THEN 'no answer' WHEN l_partkey % 19 = 3 THEN '{"claims":[7,null,"text"]}' ELSE concat('{"more":1,"claims":[{"subject":', CASE WHEN l_suppkey % 11 = 0 THEN '5' WHEN l_partkey % 5 = 0 THEN '""' ELSE concat('"', repeat('s', l_suppkey % 400), '"') END, ',"predicate":"', CASE WHEN l_partkey % 4 = 0 THEN 'Net Sales' ELSE 'net_sales' END,
+  '","original_statement":"x",', CASE WHEN l_suppkey % 7 = 0 THEN '' ELSE '"raw_value":null,' END, '"numeric_value":', CASE WHEN l_partkey % 3 = 0 THEN '"1,5"' WHEN l_partkey % 3 = 1 THEN 'null' WHEN l_suppkey % 5 = 0 THEN '12.5' ELSE '"-12.50"' END, ',"currency":', CASE WHEN l_suppkey % 13 = 0 THEN 'true' ELSE '"INR"' END, ',"scale":null,"unit":null,"period_label":null,"period_type":"', CASE WHEN l_linenumber = 3 THEN 'decade' ELSE 'quarter' END,
+  '","scope":null,"assertion_status":"', CASE WHEN l_linenumber = 2 THEN 'maybe' ELSE 'reported' END, '","qualifiers":', CASE WHEN l_linenumber = 5 THEN 'null' ELSE concat('[{"name":"a","value":', CASE WHEN l_linenumber = 4 THEN '""' WHEN l_suppkey % 17 = 0 THEN '3' ELSE '"b"' END, '}]') END, ',"evidence_block_ids":[', CASE WHEN l_suppkey % 9 = 0 THEN '' WHEN l_suppkey % 9 = 1 THEN '"B1",2' ELSE '"B1","B9"' END, '],"quote":"q","extra":[]}', CASE WHEN l_partkey % 23 = 0 THEN ',{"subject":"s"}' ELSE '' END, ']}') END AS reply FROM """
 
 
-def c_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.plans.fixture import LINES
 
-    r = spark.sql(_braced(REPLIES) + LINES + " AS li", lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
-    return contract.read_replies(r).select("reply_id", "ok", F.size("claims").cast("long").alias("n"), "feedback")
+    return spark.sql(_braced(REPLIES) + LINES + " AS li", lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
 
 
-def _contract() -> str:
+def c_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contract.read_replies(_replies(spark, sf_dir)).select("reply_id", "ok", F.size("claims").cast("long").alias("n"), "feedback")
+
+
+class Mender:
+    """A stand-in for a model: its first answer is its prompt, and it mends what has one problem only."""
+
+    model_name = "mender"
+
+    def complete(self, prompts):
+        import pandas as pd
+
+        def answer(prompt: str) -> str:
+            problems = prompt.split("problems: ")[1:]
+            if not problems:
+                return prompt
+            return '{"claims":0}' if "; " in problems[0].split("\n")[0] else 'Mended: ```json\n{"claims":[]}\n```'
+
+        text = [answer(p) for p in prompts]
+        return pd.DataFrame({"text": text, "prompt_tokens": 10, "completion_tokens": 3})
+
+
+def r07_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reply as the answer to its batch, repaired once where the contract is broken, with handles resolved."""
+    refs = F.array(F.struct(F.lit("B1").alias("handle"), F.concat(F.lit("block-"), F.col("reply_id").cast("string")).alias("block_id")))
+    out = seams.extract(_replies(spark, sf_dir).select(F.col("reply_id").alias("batch_id"), F.col("reply").alias("prompt"), refs.alias("refs")), Mender())
+    cited = F.transform(F.flatten(F.transform("claims", lambda c: c["evidence"])), lambda e: F.concat_ws("=", e["cited_ref"], F.coalesce(e["source_block_id"], F.lit("?"))))
+    return out.select("batch_id", F.size("claims").cast("long").alias("n"), F.array_join(cited, " ").alias("cited"), "repaired", "prompt_tokens", "completion_tokens", "failure_kind")
+
+
+def _violations() -> str:
+    """SQL: replies with `w`, their violations, member by member of the reply's JSON."""
     from factloom.plans.fixture import LINES
 
     raw = (REPLIES + LINES + " AS li").replace("{lineitem}", "lineitem")
-    return f"""
-WITH r AS ({raw}), c AS (SELECT reply_id, json_extract(reply::JSON, '$.claims') AS cs, json_extract(reply::JSON, '$.claims[0]') AS c FROM r),
-f AS (SELECT reply_id, cs IS NULL AS missing, json_extract_string(c, '$.subject') AS s, json_extract_string(c, '$.predicate') AS p, json_extract_string(c, '$.numeric_value') AS n, json_extract_string(c, '$.period_type') AS t, json_extract_string(c, '$.assertion_status') AS a, json_extract_string(c, '$.qualifiers[0].value') AS q, json_array_length(c, '$.evidence_block_ids') AS e FROM c),
-v AS (SELECT *, list_filter([CASE WHEN missing THEN 'claims: missing' END, CASE WHEN len(s) NOT BETWEEN 1 AND 300 THEN 'claims.0.subject: 1 to 300 characters' END, CASE WHEN NOT regexp_matches(p, '^[a-z0-9]+(_[a-z0-9]+)*$') THEN 'claims.0.predicate: words in lower case joined by underscores' END,
-  CASE WHEN NOT regexp_matches(n, '^-?[0-9]+([.][0-9]+)?$') THEN 'claims.0.numeric_value: a plain decimal' END, CASE WHEN t NOT IN ('quarter') THEN 'claims.0.period_type: not one of the known ones' END, CASE WHEN a <> 'reported' THEN 'claims.0.assertion_status: not one of the known ones' END,
-  CASE WHEN len(q) = 0 THEN 'claims.0.qualifiers: 12 at most, each with name and value' END, CASE WHEN e = 0 THEN 'claims.0.evidence_block_ids: 1 to 8 handles' END], lambda x: x IS NOT NULL) AS w FROM f)
-SELECT reply_id, len(w) = 0 AS ok, CASE WHEN len(w) = 0 THEN 1::BIGINT END AS n, CASE WHEN len(w) > 0 THEN array_to_string(w[1:6], '; ') END AS feedback FROM v
-"""
+    t = lambda n: f"json_type(c, '$.{n}')"
+    s = lambda n: f"json_extract_string(c, '$.{n}')"
+    case = lambda n, bad, said: f"CASE WHEN {bad} THEN '.{n}: {said}' END"
+    rules = []
+    for n, most in (("subject", 300), ("predicate", 120), ("original_statement", 2000), ("raw_value", -200), ("numeric_value", 0), ("currency", -20), ("scale", -40), ("unit", -60), ("period_label", -80), ("period_type", 0), ("scope", -120), ("assertion_status", 0), ("qualifiers", 0), ("evidence_block_ids", 0), ("quote", 1200)):
+        if most > 0:
+            rules += [case(n, f"coalesce({t(n)}, '') <> 'VARCHAR'", "a text is needed"), case(n, f"{t(n)} = 'VARCHAR' AND len({s(n)}) NOT BETWEEN 1 AND {most}", f"1 to {most} characters")]
+            if n == "predicate":
+                rules.append(case(n, f"{t(n)} = 'VARCHAR' AND NOT regexp_full_match({s(n)}, '[a-z0-9]+(_[a-z0-9]+)*')", "words in lower case joined by underscores"))
+        elif n == "qualifiers":
+            rules.append(case(n, f"coalesce({t(n)}, '') <> 'ARRAY' OR json_array_length(c, '$.{n}') > 12 OR len(list_filter(json_extract(c, '$.{n}[*]'), lambda x: NOT (coalesce(json_type(x, '$.name'), '') = 'VARCHAR' AND coalesce(json_type(x, '$.value'), '') = 'VARCHAR' AND len(json_extract_string(x, '$.name')) BETWEEN 1 AND 80 AND len(json_extract_string(x, '$.value')) BETWEEN 1 AND 400))) > 0", "12 at most, each with name and value"))
+        elif n == "evidence_block_ids":
+            rules.append(case(n, f"coalesce({t(n)}, '') <> 'ARRAY' OR json_array_length(c, '$.{n}') NOT BETWEEN 1 AND 8 OR len(list_filter(json_extract(c, '$.{n}[*]'), lambda x: NOT (json_type(x) = 'VARCHAR' AND len(json_extract_string(x, '$')) BETWEEN 1 AND 20))) > 0", "1 to 8 handles"))
+        else:
+            rules.append(case(n, f"coalesce({t(n)}, '') NOT IN ('VARCHAR', 'NULL')", "a text or null is needed"))
+            if most < 0:
+                rules.append(case(n, f"{t(n)} = 'VARCHAR' AND len({s(n)}) > {-most}", f"{-most} characters at most"))
+            elif n == "numeric_value":
+                rules.append(case(n, f"{t(n)} = 'VARCHAR' AND NOT regexp_full_match({s(n)}, '-?[0-9]+([.][0-9]+)?')", "a plain decimal"))
+            else:
+                rules.append(case(n, f"{t(n)} = 'VARCHAR' AND {s(n)} NOT IN {contract.PERIOD_TYPES if n == 'period_type' else contract.STATUSES}", "not one of the known ones"))
+    return f"""r AS ({raw}), j AS (SELECT reply_id, CASE WHEN json_valid(reply) THEN reply::JSON END AS j FROM r),
+m AS (SELECT reply_id, unnest(json_extract(j, '$.claims[*]')) AS c, generate_subscripts(json_extract(j, '$.claims[*]'), 1) - 1 AS i FROM j WHERE json_type(j, '$.claims') = 'ARRAY'),
+e AS (SELECT reply_id, i, CASE WHEN json_type(c) <> 'OBJECT' THEN ['claims.' || i || ': a claim is needed'] ELSE list_transform(list_filter([{", ".join(rules)}], lambda x: x IS NOT NULL), lambda x: 'claims.' || i || x) END AS p FROM m),
+g AS (SELECT reply_id, flatten(list(p ORDER BY i)) AS p, count(*) AS n FROM e GROUP BY reply_id),
+v AS (SELECT j.reply_id, CASE WHEN coalesce(json_type(j, '$.claims'), '') = '' THEN ['claims: missing'] WHEN json_type(j, '$.claims') <> 'ARRAY' THEN ['claims: a list is needed'] ELSE coalesce(p, []) END AS w, coalesce(n, 0) AS n, j.j AS reply FROM j LEFT JOIN g ON g.reply_id = j.reply_id)"""
+
+
+def _contract() -> str:
+    return f"WITH {_violations()} SELECT reply_id, len(w) = 0 AS ok, CASE WHEN len(w) = 0 THEN n END AS n, CASE WHEN len(w) > 0 THEN array_to_string(w[1:6], '; ') END AS feedback FROM v"
+
+
+def _repaired() -> str:
+    """Right replies have the claims' two handles, of which one was given out; those with one violation are mended to no claims."""
+    return f"""WITH {_violations()}
+SELECT reply_id AS batch_id, CASE WHEN len(w) = 0 THEN n WHEN len(w) = 1 THEN 0 END AS n, CASE WHEN len(w) = 0 THEN array_to_string(list_transform(range(n), lambda i: 'B1=block-' || reply_id || ' B9=?'), ' ') WHEN len(w) = 1 THEN '' END AS cited,
+  len(w) > 0 AS repaired, CASE WHEN len(w) > 0 THEN 20 ELSE 10 END::BIGINT AS prompt_tokens, CASE WHEN len(w) > 0 THEN 6 ELSE 3 END::BIGINT AS completion_tokens, CASE WHEN len(w) > 1 THEN 'schema_violation_after_repair' END AS failure_kind FROM v"""
 
 
 def r20_loaded_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -765,7 +825,7 @@ _ALL = {
     f1_01_scale_words: F1_01, f1_02_currency_words: F1_02, f4_02_generic_subjects: F4_02, f3_04_distinct_measures: F3_04, n11_normalize_claims: N11, f4_04_adjudicated: F4_04A, r11_recorded_names: R11, o06_vocabulary: O06, f3_07_canonical_predicates: F3_07C,
     f2_06_differences: F2_06D, r04_verdicts: R04, f7_05_routes: F7_05, a13_verdict_tally: A13, f7_06_downgrades: F7_06, a11_block_ids: A11, u02_channel_counts: U02, f5_08_recomputed_status: F5_08, p03_native_blocks: P03, f6_02_chunk_fingerprints: F6_02,
     j14_resumed_chunks: J14, a14_chunk_tallies: A14, t07_chunks_to_record: T07, r08_passages: R08, l11_block_rows: L11, l13_page_texts: L13, r12_transcriptions: R12, t06_reruns: T06, t02_stage_changes: T02, t08_give_up: T08, t09_waits: T09, r17_failure_kinds: R17,
-    o03_relationship_page: O03, o04_listings: O04, j05_run_details: J05, g_relationship_details: G_REL, p14_collections_by_key: P14, p09_lenient_readers: _p09(), f6_10_formats: F6_10, c_contract: _contract(), r20_loaded_collection: R20, a08_issues_by_kind: A08K, s12_export: S12,
+    o03_relationship_page: O03, o04_listings: O04, j05_run_details: J05, g_relationship_details: G_REL, p14_collections_by_key: P14, p09_lenient_readers: _p09(), f6_10_formats: F6_10, c_contract: _contract(), r07_repaired: _repaired(), r20_loaded_collection: R20, a08_issues_by_kind: A08K, s12_export: S12,
 }
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {f.__name__: sql for f, sql in _ALL.items()}

@@ -1,7 +1,8 @@
 """Figures in claims: reading, normalising to a base unit, and comparing with rounding.
 
 All functions take and return Columns. Values are DECIMAL(38, 10) (`DEC`), so nothing depends on
-binary fractions; a figure's text is kept apart, as its trailing zeros tell its precision.
+binary fractions; a figure's text is kept apart, as its trailing zeros tell its precision. Figures that do not fit, or
+whose rounding does not, are kept and compared as digits of any length (`figures`).
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factloom.functions import figures
 from factloom.functions.base import SPACE, blank_as_null, bound, col, first_match, fold, null, quoted
 
 DEC = "decimal(38,10)"
@@ -70,13 +72,13 @@ def decimal_places(token: Column | str) -> Column:
     return F.length(F.regexp_extract(F.replace(col(token), F.lit(","), F.lit("")), r"\.([0-9]+)$", 1))
 
 
-#: A figure with more decimal places than this is not read: its rounding would not fit `DEC`.
-MOST_PLACES = 9
+#: Places up to which half a unit of the last one fits `DEC`.
+DEC_PLACES = 9
 
 
 def half_width(places: Column) -> Column:
-    """Half a unit of the last decimal place; null beyond `MOST_PLACES`."""
-    return F.get(F.array(*[F.lit(f"{5 / 10 ** (k + 1):.{k + 1}f}").cast(DEC) for k in range(MOST_PLACES + 1)]), places)
+    """Half a unit of the last decimal place; null where `DEC` has no room for it."""
+    return F.get(F.array(*[F.lit(f"{5 / 10 ** (k + 1):.{k + 1}f}").cast(DEC) for k in range(DEC_PLACES + 1)]), places)
 
 
 def parse_numeric(raw: Column | str) -> Column:
@@ -121,53 +123,85 @@ def plain(value: Column) -> Column:
 
 
 def normalize_value(numeric: Column | str, scale: Column | str, unit: Column | str, currency: Column | str) -> Column:
-    """Struct (value, unit, half_width, steps) in base units; null if the figure cannot be read or has too many places.
+    """Struct (value, unit, half_width, steps, precision, exact) in base units; null if the figure cannot be read.
 
     A proportion unit wins over scale and currency; basis points become percent. A scale word that is
-    not known stays in the unit, unconverted.
+    not known stays in the unit, unconverted. `precision` is the number of places that the figure is rounded to. Where value or
+    half_width do not fit DECIMAL(38, 10), value is rounded (null if it has too many digits), half_width is null if it has no room,
+    and `exact` holds the figure; comparisons go by it.
     """
     numeric, scale, unit, currency = map(col, (numeric, scale, unit, currency))
-    places = decimal_places(numeric)
-    value = F.when(places <= MOST_PLACES, numeric.try_cast(DEC))
-    proportion = F.try_element_at(_map(PROPORTIONS), F.lower(F.trim(unit)))
-    factor, word = multiplier(scale), F.lower(F.trim(scale))
     step = "array<struct<step:string,from:string,to:string,factor:string>>"
+    kind = f"struct<value:{DEC},unit:string,half_width:{DEC},steps:{step},precision:int,exact:{figures.FIGURE}>"
     one = lambda name, a, b, f: F.array(F.struct(F.lit(name).alias("step"), a.alias("from"), b.alias("to"), f.alias("factor"))).cast(step)
     none = F.array().cast(step)
-    out = lambda v, u, h, s: F.struct(v.cast(DEC).alias("value"), u.alias("unit"), h.cast(DEC).alias("half_width"), s.alias("steps"))
-    wide = half_width(places)
-    in_percent = (value / 100).cast(DEC)
+    proportion = F.try_element_at(_map(PROPORTIONS), F.lower(F.trim(unit)))
+    factor, word = multiplier(scale), F.lower(F.trim(scale))
+    by = lambda percent, times: F.when(proportion == "basis_point", percent).when(proportion.isNull() & factor.isNotNull(), times)
+    power = F.coalesce(by(F.lit(-2), F.length(factor.cast("string")) - 1), F.lit(0)).cast("int")
     plain_unit = F.coalesce(blank_as_null(currency), blank_as_null(unit), F.lit("count"))
-    scaled = (value * factor).cast(DEC)
+    name = (
+        F.when(proportion == "basis_point", F.lit("percent")).when(proportion.isNotNull(), proportion).when(factor.isNotNull(), plain_unit)
+        .when(F.length(word) > 0, F.concat(F.coalesce(currency, unit, F.lit("count")), F.lit("/"), word)).otherwise(plain_unit)
+    )
+    steps = lambda before, after: (
+        F.when(proportion == "basis_point", one("basis_points_to_percent", before, after, F.lit("0.01"))).when(proportion.isNotNull(), none)
+        .when(factor.isNotNull(), one("apply_scale", F.concat_ws(" ", before, word), after, factor.cast("string"))).when(F.length(word) > 0, one("unrecognised_scale", word, F.lit("left unconverted"), null("string"))).otherwise(none)
+    )
+    places = decimal_places(numeric)
+    value = F.when(places <= DEC_PLACES, numeric.try_cast(DEC))
+    wide = half_width(places)
+    in_base = F.coalesce(by((value / 100).cast(DEC), F.try_multiply(value, factor).try_cast(DEC)), value)
+    precision = (places - power).cast("int")
+    short = value.isNotNull() & (precision <= DEC_PLACES) & in_base.isNotNull()
+    out = lambda v, h, s, e: F.struct(v.cast(DEC).alias("value"), name.alias("unit"), h.cast(DEC).alias("half_width"), s.alias("steps"), precision.alias("precision"), e.alias("exact")).cast(kind)
+
+    def long(x: Column) -> Column:
+        text = figures.as_text(x)
+        half = F.when(precision <= DEC_PLACES, F.concat(F.lit("5e"), (-precision - 1).cast("string")).try_cast(DEC))
+        return out(text.try_cast(DEC), half, steps(figures.as_text(figures.figure(numeric)), text), x)
+
     return (
-        F.when(value.isNull(), null(f"struct<value:{DEC},unit:string,half_width:{DEC},steps:{step}>"))
-        .when(proportion == "basis_point", out(in_percent, F.lit("percent"), (wide / 100), one("basis_points_to_percent", plain(value), plain(in_percent), F.lit("0.01"))))
-        .when(proportion.isNotNull(), out(value, proportion, wide, none))
-        .when(factor.isNotNull(), out(scaled, plain_unit, wide * factor, one("apply_scale", F.concat_ws(" ", plain(value), word), plain(scaled), factor.cast("string"))))
-        .when(F.length(word) > 0, out(value, F.concat(F.coalesce(currency, unit, F.lit("count")), F.lit("/"), word), wide, one("unrecognised_scale", word, F.lit("left unconverted"), null("string"))))
-        .otherwise(out(value, plain_unit, wide, none))
+        F.when(short, out(in_base, F.coalesce(by((wide / 100).cast(DEC), (wide * factor).cast(DEC)), wide), steps(plain(value), plain(in_base)), null(figures.FIGURE)))
+        .otherwise(bound(figures.figure(numeric), lambda f: F.when(f.isNotNull(), bound(figures.shifted(f, power), long))))
     )
 
 
+def _exact(x: Column) -> Column:
+    """A normalised value's figure, whichever way it is kept."""
+    return F.coalesce(x["exact"], figures.figure(x["value"].cast("string"), x["precision"]))
+
+
 def compare_values(a: Column, b: Column) -> Column:
     """Struct (agreement, difference, relative, reason) of two normalised values.
 
-    Other units: incomparable. Else the closed rounding intervals overlap (agree) or not (disagree).
+    Other units: incomparable. Else the closed rounding intervals overlap (agree) or not (disagree). Of figures that do not fit
+    DECIMAL(38, 10) the difference is rounded to it (null if too large), and the reason states it in full.
     """
-    apart = F.abs(a["value"] - b["value"]).cast(DEC)
-    most = F.greatest(F.abs(a["value"]), F.abs(b["value"]))
-    same = a["unit"] == b["unit"]
-    meets = (a["value"] - a["half_width"] <= b["value"] + b["half_width"]) & (b["value"] - b["half_width"] <= a["value"] + a["half_width"])
-    codes = sorted(set(CURRENCIES.values()))
-    reason = first_match([
-        (~same & a["unit"].isin(*codes) & b["unit"].isin(*codes), F.concat(F.lit("no exchange rate is given for "), a["unit"], F.lit(" and "), b["unit"])),
-        (~same, F.concat(a["unit"], F.lit(" cannot be set against "), b["unit"])), (meets, F.lit("within rounding")),
-    ], F.concat(plain(apart), F.lit(" "), a["unit"], F.lit(" apart, beyond rounding")))
-    out = F.struct(
-        F.when(~same, "incomparable").when(meets, "agree").otherwise("disagree").alias("agreement"),
-        F.when(same, apart).alias("difference"), F.when(same & (most != 0), (apart / most).cast("decimal(38,12)")).alias("relative"), reason.alias("reason"),
-    )
-    return F.when(a.isNotNull() & b.isNotNull(), out)
+
+    def compared(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        long = a["exact"].isNotNull() | b["exact"].isNotNull()
+        both = F.when(long, figures.compare(_exact(a), _exact(b)))
+        return bound(F.struct(a.alias("a"), b.alias("b"), both.alias("both")), result)
+
+    def result(x: Column) -> Column:
+        a, b, both = x["a"], x["b"], x["both"]
+        apart = F.when(both.isNotNull(), both["apart"].try_cast(DEC)).otherwise(F.abs(a["value"] - b["value"]).cast(DEC))
+        text = F.when(both.isNotNull(), both["apart"]).otherwise(plain(apart))
+        most = F.greatest(F.abs(a["value"]), F.abs(b["value"]))
+        size = lambda v: F.abs(figures.as_text(_exact(v)).cast("double"))
+        relative = F.when(both.isNotNull(), (both["apart"].cast("double") / F.nullif(F.greatest(size(a), size(b)), F.lit(0.0))).cast("decimal(38,12)")).when(most != 0, (apart / most).cast("decimal(38,12)"))
+        same = a["unit"] == b["unit"]
+        meets = F.when(both.isNotNull(), both["meets"]).otherwise((a["value"] - a["half_width"] <= b["value"] + b["half_width"]) & (b["value"] - b["half_width"] <= a["value"] + a["half_width"]))
+        codes = sorted(set(CURRENCIES.values()))
+        reason = first_match([
+            (~same & a["unit"].isin(*codes) & b["unit"].isin(*codes), F.concat(F.lit("no exchange rate is given for "), a["unit"], F.lit(" and "), b["unit"])),
+            (~same, F.concat(a["unit"], F.lit(" cannot be set against "), b["unit"])), (meets, F.lit("within rounding")),
+        ], F.concat(text, F.lit(" "), a["unit"], F.lit(" apart, beyond rounding")))
+        return F.struct(F.when(~same, "incomparable").when(meets, "agree").otherwise("disagree").alias("agreement"), F.when(same, apart).alias("difference"), F.when(same, relative).alias("relative"), reason.alias("reason"))
+
+    return F.when(a.isNotNull() & b.isNotNull(), bound(F.struct(a.alias("a"), b.alias("b")), compared))
 
 
 def scale_ratio(a: Column, b: Column) -> Column:
@@ -177,7 +211,7 @@ def scale_ratio(a: Column, b: Column) -> Column:
     """
 
     def written(x: Column) -> Column:
-        text = F.abs(x["value"]).cast("string")
+        text = F.when(x["exact"].isNotNull(), F.ltrim(F.lit("-"), figures.as_text(x["exact"]))).otherwise(F.abs(x["value"]).cast("string"))
         whole, part = F.regexp_extract(text, r"^0*([0-9]*)", 1), F.regexp_extract(text, r"\.([0-9]*)$", 1)
         place = F.when(F.length(whole) > 0, F.length(whole)).otherwise(-F.length(F.regexp_extract(part, "^(0*)", 1)))
         return F.struct(F.regexp_replace(F.concat(whole, part), "^0+|0+$", "").alias("digits"), place.alias("place"))

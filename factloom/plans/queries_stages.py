@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions.base import first_match
 from factloom.functions import contract, entities, numbers, predicates, text
 from factloom.operators import candidates, checks, chunks, evidence, layout, resolution, seams, state, transcription
 from factloom.plans import evaluation, reads
@@ -687,6 +688,37 @@ F6_10 = f"""
   'page ' || (line + 1) || CASE WHEN line % 3 = 0 THEN ' (printed iv)' ELSE '' END AS page, '[P2B3]' || chr(10) || 'no [B4]' || chr(10) || '[B5]' || id AS handles, left(repeat(original_statement, 9), 400) AS quote FROM claims
 """
 
+def f1_07_long_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of fifteen places, basis points of nine, and thirty digits before the point, against their neighbours in the order."""
+    c = table(spark, sf_dir, "claims").where("numeric_value is not null")
+    tail = F.lpad((F.col("partkey") * 7919 % 1000000).cast("string"), 6, "0")
+    deep = F.concat(F.when(F.col("line") % 2 == 0, "-").otherwise(""), (F.col("orderkey") % 3).cast("string"), F.lit(".00000000"), F.when(F.col("line") % 3 == 0, F.concat(F.lit("0"), tail)).otherwise("0"))
+    points = F.concat((F.col("orderkey") % 90).cast("string"), F.lit(".0000000"), (F.col("line") % 3).cast("string"), (F.col("line") % 5).cast("string"))
+    high = F.concat(F.lit("12345678901234567890123"), tail, F.when(F.col("line") % 3 == 0, "").otherwise(".5"))
+    numeric, unit = first_match([(F.col("orderkey") % 3 == 0, deep), (F.col("orderkey") % 3 == 1, points)], high), F.when(F.col("orderkey") % 3 == 1, "bps")
+    x = c.withColumn("figure", numeric).withColumn("v", numbers.normalize_value("figure", F.lit(None).cast("string"), unit, F.lit("INR"))).select("orderkey", "line", "id", "v")
+    a, b = x.select("orderkey", F.col("line").alias("la"), F.col("id").alias("claim_a_id"), F.col("v").alias("a")), x.select("orderkey", F.col("line").alias("lb"), F.col("id").alias("claim_b_id"), F.col("v").alias("b"))
+    j = a.join(b, "orderkey").where("la < lb").withColumn("r", numbers.compare_values(F.col("a"), F.col("b")))
+    return j.select("claim_a_id", "claim_b_id", "r.agreement", "r.reason", F.coalesce(F.col("a.half_width").cast("double"), F.lit(-1.0)).alias("half"), F.col("a.precision").alias("precision"))
+
+
+#: The same in whole numbers of 10^-13 (10^-18 for the deep ones), which HUGEINT holds.
+F1_07 = f"""
+{with_tables("claims")},
+x AS (SELECT *, lpad((partkey * 7919 % 1000000)::VARCHAR, 6, '0') AS tail FROM claims WHERE numeric_value IS NOT NULL),
+y AS (SELECT id, orderkey, line, orderkey % 3 AS k,
+  CASE orderkey % 3 WHEN 0 THEN CASE WHEN line % 2 = 0 THEN -1 ELSE 1 END * ((orderkey % 3)::HUGEINT * 1000000000000000000 + CASE WHEN line % 3 = 0 THEN tail::HUGEINT * 1000 ELSE 0 END)
+    WHEN 1 THEN ((orderkey % 90)::HUGEINT * 1000000000 + line % 3 * 10 + line % 5) * 100 ELSE ('12345678901234567890123' || tail)::HUGEINT * 100 + CASE WHEN line % 3 = 0 THEN 0 ELSE 50 END END AS v,
+  CASE orderkey % 3 WHEN 0 THEN CASE WHEN line % 3 = 0 THEN 500 ELSE 500000000 END WHEN 1 THEN 50 ELSE CASE WHEN line % 3 = 0 THEN 50 ELSE 5 END END::HUGEINT AS h,
+  CASE orderkey % 3 WHEN 0 THEN 18 WHEN 1 THEN 13 ELSE 2 END AS places, CASE orderkey % 3 WHEN 0 THEN CASE WHEN line % 3 = 0 THEN 15 ELSE 9 END WHEN 1 THEN 11 ELSE CASE WHEN line % 3 = 0 THEN 0 ELSE 1 END END AS precision FROM x),
+p AS (SELECT a.id AS claim_a_id, b.id AS claim_b_id, a.k AS k, a.places AS places, a.precision AS precision, abs(a.v - b.v) AS d, a.h + b.h AS room FROM y a JOIN y b ON a.orderkey = b.orderkey AND a.line < b.line),
+t AS (SELECT *, lpad(d::VARCHAR, greatest(len(d::VARCHAR), places + 1)::INT, '0') AS s FROM p)
+SELECT claim_a_id, claim_b_id, CASE WHEN d <= room THEN 'agree' ELSE 'disagree' END AS agreement,
+  CASE WHEN d <= room THEN 'within rounding' ELSE s[1:len(s) - places] || regexp_replace('.' || s[len(s) - places + 1:], '[.]?0*$', '') || CASE k WHEN 1 THEN ' percent' ELSE ' INR' END || ' apart, beyond rounding' END AS reason,
+  CASE precision WHEN 15 THEN -1 WHEN 11 THEN -1 WHEN 9 THEN 5e-10 WHEN 0 THEN 0.5 ELSE 0.05 END::DOUBLE AS half, precision::INT AS precision FROM t
+"""
+
+
 #: Replies of every kind: right ones, wrong words, wrong JSON types, missing keys, members that are no claims, and no JSON at all.
 REPLIES = """
 SELECT l_orderkey * 8 + l_linenumber AS reply_id, CASE WHEN l_partkey % 19 = 0 THEN '{"claim":[]}' WHEN l_partkey % 19 = 1 THEN '{"claims":{"subject":"s"}}' WHEN l_partkey % 19 = 2 THEN 'no answer' WHEN l_partkey % 19 = 3 THEN '{"claims":[7,null,"text"]}' ELSE concat('{"more":1,"claims":[{"subject":', CASE WHEN l_suppkey % 11 = 0 THEN '5' WHEN l_partkey % 5 = 0 THEN '""' ELSE concat('"', repeat('s', l_suppkey % 400), '"') END, ',"predicate":"', CASE WHEN l_partkey % 4 = 0 THEN 'Net Sales' ELSE 'net_sales' END,
@@ -825,7 +857,7 @@ _ALL = {
     f1_01_scale_words: F1_01, f1_02_currency_words: F1_02, f4_02_generic_subjects: F4_02, f3_04_distinct_measures: F3_04, n11_normalize_claims: N11, f4_04_adjudicated: F4_04A, r11_recorded_names: R11, o06_vocabulary: O06, f3_07_canonical_predicates: F3_07C,
     f2_06_differences: F2_06D, r04_verdicts: R04, f7_05_routes: F7_05, a13_verdict_tally: A13, f7_06_downgrades: F7_06, a11_block_ids: A11, u02_channel_counts: U02, f5_08_recomputed_status: F5_08, p03_native_blocks: P03, f6_02_chunk_fingerprints: F6_02,
     j14_resumed_chunks: J14, a14_chunk_tallies: A14, t07_chunks_to_record: T07, r08_passages: R08, l11_block_rows: L11, l13_page_texts: L13, r12_transcriptions: R12, t06_reruns: T06, t02_stage_changes: T02, t08_give_up: T08, t09_waits: T09, r17_failure_kinds: R17,
-    o03_relationship_page: O03, o04_listings: O04, j05_run_details: J05, g_relationship_details: G_REL, p14_collections_by_key: P14, p09_lenient_readers: _p09(), f6_10_formats: F6_10, c_contract: _contract(), r07_repaired: _repaired(), r20_loaded_collection: R20, a08_issues_by_kind: A08K, s12_export: S12,
+    o03_relationship_page: O03, o04_listings: O04, j05_run_details: J05, g_relationship_details: G_REL, p14_collections_by_key: P14, p09_lenient_readers: _p09(), f6_10_formats: F6_10, c_contract: _contract(), r07_repaired: _repaired(), f1_07_long_figures: F1_07, r20_loaded_collection: R20, a08_issues_by_kind: A08K, s12_export: S12,
 }
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {f.__name__: sql for f, sql in _ALL.items()}

@@ -110,3 +110,68 @@ def test_uuid5(spark):
 def test_apportion(spark):
     share = lambda total, w: one(spark, text.apportion(F.lit(total), F.array(*[F.lit(x) for x in w])))
     assert (share(100, [1, 1, 2]), share(10, [1, 1, 1]), share(9, [0, 0, 0])) == ([25, 25, 50], [3, 3, 4], [3, 3, 3])
+
+
+def test_figures_of_any_length(spark):
+    from decimal import getcontext
+
+    from factloom.functions import figures
+
+    getcontext().prec = 200
+    texts = ["0", "-0.0", "1", "-1", "0.000000000000001", "-0.000000000000002", "999999999", "1000000000", "-999999999.999999999", "123456789012345678901234567890.5", "5e-7"[:1], "12345678901234567890123456789012345678901234567890", "0.5", ".25", "7."]
+    pairs = [(a, b, k) for a in texts for b in texts for k in (0, 3)]
+    d = spark.createDataFrame(pairs, "a string, b string, k int")
+    a, b = figures.shifted(figures.figure(F.col("a")), F.col("k")), figures.figure(F.col("b"))
+    rows = d.withColumn("r", figures.compare(a, b)).withColumn("t", figures.as_text(a)).collect()
+    for r in rows:
+        x, y = Decimal(r["a"]) * 10 ** r["k"], Decimal(r["b"])
+        half = lambda t, k: Decimal(5).scaleb(-len(t.partition(".")[2]) + k - 1)
+        assert Decimal(r["t"]) == x and Decimal(r["r"]["apart"]) == abs(x - y), r
+        assert r["r"]["meets"] == (abs(x - y) <= half(r["a"], r["k"]) + half(r["b"], 0)), r
+    assert [r["f"] for r in spark.createDataFrame([("1,5",), ("x",), ("",), ("1e5",)], "v string").select(figures.figure(F.col("v")).alias("f")).collect()] == [None] * 4
+
+
+def test_small_basis_points_keep_their_rounding(spark):
+    x = figure(spark, "0.123456789", None, "bps")
+    assert (x["half_width"], x["precision"], x["exact"]["digits"], x["exact"]["places"]) == (None, 11, "0123456789", 11)
+    assert figure(spark, "0.1234567", None, "bps")["half_width"] == Decimal("0.0000000005")
+    assert figure(spark, "1" * 40, "crore", None, "INR")["value"] is None and figure(spark, "1" * 40, "crore")["exact"]["precision"] == -7
+
+    def compare(a, b, unit):
+        row = spark.range(1).select(*[numbers.normalize_value(*[F.lit(v).cast("string") for v in (x, None, unit, None)]).alias(n) for n, x in (("a", a), ("b", b))])
+        return row.select(numbers.compare_values(F.col("a"), F.col("b")).alias("v")).first()["v"]
+
+    assert compare("0.123456789", "0.123456790", "bps")["agreement"] == "agree"
+    assert compare("0.123456789", "0.123456791", "bps")["reason"] == "0.00000000002 percent apart, beyond rounding"
+    assert compare("0.12", "0.123456789", "bps")["agreement"] == "agree"
+
+
+def test_replies_are_judged_strictly(spark):
+    import json
+
+    from factloom.functions import contract
+
+    good = {"subject": "s", "predicate": "p_q", "original_statement": "o", "numeric_value": None, "raw_value": None, "currency": None, "scale": None, "unit": None, "period_label": None, "period_type": None, "scope": None, "assertion_status": None, "qualifiers": [], "evidence_block_ids": ["B1"], "quote": "q"}
+    changed = lambda **more: json.dumps({"claims": [{**good, **more}]})
+    without = lambda name: json.dumps({"claims": [{k: v for k, v in good.items() if k != name}]})
+    cases = {
+        changed(): None, changed(extra=[1]): None, f"Here: ```json\n{changed()}\n```": None, changed(subject=5): "claims.0.subject: a text is needed", changed(numeric_value=12.5): "claims.0.numeric_value: a text or null is needed",
+        without("raw_value"): "claims.0.raw_value: a text or null is needed", json.dumps({"claims": [good, 7]}): "claims.1: a claim is needed", changed(subject=None): "claims.0.subject: a text is needed", changed(qualifiers=None): "claims.0.qualifiers: 12 at most, each with name and value",
+        changed(qualifiers=[{"name": "a", "value": 1}]): "claims.0.qualifiers: 12 at most, each with name and value", changed(evidence_block_ids=["B1", 2]): "claims.0.evidence_block_ids: 1 to 8 handles", changed(evidence_block_ids=[]): "claims.0.evidence_block_ids: 1 to 8 handles",
+        json.dumps({"claims": [good] * 61}): "claims: 60 at most", "{}": "claims: missing", '{"claims": null}': "claims: a list is needed", "nothing": "claims: missing", changed(quote="\U0001F600" * 601): "claims.0.quote: 1 to 1200 characters", changed(period_type="decade"): "claims.0.period_type: not one of the known ones",
+    }
+    d = spark.createDataFrame(list(enumerate(cases)), "reply_id int, reply string")
+    assert {r["reply_id"]: r["feedback"] for r in contract.read_replies(d).collect()} == dict(enumerate(cases.values()))
+
+
+def test_verdicts_are_judged_strictly(spark):
+    import json
+
+    from factloom.functions import contract
+
+    good = {"label": "unrelated", "rationale": "r", "evidence_ids": ["E2", "E9", "E1", "E2"], "differing_context": ["scope"], "uncertainty_reasons": []}
+    cases = [good, {**good, "label": "equal"}, {**good, "rationale": ""}, {**good, "evidence_ids": [1]}, {k: v for k, v in good.items() if k != "differing_context"}, {**good, "uncertainty_reasons": ["x"] * 9}]
+    d = spark.createDataFrame([(i, json.dumps(c), [("E1", "a"), ("E2", "b")]) for i, c in enumerate(cases)], "reply_id int, reply string, handles array<struct<handle:string,evidence_id:string>>")
+    got = {r["reply_id"]: r for r in contract.read_verdicts(d).collect()}
+    assert tuple(got[0])[1:] == ("unrelated", "r", ["b", "a"], ["scope"], [], None)
+    assert [got[i]["problem"].split(":")[0] for i in range(1, 6)] == ["label", "rationale", "evidence_ids", "differing_context", "uncertainty_reasons"] and got[1]["label"] is None

@@ -1,7 +1,6 @@
 """Quotes, fingerprints, tokens and other text functions of claims, as Columns.
 
-Only three things need Python: NFKC folding, and the span of a quote in the original text; both are
-Arrow-batched pandas UDFs. Everything else runs in the JVM.
+Only NFKC folding and name-based UUIDs need Python, as Arrow-batched pandas UDFs. Everything else runs in the JVM.
 """
 
 from __future__ import annotations
@@ -33,49 +32,24 @@ def contains_quote(quote: Column | str, content: Column | str) -> Column:
     return (F.length(q) > 0) & normalize_for_match(content).contains(q)
 
 
-def _spaces() -> frozenset[str]:
-    return frozenset(" \t\n\r\x0b\x0c\u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B))))
-
-
-def _normal_with_offsets(text: str, spaces: frozenset[str], swap: dict[str, str]) -> tuple[str, list[int]]:
-    """Normal form, and for each of its characters the UTF-16 offset it stands for (one more at the end)."""
-    out, offsets, at, pending = [], [], 0, False
-    for c in text:
-        width = 2 if ord(c) > 0xFFFF else 1
-        if c in spaces:
-            pending = bool(out)
-        elif c not in INVISIBLE:
-            if pending:
-                out.append(" ")
-                offsets.append(at)
-                pending = False
-            out.append(swap.get(c, c))
-            offsets.append(at)
-        at += width
-    offsets.append(at)
-    return "".join(out), offsets
-
-
-_SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-
-
-@F.pandas_udf(_SPAN)
-def locate_quote(quote: pd.Series, content: pd.Series) -> pd.DataFrame:
-    """First place of the quote in the original content: UTF-16 offsets, end exclusive; nulls if absent."""
-    spaces, swap = _spaces(), dict(zip(SAME_FROM, SAME_TO, strict=True))
-    rows: list[tuple[int | None, int | None]] = []
-    for q, c in zip(quote, content, strict=True):
-        found = (None, None)
-        if q is not None and c is not None:
-            needle, _ = _normal_with_offsets(q, spaces, swap)
-            hay, offsets = _normal_with_offsets(c, spaces, swap)
-            at = hay.find(needle) if needle else -1
-            if at >= 0:
-                last = offsets[at + len(needle) - 1]
-                wide = 2 if ord(hay[at + len(needle) - 1]) > 0xFFFF else 1
-                found = (offsets[at], last + wide)
-        rows.append(found)
-    return pd.DataFrame(rows, columns=["start", "end"]).astype("Int32")
+def quote_pattern(quote: Column | str) -> Column:
+    """A regular expression for the places of a quote in an original text: every character as any of those that count as it, with invisible ones
+    between, and a space as a run with at least one. Runs are possessive, so a search never goes back into them."""
+    hidden, spaces = f"[{INVISIBLE}]*+", f"[{INVISIBLE}]*+{SPACE}[{INVISIBLE}{SPACE[1:-1]}]*+"
+    alike = {c: "[" + ("\\" if c == "-" else "") + c + "".join(f for f, t in zip(SAME_FROM, SAME_TO, strict=True) if t == c) + "]" for c in sorted(set(SAME_TO))}
+    one = lambda c: first_match([(c == " ", spaces), *((c == k, v) for k, v in alike.items()), (c.rlike("^[A-Za-z0-9]$"), c)], F.concat(F.lit("\\Q"), c, F.lit("\\E")))
+    q = normalize_for_match(quote)
+    return F.when(F.length(q) > 0, F.array_join(F.transform(F.split(q, ""), one), hidden))
+
+
+def locate_quote(quote: Column | str, content: Column | str) -> Column:
+    """Struct (start, end) of the quote's first place in the original content, in UTF-16 units, end exclusive; null if absent."""
+    c = col(content)
+
+    def place(pattern: Column) -> Column:
+        return bound(F.regexp_instr(c, pattern), lambda at: F.when(at > 0, F.struct((at - 1).alias("start"), (at - 1 + utf16_length(F.regexp_substr(c, pattern))).alias("end"))))
+
+    return bound(quote_pattern(quote), place)
 
 
 @F.pandas_udf(T.StringType())

@@ -719,6 +719,27 @@ SELECT claim_a_id, claim_b_id, CASE WHEN d <= room THEN 'agree' ELSE 'disagree'
 """
 
 
+def f5_02_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes in blocks whose spaces, dashes and hyphens differ from the quotes'; some are not there."""
+    b = table(spark, sf_dir, "blocks").withColumn("n", F.substring("block_id", 2, 12).cast("int"))
+    content = F.concat(F.lit(" \u00a0"), F.replace("content", F.lit("services"), F.when(F.col("n") % 4 == 0, "ser\u00advices \n").otherwise("services –")), F.lit(" \U0001f600 was"))
+    quote = F.when(F.col("n") % 3 == 0, "from   services - was").when(F.col("n") % 3 == 1, "services was").otherwise("\U0001f600 was")
+    return b.select("block_id", text.locate_quote(quote, content).alias("p")).select("block_id", "p.start", "p.end")
+
+
+F5_02 = f"""
+{with_tables("blocks")},
+b AS (SELECT block_id, ' ' || chr(160) || replace(content, 'services', CASE WHEN block_id[2:]::INT % 4 = 0 THEN 'ser' || chr(173) || 'vices ' || chr(10) ELSE 'services ' || chr(8211) END) || ' ' || chr(128512) || ' was' AS c,
+  CASE block_id[2:]::INT % 3 WHEN 0 THEN 'from services - was' WHEN 1 THEN 'services was' ELSE chr(128512) || ' was' END AS q FROM blocks),
+k AS (SELECT *, string_split(c, '') AS l FROM b),
+o AS (SELECT block_id, q, l, list_filter(range(1, len(l) + 1), lambda i: NOT (l[i] IN (' ', chr(160), chr(10), chr(173)))) AS kept FROM k),
+m AS (SELECT block_id, q, l, flatten(list_transform(kept, lambda i: CASE WHEN i > kept[1] AND l[i - 1] IN (' ', chr(160), chr(10)) THEN [-i, i] ELSE [i] END)) AS places FROM o),
+f AS (SELECT *, strpos(array_to_string(list_transform(places, lambda i: CASE WHEN i < 0 THEN ' ' WHEN l[i] = chr(8211) THEN '-' ELSE l[i] END), ''), q) AS p FROM m)
+SELECT block_id, CASE WHEN p > 0 THEN abs(places[p]) - 1 + len(list_filter(l[1:abs(places[p]) - 1], lambda x: x = chr(128512))) END::INT AS start,
+  CASE WHEN p > 0 THEN abs(places[p + len(q) - 1]) + len(list_filter(l[1:abs(places[p + len(q) - 1])], lambda x: x = chr(128512))) END::INT AS "end" FROM f
+"""
+
+
 #: Replies of every kind: right ones, wrong words, wrong JSON types, missing keys, members that are no claims, and no JSON at all.
 REPLIES = """
 SELECT l_orderkey * 8 + l_linenumber AS reply_id, CASE WHEN l_partkey % 19 = 0 THEN '{"claim":[]}' WHEN l_partkey % 19 = 1 THEN '{"claims":{"subject":"s"}}' WHEN l_partkey % 19 = 2 THEN 'no answer' WHEN l_partkey % 19 = 3 THEN '{"claims":[7,null,"text"]}' ELSE concat('{"more":1,"claims":[{"subject":', CASE WHEN l_suppkey % 11 = 0 THEN '5' WHEN l_partkey % 5 = 0 THEN '""' ELSE concat('"', repeat('s', l_suppkey % 400), '"') END, ',"predicate":"', CASE WHEN l_partkey % 4 = 0 THEN 'Net Sales' ELSE 'net_sales' END,
@@ -857,7 +878,7 @@ _ALL = {
     f1_01_scale_words: F1_01, f1_02_currency_words: F1_02, f4_02_generic_subjects: F4_02, f3_04_distinct_measures: F3_04, n11_normalize_claims: N11, f4_04_adjudicated: F4_04A, r11_recorded_names: R11, o06_vocabulary: O06, f3_07_canonical_predicates: F3_07C,
     f2_06_differences: F2_06D, r04_verdicts: R04, f7_05_routes: F7_05, a13_verdict_tally: A13, f7_06_downgrades: F7_06, a11_block_ids: A11, u02_channel_counts: U02, f5_08_recomputed_status: F5_08, p03_native_blocks: P03, f6_02_chunk_fingerprints: F6_02,
     j14_resumed_chunks: J14, a14_chunk_tallies: A14, t07_chunks_to_record: T07, r08_passages: R08, l11_block_rows: L11, l13_page_texts: L13, r12_transcriptions: R12, t06_reruns: T06, t02_stage_changes: T02, t08_give_up: T08, t09_waits: T09, r17_failure_kinds: R17,
-    o03_relationship_page: O03, o04_listings: O04, j05_run_details: J05, g_relationship_details: G_REL, p14_collections_by_key: P14, p09_lenient_readers: _p09(), f6_10_formats: F6_10, c_contract: _contract(), r07_repaired: _repaired(), f1_07_long_figures: F1_07, r20_loaded_collection: R20, a08_issues_by_kind: A08K, s12_export: S12,
+    o03_relationship_page: O03, o04_listings: O04, j05_run_details: J05, g_relationship_details: G_REL, p14_collections_by_key: P14, p09_lenient_readers: _p09(), f6_10_formats: F6_10, c_contract: _contract(), r07_repaired: _repaired(), f5_02_places: F5_02, f1_07_long_figures: F1_07, r20_loaded_collection: R20, a08_issues_by_kind: A08K, s12_export: S12,
 }
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {f.__name__: sql for f, sql in _ALL.items()}

@@ -175,3 +175,39 @@ def test_verdicts_are_judged_strictly(spark):
     got = {r["reply_id"]: r for r in contract.read_verdicts(d).collect()}
     assert tuple(got[0])[1:] == ("unrelated", "r", ["b", "a"], ["scope"], [], None)
     assert [got[i]["problem"].split(":")[0] for i in range(1, 6)] == ["label", "rationale", "evidence_ids", "differing_context", "uncertainty_reasons"] and got[1]["label"] is None
+
+
+def plain_place(quote, content):
+    """The search spelled out: normal forms, and for each kept character its place in UTF-16 units."""
+    def normal(t):
+        out, at, pending = [], 0, False
+        for ch in t:
+            if ch.isspace() and ch not in "\x1c\x1d\x1e\x1f\x85" or ch == "\ufeff":
+                pending = bool(out)
+            elif ch not in text.INVISIBLE:
+                if pending:
+                    out.append((" ", at, at))
+                    pending = False
+                out.append((dict(zip(text.SAME_FROM, text.SAME_TO)).get(ch, ch), at, at + (2 if ord(ch) > 0xFFFF else 1)))
+            at += 2 if ord(ch) > 0xFFFF else 1
+        return out
+
+    q, c = normal(quote), normal(content)
+    k = "".join(x for x, *_ in c).find("".join(x for x, *_ in q)) if q else -1
+    return None if k < 0 else (c[k][1], c[k + len(q) - 1][2])
+
+
+def test_places_of_quotes(spark):
+    import random
+
+    rng = random.Random(3)
+    letters = "aab-–'’\"“ \u00a0\u00ad\u200b\n.\\\\E$\U0001f600[]("
+    rows = [("".join(rng.choice(letters) for _ in range(rng.randint(0, 4))), "".join(rng.choice(letters) for _ in range(rng.randint(0, 40)))) for _ in range(1500)]
+    rows += [("a b", " " * 50_000 + "a" + " \u00ad" * 20_000 + "b"), ("x" * 1200, "y" * 5000 + "x" * 1300), ("\\Q", "a\\Qb"), (None, "a"), ("a", None)]
+    got = spark.createDataFrame(rows, "q string, c string").select("q", "c", text.locate_quote("q", "c").alias("p")).collect()
+    found = 0
+    for r in got:
+        want = plain_place(r["q"], r["c"]) if r["q"] is not None and r["c"] is not None else None
+        assert (tuple(r["p"]) if r["p"] else None) == want, (r["q"], r["c"][:60] if r["c"] else None)
+        found += want is not None
+    assert found > 200

@@ -23,9 +23,9 @@ def words(kind: str, values: dict | tuple) -> str:
 # --- words: every entry of the fixed tables is used -----------------------------------------------
 
 def _word_rows(spark: SparkSession, sf_dir: str, values) -> DataFrame:
-    """Each word with some whole numbers."""
+    """Each word with every whole number of the table."""
     w = F.explode(F.array(*[F.lit(v) for v in values]))
-    return spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey <= 40").select(F.col("p_partkey").alias("n"), w.alias("word"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("n"), w.alias("word"))
 
 
 def f1_01_scale_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def f1_01_scale_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 F1_01 = f"""
-WITH {words("w", numbers.SCALES)} SELECT p_partkey AS n, word, word AS scale, 'INR' AS currency, meaning::DOUBLE AS factor, p_partkey * meaning::DOUBLE AS value, meaning::DOUBLE / 2 AS half_width FROM part CROSS JOIN w WHERE p_partkey <= 40
+WITH {words("w", numbers.SCALES)} SELECT p_partkey AS n, word, word AS scale, 'INR' AS currency, meaning::DOUBLE AS factor, p_partkey * meaning::DOUBLE AS value, meaning::DOUBLE / 2 AS half_width FROM part CROSS JOIN w
 """
 
 
@@ -46,8 +46,8 @@ def f1_02_currency_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 F1_02 = f"""
-WITH {words("w", numbers.CURRENCIES)}, {words("u", numbers.PROPORTIONS)} SELECT p_partkey AS n, word, meaning AS currency, 'sign' AS kind FROM part CROSS JOIN w WHERE p_partkey <= 40
-UNION ALL SELECT p_partkey, word, meaning, 'unit' FROM part CROSS JOIN u WHERE p_partkey <= 40
+WITH {words("w", numbers.CURRENCIES)}, {words("u", numbers.PROPORTIONS)} SELECT p_partkey AS n, word, meaning AS currency, 'sign' AS kind FROM part CROSS JOIN w
+UNION ALL SELECT p_partkey, word, meaning, 'unit' FROM part CROSS JOIN u
 """
 
 
@@ -59,7 +59,7 @@ def f4_02_generic_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 F4_02 = f"""
 WITH {words("g", entities.GENERIC)}, {words("l", entities.LEGAL)}, a AS (SELECT word FROM g UNION ALL SELECT word FROM l),
-r AS (SELECT p_partkey AS n, word, string_split(word || CASE WHEN p_partkey % 5 = 0 THEN ' plc' ELSE '' END, ' ') AS t FROM part CROSS JOIN a WHERE p_partkey <= 40),
+r AS (SELECT p_partkey AS n, word, string_split(word || CASE WHEN p_partkey % 5 = 0 THEN ' plc' ELSE '' END, ' ') AS t FROM part CROSS JOIN a),
 s AS (SELECT *, list_reverse(t) AS b FROM r),
 k AS (SELECT *, (SELECT min(i) FROM range(1, len(b) + 1) AS x(i) WHERE b[i] NOT IN (SELECT word FROM l) OR i = len(b)) AS keep FROM s)
 SELECT n, word, n % 5 <> 0 AND word IN (SELECT word FROM g) AS generic, array_to_string(list_reverse(b[1:keep - 1]), ' ') AS suffixes FROM k
@@ -67,16 +67,17 @@ SELECT n, word, n % 5 <> 0 AND word IN (SELECT word FROM g) AS generic, array_to
 
 
 def f3_04_distinct_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for x, y in predicates.DISTINCT for a, b in ((x, y), (y, x))]))
-    m = F.explode(F.array(*[F.lit(w) for w in predicates.MODIFIERS]))
-    d = spark.range(1).select(pairs.alias("p"), m.alias("word")).select(F.col("p.a").alias("a"), F.col("p.b").alias("b"), "word")
+    """Every part number asks for one pair of measures and one qualifying word, in turn."""
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for x, y in predicates.DISTINCT for a, b in ((x, y), (y, x))])
+    d = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("n"))
+    d = d.select("n", F.get(pairs, (F.col("n") % (2 * len(predicates.DISTINCT))).cast("int")).alias("p"), F.get(F.array(*map(F.lit, predicates.MODIFIERS)), (F.col("n") % len(predicates.MODIFIERS)).cast("int")).alias("word")).select("n", "p.a", "p.b", "word")
     plain = predicates.predicate_relation(F.initcap(F.replace("a", F.lit("_"), F.lit(" "))), F.col("b"))
-    return d.select("a", "b", "word", plain["relation"].alias("relation"), predicates.predicate_relation(F.concat("word", F.lit(" sales")), F.lit("sales"))["relation"].alias("modified"), predicates.predicate_head(F.concat(F.lit("sales "), "word")).alias("head"))
+    return d.select("n", "a", "b", "word", plain["relation"].alias("relation"), predicates.predicate_relation(F.concat("word", F.lit(" sales")), F.concat(F.lit("sales"), F.when(F.col("n") % 2 == 0, " margin").otherwise("")))["relation"].alias("modified"), predicates.predicate_head(F.concat(F.lit("sales "), "word")).alias("head"))
 
 
 F3_04 = f"""
-WITH p(a, b) AS (VALUES {", ".join(f"('{a}', '{b}'), ('{b}', '{a}')" for a, b in predicates.DISTINCT)}), {words("m", predicates.MODIFIERS)}
-SELECT a, b, word, 'explicitly_distinct' AS relation, 'modifier_variant' AS modified, 'sale' AS head FROM p CROSS JOIN m
+WITH p(i, a, b) AS (VALUES {", ".join(f"({2 * i}, '{a}', '{b}'), ({2 * i + 1}, '{b}', '{a}')" for i, (a, b) in enumerate(predicates.DISTINCT))}), m(i, word) AS (VALUES {", ".join(f"({i}, '{w}')" for i, w in enumerate(predicates.MODIFIERS))})
+SELECT p_partkey AS n, a, b, word, 'explicitly_distinct' AS relation, CASE WHEN p_partkey % 2 = 0 THEN 'related_form' ELSE 'modifier_variant' END AS modified, 'sale' AS head FROM part JOIN p ON p.i = p_partkey % {2 * len(predicates.DISTINCT)} JOIN m ON m.i = p_partkey % {len(predicates.MODIFIERS)}
 """
 
 
@@ -117,7 +118,7 @@ def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     labelled = resolution.claim_labels(table(spark, sf_dir, "claims"))
     e = table(spark, sf_dir, "entities").withColumn("normalized_label", F.concat(F.lit("supplier no"), F.substring("id", 2, 9)))
     resolved = resolution.resolve_entities(labelled, e, table(spark, sf_dir, "aliases"))
-    c = resolution.entity_candidates(labelled.where("label like 'supplier %' and suppkey % 40 = 1"), e)
+    c = resolution.entity_candidates(labelled.where("label like 'supplier %'"), e)
     verdicts = resolution.asked_candidates(c, 2).select("collection_id", "label", "entity_id", (F.substring("entity_id", 2, 9).cast("int") % 2 == 0).alias("same"), F.concat(F.lit("judged "), "entity_id").alias("reason"))
     return resolution.adjudicated_entities(resolved, c, verdicts, budget=2), labelled
 
@@ -131,7 +132,7 @@ JUDGED = f"""
 l0 AS (SELECT *, {LABEL.format(x='subject')} || CASE WHEN suppkey % 7 = 0 THEN '#' || document_id ELSE '' END AS label FROM claims),
 ll AS (SELECT DISTINCT collection_id, label FROM l0), y AS (SELECT e.collection_id, a.normalized_alias AS label, e.id FROM aliases a JOIN entities e ON e.id = a.entity_id),
 ca AS (SELECT q.collection_id, q.label, e.id, 'supplier no' || e.id[2:] AS name, row_number() OVER (PARTITION BY q.collection_id, q.label ORDER BY 'supplier no' || e.id[2:], e.id) AS turn
-  FROM (SELECT DISTINCT collection_id, label FROM l0 WHERE label LIKE 'supplier %' AND suppkey % 40 = 1) q JOIN entities e ON e.collection_id = q.collection_id QUALIFY turn <= 2),
+  FROM (SELECT DISTINCT collection_id, label FROM l0 WHERE label LIKE 'supplier %') q JOIN entities e ON e.collection_id = q.collection_id QUALIFY turn <= 2),
 hi AS (SELECT collection_id, label, min(turn) AS turn, arg_min(id, turn) AS id FROM ca WHERE id[2:]::INT % 2 = 0 GROUP BY ALL),
 rj AS (SELECT ca.collection_id, ca.label, string_agg(name || ': judged ' || ca.id, ' / ' ORDER BY ca.turn) AS rejected FROM ca LEFT JOIN hi ON hi.collection_id = ca.collection_id AND hi.label = ca.label WHERE hi.turn IS NULL OR ca.turn < hi.turn GROUP BY ALL),
 ju AS (SELECT ll.collection_id, ll.label, coalesce(y.id, hi.id, {duck_uuid5(f"'entity' || {SEP} || ll.collection_id || {SEP} || ll.label")}) AS entity_id, CASE WHEN y.id IS NOT NULL THEN 'alias' WHEN hi.id IS NOT NULL THEN 'model' ELSE 'created' END AS method,

@@ -113,6 +113,25 @@ def test_bucketed_tables_rewrite_only_what_is_touched(spark, tmp_path):
     assert len({r["bucket"] for r in pruned.collect()}) == 1 and "PartitionFilters: [isnotnull(bucket" in pruned._jdf.queryExecution().toString()
 
 
+def test_objects_are_written_whole_or_not_at_all(spark, tmp_path):
+    import pytest
+
+    from factloom.sources import store
+
+    root = str(tmp_path / "objects")
+    rows = [(f"pages/{i % 5}/{i}.png", bytes([i]) * 1000) for i in range(40)]
+    files = spark.createDataFrame(rows, "key string, content binary").repartition(3)
+    for _ in range(2):  # the second time changes nothing
+        store.write_objects(files, root)
+    keys = files.select("key")
+    assert {r["key"]: bytes(r["content"]) for r in store.read_objects(spark, root, keys).collect()} == dict(rows)
+    bad = spark.createDataFrame([("new/a", b"a"), ("../out", b"b")], "key string, content binary").coalesce(1)
+    with pytest.raises(Exception, match="no key inside the store"):
+        store.write_objects(bad, root)
+    left = [p for p in (tmp_path / "objects").rglob("*") if p.is_file() and not p.name.startswith(".")]
+    assert not (tmp_path / "out").exists() and not list((tmp_path / "objects").glob(".aside*")) and len(left) in (40, 41)
+
+
 def test_markdown(spark):
     df = spark.createDataFrame([("a", 1), (None, 2)], "k string, n int")
     assert exports.markdown_table(df, "T").startswith("## T\n\n| k | n |\n|---|---|\n")
@@ -342,7 +361,7 @@ def test_versions_are_those_that_were_frozen():
     from factloom import config
     from factloom.plans import evaluation
 
-    assert evaluation.freeze_differences(config.VERSIONS, config.FROZEN) == []
+    assert evaluation.freeze_differences(config.VERSIONS, config.frozen_versions()) == []
     assert evaluation.freeze_differences({"a": "1", "b": "1"}, {"a": "2", "c": "1"}) == [("a", "1", "2"), ("b", "1", None), ("c", None, "1")]
 
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import store
+from factloom.llm.common import sized, store
 
 BLOCK = 256
 HASHES = ("h1", "h2", "h3")
@@ -32,27 +32,33 @@ def conversation(conv_id):
     return F.coalesce(F.concat(F.lit("="), conv_id.cast("string")), F.lit(""))
 
 
-def prefixes(turns: DataFrame) -> DataFrame:
-    """Rows (conv, conv_id, place, role, text, s1..s3): each turn with the hashes of the turns up to it."""
+def ranked(turns: DataFrame) -> DataFrame:
+    """Stored turns (conv, conv_id, block, rank, role, text, c1, c2): each with its rank in its block and two hashes of role and text.
+
+    The one shuffle of all texts; what follows goes by ranks and hashes.
+    """
     conv = conversation(F.col("conv_id")).alias("conv")
     t = turns.select(conv, "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    t = t.withColumn("block", F.floor(F.col("turn") / BLOCK))
-    line = Window.partitionBy("conv").orderBy(F.col("block").asc_nulls_first())
-    before = line.rowsBetween(Window.unboundedPreceding, -1)
-    counts = t.groupBy("conv", "block").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    t = t.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**62))))
     inside = Window.partitionBy("conv", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    key = lambda df: df.withColumn("block_key", F.coalesce("block", F.lit(-(2**62))))
-    t = key(t.withColumn("rank", F.row_number().over(inside))).join(key(counts).drop("block"), ["conv", "block_key"])
-    t = t.withColumn("place", (F.col("start") + F.col("rank")).cast("long"))
-    small = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "place", "role", "text"), F.lit(2**40))
+    both = [F.xxhash64(F.lit(f"{c}:"), "role", "text").alias(c) for c in ("c1", "c2")]
+    return store(t.withColumn("rank", F.row_number().over(inside)).select("conv", "conv_id", "block", "rank", "role", "text", *both), "chat-turns")
+
+
+def prefixes(t: DataFrame) -> DataFrame:
+    """Rows (conv, conv_id, place, s1..s3): each ranked turn with the hashes of the turns up to it."""
+    slim = t.select("conv", "conv_id", "block", "rank", "c1", "c2")
+    before = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = slim.groupBy("conv", "block").agg(F.count("*").alias("n")).select("conv", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    p = slim.join(counts, ["conv", "block"]).withColumn("place", (F.col("start") + F.col("rank")).cast("long"))
     for seed, h in enumerate(HASHES):
-        t = t.withColumn(h, small(seed))
-    sums = t.groupBy("conv", "block", "block_key").agg(*[F.sum(h).alias("b" + h) for h in HASHES])
-    sums = sums.select("conv", "block_key", *[F.coalesce(F.sum("b" + h).over(before), F.lit(0)).alias("b" + h) for h in HASHES])
-    within = Window.partitionBy("conv", "block_key").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.select("conv", "conv_id", "block_key", "place", "role", "text", *[F.sum(h).over(within).alias(h) for h in HASHES])
-    t = t.join(sums, ["conv", "block_key"])
-    return t.select("conv", "conv_id", "place", "role", "text", *[(F.col(h) + F.col("b" + h)).alias(h.replace("h", "s")) for h in HASHES])
+        p = p.withColumn(h, F.pmod(F.xxhash64(F.lit(seed), "place", "c1", "c2"), F.lit(2**40)))
+    p = store(p.select("conv", "conv_id", "block", "place", *HASHES), "chat-places")
+    sums = p.groupBy("conv", "block").agg(*[F.sum(h).alias("b" + h) for h in HASHES])
+    sums = sums.select("conv", "block", *[F.coalesce(F.sum("b" + h).over(before), F.lit(0)).alias("b" + h) for h in HASHES])
+    within = Window.partitionBy("conv", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    out = p.select("conv", "conv_id", "block", "place", *[F.sum(h).over(within).alias(h) for h in HASHES]).join(sums, ["conv", "block"])
+    return out.select("conv", "conv_id", "place", *[(F.col(h) + F.col("b" + h)).alias(h.replace("h", "s")) for h in HASHES])
 
 
 def render(role, text):
@@ -64,7 +70,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
 
     keep_id: the least conv_id among the kept conversations that begin with this one, itself if kept.
     """
-    t = store(prefixes(turns), "chat-prefixes")
+    texts = ranked(turns)
+    t = store(prefixes(texts), "chat-prefixes")
     key = ["place", "s1", "s2", "s3"]
     ends = t.groupBy("conv").agg(F.max("place").alias("place"), F.max_by(F.struct("conv_id", "s1", "s2", "s3"), "place").alias("x"))
     ends = store(ends.select("conv", "place", "x.*"), "chat-ends")
@@ -81,7 +88,9 @@ def format_chats(turns: DataFrame) -> DataFrame:
     keep = F.when(F.col("maximal"), F.col("leader")).otherwise(F.col("roof"))
     out = out.select("conv", "conv_id", F.col("place").alias("n_turns"), (F.col("maximal") & F.col("conv_id").eqNullSafe(F.col("leader"))).alias("kept"), keep.alias("keep_id"))
     out = store(out, "chat-out")
-    parts = t.join(out.where("kept").select("conv"), "conv", "left_semi").groupBy("conv").agg(F.collect_list(F.struct("place", render(F.col("role"), F.col("text")).alias("part"))).alias("parts"))
+    # Texts of kept conversations only, and for the one string that each becomes.
+    kept = texts.join(sized(store(out.where("kept").select("conv"), "chat-kept")), "conv", "left_semi")
+    parts = kept.groupBy("conv").agg(F.collect_list(F.struct("block", "rank", render(F.col("role"), F.col("text")).alias("part"))).alias("parts"))
     parts = parts.select("conv", F.array_join(F.transform(F.array_sort("parts"), lambda x: x["part"]), "").alias("rendered"))
     out = out.join(parts, "conv", "left")
     return out.select("conv_id", "n_turns", "kept", "keep_id", "rendered", F.sha2("rendered", 256).alias("rendered_sha256"))

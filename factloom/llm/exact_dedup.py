@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import WS, partitions, release, store, text_of
 
-ONE = "__one"  # the key of repeated rows, for a moment beside the columns they came with
 #: A hot text reaches its owner in so many rows at most, whatever the number of tasks that met it.
 SALTS = 256
 MOST_BITS = 64
@@ -129,10 +128,10 @@ def exact_copies_removed(docs: DataFrame, capacity: int = 128) -> DataFrame:
     if again.isEmpty():
         return stay
     rest = stay.join(again, same(again), "left_anti")
-    # Of repeated rows one stays; they differ at most in white space and in other columns.
-    key = F.struct(F.col("doc_id"), F.sha2(normalised(stay), 256))
-    once = stay.join(again, same(again), "left_semi").withColumn(ONE, key).dropDuplicates([ONE]).drop(ONE)
-    return rest.unionByName(once)
+    # Of repeated rows one stays; they differ at most in white space and in other columns. A row is one struct meanwhile, so no column of its own is in the way.
+    repeated = stay.join(again, same(again), "left_semi")
+    once = repeated.select(F.struct(F.col("doc_id"), F.sha2(normalised(repeated), 256)).alias("key"), F.struct(*[repeated[f"`{c}`"].alias(c) for c in docs.columns]).alias("row")).dropDuplicates(["key"])
+    return rest.unionByName(once.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
 
 
 ORACLE = r"""

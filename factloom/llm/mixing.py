@@ -14,7 +14,7 @@ themselves are summed in windows: a few numbers a source must fit a task, a rang
 Nulls: a null text has size 0; a null source is a source of its own, ordered last. A null doc_id
 counts as one id of its own. Repeated rows are separate documents: of copies of one id and text the
 shares are dealt as evenly as can be. Ids may be of any type. Very long texts are taken whole. An empty
-table gives no rows; clashing further columns do no harm. Sources of size 0 have target 0.
+table gives no rows; further columns, whatever their names, come back as they were. Sources of size 0 have target 0.
 """
 
 from __future__ import annotations
@@ -101,20 +101,22 @@ def _planned(docs: DataFrame, share: float, cap: float, seed: str) -> DataFrame:
 
 
 def emit_mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
-    """The mixed documents themselves: every row as often as its copies say, with the input's columns."""
-    plan = _planned(docs, share, cap, seed).groupBy("digest").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    plan = store(plan.where("__copies > 0").withColumnRenamed("digest", "__digest"), "mix-plan")
-    j = docs.withColumn("__digest", _row_digest(docs)).join(plan, "__digest")
-    # Rows that repeat id and text share their copies; which of them comes first does not show, as only their other columns could differ.
-    others = F.xxhash64(F.to_json(F.struct(*[j[c] for c in docs.columns if c != "text"])))
-    repeated = plan.where("__rows > 1")
-    once = j.where("__rows = 1").withColumn("__times", F.col("__copies"))
-    if not repeated.isEmpty():
-        turn = F.row_number().over(Window.partitionBy("__digest").orderBy(others))
-        more = j.where("__rows > 1").withColumn("__turn", turn)
-        more = more.withColumn("__times", F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__turn") <= F.col("__copies") % F.col("__rows")).cast("int")).drop("__turn")
-        once = once.unionByName(more)
-    return once.withColumn("__one", F.explode(F.array_repeat(F.lit(1), F.col("__times").cast("int")))).select(*docs.columns)
+    """The mixed documents themselves: every row as often as its copies say, with the input's columns.
+
+    A row travels as one struct, so that no column of its own can meet one of the plan's.
+    """
+    plan = _planned(docs, share, cap, seed).groupBy("digest").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    plan = store(plan.where("copies > 0"), "mix-plan")
+    row = F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("row")
+    j = docs.select(_row_digest(docs).alias("digest"), row).join(plan, "digest")
+    once = j.where("rows = 1").select("row", F.col("copies").alias("times"))
+    if not plan.where("rows > 1").isEmpty():
+        # Rows that repeat id and text share their copies; which of them comes first does not show, as only their other columns could differ.
+        others = F.xxhash64(F.to_json(F.col("row").dropFields("text"))) if len(docs.columns) > 1 else F.lit(0)
+        more = j.where("rows > 1").withColumn("turn", F.row_number().over(Window.partitionBy("digest").orderBy(others)))
+        once = once.unionByName(more.select("row", (F.floor(F.col("copies") / F.col("rows")) + (F.col("turn") <= F.col("copies") % F.col("rows")).cast("int")).alias("times")))
+    each = once.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))))
+    return each.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 ORACLE = r"""

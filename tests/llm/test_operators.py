@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from factloom.llm import chat_format, exact_dedup, jaccard_join, language_id, mixing, quality_classifier, quality_rules, secret_scan, sentencepiece_bpe, suffix_dedup
+from factloom.llm.common import store
 from factloom.llm.queries import tokenizer_path
 from tests.llm import plain
 
@@ -576,6 +577,55 @@ def test_extra_columns_and_null_ids_do_no_harm(spark, awkward):
     assert set(mixing.emit_mix(d).columns) == set(exact_dedup.exact_copies_removed(d).columns) == set(jaccard_join.near_duplicates_removed(d).columns) == set(d.columns)
 
 
+CLASHES = ("__digest", "__one", "__times", "__turn", "__rows", "__copies", "copies", "rows", "row", "key", "digest", "times", "turn", "kept", "text_sha256", "component_id", "n", "label")
+
+
+def clashing(spark, rows):
+    """Documents with further columns, each value of which names its row and column."""
+    schema = SCHEMA + "".join(f", `{c}` string" for c in CLASHES)
+    return spark.createDataFrame([(*r, *[f"{k}.{c}" for c in CLASHES]) for k, r in enumerate(rows)], schema).repartition(3)
+
+
+def test_rows_come_back_with_their_own_columns(spark):
+    rows = [(i % 7 if i < 20 else i, f"text {i % 12} " * (i % 5 + 1), "en", f"s{i % 3}", 1) for i in range(60)] + [(None, None, None, None, None)] * 3
+    d = clashing(spark, rows)
+    came = {tuple(r): k for k, r in enumerate(d.collect())}
+    for out in (mixing.emit_mix(d), exact_dedup.exact_copies_removed(d), jaccard_join.near_duplicates_removed(d)):
+        got = out.collect()
+        assert out.columns == d.columns and got and all(tuple(r) in came for r in got)
+    plan = {}
+    for r in mixing.mix_sources(d).collect():
+        plan[r["doc_id"]] = plan.get(r["doc_id"], 0) + r["copies"]
+    sent: dict = {}
+    for r in mixing.emit_mix(d).collect():
+        sent[r["doc_id"]] = sent.get(r["doc_id"], 0) + 1
+    assert sent == {i: n for i, n in plan.items() if n}
+
+
+def test_pipeline_takes_nulls_repeats_and_clashing_columns(spark, real_texts):
+    words = " ".join(t for _, t in real_texts[:8] if t).split()
+    long_ = " ".join(words[k % len(words)] for k in range(30_000))
+    rows = [(None, None, None, None, None), (1, None, "en", None, 0), (2, "", "en", "a", 0), (3, long_, "en", "a", 1), (3, long_, "en", "a", 1), (4, long_.replace(" ", "\n"), None, "b", 1)]
+    rows += [(100 + i, t, "en", f"s{i % 2}", 1) for i, (_, t) in enumerate(real_texts[:60])]
+    docs = clashing(spark, rows)
+    came = {tuple(r) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        if name == "SentencePiece":
+            assert out.count() == docs.count()
+            break
+        out = store(out, "stages")
+        got = out.collect()
+        assert out.columns == docs.columns and all(tuple(r) in came for r in got)
+        if name == "exact dedup":
+            seen = [(r["text"] or "").replace("\n", " ") for r in got]
+            assert len({re.sub(r"[\x20\x09-\x0D]+", " ", t) for t in seen}) == len(seen)
+        docs = out
+    empty = clashing(spark, [])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0
+
+
 def test_pipeline(spark, real):
     out = corpus_pipeline.run(spark, SF)
     ids = {r["doc_id"] for r in out.select("doc_id").collect()}

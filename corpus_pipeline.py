@@ -8,13 +8,15 @@ omits documents so that each source meets its target. The last encodes and decod
 Nulls: a null text counts as empty and is rejected by the classifier; a null source is a source of its
 own; a row with a null doc_id is judged like others, and only the Jaccard join leaves it alone. Ties and
 repeated rows: of equal texts, and of near copies, the least doc_id stays, one row of it. Very long
-texts pass whole through every stage. Empty tables give no rows. Further columns, whatever their names,
+texts pass whole through every stage. Empty tables give no rows. doc_id must be a whole number, as the Jaccard
+stage orders and packs ids; other types are refused at the start. Further columns, whatever their names,
 are carried along to the last stage, which returns its own.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from factloom.llm import exact_dedup, jaccard_join, mixing, quality_classifier, queries, sentencepiece_bpe
 from factloom.llm.common import read_table, release, store
@@ -55,6 +57,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
     docs = read_table(spark, sf_dir, "documents")
+    if not isinstance(docs.schema["doc_id"].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        raise ValueError(f"doc_id is {docs.schema['doc_id'].dataType.simpleString()}; the pipeline needs whole numbers")
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):

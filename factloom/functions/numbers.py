@@ -130,42 +130,51 @@ def normalize_value(numeric: Column | str, scale: Column | str, unit: Column | s
     half_width do not fit DECIMAL(38, 10), value is rounded (null if it has too many digits), half_width is null if it has no room,
     and `exact` holds the figure; comparisons go by it.
     """
-    numeric, scale, unit, currency = map(col, (numeric, scale, unit, currency))
     step = "array<struct<step:string,from:string,to:string,factor:string>>"
     kind = f"struct<value:{DEC},unit:string,half_width:{DEC},steps:{step},precision:int,exact:{figures.FIGURE}>"
     one = lambda name, a, b, f: F.array(F.struct(F.lit(name).alias("step"), a.alias("from"), b.alias("to"), f.alias("factor"))).cast(step)
-    none = F.array().cast(step)
-    proportion = F.try_element_at(_map(PROPORTIONS), F.lower(F.trim(unit)))
-    factor, word = multiplier(scale), F.lower(F.trim(scale))
-    by = lambda percent, times: F.when(proportion == "basis_point", percent).when(proportion.isNull() & factor.isNotNull(), times)
-    power = F.coalesce(by(F.lit(-2), F.length(factor.cast("string")) - 1), F.lit(0)).cast("int")
-    plain_unit = F.coalesce(blank_as_null(currency), blank_as_null(unit), F.lit("count"))
-    name = (
-        F.when(proportion == "basis_point", F.lit("percent")).when(proportion.isNotNull(), proportion).when(factor.isNotNull(), plain_unit)
-        .when(F.length(word) > 0, F.concat(F.coalesce(currency, unit, F.lit("count")), F.lit("/"), word)).otherwise(plain_unit)
-    )
-    steps = lambda before, after: (
-        F.when(proportion == "basis_point", one("basis_points_to_percent", before, after, F.lit("0.01"))).when(proportion.isNotNull(), none)
-        .when(factor.isNotNull(), one("apply_scale", F.concat_ws(" ", before, word), after, factor.cast("string"))).when(F.length(word) > 0, one("unrecognised_scale", word, F.lit("left unconverted"), null("string"))).otherwise(none)
-    )
-    places = decimal_places(numeric)
-    value = F.when(places <= DEC_PLACES, numeric.try_cast(DEC))
-    wide = half_width(places)
-    in_base = F.coalesce(by((value / 100).cast(DEC), F.try_multiply(value, factor).try_cast(DEC)), value)
-    precision = (places - power).cast("int")
-    short = value.isNotNull() & (precision <= DEC_PLACES) & in_base.isNotNull()
-    out = lambda v, h, s, e: F.struct(v.cast(DEC).alias("value"), name.alias("unit"), h.cast(DEC).alias("half_width"), s.alias("steps"), precision.alias("precision"), e.alias("exact")).cast(kind)
-
-    def long(x: Column) -> Column:
-        text = figures.as_text(x)
-        half = F.when(precision <= DEC_PLACES, F.concat(F.lit("5e"), (-precision - 1).cast("string")).try_cast(DEC))
-        return out(text.try_cast(DEC), half, steps(figures.as_text(figures.figure(numeric)), text), x)
-
-    return (
-        F.when(short, out(in_base, F.coalesce(by((wide / 100).cast(DEC), (wide * factor).cast(DEC)), wide), steps(plain(value), plain(in_base)), null(figures.FIGURE)))
-        .otherwise(bound(figures.figure(numeric), lambda f: F.when(f.isNotNull(), bound(figures.shifted(f, power), long))))
+    numeric, scale, unit, currency = map(col, (numeric, scale, unit, currency))
+    given = F.struct(
+        numeric.alias("numeric"), unit.alias("unit"), currency.alias("currency"), F.lower(F.trim(scale)).alias("word"), F.try_element_at(_map(PROPORTIONS), F.lower(F.trim(unit))).alias("proportion"),
+        multiplier(scale).alias("factor"), decimal_places(numeric).alias("places"),
     )
 
+    # Each step is bound, so that what it makes stands once in the expression however often it is used.
+    def named(x: Column) -> Column:
+        way = F.when(x["proportion"] == "basis_point", "points").when(x["proportion"].isNotNull(), "share").when(x["factor"].isNotNull(), "scaled").when(F.length(x["word"]) > 0, "word")
+        plain_unit = F.coalesce(blank_as_null(x["currency"]), blank_as_null(x["unit"]), F.lit("count"))
+        return bound(F.struct(x.alias("x"), F.coalesce(way, F.lit("plain")).alias("way"), plain_unit.alias("plain_unit"), F.when(x["places"] <= DEC_PLACES, x["numeric"].try_cast(DEC)).alias("value"), half_width(x["places"]).alias("wide")), based)
+
+    def based(y: Column) -> Column:
+        x, way, value, wide = y["x"], y["way"], y["value"], y["wide"]
+        by = lambda points, scaled, other: F.when(way == "points", points).when(way == "scaled", scaled).otherwise(other)
+        power = by(F.lit(-2), F.length(x["factor"].cast("string")) - 1, F.lit(0)).cast("int")
+        name = by(F.lit("percent"), y["plain_unit"], F.when(way == "share", x["proportion"]).when(way == "word", F.concat(F.coalesce(x["currency"], x["unit"], F.lit("count")), F.lit("/"), x["word"])).otherwise(y["plain_unit"]))
+        in_base = by((value / 100).cast(DEC), F.try_multiply(value, x["factor"]).try_cast(DEC), value)
+        half = by((wide / 100).cast(DEC), (wide * x["factor"]).cast(DEC), wide)
+        return bound(F.struct(x.alias("x"), way.alias("way"), value.alias("value"), name.alias("name"), in_base.alias("base"), half.alias("half"), power.alias("power"), (x["places"] - power).cast("int").alias("precision")), made)
+
+    def made(z: Column) -> Column:
+        short = z["value"].isNotNull() & (z["precision"] <= DEC_PLACES) & z["base"].isNotNull()
+        none = null("struct<before:string,after:string,value:decimal(38,10),half:decimal(38,10),exact:" + figures.FIGURE + ">")
+        found = F.when(short, F.struct(plain(z["value"]).alias("before"), plain(z["base"]).alias("after"), z["base"].alias("value"), z["half"].alias("half"), null(figures.FIGURE).alias("exact")))
+        found = found.otherwise(bound(figures.figure(z["x"]["numeric"]), lambda f: F.when(f.isNotNull(), bound(figures.shifted(f, z["power"]), lambda e: long(f, e, z))).otherwise(none)))
+        return bound(F.struct(z.alias("z"), found.alias("f")), told)
+
+    def long(f: Column, e: Column, z: Column) -> Column:
+        half = F.when(z["precision"] <= DEC_PLACES, F.concat(F.lit("5e"), (-z["precision"] - 1).cast("string")).try_cast(DEC))
+        return bound(figures.as_text(e), lambda text: F.struct(figures.as_text(f).alias("before"), text.alias("after"), text.try_cast(DEC).alias("value"), half.alias("half"), e.alias("exact")))
+
+    def told(w: Column) -> Column:
+        z, f = w["z"], w["f"]
+        steps = (
+            F.when(z["way"] == "points", one("basis_points_to_percent", f["before"], f["after"], F.lit("0.01"))).when(z["way"] == "scaled", one("apply_scale", F.concat_ws(" ", f["before"], z["x"]["word"]), f["after"], z["x"]["factor"].cast("string")))
+            .when(z["way"] == "word", one("unrecognised_scale", z["x"]["word"], F.lit("left unconverted"), null("string"))).otherwise(F.array().cast(step))
+        )
+        return F.when(f.isNotNull(), F.struct(f["value"].alias("value"), z["name"].alias("unit"), f["half"].alias("half_width"), steps.alias("steps"), z["precision"].alias("precision"), f["exact"].alias("exact")).cast(kind))
+
+    return bound(given, named)
+
 
 def _exact(x: Column) -> Column:
     """A normalised value's figure, whichever way it is kept."""
@@ -210,8 +219,10 @@ def scale_ratio(a: Column, b: Column) -> Column:
     Such figures have the same digits; the power is the distance between their leading digits' places.
     """
 
-    def written(x: Column) -> Column:
-        text = F.when(x["exact"].isNotNull(), F.ltrim(F.lit("-"), figures.as_text(x["exact"]))).otherwise(F.abs(x["value"]).cast("string"))
+    def text_of(x: Column) -> Column:
+        return F.when(x["exact"].isNotNull(), F.ltrim(F.lit("-"), figures.as_text(x["exact"]))).otherwise(F.abs(x["value"]).cast("string"))
+
+    def written(text: Column) -> Column:
         whole, part = F.regexp_extract(text, r"^0*([0-9]*)", 1), F.regexp_extract(text, r"\.([0-9]*)$", 1)
         place = F.when(F.length(whole) > 0, F.length(whole)).otherwise(-F.length(F.regexp_extract(part, "^(0*)", 1)))
         return F.struct(F.regexp_replace(F.concat(whole, part), "^0+|0+$", "").alias("digits"), place.alias("place"))
@@ -220,7 +231,10 @@ def scale_ratio(a: Column, b: Column) -> Column:
         p = x["a"]["place"] - x["b"]["place"]
         return F.when((x["a"]["digits"] != "") & (x["a"]["digits"] == x["b"]["digits"]) & (p != 0), F.pow(F.lit(10.0), p.cast("double")))
 
-    return bound(F.struct(written(a).alias("a"), written(b).alias("b")), ratio)
+    def both(x: Column) -> Column:
+        return bound(F.struct(bound(text_of(x["a"]), written).alias("a"), bound(text_of(x["b"]), written).alias("b")), ratio)
+
+    return bound(F.struct(a.alias("a"), b.alias("b")), both)
 
 
 def significant_digits(numeric: Column | str) -> Column:

@@ -12,7 +12,7 @@ from factloom.plans import evaluation, reads
 from factloom.plans.fixture import table, with_tables
 from factloom.plans.queries_pipeline import BLOCKS, ISSUES
 from factloom.plans.queries_values import CONTEXT, LABEL, NORMAL, PERIOD, RELATION, RULED, SEP, claim_pairs, duck_uuid5
-from factloom.sources import exports, uploads
+from factloom.sources import exports, scratch, uploads
 
 def words(kind: str, values: dict | tuple) -> str:
     """A word table for SQL."""
@@ -254,7 +254,7 @@ F7_05 = f"{with_tables('claims')}, {ROUTED} SELECT claim_a_id, claim_b_id, route
 
 def a13_verdict_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts by label and method when a model answers that all pairs put to it contradict each other."""
-    r = _routed(spark, sf_dir)
+    r = scratch.stored(_routed(spark, sf_dir), "routed")  # read by every branch below
     model = r.select("claim_a_id", "claim_b_id", F.lit("contradicts").alias("label"), F.lit("model").alias("method"), F.array().cast("array<string>").alias("uncertainty_reasons"))
     v = checks.routed_verdicts(r, model)
     spent = v.where(F.array_contains("uncertainty_reasons", checks.SPENT)).groupBy("label").agg(F.count("*").alias("n")).select("label", F.lit("spent").alias("method"), "n")

@@ -2,8 +2,10 @@
 
 Fixed patterns find assignments, access keys and long hexadecimal runs. Beside them, tokens of 20
 or more key characters are scored by two first-order Markov models over characters, one of random
-strings and one of ordinary identifiers, words and rules of one repeated character, trained from
-labelled samples; a token is a finding if its log-likelihood ratio exceeds `least` and it overlaps no
+strings and one of ordinary identifiers, words and rules of one repeated character. Their labelled samples come
+from the table itself (`table_samples`: what the patterns found is random, words that different texts share are
+ordinary), beside made-up ones that keep small tables and unseen alphabets in place (`labelled_samples`), or from the
+caller. A token is a finding if its log-likelihood ratio exceeds `least` and it overlaps no
 span of the patterns, whether it has digits or not.
 
 Spans are in code points, end exclusive. Each text is read once and gives its matches with the lengths of
@@ -32,6 +34,8 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 RANDOM = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+# Words of the documents that may stand for ordinary ones: shorter than any token that is scored.
+ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{2,19}+(?![A-Za-z0-9+/_=-])"
 KINDS = ("assign", "access", "hex", "random")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIDE = len(ALPHABET) + 1
@@ -87,6 +91,28 @@ def labelled_samples(spark: SparkSession, rows: int = 4000) -> DataFrame:
     return half.select(keys.alias("text"), F.lit(True).alias("random")).unionByName(half.select(names.alias("text"), F.lit(False).alias("random")))
 
 
+def _share(rows: int, of: int) -> int:
+    """The limit of a hash of 30 bits that lets about `rows` of so many through."""
+    return int((1 << 30) * min(1.0, rows / max(of, 1)))
+
+
+def table_samples(docs: DataFrame, matches: DataFrame, start: list[float], sample_rows: int = 4000) -> DataFrame:
+    """(text, random) of a table: values that the patterns found, and short words that different texts share.
+
+    Values that the `start` model takes for words (as in `password: necessary`) are left out. Both sides are drawn by
+    hash, about `sample_rows` values and the words of about as many documents; only their counts of pairs of
+    characters go on. Copies of a text count once, so a key that is copied with its text makes no word.
+    """
+    at = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1 << 30))
+    base = F.filter("matches", lambda m: m["counts"] & (m["kind"] < len(KINDS) - 1))
+    values = store(matches.select(F.explode(base).alias("m")).select(F.col("m.token").alias("text")).distinct(), "secret-values")
+    random = values.where(at(F.col("text")) < _share(sample_rows, values.count())).where(token_score(F.col("text"), start) > 0)
+    some = docs.where(at(F.col("doc_id"), F.col("text")) < _share(sample_rows, matches.count()))
+    words = some.select(F.xxhash64("text").alias("of"), F.explode(F.array_distinct(F.regexp_extract_all(text_of(docs), F.lit(ORDINARY), F.lit(0)))).alias("text"))
+    shared = words.groupBy("text").agg(F.min("of").alias("a"), F.max("of").alias("b")).where("a < b")
+    return random.select("text", F.lit(True).alias("random")).unionByName(shared.select("text", F.lit(False).alias("random")))
+
+
 def train(samples: DataFrame) -> list[float]:
     """Log-likelihood ratios of every (previous, next) character pair, row by row; 0 stands for the start.
 
@@ -108,8 +134,8 @@ def train(samples: DataFrame) -> list[float]:
     return out
 
 
-def _matches(text: Column, pattern: str, kind: int, least: int, group: int | None = None, token: bool = False) -> Column:
-    """The leftmost matches that do not overlap: number, characters since the match before, own characters, and whether it (or its group) has `least`."""
+def _matches(text: Column, pattern: str, kind: int, least: int, group: int | None = None) -> Column:
+    """The leftmost matches that do not overlap: number, characters since the match before, own characters, whether it (or its group) has `least`, and that part."""
     p = F.lit(pattern)
 
     def measured(m: Column) -> Column:
@@ -117,7 +143,7 @@ def _matches(text: Column, pattern: str, kind: int, least: int, group: int | Non
         both = F.struct(m.alias("m"), part.alias("part"), F.split(text, pattern, -1).alias("gap"))
         one = lambda b: lambda x, i: F.struct(
             F.lit(kind).alias("kind"), i.alias("i"), F.length(F.get(b["gap"], i)).alias("gap"), F.length(x).alias("size"), (F.length(F.get(b["part"], i)) >= least).alias("counts"),
-            (x if token else F.lit(None).cast("string")).alias("token"),
+            F.get(b["part"], i).alias("token"),
         )
         return F.when(F.size(m) == 0, F.array().cast(MATCHES)).otherwise(bound(both, lambda b: F.transform(b["m"], one(b))))
 
@@ -141,7 +167,7 @@ def _text_form(spans: Column) -> Column:
 def find_matches(docs: DataFrame) -> DataFrame:
     """(row, doc_id, matches) of every document."""
     text = text_of(docs)
-    found = F.concat(_matches(text, ASSIGN, 0, 8, 2), _matches(text, ACCESS, 1, 16), _matches(text, HEX, 2, 32), _matches(text, RANDOM, 3, 20, token=True))
+    found = F.concat(_matches(text, ASSIGN, 0, 8, 2), _matches(text, ACCESS, 1, 16), _matches(text, HEX, 2, 32), _matches(text, RANDOM, 3, 20))
     return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", found.alias("matches"))
 
 
@@ -158,10 +184,16 @@ def place(table: DataFrame) -> DataFrame:
     return m.select("row", "kind", "start", "end", "token", free.alias("free"))
 
 
-def scan_secrets(docs: DataFrame, samples: DataFrame | None = None, least: float = 10.0) -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random."""
-    ratios = train(labelled_samples(docs.sparkSession) if samples is None else samples)
+def scan_secrets(docs: DataFrame, samples: DataFrame | None = None, least: float = 10.0, sample_rows: int = 4000) -> DataFrame:
+    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random.
+
+    samples (text, random), if given, replace those of the table and the made-up ones.
+    """
     table = store(find_matches(docs), "secret-matches")
+    if samples is None:
+        made = labelled_samples(docs.sparkSession)
+        samples = made.unionByName(table_samples(docs, table, train(made), sample_rows))
+    ratios = train(samples)
     random = len(KINDS) - 1
     finding = F.when(F.col("kind") < random, F.lit(True)).when(F.col("free"), token_score(F.col("token"), ratios) > least).otherwise(F.lit(False))
     spans = place(table).where(finding)

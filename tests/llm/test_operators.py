@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import random
 import re
+import uuid
 
 import numpy as np
 import pytest
@@ -316,6 +318,50 @@ def test_secret_model_tells_held_out_samples_apart(spark):
     assert right >= 0.98 * n
 
 
+def test_secret_samples_of_a_table(spark):
+    """Values of the patterns and words of different texts, against plain Python; copies, nulls and words as passwords change nothing."""
+    rng = random.Random(5)
+    texts = [None, "", "password: necessary-information", "copied Zx8Qw3rTy6UiOp1AsDf", "copied Zx8Qw3rTy6UiOp1AsDf"]
+    texts += [f"shared words n{i} token={rng.randbytes(12).hex()} {rng.randbytes(20).hex()} AKIA{rng.randbytes(8).hex().upper()} {'long' * 5}" for i in range(30)]
+    docs = frame(spark, texts)
+    start = secret_scan.train(secret_scan.labelled_samples(spark))
+    got = secret_scan.table_samples(docs, secret_scan.find_matches(docs), start).collect()
+    values = {m[2] for t in texts for m in plain.ASSIGN.finditer(t or "") if len(m[2]) >= 8} | {m[0] for t in texts for m in re.finditer("AKIA[A-Z0-9]{12,}|[0-9a-f]{32,}", t or "")}
+    random_ = {r["text"] for r in got if r["random"]}
+    assert random_ <= values - {"necessary-information"} and len(random_) >= 0.9 * len(values)
+    words: dict[str, set] = {}
+    for t in texts:
+        for w in re.findall(r"[A-Za-z0-9+/_=-]+", t or ""):
+            if 2 <= len(w) <= 19:
+                words.setdefault(w, set()).add(t)
+    assert sorted(r["text"] for r in got if not r["random"]) == sorted(w for w, of in words.items() if len(of) > 1)
+    assert secret_scan.table_samples(docs.limit(0), secret_scan.find_matches(docs.limit(0)), start).count() == 0
+
+
+def test_secret_models_learn_from_the_table(spark, real):
+    """Keys planted in real documents are found, in alphabets that the made-up samples lack as well; real documents have no false finding."""
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    makers = {
+        "base62": (0.99, lambda: "".join(rng.choice(letters) for _ in range(24))), "base64": (0.99, lambda: base64.b64encode(rng.randbytes(30)).decode()),
+        "base32": (0.99, lambda: base64.b32encode(rng.randbytes(20)).decode()), "uuid": (0.9, lambda: str(uuid.UUID(bytes=rng.randbytes(16)))), "hex24": (0.9, lambda: rng.randbytes(12).hex()),
+    }
+    whole = real.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    base = [r["text"] for r in real.where("length(text) > 0").orderBy("doc_id").limit(100).collect()]
+    rows, extra = [], [rng.randbytes(20).hex() for _ in range(300)]
+    for kind, (_, make) in makers.items():
+        for i, t in enumerate(base):
+            w = t.split(" ")
+            at = rng.randint(0, len(w))
+            rows.append((f"{kind}-{i}", " ".join(w[:at] + [make()] + w[at:])))
+    rows += [(f"hex-{i}", f"key {x} end") for i, x in enumerate(extra)]
+    docs = whole.unionByName(spark.createDataFrame(rows, "doc_id string, text string"))
+    got = {r["doc_id"]: r["n_random"] for r in secret_scan.scan_secrets(docs).collect()}
+    for kind, (least, _) in makers.items():
+        assert sum(got[f"{kind}-{i}"] > 0 for i in range(len(base))) >= least * len(base), kind
+    assert sum(n for k, n in got.items() if k.isdigit()) == 0
+
+
 def test_jaccard_join(spark, awkward, real, real_texts):
     for docs, texts in ((frame(spark, awkward), list(enumerate(awkward))), (real, real_texts)):
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs).collect()}

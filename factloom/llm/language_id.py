@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import CHUNK_BYTES, column_bytes, id_type, pieces, store, text_of
+from factloom.llm.common import CHUNK_BYTES, column_bytes, id_type, pieces, sized, store, text_of
 
 BITS = 16
 TEMPER = 40.0
@@ -77,9 +77,10 @@ def fit_models(docs: DataFrame, rows_per_language: int = 1000, most_repeats: int
     labelled = docs.where("lang is not null and octet_length(text) >= 3").select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("at"))
     share = F.least(F.lit(1.0), F.lit(float(rows_per_language)) / F.count("*"))
     # The least place of a language is always within its limit, so that no language goes without a model.
-    limits = labelled.groupBy("lang").agg(F.greatest((share * (1 << 30)).cast("long"), F.min("at")).alias("limit"))
+    # Values of lang may be garbage without end, so the limits are counted before they are sent to every task.
+    limits = sized(store(labelled.groupBy("lang").agg(F.greatest((share * (1 << 30)).cast("long"), F.min("at")).alias("limit")), "language-limits"))
     # All tasks filter and write the sample; it is bounded, so few tasks can count it.
-    sample = store(labelled.join(F.broadcast(limits), "lang").where("at <= limit").select("lang", "text"), "language-sample")
+    sample = store(labelled.join(limits, "lang").where("at <= limit").select("lang", "text"), "language-sample")
     parts = sample.coalesce(8).mapInArrow(_count(most_repeats), "lang string, counts binary").collect()
     sums: dict[str, np.ndarray] = {}
     for r in parts:

@@ -35,12 +35,24 @@ def resolve_entities(labels: DataFrame, entities: DataFrame, aliases: DataFrame)
     return j.select("collection_id", "label", F.coalesce("exact_id", "alias_id", new).alias("entity_id"), method.alias("method"))
 
 
-def entity_candidates(labels: DataFrame, entities: DataFrame) -> DataFrame:
-    """Entities of the same collection that share a word of more than two letters with a label."""
+def entity_candidates(labels: DataFrame, entities: DataFrame, part_rows: int = 512) -> DataFrame:
+    """Entities of the same collection that share a word of more than two letters with a label, each pair once.
+
+    Labels and entities meet under every shared word, and a pair is kept under the least of them. A word that many share is
+    cut by its counts into parts of about `part_rows` on either side, and only parts meet. Nulls have no words.
+    """
+    word = ["collection_id", "word"]
     words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) > 2))
-    left = labels.select("collection_id", "label").distinct().withColumn("word", F.explode(words(F.col("label"))))
-    right = entities.select(F.col("id").alias("entity_id"), "collection_id", "normalized_label").withColumn("word", F.explode(words(F.col("normalized_label"))))
-    return left.join(right, ["collection_id", "word"]).select("collection_id", "label", "entity_id", "normalized_label").distinct()
+    left = labels.select("collection_id", "label", words(F.col("label")).alias("own")).distinct().withColumn("word", F.explode("own"))
+    right = entities.select(F.col("id").alias("entity_id"), "collection_id", "normalized_label", words(F.col("normalized_label")).alias("other")).distinct().withColumn("word", F.explode("other"))
+    cuts = F.ceil(F.count("*") / part_rows).cast("int")
+    shared = left.groupBy(*word).agg(cuts.alias("cuts")).join(right.groupBy(*word).agg(cuts.alias("other_cuts")), word)
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    l = left.join(shared, word).select(*word, "label", "own", part("label", "cuts").alias("part"), each("other_cuts").alias("other_part"))
+    r = right.join(shared, word).select(*word, "entity_id", "normalized_label", "other", part("entity_id", "other_cuts").alias("other_part"), each("cuts").alias("part"))
+    j = l.join(r, [*word, "part", "other_part"]).where(F.col("word") == F.array_min(F.array_intersect("own", "other")))
+    return j.select("collection_id", "label", "entity_id", "normalized_label")
 
 
 def document_conventions(blocks: DataFrame) -> DataFrame:

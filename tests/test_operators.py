@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
-from factloom.operators import candidates, chunks, layout, seams, sinks, spending, state
+from factloom.operators import candidates, chunks, layout, resolution, seams, sinks, spending, state
 from factloom.sources import exports, gold, uploads
 from factloom.streaming import jobs
 
@@ -373,3 +375,19 @@ def test_report_is_whole_or_refused(spark, monkeypatch):
     monkeypatch.setattr(exports, "MOST_ROWS", 4)
     with pytest.raises(ValueError):
         exports.markdown_table(df, "T")
+
+
+def test_entity_candidates_of_hot_words_come_once(spark):
+    rng = random.Random(11)
+    names = ["bank", "trust", "north", "south", "of", "co", "first", "holding"]
+    name = lambda: " ".join(["bank", *rng.choices(names, k=rng.randint(0, 3))])
+    labels = [(f"c{rng.randint(0, 1)}", name()) for _ in range(120)] + [("c0", None), ("c0", ""), ("c0", "of co"), (None, "bank")]
+    entities = [(f"e{i}", f"c{i % 2}", name()) for i in range(90)]
+    entities += [*entities[:5], ("e90", "c0", None), ("e91", None, "bank")]
+    words = lambda t: {w for w in (t or "").split(" ") if len(w) > 2}
+    want = {(c, t, e, n) for c, t in labels for e, k, n in entities if c is not None and c == k and words(t) & words(n)}
+    l, e = spark.createDataFrame(labels, "collection_id string, label string"), spark.createDataFrame(entities, "id string, collection_id string, normalized_label string")
+    for part_rows in (512, 7):
+        got = [tuple(r) for r in resolution.entity_candidates(l, e, part_rows).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert resolution.entity_candidates(l.limit(0), e).count() == 0

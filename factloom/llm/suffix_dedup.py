@@ -15,19 +15,23 @@ only comes with that very stretch has only repeated windows; the rest are sorted
 * neighbours in the sorted order are compared over all 200 bytes.
 
 Memory: buckets reach a task in order of their key and are sorted as they come, about `BUCKET_BYTES`
-of them at once; a task never holds its partition. One bucket is bounded by `crowd` stretches, of which
-each is shorter than 400 bytes: an anchor with more different stretches is cut further by the bytes that
-all windows at one of its offsets share, and only what still agrees there stays together.
+of them at once; a task never holds its partition. A bucket of an anchor with up to `crowd` different
+stretches, each shorter than 400 bytes, is sorted whole. One with more is cut further by the bytes that all windows at 16
+of its offsets share, and only what still agrees there stays together: up to `throng` pieces, each shorter
+than 216 bytes. An anchor with more than `throng` stretches (a passage whose surroundings differ everywhere) is
+cut into single windows, which nothing sorts: equal ones meet by their hash and are settled one by one as
+they stream by. So no bucket grows with the corpus.
 
 Skew: a task's batch settles stretches that it holds twice or more by itself and passes on one of
-them, so a passage in a third of all documents costs a row a batch. Anchors are counted with map-side sums,
-and stretches are grouped by anchor and content, so an anchor that many different stretches hold is spread
+them, so a passage in a third of all documents costs a row a batch; so it is with single windows. Anchors
+and twins are counted with map-side sums, and stretches are grouped by anchor and content, so an anchor that many different stretches hold is spread
 over tasks.
 
 Nulls: a null text is empty; a null doc_id is kept as it is. Repeated rows are copies of each other
 and go whole (if 200 bytes or longer). Ties do not arise. An empty table gives no rows. Only doc_id and text
 are read, clashing further columns do no harm; ids may be of any type; texts of any length are taken
-whole. Two stretches count as the same if anchor and stretch agree in two independent 64-bit hashes.
+whole. Two stretches count as the same if anchor and stretch agree in two independent 64-bit hashes, two
+single windows if they agree in one of 128 bits.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import BYTE_CODE, CHUNK_BYTES, id_type, mix, partitions, pieces, powers, prefix_sums, release, sized, store
@@ -159,30 +163,42 @@ def _stretches(batches: Iterator) -> Iterator:
             yield pa.RecordBatch.from_arrays([pa.array(spread), pa.nulls(n, pa.int64()), pa.array(who), pa.array(s.astype(np.int32)), pa.array((e - s - LENGTH + 1).astype(np.int32)), pa.array(np.zeros(n, np.int32)), pa.array(np.ones(n, bool))], ["key", "stretch", "row", "first", "windows", "offset", "known"])
 
 
-_PIECE = "key long, row long, first int, windows int, known boolean, bytes binary"
+#: A single window has no bytes but the second half of its hash; a span that is settled has empty bytes.
+_PIECE = "key long, twin long, row long, first int, windows int, known boolean, bytes binary"
 
 
 def _cut(batches: Iterator) -> Iterator:
-    """The bytes of the stretches asked for; those of crowded anchors in blocks of 16 offsets."""
+    """The bytes of the stretches asked for; those of crowded anchors in blocks of 16 offsets, those of thronged ones as single windows."""
     import pyarrow as pa
     import xxhash
 
     for b in batches:
         out: list[tuple] = []
+        single: dict[bytes, list[tuple]] = {}
         for text, asked in zip(_texts(b), b.column("asked").to_pylist(), strict=True):
             row = None
             for x in asked:
                 row, p, n, a = x["row"], x["first"], x["windows"], x["first"] + x["offset"]
-                if not x["crowd"]:
-                    out.append((x["key"], row, p, n, x["known"], text[p : p + n - 1 + LENGTH]))
+                if x["crowd"] == 0:
+                    out.append((x["key"], None, row, p, n, x["known"], text[p : p + n - 1 + LENGTH]))
+                    continue
+                if x["crowd"] == 2:
+                    for i in range(p, p + n):
+                        single.setdefault(xxhash.xxh3_128_digest(text[i : i + LENGTH]), []).append((row, i, x["known"]))
                     continue
                 for block in range((a - p - n + 1) // BLOCK, (a - p) // BLOCK + 1):
                     s, e = max(p, a - BLOCK * block - BLOCK + 1), min(p + n - 1, a - BLOCK * block)
                     core = text[a - BLOCK * block : a - BLOCK * block - BLOCK + 1 + LENGTH]
                     key = xxhash.xxh64_intdigest(core, (x["key"] + block) & (2**64 - 1)) - 2**63
-                    out.append((key, row, s, e - s + 1, x["known"], text[s : e + LENGTH]))
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-        names = ("key", "row", "first", "windows", "known", "bytes")
+                    out.append((key, None, row, s, e - s + 1, x["known"], text[s : e + LENGTH]))
+        for digest, held in single.items():
+            key, twin = np.frombuffer(digest, np.int64).tolist()
+            row, i, known = held[0]
+            out.append((key, twin, row, i, 1, known or len(held) > 1, None))
+            if len(held) > 1:  # settled here, one goes on to be met by others; spans are dealt by their row
+                out += [((row + i * 1_000_003) & (2**63 - 1), None, row, i, 1, True, b"") for row, i, known in held if not known]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+        names = ("key", "twin", "row", "first", "windows", "known", "bytes")
         for i in range(0, len(out), 20_000):
             cols = zip(*out[i : i + 20_000], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
@@ -295,11 +311,28 @@ def _repeats(part: list[tuple]):
 
 
 def _sort(batches: Iterator) -> Iterator:
-    """Sorts the buckets of a task, which come in order of their key, about `BUCKET_BYTES` of whole buckets at a time."""
+    """Sorts the buckets of a task, which come in order of their key, about `BUCKET_BYTES` of whole buckets at a time.
+
+    Single windows come in order of their hash, so of them only the one before is held.
+    """
+    import pyarrow as pa
+
     part: list[tuple] = []
     held = 0
+    before = None
     for b in batches:
-        for r in zip(*[b.column(c).to_pylist() for c in ("key", "row", "first", "windows", "known", "bytes")], strict=True):
+        spans: list[tuple] = []
+        for k, twin, *rest in zip(*[b.column(c).to_pylist() for c in ("key", "twin", "row", "first", "windows", "known", "bytes")], strict=True):
+            r = (k, *rest)
+            if not r[5]:
+                again = r[5] is None and before is not None and before[:2] == (k, twin)
+                if again and not before[4]:
+                    spans.append(before[2:4])
+                if r[5] is not None or (again and not r[4]):
+                    spans.append(r[1:3])
+                if r[5] is None:
+                    before = (k, twin, r[1], r[2], again or r[4])
+                continue
             if held >= BUCKET_BYTES and r[0] != part[-1][0]:
                 found = _repeats(part)
                 if found is not None:
@@ -307,6 +340,9 @@ def _sort(batches: Iterator) -> Iterator:
                 part, held = [], 0
             part.append(r)
             held += len(r[5])
+        if spans:
+            row, first = zip(*spans, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(first, pa.int32()), pa.array([i + LENGTH for i in first], pa.int32())], ["row", "first", "end"])
     found = _repeats(part) if part else None
     if found is not None:
         yield found
@@ -331,24 +367,25 @@ def _remove(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
 
-def sort_requests(found: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
-    """(spans settled by counting, stretches that must be sorted) of all stretches."""
+def sort_requests(found: DataFrame, crowd: int, throng: int) -> tuple[DataFrame, DataFrame]:
+    """(spans settled by counting, stretches that must be sorted) of all stretches; crowd is 1 or 2 where their anchor has many."""
     each = found.where("stretch is not null")
     keys = each.groupBy("key").agg(F.count("*").alias("n"), F.min("stretch").alias("least"), F.max("stretch").alias("most")).where("n > 1")
     keys = store(keys.select("key", (F.col("least") != F.col("most")).alias("differ")), "suffix-anchors")
     met = store(each.join(sized(keys), "key"), "suffix-met")
-    twins = Window.partitionBy("key", "stretch")
-    mixed = met.where("differ").withColumn("times", F.count("*").over(twins)).withColumn("turn", F.row_number().over(twins.orderBy("row", "first")))
-    mixed = store(mixed, "suffix-mixed")
+    mixed = met.where("differ")
+    twins = mixed.groupBy("key", "stretch").agg(F.count("*").alias("times"), F.min(F.struct("row", "first", "windows", "offset", "known")).alias("one"))
+    twins = store(twins.select("key", "stretch", "times", "one.*"), "suffix-twins")
+    several = twins.where("times > 1").select("key", "stretch")
     span = lambda df: df.select("row", "first", (F.col("first") + F.col("windows") - 1 + LENGTH).alias("end"))
-    spans = span(found.where("stretch is null")).unionByName(span(met.where("not differ and not known"))).unionByName(span(mixed.where("times > 1 and not known")))
-    one = mixed.where("turn = 1").withColumn("known", F.col("known") | (F.col("times") > 1))
-    crowds = store(one.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key", F.lit(True).alias("crowd")), "suffix-crowds")
-    asked = one.join(sized(crowds), "key", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
+    spans = span(found.where("stretch is null")).unionByName(span(met.where("not differ and not known"))).unionByName(span(mixed.where("not known").join(sized(several), ["key", "stretch"])))
+    one = twins.withColumn("known", F.col("known") | (F.col("times") > 1))
+    crowds = one.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key", F.when(F.col("n") > throng, 2).otherwise(1).alias("crowd"))
+    asked = one.join(sized(store(crowds, "suffix-crowds")), "key", "left").withColumn("crowd", F.coalesce("crowd", F.lit(0)))
     return spans, asked.select("key", "row", "first", "windows", "offset", "known", "crowd")
 
 
-def suffix_dedup(docs: DataFrame, crowd: int = 1024) -> DataFrame:
+def suffix_dedup(docs: DataFrame, crowd: int = 1024, throng: int = 65_536) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text.
 
     kept_text is the remaining bytes as text; where a cut splits a character, its rest becomes U+FFFD.
@@ -357,10 +394,10 @@ def suffix_dedup(docs: DataFrame, crowd: int = 1024) -> DataFrame:
     table = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(_compress, f"row long, doc_id {kind}, z binary")
     table = store(table, "suffix-texts")
     found = store(table.select("row", "z").mapInArrow(_stretches, _STRETCH), "suffix-stretches")
-    whole, requests = sort_requests(found, crowd)
+    whole, requests = sort_requests(found, crowd, throng)
     asked = requests.groupBy("row").agg(F.collect_list(F.struct("key", "row", "first", "windows", "offset", "known", "crowd")).alias("asked"))
     cut = table.select("row", "z").join(asked, "row").select("z", "asked").mapInArrow(_cut, _PIECE)
-    sorted_ = store(cut.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_sort, "row long, first int, end int"), "suffix-sorted")
+    sorted_ = store(cut.repartition(n, "key").sortWithinPartitions("key", "twin").mapInArrow(_sort, "row long, first int, end int"), "suffix-sorted")
     spans = store(whole.unionByName(sorted_).groupBy("row").agg(F.collect_list(F.struct("first", "end")).alias("spans")), "suffix-spans")
     release(found, sorted_)
     out = table.join(spans, "row", "left").select("doc_id", "z", "spans")

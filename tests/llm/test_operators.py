@@ -165,12 +165,12 @@ def test_sentencepiece_decodes_any_ids():
         assert ours.decode(ids) == lib.decode(ids)
 
 
-@pytest.mark.parametrize("crowd", [4096, 2])
-def test_suffix_dedup(spark, awkward, crowd):
+@pytest.mark.parametrize(("crowd", "throng"), [(4096, 4096), (2, 4096), (2, 2), (0, 0)])
+def test_suffix_dedup(spark, awkward, crowd, throng):
     rng = random.Random(3)
     long_ = max((t for t in awkward if t), key=len)
     texts = [*awkward, long_[:15_000] + " other " + long_[15_400:], long_[5:40_000], "é" + "".join(chr(rng.randint(97, 122)) for _ in range(40_000))]
-    got = {r["doc_id"]: tuple(r)[1:5] for r in suffix_dedup.suffix_dedup(frame(spark, texts), crowd).collect()}
+    got = {r["doc_id"]: tuple(r)[1:5] for r in suffix_dedup.suffix_dedup(frame(spark, texts), crowd, throng).collect()}
     assert [got[i] for i in range(len(texts))] == plain.repeated_bytes(texts)
 
 
@@ -183,11 +183,32 @@ def test_suffix_dedup_settles_and_splits_an_anchor_of_many_stretches(spark):
     texts = [" ".join([*(word() for _ in range(40)), line, *(word() for _ in range(40))]) for _ in range(150)]
     texts += [f"{word()} {shared[k:]} {line} {shared[: 200 + k]}" for k in range(40)]
     want = plain.repeated_bytes(texts)
-    for crowd in (1024, 20):
-        got = {r["doc_id"]: tuple(r)[1:5] for r in suffix_dedup.suffix_dedup(frame(spark, texts), crowd).collect()}
+    for crowd, throng in ((1024, 1024), (20, 1024), (20, 50), (0, 0)):
+        got = {r["doc_id"]: tuple(r)[1:5] for r in suffix_dedup.suffix_dedup(frame(spark, texts), crowd, throng).collect()}
         assert [got[i] for i in range(len(texts))] == want
 
 
+def test_suffix_dedup_of_a_throng(spark):
+    """A core of 190 bytes within 5,000 different edges: its windows meet one by one, and no bucket that is sorted exceeds the bound."""
+    rng = random.Random(19)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    core = " ".join(word() for _ in range(40))[:190]
+    sides = [f"{k % 70:05d}".translate(str.maketrans("0123456789", "klmnopqrst")) for k in range(5000)]
+    texts = [f"{word()} {word()} {a}{core}{word()} {word()}" for a in sides]
+    docs = frame(spark, texts)
+    got = {r["doc_id"]: tuple(r)[1:5] for r in suffix_dedup.suffix_dedup(docs, 50, 50).collect()}
+    assert [got[i] for i in range(len(texts))] == plain.repeated_bytes(texts)
+    table = store(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(suffix_dedup._compress, "row long, doc_id long, z binary"), "t")
+    found = table.select("row", "z").mapInArrow(suffix_dedup._stretches, suffix_dedup._STRETCH)
+
+    def largest(crowd, throng):
+        asked = suffix_dedup.sort_requests(found, crowd, throng)[1].groupBy("row").agg(F.collect_list(F.struct("key", "row", "first", "windows", "offset", "known", "crowd")).alias("asked"))
+        cut = table.join(asked, "row").select("z", "asked").mapInArrow(suffix_dedup._cut, suffix_dedup._PIECE)
+        return cut.where("octet_length(bytes) > 0").groupBy("key").count().agg(F.max("count")).first()[0] or 0
+
+    assert largest(50, 50) <= 50 < largest(50, 100_000)
+
+
 def test_difference_cover():
     v, cover = suffix_dedup.V, suffix_dedup.COVER
     assert {(a - b) % v for a in cover for b in cover} == set(range(v))

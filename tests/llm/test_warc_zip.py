@@ -71,6 +71,12 @@ def test_round_trip_of_real_pages_in_small_packages(spark):
     assert bare(packages.collect()) == bare(warc_zip.package_list(spark, folder).collect())
 
 
+def test_round_trip_in_folders_without_a_scheme(spark, tmp_path):
+    for folder in (f"{tmp_path}/not/yet/there", f"file:{tmp_path}/one_slash", f"file://{tmp_path}/two"):
+        packages = warc_zip.write_packages(frame(spark, AWKWARD[:4]), folder)
+        assert sorted(r["payload_bytes"] for r in warc_zip.read_packages(packages).collect()) == [0, 0, 1, 1]
+
+
 def test_only_ranges_are_read(monkeypatch, tmp_path):
     data = warc_zip.package_bytes([(str(k), "response", warc_zip.record_bytes(str(k), "u", bytes(str(k) * 50_000, "ascii"), None)) for k in range(400)])
     held = Held(data)

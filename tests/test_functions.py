@@ -211,3 +211,40 @@ def test_places_of_quotes(spark):
         assert (tuple(r["p"]) if r["p"] else None) == want, (r["q"], r["c"][:60] if r["c"] else None)
         found += want is not None
     assert found > 200
+
+
+def test_comparison_keeps_exact_powers_and_twelve_places(spark):
+    figure = lambda v: numbers.normalize_value(F.lit(v), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit("INR"))
+    assert [one(spark, numbers.scale_ratio(figure("3"), figure("3" + "0" * k))) for k in range(1, 12)] == [float(f"1e-{k}") for k in range(1, 12)]
+    assert one(spark, numbers.compare_values(figure("0.01"), figure("32")))["relative"] == Decimal("0.999687500000")
+
+
+def test_closed_intervals_that_just_touch_agree_in_the_sql_as_in_the_query(spark):
+    import duckdb
+
+    from factloom.plans.queries_values import EXACT
+
+    rows = [("a", "5", "bps"), ("b", "6", "bps"), ("c", "50.01", None), ("d", "50.02", None)]
+    c = duckdb.connect()
+    c.execute("create table claims(id varchar, numeric_value varchar, unit varchar, scale varchar, currency varchar)")
+    c.executemany("insert into claims values (?, ?, ?, null, null)", rows)
+    meets = lambda x, y: c.sql(f"with {EXACT} select a.value - a.half_width <= b.value + b.half_width and b.value - b.half_width <= a.value + a.half_width from normal a, normal b where a.id = '{x}' and b.id = '{y}'").fetchall()[0][0]
+    figure = lambda r: numbers.normalize_value(F.lit(r[1]), F.lit(None).cast("string"), F.lit(r[2]).cast("string"), F.lit(None).cast("string"))
+    for x, y in ((0, 1), (2, 3)):
+        assert one(spark, numbers.compare_values(figure(rows[x]), figure(rows[y])))["agreement"] == "agree" and meets(rows[x][0], rows[y][0])
+
+
+def test_sizes_at_half_a_place_are_rounded_up_in_the_sql_as_in_the_query(spark):
+    import duckdb
+
+    from factloom.plans import queries_stages
+
+    sql = queries_stages.F6_10[queries_stages.F6_10.rindex("CASE WHEN partkey * orderkey * 4 < 1024"):queries_stages.F6_10.rindex(" AS size")]
+    n = (1 << 20) + (1 << 18)  # 1.25 MB
+    assert duckdb.sql(f"select {sql} from (select {n // 4}::BIGINT as partkey, 1::BIGINT as orderkey)").fetchall()[0][0] == one(spark, text.format_bytes(F.lit(n))) == "1.3 MB"
+
+
+def test_word_tables_are_dealt_to_tasks(spark):
+    from factloom.plans import queries_stages
+
+    assert queries_stages._word_rows(spark, "/root/testdata/sf0.001", numbers.SCALES).rdd.getNumPartitions() >= 4

@@ -110,8 +110,7 @@ def claim_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = c.withColumn("qualifiers", F.when(F.col("partkey") % 3 == 0, F.array(F.struct(F.lit(" Basis ").alias("name"), F.lit("diluted").alias("value")))).otherwise(F.array().cast(QUALIFIERS)))
     c = c.withColumn("source_block_ids", F.array("block_id")).withColumn("period_start", F.lit(None).cast("date")).withColumn("period_end", F.lit(None).cast("date"))
     c = c.withColumn("source_block_ids", F.when(F.col("line") % 2 == 0, F.array(F.concat("block_id", F.lit("y")))).otherwise(F.col("source_block_ids")))
-    # A claim is in several pairs: its figure is read once, before they are formed.
-    c = c.withColumn("figure", numbers.normalize_value("numeric_value", "scale", "unit", "currency"))
+    c = checks.with_readings(c)
     s = c.select("orderkey", "line", F.struct(*c.columns).alias("c"))
     a, b = s.select("orderkey", F.col("line").alias("la"), F.col("c").alias("a")), s.select("orderkey", F.col("line").alias("lb"), F.col("c").alias("b"))
     j = a.join(b, "orderkey").where("la < lb")
@@ -190,7 +189,7 @@ FROM claims c JOIN blocks b ON b.block_id = c.block_id
 
 
 def f2_06_compare_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = claim_pairs(spark, sf_dir).withColumn("d", periods.compare_context(F.col("a"), F.col("b")))
+    p = claim_pairs(spark, sf_dir).withColumn("d", periods.compare_context(F.col("a"), F.col("b"), "context"))
     return p.select("claim_a_id", "claim_b_id", F.array_join(F.transform("d", lambda d: d["dimension"]), ",").alias("dimensions"), F.exists("d", lambda d: ~d["could_explain_gap"]).alias("blocked"))
 
 
@@ -226,7 +225,7 @@ SELECT id, {_normal("predicate")} AS normal, coalesce(list_extract(list_filter(s
 
 
 def f3_05_predicate_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = claim_pairs(spark, sf_dir).withColumn("r", predicates.predicate_relation("a.predicate", "b.predicate"))
+    p = claim_pairs(spark, sf_dir).withColumn("r", predicates.predicate_relation("a.measure", "b.measure", normal=True))
     return p.select("claim_a_id", "claim_b_id", "r.relation", "r.comparable", "r.reason")
 
 

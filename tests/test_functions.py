@@ -248,3 +248,15 @@ def test_word_tables_are_dealt_to_tasks(spark):
     from factloom.plans import queries_stages
 
     assert queries_stages._word_rows(spark, "/root/testdata/sf0.001", numbers.SCALES).rdd.getNumPartitions() >= 4
+
+
+def test_pairs_are_checked_from_readings_of_each_claim(spark):
+    from factloom.operators import checks
+    from factloom.plans.queries_values import claim_pairs
+
+    pairs = claim_pairs(spark, "/root/testdata/sf0.001").where("a.orderkey % 40 = 0")
+    assert set(checks.READINGS) <= set(pairs.schema["a"].dataType.names)
+    bare = pairs.withColumn("a", F.col("a").dropFields(*checks.READINGS)).withColumn("b", F.col("b").dropFields(*checks.READINGS))
+    shown = lambda p: sorted(checks.run_checks(p).select("claim_a_id", "claim_b_id", "predicate", "differences", "value_a", "value_b", "value", "ratio", "context_confirmed", "notes").collect(), key=repr)
+    got = shown(pairs)
+    assert got and got == shown(bare)

@@ -7,10 +7,12 @@ no claims; the first violations, claim by claim, are the feedback for one repair
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.base import first_match
+from factloom.functions.base import bound, first_match
 from factloom.functions.text import extract_json, utf16_length
 
 CLAIM = (
@@ -61,48 +63,72 @@ def _problems(said: list[tuple[Column, str]]) -> Column:
 
 def claim_violations(c: Column) -> Column:
     """What is wrong with a claim (a VARIANT), in the order of its fields."""
+    return F.when(F.coalesce(F.schema_of_variant(c).startswith("OBJECT"), F.lit(False)), bound(_read(c), _said)).otherwise(F.array(F.lit("a claim is needed")))
+
+
+def _stated(v: Column) -> Column:
+    """Struct (void, text) of a member: whether it is a JSON null, and its text if it is one; both are read once."""
+    return F.struct(F.coalesce(F.is_variant_null(v), F.lit(False)).alias("void"), F.when(F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False)), F.try_variant_get(v, "$", "string")).alias("text"))
+
+
+def _read(c: Column) -> Column:
+    texts = [bound(member(c, n), _stated).alias(n) for n in (*REQUIRED, *OPTIONAL, "numeric_value", "period_type", "assertion_status")]
+    return F.struct(*texts, _list(member(c, "qualifiers")).alias("qualifiers"), _list(member(c, "evidence_block_ids")).alias("evidence_block_ids"))
+
+
+def _within(text: Column, least: int, most: int) -> Column:
+    """Whether a text has so many UTF-16 units; of ASCII alone they are its bytes."""
+    n = F.length(text)
+    return F.when(F.octet_length(text) == n, n.between(least, most)).otherwise(utf16_length(text).between(least, most))
+
+
+def _said(x: Column) -> Column:
     said: list[tuple[Column, str]] = []
 
     def required(name: str, form: str | None = None, rule: str | None = None) -> None:
-        v = member(c, name)
-        said.append((~is_text(v), f"{name}: a text is needed"))
-        said.append((is_text(v) & ~_fits(v, 1, REQUIRED[name]), f"{name}: 1 to {REQUIRED[name]} characters"))
+        text = x[name]["text"]
+        said.append((text.isNull(), f"{name}: a text is needed"))
+        said.append((~_within(text, 1, REQUIRED[name]), f"{name}: 1 to {REQUIRED[name]} characters"))
         if form:
-            said.append((is_text(v) & ~_text(v).rlike(form), f"{name}: {rule}"))
+            said.append((~text.rlike(form), f"{name}: {rule}"))
 
-    def optional(name: str, bad: Column, rule: str) -> None:
-        v = member(c, name)
-        said.append((~is_text(v) & ~F.coalesce(kind(v) == "VOID", F.lit(False)), f"{name}: a text or null is needed"))
-        said.append((is_text(v) & bad, f"{name}: {rule}"))
+    def optional(name: str, fine: Callable[[Column], Column], rule: str) -> None:
+        text = x[name]["text"]
+        said.append((text.isNull() & ~x[name]["void"], f"{name}: a text or null is needed"))
+        said.append((~fine(text), f"{name}: {rule}"))
 
-    limit = lambda name: optional(name, ~_fits(member(c, name), 0, OPTIONAL[name]), f"{OPTIONAL[name]} characters at most")
+    limit = lambda name: optional(name, lambda t: _within(t, 0, OPTIONAL[name]), f"{OPTIONAL[name]} characters at most")
     required("subject")
     required("predicate", PREDICATE, "words in lower case joined by underscores")
     required("original_statement")
     limit("raw_value")
-    optional("numeric_value", ~_text(member(c, "numeric_value")).rlike(DECIMAL), "a plain decimal")
+    optional("numeric_value", lambda t: t.rlike(DECIMAL), "a plain decimal")
     for name in ("currency", "scale", "unit", "period_label"):
         limit(name)
-    optional("period_type", ~_text(member(c, "period_type")).isin(*PERIOD_TYPES), "not one of the known ones")
+    optional("period_type", lambda t: t.isin(*PERIOD_TYPES), "not one of the known ones")
     limit("scope")
-    optional("assertion_status", ~_text(member(c, "assertion_status")).isin(*STATUSES), "not one of the known ones")
-    q, e = _list(member(c, "qualifiers")), _list(member(c, "evidence_block_ids"))
+    optional("assertion_status", lambda t: t.isin(*STATUSES), "not one of the known ones")
+    q, e = x["qualifiers"], x["evidence_block_ids"]
     said.append((q.isNull() | (F.size(q) > MOST_QUALIFIERS) | F.exists(q, lambda x: ~_fits(member(x, "name"), 1, QUALIFIER_NAME) | ~_fits(member(x, "value"), 1, QUALIFIER_VALUE)), f"qualifiers: {MOST_QUALIFIERS} at most, each with name and value"))
     said.append((e.isNull() | ~F.size(e).between(1, MOST_HANDLES) | F.exists(e, lambda x: ~_fits(x, 1, HANDLE)), f"evidence_block_ids: 1 to {MOST_HANDLES} handles"))
     required("quote")
-    return F.when(F.coalesce(kind(c) == "OBJECT", F.lit(False)), _problems(said)).otherwise(F.array(F.lit("a claim is needed")))
+    return _problems(said)
+
+
+def read_replies(replies: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Replies (reply_id, reply as text around JSON) with claims, ok, and feedback: the first six violations, claim by claim. `keep`: further columns that go along."""
+    r = replies.select("reply_id", *keep, extract_json("reply").alias("__json")).withColumn("__v", F.try_parse_json("__json"))
 
+    def judged(v: Column) -> Column:
+        claims = _list(v)
+        each = F.flatten(F.transform(claims, lambda c, i: F.transform(claim_violations(c), lambda x: F.concat(F.lit("claims."), i.cast("string"), F.when(x == "a claim is needed", ": ").otherwise("."), x))))
+        whole = first_match([(v.isNull(), F.array(F.lit("claims: missing"))), (claims.isNull(), F.array(F.lit("claims: a list is needed"))), (F.size(claims) > MOST_CLAIMS, F.array(F.lit(f"claims: {MOST_CLAIMS} at most")))], F.array().cast("array<string>"))
+        return F.concat(whole, F.coalesce(each, F.array().cast("array<string>")))
 
-def read_replies(replies: DataFrame) -> DataFrame:
-    """Replies (reply_id, reply as text around JSON) with claims, ok, and feedback: the first six violations, claim by claim."""
-    r = replies.select("reply_id", extract_json("reply").alias("__json")).withColumn("__v", F.try_parse_json("__json"))
-    r = r.withColumn("__claims", _list(member(F.col("__v"), "claims")))
-    each = F.flatten(F.transform("__claims", lambda c, i: F.transform(claim_violations(c), lambda v: F.concat(F.lit("claims."), i.cast("string"), F.when(v == "a claim is needed", ": ").otherwise("."), v))))
-    whole = first_match([(member(F.col("__v"), "claims").isNull(), F.array(F.lit("claims: missing"))), (F.col("__claims").isNull(), F.array(F.lit("claims: a list is needed"))), (F.size("__claims") > MOST_CLAIMS, F.array(F.lit(f"claims: {MOST_CLAIMS} at most")))], F.array().cast("array<string>"))
-    r = r.withColumn("__wrong", F.concat(whole, F.coalesce(each, F.array().cast("array<string>"))))
+    r = r.withColumn("__wrong", bound(member(F.col("__v"), "claims"), judged))
     ok = F.size("__wrong") == 0
     claims = F.from_json("__json", f"struct<claims:array<{CLAIM}>>")["claims"]
-    return r.select("reply_id", ok.alias("ok"), F.when(ok, claims).alias("claims"), F.when(~ok, F.array_join(F.slice("__wrong", 1, SHOWN), "; ")).alias("feedback"))
+    return r.select("reply_id", *keep, ok.alias("ok"), F.when(ok, claims).alias("claims"), F.when(~ok, F.array_join(F.slice("__wrong", 1, SHOWN), "; ")).alias("feedback"))
 
 
 def read_verdicts(replies: DataFrame) -> DataFrame:

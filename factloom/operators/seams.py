@@ -180,15 +180,18 @@ def read_runs(files: DataFrame, reader: PageReader) -> DataFrame:
 
 
 def _complete(prompts: DataFrame, model: Completer) -> DataFrame:
-    """prompts (batch_id, prompt) to stored answers (batch_id, reply, prompt_tokens, completion_tokens): a call is not made again when a task is."""
+    """Stored answers: the rows of prompts (with a column `prompt`) and their reply, prompt_tokens, completion_tokens. A call is not made again when a task is."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = model.complete(b["prompt"]).reset_index(drop=True)
-            yield pd.DataFrame({"batch_id": b["batch_id"].reset_index(drop=True), "reply": out["text"], "prompt_tokens": out["prompt_tokens"], "completion_tokens": out["completion_tokens"]})
+            out = model.complete(b.column("prompt").to_pandas())
+            answers = [pa.array(out[c].tolist(), k) for c, k in (("text", pa.string()), ("prompt_tokens", pa.int64()), ("completion_tokens", pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *answers], [*b.schema.names, "reply", "prompt_tokens", "completion_tokens"])
 
-    kind = prompts.schema["batch_id"].dataType.simpleString()
-    return stored(prompts.select("batch_id", "prompt").mapInPandas(run, f"batch_id {kind}, reply string, prompt_tokens bigint, completion_tokens bigint"), "answers")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema]
+    return stored(prompts.mapInArrow(run, ", ".join([*kinds, "reply string", "prompt_tokens bigint", "completion_tokens bigint"])), "answers")
 
 
 REPAIR = "\n\nThe answer below does not keep to the form that was asked for. Give the whole answer again, mended.\n\nproblems: "
@@ -200,19 +203,21 @@ def extract(batches: DataFrame, model: Completer, repair: bool = True) -> DataFr
     batch_id, claims (with `evidence`: cited handle and block, null for a handle that was not given out), repaired, the tokens of all
     calls, and where there are no claims failure_kind and feedback.
     """
-    first = _complete(batches, model)
-    read = stored(read_replies(first.select(F.col("batch_id").alias("reply_id"), "reply")).join(first.withColumnRenamed("batch_id", "reply_id"), "reply_id"), "replies")
-    good = read.where("ok").select(F.col("reply_id").alias("batch_id"), "claims", F.lit(False).alias("repaired"), "prompt_tokens", "completion_tokens", F.lit(None).cast("string").alias("failure_kind"), "feedback")
-    bad = read.where("not ok").withColumnRenamed("reply_id", "batch_id")
+    # What belongs to a batch goes along with it from call to call. Nothing is joined: answers compress so well that their files would pass for tables small enough to send to every task.
+    first = _complete(batches.select("batch_id", "prompt", "refs"), model)
+    read = stored(read_replies(first.withColumnRenamed("batch_id", "reply_id"), ("prompt", "refs", "reply", "prompt_tokens", "completion_tokens")).withColumnRenamed("reply_id", "batch_id"), "replies")
+    told = ["batch_id", "claims", "repaired", "prompt_tokens", "completion_tokens", "failure_kind", "feedback", "refs"]
+    good = read.where("ok").withColumn("repaired", F.lit(False)).withColumn("failure_kind", F.lit(None).cast("string"))
+    bad = read.where("not ok")
     if repair:
-        asked = bad.join(batches.select("batch_id", "prompt"), "batch_id").withColumn("prompt", F.concat("prompt", F.lit(REPAIR), "feedback", F.lit("\n\nanswer: "), F.coalesce("reply", F.lit(""))))
-        second = _complete(asked, model)
-        again = read_replies(second.select(F.col("batch_id").alias("reply_id"), "reply")).withColumnRenamed("reply_id", "batch_id")
-        both = bad.select("batch_id", F.col("prompt_tokens").alias("__p"), F.col("completion_tokens").alias("__c")).join(second.drop("reply"), "batch_id").join(again, "batch_id")
-        rest = both.select("batch_id", "claims", F.lit(True).alias("repaired"), (F.col("prompt_tokens") + F.col("__p")).alias("prompt_tokens"), (F.col("completion_tokens") + F.col("__c")).alias("completion_tokens"), F.when(~F.col("ok"), "schema_violation_after_repair").alias("failure_kind"), "feedback")
+        again = F.concat("prompt", F.lit(REPAIR), "feedback", F.lit("\n\nanswer: "), F.coalesce("reply", F.lit("")))
+        second = _complete(bad.select("batch_id", again.alias("prompt"), "refs", F.col("prompt_tokens").alias("__p"), F.col("completion_tokens").alias("__c")), model)
+        rest = read_replies(second.withColumnRenamed("batch_id", "reply_id"), ("refs", "prompt_tokens", "completion_tokens", "__p", "__c")).withColumnRenamed("reply_id", "batch_id")
+        rest = rest.withColumn("repaired", F.lit(True)).withColumn("prompt_tokens", F.col("prompt_tokens") + F.col("__p")).withColumn("completion_tokens", F.col("completion_tokens") + F.col("__c"))
+        rest = rest.withColumn("failure_kind", F.when(~F.col("ok"), "schema_violation_after_repair"))
     else:
-        rest = bad.select("batch_id", "claims", F.lit(False).alias("repaired"), "prompt_tokens", "completion_tokens", F.lit("schema_violation").alias("failure_kind"), "feedback")
-    out = good.unionByName(rest).join(batches.select("batch_id", "refs"), "batch_id")
+        rest = bad.withColumn("repaired", F.lit(False)).withColumn("failure_kind", F.lit("schema_violation"))
+    out = good.select(*told).unionByName(rest.select(*told))
     known = F.map_from_entries("refs")
     cited = lambda c: F.transform(c["evidence_block_ids"], lambda h: F.struct(h.alias("cited_ref"), F.try_element_at(known, h).alias("source_block_id")))
     return out.withColumn("claims", F.transform("claims", lambda c: c.withField("evidence", cited(c)))).drop("refs")

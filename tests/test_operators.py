@@ -391,3 +391,14 @@ def test_entity_candidates_of_hot_words_come_once(spark):
         got = [tuple(r) for r in resolution.entity_candidates(l, e, part_rows).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     assert resolution.entity_candidates(l.limit(0), e).count() == 0
+
+
+def test_repairs_join_nothing(spark):
+    """Answers compress so well that a join would send them to every task; a batch's columns go along instead, also where ids repeat."""
+    from factloom.plans.queries_stages import Mender
+
+    rows = [(1, "no answer"), (2, '{"claims":[]}'), (2, '{"claims":[7]}'), (None, '{"claims":[7,8]}')]
+    batches = spark.createDataFrame(rows, "batch_id long, prompt string").withColumn("refs", F.expr("array(named_struct('handle', 'B1', 'block_id', 'b'))"))
+    out = seams.extract(batches, Mender())
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(((r["batch_id"], r["repaired"], r["prompt_tokens"], r["failure_kind"]) for r in out.collect()), key=repr) == sorted([(1, True, 20, None), (2, False, 10, None), (2, True, 20, None), (None, True, 20, "schema_violation_after_repair")], key=repr)

@@ -13,6 +13,10 @@ from factloom.functions.text import fact_group_id, uuid5
 from factloom.operators.sinks import insert_if_absent
 
 
+#: Parts that a frequent word's entities are dealt to before its first ones are chosen.
+PARTS = 64
+
+
 def claim_labels(claims: DataFrame) -> DataFrame:
     """Claims with the label to resolve: generic subjects are tied to their document."""
     scope = F.when(is_generic_subject("subject"), F.col("document_id"))
@@ -55,6 +59,24 @@ def entity_candidates(labels: DataFrame, entities: DataFrame, part_rows: int = 5
     return j.select("collection_id", "label", "entity_id", "normalized_label")
 
 
+def first_candidates(labels: DataFrame, entities: DataFrame, budget: int = 1) -> DataFrame:
+    """The rows of entity_candidates that asked_candidates keeps: the first `budget` of a label by name, found without the others.
+
+    An entity that is among the first of a label is among the first of any word that they share, so each word offers only
+    its first `budget` entities, and labels meet those.
+    """
+    word = ["collection_id", "word"]
+    words = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) > 2)))
+    least = lambda c: F.slice(F.array_sort(F.collect_set(c)), 1, budget)
+    e = entities.select(F.col("id").alias("entity_id"), "collection_id", "normalized_label").distinct().select("collection_id", words(F.col("normalized_label")).alias("word"), F.struct("normalized_label", "entity_id").alias("e"))
+    # A word's entities are cut down in parts first, so that no task gathers all of a frequent word.
+    e = e.groupBy(*word, F.pmod(F.xxhash64("e"), F.lit(PARTS)).alias("part")).agg(least("e").alias("e")).select(*word, F.explode("e").alias("e"))
+    offered = e.groupBy(*word).agg(least("e").alias("offered"))
+    own = labels.select("collection_id", "label").distinct().select("collection_id", "label", words(F.col("label")).alias("word"))
+    asked = own.join(offered, word).select("collection_id", "label", F.explode("offered").alias("e")).groupBy("collection_id", "label").agg(least("e").alias("e"))
+    return asked.select("collection_id", "label", F.explode("e").alias("e")).select("collection_id", "label", "e.entity_id", "e.normalized_label")
+
+
 def document_conventions(blocks: DataFrame) -> DataFrame:
     """Each document's fiscal convention: the first native block, in page order, that states one."""
     c = blocks.where("extraction_method = 'native_text'").withColumn("convention", fiscal_convention("content")).where("convention is not null")

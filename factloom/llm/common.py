@@ -53,6 +53,25 @@ def sized(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= MOST_BROADCAST else table
 
 
+#: Bits of a filter for each key, and at most (64 MB; beyond it lets more rows through, but loses none).
+KEY_BITS, MOST_BITS = 16, 1 << 29
+
+
+def narrowed(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows joined with a stored table of distinct keys. Where these are too many to broadcast, a bitmap of their hashes goes to every
+    task instead, and only rows that it lets through (about one in KEY_BITS of the others) are shuffled to be joined."""
+    n = keys.count()
+    if n <= MOST_BROADCAST:
+        return rows.join(F.broadcast(keys), key)
+    bits = min(MOST_BITS, 1 << (KEY_BITS * n - 1).bit_length())
+    slot = F.pmod(F.xxhash64(key), F.lit(bits)) + 1
+    maps = keys.groupBy(F.bitmap_bucket_number(slot).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("__map"))
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("__map", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    some = rows.withColumn("__bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(maps), "__bucket").where(F.getbit(byte, (at % 8).cast("int")) == 1)
+    return some.drop("__bucket", "__map").join(keys, key)
+
+
 def id_type(docs: DataFrame) -> str:
     """Type of doc_id, for schemas that carry it along."""
     return docs.schema["doc_id"].dataType.simpleString()

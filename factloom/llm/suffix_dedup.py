@@ -43,7 +43,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import BYTE_CODE, CHUNK_BYTES, id_type, mix, partitions, pieces, powers, prefix_sums, release, sized, store
+from factloom.llm.common import BYTE_CODE, CHUNK_BYTES, id_type, mix, narrowed, partitions, pieces, powers, prefix_sums, release, sized, store
 
 LENGTH, GRAM = 200, 48
 SPAN = LENGTH - GRAM + 1
@@ -372,7 +372,7 @@ def sort_requests(found: DataFrame, crowd: int, throng: int) -> tuple[DataFrame,
     each = found.where("stretch is not null")
     keys = each.groupBy("key").agg(F.count("*").alias("n"), F.min("stretch").alias("least"), F.max("stretch").alias("most")).where("n > 1")
     keys = store(keys.select("key", (F.col("least") != F.col("most")).alias("differ")), "suffix-anchors")
-    met = store(each.join(sized(keys), "key"), "suffix-met")
+    met = store(narrowed(each, keys, "key"), "suffix-met")
     mixed = met.where("differ")
     twins = mixed.groupBy("key", "stretch").agg(F.count("*").alias("times"), F.min(F.struct("row", "first", "windows", "offset", "known")).alias("one"))
     twins = store(twins.select("key", "stretch", "times", "one.*"), "suffix-twins")

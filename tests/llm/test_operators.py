@@ -709,3 +709,20 @@ def test_pipeline(spark, real):
     mixed = {r["doc_id"]: r["copies"] for r in mixing.mix_sources(real.where(F.col("doc_id").isin(*want))).collect()}
     assert ids == {i for i, c in mixed.items() if c}
     assert out.count() == sum(mixed.values())
+
+
+def test_many_keys_narrow_what_is_shuffled(spark, monkeypatch):
+    """A bitmap of the keys lets through every row that has one, null keys none, and few of the others."""
+    from factloom.llm import common
+
+    rows = spark.range(40_000).selectExpr("IF(id = 7, NULL, id * 1000003 - 9000000000) AS key", "id AS row")
+    keys = store(spark.range(0, 40_000, 37).selectExpr("id * 1000003 - 9000000000 AS key", "id % 2 = 0 AS differ"), "keys")
+    want = rows.join(keys, "key").collect()
+    monkeypatch.setattr(common, "MOST_BROADCAST", 10)
+    got = common.narrowed(rows, keys, "key")
+    assert len(want) == 1082 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
+    let_through = common.narrowed(rows, keys.withColumn("key", F.col("key")), "key")._jdf.queryExecution().optimizedPlan()
+    while let_through.nodeName() != "Join":
+        let_through = let_through.children().apply(0)
+    left = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, let_through.children().apply(0)).count()
+    assert len(want) <= left < 6000

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import BYTE_CODE, CHUNK_BYTES, column_bytes, id_type, mix, pieces, powers, prefix_sums, store, word_bounds, word_hashes
+from factloom.llm.common import BYTE_CODE, CHUNK_BYTES, column_bytes, id_type, lean, mix, pieces, powers, prefix_sums, store, word_bounds, word_hashes
 
 LABELLERS = ("symbols", "symbol_words", "odd_signs", "letterless", "capital_words", "capitals", "exclamation", "again", "runs", "pairs", "variety")
 N_FEATURES = 1 << 16
@@ -225,14 +225,14 @@ def _scorer(weights: np.ndarray):
 
 def fit(docs: DataFrame, sample_rows: int) -> tuple[dict[int, float], np.ndarray]:
     """(posterior of good for each vote pattern, weights of the scorer)."""
-    votes = store(docs.select("doc_id", "text").mapInArrow(_vote, f"doc_id {id_type(docs)}, pattern int"), "quality-votes")
+    votes = store(docs.select("doc_id", "text").mapInArrow(lean(_vote), f"doc_id {id_type(docs)}, pattern int"), "quality-votes")
     counts = votes.groupBy("pattern").count().orderBy("pattern").collect()  # 2**11 rows at most
     patterns, n = np.array([r["pattern"] for r in counts], np.int64), np.array([r["count"] for r in counts], np.float64)
     post, _, _ = label_model(patterns, n)
     posterior = dict(zip(patterns.tolist(), post.tolist(), strict=True))
     share = min(1.0, sample_rows / max(n.sum(), 1))
     picked = docs.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))))
-    rows = picked.select("doc_id", "text").mapInArrow(_sampled, "pattern int, feature array<int>, share array<float>").collect()
+    rows = picked.select("doc_id", "text").mapInArrow(lean(_sampled), "pattern int, feature array<int>, share array<float>").collect()
     rows.sort(key=lambda r: (r["pattern"], r["feature"], r["share"]))  # one result whatever the order of tasks
     return posterior, fit_scorer(rows, posterior)
 
@@ -240,7 +240,7 @@ def fit(docs: DataFrame, sample_rows: int) -> tuple[dict[int, float], np.ndarray
 def quality_scores(docs: DataFrame, sample_rows: int = 4000, least: float = 0.5) -> DataFrame:
     """One row per document: doc_id, weak_label (posterior of its votes), score, kept."""
     posterior, weights = fit(docs, sample_rows)
-    scored = docs.select("doc_id", "text").mapInArrow(_scorer(weights), f"doc_id {id_type(docs)}, pattern int, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(lean(_scorer(weights)), f"doc_id {id_type(docs)}, pattern int, score double")
     table = docs.sparkSession.createDataFrame([(k, round(v, 9)) for k, v in posterior.items()], "pattern int, weak_label double")
     out = scored.join(F.broadcast(table), "pattern", "left")  # 2**11 rows at most
     return out.select("doc_id", "weak_label", "score", (F.col("score") >= least).alias("kept"))
@@ -263,4 +263,4 @@ def _keep(weights: np.ndarray, least: float):
 def quality_kept(docs: DataFrame, sample_rows: int = 4000, least: float = 0.5) -> DataFrame:
     """The documents that the scorer keeps, with the columns they came with."""
     _, weights = fit(docs, sample_rows)
-    return docs.mapInArrow(_keep(weights, least), docs.schema)
+    return docs.mapInArrow(lean(_keep(weights, least)), docs.schema)

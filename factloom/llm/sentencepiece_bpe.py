@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
-from factloom.llm.common import id_type
+from factloom.llm.common import id_type, lean
 
 MARK = "▁"
 #: Segment: spaces (or marks, which are the same), then other characters; or spaces that end the text.
@@ -213,7 +213,8 @@ class _Segments(dict):
         ids = self.coder.ids(segment.replace(" ", MARK))
         surface = self.coder.surface
         raw = b"".join([surface[i] for i in ids])
-        found = " ".join(map(str, ids)), len(ids), raw.decode()  # whole characters, so always valid
+        text = raw.decode()  # whole characters, so always valid
+        found = " ".join(map(str, ids)), len(ids), segment if text == segment else text  # one string for both where they are equal
         if len(segment) <= 64:
             self[segment] = found
         return found
@@ -240,7 +241,7 @@ def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
             n, ids, back = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type(docs)}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {id_type(docs)}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
@@ -253,7 +254,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([c.encode(t or "") for t in b.column("text").to_pylist()], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type(docs)}, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {id_type(docs)}, ids array<int>")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -266,4 +267,4 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([c.decode(i or []) for i in b.column("ids").to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {id_type(encoded)}, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), f"doc_id {id_type(encoded)}, text string")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import base64
 import random
 import re
+import subprocess
+import sys
 import uuid
 
 import numpy as np
@@ -726,3 +728,26 @@ def test_many_keys_narrow_what_is_shuffled(spark, monkeypatch):
         let_through = let_through.children().apply(0)
     left = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, let_through.children().apply(0)).count()
     assert len(want) <= left < 6000
+
+
+def test_workers_give_arrow_memory_back():
+    """A worker that has filtered large batches holds less than one of them afterwards (it kept several before)."""
+    code = """
+import gc, re
+import pyarrow as pa, pyarrow.compute as pc
+from factloom.llm.common import lean
+held = lambda: int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) // 1024
+def batches():
+    for _ in range(6):
+        yield pa.RecordBatch.from_arrays([pa.array(["word " * 800] * 10_000)], ["text"])
+def run(each):
+    for b in each:
+        yield b.filter(pc.greater(pc.binary_length(b.column("text")), 0))
+gc.collect()
+start = held()
+for out in lean(run)(batches()):
+    del out
+gc.collect()
+print(held() - start)
+"""
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 40

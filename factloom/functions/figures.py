@@ -2,7 +2,7 @@
 
 A figure is a struct (negative, digits, places, precision): its value is digits / 10^places, and it was rounded
 to `precision` places (below 0: to tens, hundreds, ...). Sums and comparisons align two figures to one
-power of ten and go by limbs of nine digits, with the carry folded from the last limb to the first.
+power of ten and go by decimals where these hold them, else by limbs of nine digits, with the carry folded from the last limb to the first.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from factloom.functions.base import bound, null
 FIGURE = "struct<negative:boolean,digits:string,places:int,precision:int>"
 PLAIN = r"^([-+]?)([0-9]*)(?:\.([0-9]*))?$"
 LIMB = 9
+#: Digits that decimal arithmetic keeps for sure (sums are rounded to 34): figures of fewer, when aligned, are compared as decimals, others by limbs.
+WHOLE = 34
 
 
 def figure(text: Column, precision: Column | None = None) -> Column:
@@ -43,6 +45,11 @@ def as_text(f: Column) -> Column:
     return _text(f["negative"], f["digits"], f["places"])
 
 
+def as_size(f: Column) -> Column:
+    """The nearest double to the figure without its sign."""
+    return F.concat(f["digits"], F.lit("E"), (-f["places"]).cast("string")).cast("double")
+
+
 def _limbs(digits: Column, zeros: Column, n: Column) -> Column:
     """Digits with zeros after them, as n limbs, the first of them the highest."""
     padded = F.lpad(F.concat(digits, F.repeat(F.lit("0"), zeros)), n * LIMB, "0")
@@ -73,7 +80,18 @@ def compare(a: Column, b: Column) -> Column:
         unit = F.greatest(a["places"], b["places"], a["precision"] + 1, b["precision"] + 1, F.lit(0))
         width = lambda f: F.length(f["digits"]) + unit - f["places"]
         n = F.ceil((F.greatest(width(a), width(b), unit - a["precision"], unit - b["precision"]) + 1) / LIMB).cast("int")
-        return bound(F.struct(a.alias("a"), b.alias("b"), unit.alias("unit"), n.alias("n")), limbs)
+        most = F.greatest(width(a), width(b), unit - a["precision"], unit - b["precision"])
+        return bound(F.struct(a.alias("a"), b.alias("b"), unit.alias("unit"), n.alias("n"), most.alias("most")), lambda x: F.when(x["most"] < WHOLE, whole(x)).otherwise(limbs(x)))
+
+    def whole(x: Column) -> Column:
+        """Both figures in whole units as decimals: of fewer digits than sums keep."""
+        unit = x["unit"]
+        number = lambda digits, zeros: F.concat(digits, F.repeat(F.lit("0"), zeros)).cast("decimal(38,0)")
+        value = lambda f: number(F.concat(F.when(f["negative"], "-").otherwise(""), f["digits"]), unit - f["places"])
+        half = lambda f: number(F.lit("5"), unit - f["precision"] - 1)
+        apart = F.abs(value(x["a"]) - value(x["b"]))
+        told = lambda y: F.struct((y["d"] <= y["r"]).alias("meets"), _text(F.lit(False), y["d"].cast("string"), y["u"]).alias("apart"))
+        return bound(F.struct(apart.alias("d"), (half(x["a"]) + half(x["b"])).alias("r"), unit.alias("u")), told)
 
     def limbs(x: Column) -> Column:
         a, b, unit, n = x["a"], x["b"], x["unit"], x["n"]

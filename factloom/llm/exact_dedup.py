@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import WS, partitions, release, store, text_of
+from factloom.llm.common import WS, apart, partitions, release, store, text_of
 
 #: A hot text reaches its owner in so many rows at most, whatever the number of tasks that met it.
 SALTS = 256
@@ -121,17 +121,19 @@ def exact_copies_removed(docs: DataFrame, capacity: int = 128) -> DataFrame:
     """
     judged = exact_dedup(docs, capacity).where("group_size > 1")
     judged = store(judged.groupBy("doc_id", "text_sha256").agg(F.first("kept").alias("kept"), F.count("*").alias("times")), "exact-judged")
-    sha = F.sha2(normalised(docs), 256)
-    same = lambda t: docs["doc_id"].eqNullSafe(t["doc_id"]) & (sha == t["text_sha256"])
+    # Only rows whose id is judged are shuffled with their texts; the others stay where they are read.
+    clear, rest = apart(docs, store(judged.where("not kept or times > 1").select("doc_id").distinct(), "exact-listed"), "doc_id")
+    sha = F.sha2(normalised(rest), 256)
+    same = lambda t: rest["doc_id"].eqNullSafe(t["doc_id"]) & (sha == t["text_sha256"])
     lost, again = judged.where("not kept"), judged.where("kept and times > 1")
-    stay = docs.join(lost, same(lost), "left_anti")
+    stay = rest.join(lost, same(lost), "left_anti")
     if again.isEmpty():
-        return stay
-    rest = stay.join(again, same(again), "left_anti")
+        return clear.union(stay)
+    single = stay.join(again, same(again), "left_anti")
     # Of repeated rows one stays; they differ at most in white space and in other columns. A row is one struct meanwhile, so no column of its own is in the way.
     repeated = stay.join(again, same(again), "left_semi")
     once = repeated.select(F.struct(F.col("doc_id"), F.sha2(normalised(repeated), 256)).alias("key"), F.struct(*[repeated[f"`{c}`"].alias(c) for c in docs.columns]).alias("row")).dropDuplicates(["key"])
-    return rest.unionByName(once.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
+    return clear.union(single).union(once.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
 
 
 ORACLE = r"""

@@ -126,6 +126,18 @@ def test_exact_copies_removed_judges_rows_without_own_ids_by_text(spark):
     assert got == sorted([(5, "x"), (None, "y"), (None, "z"), (7, "p"), (8, "q"), (9, "r"), (9, "s t")], key=repr)
 
 
+def test_exact_copies_removed_shuffles_only_rows_that_may_go(spark, monkeypatch):
+    parts = []
+    split = exact_dedup.apart
+    monkeypatch.setattr(exact_dedup, "apart", lambda *a: parts.append(split(*a)) or parts[-1])
+    rows = [(i, f"text {i % 1950}", "en", "s", 1) for i in range(2000)] + [(None, "none", "en", "s", 1)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    assert sorted((r["doc_id"] for r in exact_dedup.exact_copies_removed(d).collect()), key=repr) == sorted([*range(1950), None], key=repr)
+    clear, rest = parts[0]
+    assert "Exchange hashpartitioning" not in clear._jdf.queryExecution().executedPlan().toString()
+    assert clear.count() + rest.count() == 2001 and 50 <= rest.count() < 250
+
+
 def test_near_duplicates_removed_judges_repeated_ids_by_text(spark):
     a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
     rows = [(3, a), (5, a), (5, b), (8, b + " more"), (None, a), (6, None), (6, "one two three"), (4, "alone here")]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,36 +166,61 @@ def collections_by_key(collections: DataFrame, key: str) -> DataFrame:
 QUALIFIER = "array<struct<name:string,value:string>>"
 
 
+def _read_json(raw: Column, strict: Column | None, of_variants: Callable[[Column], Column], of_texts: Callable[[Column], Column]) -> Column:
+    """What the members of a JSON array give. A text of strict JSON (`strict`: its try_parse_json, if it is at hand) is parsed once and its
+    members read as variants; only others, such as objects that repeat a key, go member by member as texts."""
+    strict = F.try_parse_json(raw) if strict is None else strict
+
+    def members(x: Column) -> Column:
+        none = F.array().cast("array<variant>")
+        return F.when(x.isNotNull() | raw.isNull(), of_variants(F.coalesce(F.try_variant_get(x, "$", "array<variant>"), none))).otherwise(of_texts(_members(raw)))
+
+    return members(strict)
+
+
 def _members(raw: Column) -> Column:
     """Members of a JSON array, each as JSON text; none if the text is no array."""
     return F.coalesce(F.from_json(raw, "array<string>", {"mode": "PERMISSIVE"}), F.array().cast("array<string>"))
 
 
-def _text(member: Column, name: str) -> Column:
-    """A field of a JSON object that is a text; null for other kinds of values."""
-    field = F.try_variant_get(F.try_parse_json(member), f"$.{name}", "variant")
+def _field(member: Column, name: str) -> Column:
+    """A field of an object that is a text; null for other kinds of values."""
+    field = F.try_variant_get(member, f"$.{name}", "variant")
     return F.when(F.schema_of_variant(field) == "STRING", F.try_variant_get(field, "$", "string"))
 
 
-def lenient_qualifiers(raw: Column) -> Column:
+def _text(member: Column, name: str) -> Column:
+    """The same of an object's JSON text."""
+    return _field(F.try_parse_json(member), name)
+
+
+def lenient_qualifiers(raw: Column, strict: Column | None = None) -> Column:
     """Qualifiers of a JSON array; members without two texts are left out."""
-    each = F.transform(_members(raw), lambda m: F.struct(_text(m, "name").alias("name"), _text(m, "value").alias("value")))
-    return F.filter(each, lambda q: q["name"].isNotNull() & q["value"].isNotNull())
 
+    def read(members: Column, text: Callable[[Column, str], Column]) -> Column:
+        each = F.transform(members, lambda m: F.struct(text(m, "name").alias("name"), text(m, "value").alias("value")))
+        return F.filter(each, lambda q: q["name"].isNotNull() & q["value"].isNotNull())
+
+    return _read_json(raw, strict, lambda m: read(m, _field), lambda m: read(m, _text))
 
-def lenient_differences(raw: Column) -> Column:
+
+def lenient_differences(raw: Column, strict: Column | None = None) -> Column:
     """Context differences of a JSON array; members of no known dimension are left out, sides that are no texts are null."""
-    each = F.transform(_members(raw), lambda m: F.struct(_text(m, "dimension").alias("dimension"), _text(m, "a").alias("a"), _text(m, "b").alias("b"), (F.coalesce(F.get_json_object(m, "$.couldExplainGap"), F.lit("")) == "true").alias("could_explain_gap")))
-    return F.filter(each, lambda d: d["dimension"].isin(*DIMENSIONS))
+
+    def read(members: Column, text: Callable[[Column, str], Column], plain: Callable[[Column], Column]) -> Column:
+        known = F.filter(members, lambda m: text(m, "dimension").isin(*DIMENSIONS))
+        return F.transform(known, lambda m: F.struct(text(m, "dimension").alias("dimension"), text(m, "a").alias("a"), text(m, "b").alias("b"), (F.coalesce(plain(m), F.lit("")) == "true").alias("could_explain_gap")))
+
+    gap = "$.couldExplainGap"
+    return _read_json(raw, strict, lambda m: read(m, _field, lambda x: F.try_variant_get(x, gap, "string")), lambda m: read(m, _text, lambda x: F.get_json_object(x, gap)))
 
 
-def lenient_strings(raw: Column) -> Column:
+def lenient_strings(raw: Column, strict: Column | None = None) -> Column:
     """Texts of a JSON array; members of other kinds are left out."""
-    array = F.try_parse_json(raw)
-    members = F.coalesce(F.try_variant_get(array, "$", "array<variant>"), F.array().cast("array<variant>"))
+    members = F.coalesce(F.try_variant_get(F.try_parse_json(raw) if strict is None else strict, "$", "array<variant>"), F.array().cast("array<variant>"))
     return F.transform(F.filter(members, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.try_variant_get(v, "$", "string"))
 
 
-def lenient_aliases(raw: Column) -> Column:
+def lenient_aliases(raw: Column, strict: Column | None = None) -> Column:
     """Aliases of a registry row: the texts of a JSON array, blank ones left out."""
-    return F.filter(lenient_strings(raw), lambda x: F.length(F.trim(x)) > 0)
+    return F.filter(lenient_strings(raw, strict), lambda x: F.length(F.trim(x)) > 0)

@@ -7,13 +7,16 @@ import random
 from pyspark.sql import functions as F
 
 from factloom.operators import candidates, chunks, layout, resolution, seams, sinks, spending, state
-from factloom.plans import evaluation
+from factloom.plans import evaluation, reads
 from factloom.plans.fixture import table
 from factloom.plans.queries_reads import gold_tables
 from factloom.sources import exports, gold, uploads
 from factloom.streaming import jobs
 
 
+SF = "/root/testdata/sf0.001"
+
+
 def test_axis_binding(spark):
     labels = spark.createDataFrame([("d", 0, f"FY{20 + i}", 100.0 + 20 * i) for i in range(5)], "document_id string, physical_page int, label string, x double")
     values = spark.createDataFrame([("d", 0, i, x) for i, x in enumerate((101.0, 159.0, 110.0, 300.0))], "document_id string, physical_page int, value_id int, x double")
@@ -462,3 +465,21 @@ def test_gold_claims_are_read_before_they_meet(spark):
     assert len(python) == 2 and min(python) > meet
     assert plan(evaluation.grounding(gold, produced, matched)).count("Window [row_number()") == 1
     assert "Window" not in plan(evaluation.scored_pairs(pairs, matched, table(spark, "/root/testdata/sf0.001", "relationships")))
+
+
+def test_lenient_readers_parse_a_text_once(spark):
+    inner = '"{\\"name\\":\\"x\\",\\"value\\":\\"y\\",\\"dimension\\":\\"unit\\"}"'
+    rows = [(0, f"[{inner}]"), (1, '[{"name":"a","value":"b","dimension":"unit","dimension":"scope"},{"name":"c","value":"d"}]'), (2, '[{"name":"e","value":"f"},[1],3,null,"g"]'), (3, None), (4, "{"), (5, "7"), (6, '[{"dimension":"unit","a":1,"b":"z","couldExplainGap":true}]')]
+    d = spark.createDataFrame(rows, "id int, raw string").withColumn("strict", F.try_parse_json("raw"))
+    raw, strict = F.col("raw"), F.col("strict")
+    out = d.select("id", F.transform(reads.lenient_qualifiers(raw, strict), lambda q: q["value"]).alias("q"), F.transform(reads.lenient_differences(raw, strict), lambda x: F.concat_ws("/", x["dimension"], x["a"], x["b"], x["could_explain_gap"].cast("string"))).alias("d"))
+    # A text that holds JSON is a text, no object; an object that repeats a key is left out, but not its neighbours.
+    assert {r["id"]: (r["q"], r["d"]) for r in out.collect()} == {0: ([], []), 1: (["d"], []), 2: (["f"], []), 3: ([], []), 4: ([], []), 5: ([], []), 6: ([], ["unit/z/true"])}
+
+
+def test_citations_are_resolved_once_for_rows_and_cross_checks(spark):
+    from factloom.operators import evidence
+    from factloom.plans.queries_pipeline import _cited
+
+    plan = evidence.verify_claims(*_cited(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan

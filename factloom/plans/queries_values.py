@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions import entities, numbers, periods, predicates, text
 from factloom.operators import checks
 from factloom.plans.fixture import LINES, duck, table, with_tables
+from factloom.sources.scratch import read_once, stored
 
 QUALIFIERS = "array<struct<name:string,value:string>>"
 
@@ -51,7 +52,7 @@ def _duck(sql: str) -> str:
 
 
 def f1_04_parse_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _sql(spark, sf_dir, RAW_VALUES).withColumn("n", numbers.parse_numeric("raw"))
+    n = read_once(stored(_sql(spark, sf_dir, RAW_VALUES), "raw-values"), ["raw"], {"n": numbers.parse_numeric("raw")}, "parsed")
     d = lambda c: F.col(f"n.{c}").cast("double").alias(c)
     return n.select("id", d("value"), "n.kind", d("low"), d("high"), F.col("n.decimal_places").cast("long").alias("decimal_places"), "n.scale", "n.currency", "n.unit", "n.negative")
 

@@ -483,3 +483,17 @@ def test_citations_are_resolved_once_for_rows_and_cross_checks(spark):
 
     plan = evidence.verify_claims(*_cited(spark, SF))._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Generate" not in plan
+
+
+def test_read_once_gives_the_same_rows_few_or_many(spark, monkeypatch):
+    from factloom.functions.numbers import parse_numeric
+    from factloom.sources import scratch
+
+    raws = ["Rs 35 crore", None, "", "(1,135)", "35-40 %", "us$ 5.25 mn", "5 bps", "~7\u00a0lakhs", "12cr", "no figure", "gbp 4", "eur 9 percentage points", "rs.\u00a05k"]
+    rows = scratch.stored(spark.createDataFrame([(i, raws[i % len(raws)], i % 2) for i in range(60)], "id int, raw string, side int"), "t")
+    made = lambda: sorted(scratch.read_once(rows, ["raw", "side"], {"n": parse_numeric("raw"), "s": F.col("side") + 1}, "t").collect(), key=lambda r: r["id"])
+    few = made()
+    monkeypatch.setattr(scratch, "MOST_READINGS", 5)
+    assert few == made() == rows.select("*", parse_numeric("raw").alias("n"), (F.col("side") + 1).alias("s")).orderBy("id").collect()
+    got = {r["raw"]: (r["n"] or {}) and (r["n"]["scale"], r["n"]["currency"], r["n"]["unit"]) for r in few}
+    assert got["~7\u00a0lakhs"] == ("lakhs", None, None) and got["12cr"] == ("cr", None, None) and got["rs.\u00a05k"] == ("k", "INR", None) and got["eur 9 percentage points"] == (None, "EUR", "percentage_point") and got["5 bps"] == (None, None, "basis_point")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.entities import is_generic_subject, scoped_label
+from factloom.functions.entities import is_generic_subject, normalize_entity_label, scoped_label
 from factloom.functions.numbers import normalize_value, significant_digits
 from factloom.functions.periods import fiscal_convention, resolve_period
 from factloom.functions.predicates import normalize_predicate
 from factloom.functions.text import fact_group_id, uuid5
 from factloom.operators.sinks import insert_if_absent
+from factloom.sources.scratch import read_once, stored
 
 
 #: Parts that a frequent word's entities are dealt to before its first ones are chosen.
@@ -85,13 +86,18 @@ def document_conventions(blocks: DataFrame) -> DataFrame:
 
 def normalize_claims(claims: DataFrame, conventions: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
     """Claims with base value and unit, precision, period dates, entity and fact group."""
-    c = claim_labels(claims).join(conventions, "document_id", "left")
-    c = c.withColumn("n", normalize_value("numeric_value", "scale", "unit", "currency")).withColumn("p", resolve_period("period_label", "period_type", "convention"))
-    c = c.drop("entity_id").join(resolve_entities(c, entities, aliases), ["collection_id", "label"], "left")
+    own = ["id", "collection_id", "document_id", "subject", "predicate", "numeric_value", "scale", "unit", "currency", "period_label", "period_type", "scope"]
+    c = stored(claims.select(*own).join(conventions.select("document_id", "convention"), "document_id", "left"), "claims")
+    c = read_once(c, ["subject"], {"generic": is_generic_subject("subject"), "name": normalize_entity_label("subject")}, "subjects")
+    c = read_once(c, ["numeric_value", "scale", "unit", "currency"], {"n": normalize_value("numeric_value", "scale", "unit", "currency"), "digits": significant_digits("numeric_value")}, "values")
+    c = read_once(c, ["period_label", "period_type", "convention"], {"p": resolve_period("period_label", "period_type", "convention")}, "periods")
+    c = read_once(c, ["predicate"], {"measure": normalize_predicate("predicate")}, "measures")
+    c = c.withColumn("label", F.concat_ws("#", "name", F.when(F.col("generic"), F.col("document_id"))))
+    c = c.join(resolve_entities(c, entities, aliases), ["collection_id", "label"], "left")
     context = F.concat_ws("|", F.coalesce(F.col("p.period_type"), F.lit("")), F.coalesce(F.col("p.start").cast("string"), F.lit("")), F.coalesce(F.col("p.end").cast("string"), F.lit("")), F.coalesce(F.lower("scope"), F.lit("")))
-    return c.withColumn("fact_group_id", fact_group_id(F.col("collection_id"), F.col("entity_id"), normalize_predicate("predicate"), context)).select(
+    return c.withColumn("fact_group_id", fact_group_id(F.col("collection_id"), F.col("entity_id"), F.col("measure"), context)).select(
         "id", "collection_id", "document_id", "entity_id", "method", F.col("n.value").alias("normalized_value"), F.col("n.unit").alias("normalized_unit"),
-        significant_digits("numeric_value").alias("value_precision"), F.col("p.start").alias("period_start"), F.col("p.end").alias("period_end"), "fact_group_id",
+        F.col("digits").alias("value_precision"), F.col("p.start").alias("period_start"), F.col("p.end").alias("period_end"), "fact_group_id",
     )
 
 

@@ -305,7 +305,7 @@ SELECT orderkey, place::INT AS place, (CASE WHEN place = n - 1 THEN share + tota
 
 
 def f7_01_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = checks.run_checks(claim_pairs(spark, sf_dir))
+    c = checks.run_checks(claim_pairs(spark, sf_dir), ())
     return c.select(
         "claim_a_id", "claim_b_id", "entity_match", F.col("predicate.relation").alias("relation"), F.size("differences").cast("long").alias("n_differences"), "context_confirmed", F.col("value.agreement").alias("agreement"),
         "same_document", "both_accepted", F.size("shared_blocks").cast("long").alias("n_shared"), "worth_comparing", checks.deterministic_label().alias("label"), checks.promise().alias("promise"),

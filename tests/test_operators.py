@@ -497,3 +497,27 @@ def test_read_once_gives_the_same_rows_few_or_many(spark, monkeypatch):
     assert few == made() == rows.select("*", parse_numeric("raw").alias("n"), (F.col("side") + 1).alias("s")).orderBy("id").collect()
     got = {r["raw"]: (r["n"] or {}) and (r["n"]["scale"], r["n"]["currency"], r["n"]["unit"]) for r in few}
     assert got["~7\u00a0lakhs"] == ("lakhs", None, None) and got["12cr"] == ("cr", None, None) and got["rs.\u00a05k"] == ("k", "INR", None) and got["eur 9 percentage points"] == (None, "EUR", "percentage_point") and got["5 bps"] == (None, None, "basis_point")
+
+
+def test_readings_of_several_keys_are_read_once_each(spark, monkeypatch):
+    from factloom.sources import scratch
+
+    rows = spark.createDataFrame([(1, "a", None, "x"), (2, "a", 3, "x"), (3, None, 3, "y"), (4, "b", None, None), (5, "a", 3, "z")], "id int, s string, n int, t string")
+    readings = {"both": (["s", "n"], F.struct(F.upper("s").alias("s"), (F.col("n") + 1).alias("n"))), "own": (["t"], F.concat("t", F.lit("!")))}
+    made = lambda: scratch.read_each_once(rows, readings, "test").orderBy("id").collect()
+    want = rows.select("*", *[c.alias(n) for n, (_, c) in readings.items()]).orderBy("id").collect()
+    assert made() == want
+    monkeypatch.setattr(scratch, "MOST_READINGS", 3)  # of s and n four differ, of t too
+    assert made() == want
+
+
+def test_checked_pairs_keep_what_is_asked_for(spark):
+    from factloom.operators import checks
+    from factloom.plans.queries_values import claim_pairs
+
+    pairs = claim_pairs(spark, SF).where("a.orderkey % 40 = 0")
+    whole, part, none = checks.run_checks(pairs), checks.run_checks(pairs, ("partkey",)), checks.run_checks(pairs, ())
+    shown = [c for c in whole.columns if c not in ("a", "b")]
+    assert whole.schema["a"] == pairs.schema["a"] and part.schema["a"].dataType.names == ["partkey"] and none.columns == shown
+    got = [sorted(d.select(*shown).collect(), key=repr) for d in (whole, part, none)]
+    assert got[0] and got[0] == got[1] == got[2]

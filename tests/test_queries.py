@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -60,3 +61,15 @@ def test_exact_candidates_pair_generic_subjects(spark):
     want = {(min(a["id"], b["id"]), max(a["id"], b["id"])) for a in generic for b in generic if a["collection_id"] == b["collection_id"] and a["document_id"] != b["document_id"]}
     got = {(r["claim_a_id"], r["claim_b_id"]) for r in queries.QUERIES["j07_exact_candidates"](spark, SF).collect()}
     assert want and want <= got
+
+
+@pytest.mark.parametrize("name", ["f2_06_differences", "f7_01_checks", "f7_05_routes", "r04_verdicts"])
+def test_pairs_of_claims_move_lines_once_by_order(spark, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [set(re.findall(r"(\w+)#", x)) for x in re.findall(r"Exchange hashpartitioning\((.*), \d+\)", plan)]
+    by_line = [m for m in moved if m & {"l_orderkey", "orderkey"}]
+    assert by_line and all(m == {"l_orderkey"} for m in by_line)  # not by line number, nor once more as claims

@@ -279,3 +279,16 @@ def test_figures_at_the_width_of_decimals(spark):
         assert "E" not in r["apart"]
     plan = rows.select(both.alias("r"))._jdf.queryExecution().optimizedPlan().toString()
     assert "decimal(38,0)" in plan
+
+
+def test_replies_are_judged_claim_by_claim_in_batches(spark):
+    """Members are judged in Python, on the JSON that Spark finds valid: odd texts give what reading them as VARIANT gave."""
+    from factloom.functions import contract
+
+    d = spark.createDataFrame([(0, '{"claims":[]} {"claims":7}'), (1, '{"claims":[],"claims":[1]}'), (2, '{"claims":[],"x":' + "9" * 900 + "}"), (3, '{"claims":[],"x":' + "[" * 900 + "]" * 900 + "}"), (4, '{"claims":[],"x":NaN}'), (5, '{"cl\\u0061ims":[null]}'), (6, None), (7, '[{"claims":[]}]')], "reply_id int, reply string")
+    read = contract.read_replies(d)
+    assert {r["reply_id"]: r["feedback"] for r in read.collect()} == {0: None, 1: "claims: missing", 2: None, 3: None, 4: "claims: missing", 5: "claims.0: a claim is needed", 6: "claims: missing", 7: "claims: missing"}
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "schema_of_variant" not in plan
+    forms = {"a_b": True, "a_b\n": True, "a_b\r\n": True, "a_b\u2028": True, "a_b\n\n": False, "a_b ": False, "A": False}  # as Java reads `$`
+    assert {x: not any(v.startswith(".predicate: words") for v in contract.claim_violations({"predicate": x})) for x in forms} == forms

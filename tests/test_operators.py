@@ -521,3 +521,19 @@ def test_checked_pairs_keep_what_is_asked_for(spark):
     assert whole.schema["a"] == pairs.schema["a"] and part.schema["a"].dataType.names == ["partkey"] and none.columns == shown
     got = [sorted(d.select(*shown).collect(), key=repr) for d in (whole, part, none)]
     assert got[0] and got[0] == got[1] == got[2]
+
+
+def test_claims_meet_under_numbers_of_their_groups(spark, monkeypatch):
+    """Names of groups are not shuffled with every part that a claim is sent to, and pairs are the same whether groups are broadcast or not."""
+    c = table(spark, SF, "claims").where("orderkey % 4 = 0")
+    got = []
+    for most in (candidates.MOST_BROADCAST, 0):
+        monkeypatch.setattr(candidates, "MOST_BROADCAST", most)
+        pairs = candidates.exact_candidates(c, c)
+        node = pairs._jdf.queryExecution().optimizedPlan()
+        while node.nodeName() != "Join":
+            node = node.children().apply(0)
+        sides = [spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, node.children().apply(i)) for i in range(2)]
+        assert all(not {"who", "p", "q"} & set(s.columns()) and "meet" in s.columns() for s in sides)
+        got.append(sorted(pairs.collect()))
+    assert got[0] and got[0] == got[1]

@@ -91,3 +91,22 @@ def test_vectors_stream(spark, clustered, tmp_path):
         frame(spark, part).write.mode("append").parquet(args[0])
         jobs.watch_vectors(spark, *args, k=3).awaitTermination()
     assert lists(spark.read.parquet(args[2])) == {i: n for i, n in brute(rows, rows, 3).items() if n}
+
+
+def test_the_nearest_of_two_blocks_are_sorted_alone():
+    """Ties at the k-th place go to the least ids, as if all were sorted; rows of one document are no neighbours."""
+    import numpy as np
+    import pandas as pd
+
+    from factloom.operators.neighbours import _nearest
+
+    rng = np.random.default_rng(3)
+    side = lambda n, name: pd.DataFrame({"id": [f"{name}{i:03}" for i in rng.permutation(n)], "document_id": [f"d{i}" for i in rng.integers(0, 4, n)], "unit": list(rng.integers(-1, 2, (n, 3)).astype(float))})
+    for n, m, k in ((30, 200, 15), (5, 15, 15), (5, 9, 15), (40, 60, 1)):
+        a, b = side(n, "a"), side(m, "b")
+        got = _nearest(k)(("col",), a, b)
+        want = []
+        for x in a.itertuples():
+            near = sorted((round(1 - float(np.dot(x.unit, y.unit)), 12), y.id) for y in b.itertuples() if y.document_id != x.document_id)
+            want += [(x.id, i, d) for d, i in near[:k]]
+        assert sorted(zip(got["left_id"], got["right_id"], got["distance"], strict=True)) == sorted(want)

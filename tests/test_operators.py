@@ -537,3 +537,17 @@ def test_claims_meet_under_numbers_of_their_groups(spark, monkeypatch):
         assert all(not {"who", "p", "q"} & set(s.columns()) and "meet" in s.columns() for s in sides)
         got.append(sorted(pairs.collect()))
     assert got[0] and got[0] == got[1]
+
+
+def test_union_of_channels_is_that_of_their_pairs(spark):
+    rows = [(f"c{i:03}", "k", f"d{i % 9}", f"e{i % 4}" if i % 3 else None, ("Acme", "Beta Ltd", "We")[i % 3], ("revenue", "net revenue", "ebitda")[i % 5 % 3]) for i in range(60)]
+    c = spark.createDataFrame(rows + rows[:3], "id string, collection_id string, document_id string, entity_id string, subject string, predicate string")
+    s = spark.createDataFrame([("k", f"c{i:03}", f"c{(i * m + 1) % 60:03}", m / 10) for i in range(60) for m in (1, 7, 8) if (i * m + 1) % 60 % 9 != i % 9], "collection_id string, left_id string, right_id string, distance double")
+    want = candidates.union_candidates(candidates.exact_candidates(c.distinct(), c.distinct()), s)
+    found = candidates.union_of_channels(c, s)
+    got = sorted(found.collect(), key=repr)
+    assert {tuple(r["sources"]) for r in got} == {("exact",), ("semantic",), ("exact", "semantic")} and got == sorted(want.select(*found.columns).collect(), key=repr)
+    gathered = found._jdf.queryExecution().optimizedPlan().children().apply(0)  # the exact pairs, as they are made
+    while gathered.nodeName() == "Project":
+        gathered = gathered.children().apply(0)
+    assert gathered.nodeName() == "Join"
